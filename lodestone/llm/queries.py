@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontam, line_dedup, neardup, toxicity
+from lodestone.llm import bpe, decontam, line_dedup, neardup, ngram_lm, toxicity
 from lodestone.llm.common import table
 
 OP1_SQL = r"""
@@ -32,6 +32,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.lm_report(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -49,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op6_bpe_codec, op7_near_dedup, op8_decontamination, op10_toxicity)
+    found = (op1_line_dedup, op2_deleted_interpolation, op6_bpe_codec, op7_near_dedup, op8_decontamination, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
