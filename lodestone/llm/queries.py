@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontam, line_dedup, neardup, ngram_lm, toxicity
+from lodestone.llm import bpe, decontam, kdshards, langid, line_dedup, mjpeg, neardup, ngram_lm, toxicity, urlfilter
 from lodestone.llm.common import table
 
 OP1_SQL = r"""
@@ -36,6 +36,18 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.lm_report(table(spark, sf_dir, "documents"))
 
 
+def op3_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mjpeg.media_report(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.lang_report(table(spark, sf_dir, "documents"))
+
+
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdshards.shard_report(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -48,12 +60,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.url_report(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op2_deleted_interpolation, op6_bpe_codec, op7_near_dedup, op8_decontamination, op10_toxicity)
+    found = (
+        op1_line_dedup, op2_deleted_interpolation, op3_avi_mjpeg, op4_language_id, op5_kd_shards, op6_bpe_codec, op7_near_dedup, op8_decontamination, op9_url_filter, op10_toxicity,
+    )
     return {f.__name__: f for f in found}
 
 
