@@ -10,7 +10,7 @@ from lodestone.llm.common import saved, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose chance of a toxic grade is under one half; all columns."""
+    """Documents whose chance of a toxic grade is under the operator's rejection level; all columns."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 

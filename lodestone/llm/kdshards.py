@@ -102,11 +102,9 @@ def _cuts(placed: DataFrame, level: list[Node], ranges: dict, weight: dict) -> d
     cut, before, open_ = {}, dict.fromkeys(ranges, 0), set(ranges)
     while open_:
         step = {i: -(-span[i] // BINS) for i in open_}
-        per = lambda of, default, on=tuple(sorted(open_)): F.element_at(F.array(*[F.lit(int(of[i]) if i in on else default).cast("long") for i in range(len(level))]), F.col("node") + 1)
-        chosen = F.element_at(F.array(*[F.lit(n.dim) for n in level]), F.col("node") + 1)
-        value = F.element_at(F.array(*[F.col(c) for c in placed.columns if c[0] == "c"]), chosen + 1)
-        offset = value - per(low, 0)
-        inside = placed.select("node", "_size", offset.alias("o"), per(span, 0).alias("s"), per(step, 1).alias("step")).where("o >= 0 and o < s")
+        ask = placed.sparkSession.createDataFrame([(i, level[i].dim, int(low[i]), int(span[i]), int(step[i])) for i in sorted(open_)], "node int, dim int, low long, span long, step long")
+        value = F.element_at(F.array(*[F.col(c) for c in placed.columns if c[0] == "c"]), F.col("dim") + 1)
+        inside = placed.join(F.broadcast(ask), "node").select("node", "_size", (value - F.col("low")).alias("o"), "span", "step").where("o >= 0 and o < span")
         got = inside.groupBy("node", F.expr("o div step").alias("bin")).agg(F.sum("_size").alias("w"), F.min("o").alias("first"), F.max("o").alias("last")).collect()  # at most BINS rows a node
         bins: dict[int, list] = {}
         for r in sorted(got, key=lambda r: (r["node"], r["bin"])):

@@ -215,13 +215,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def toxicity_report(docs: DataFrame, labels: DataFrame, params: Fit | None = None, reject: float = 0.5) -> DataFrame:
+def toxicity_report(docs: DataFrame, labels: DataFrame, params: Fit | None = None, reject: float = 0.2) -> DataFrame:
     """(doc_id, severity, grade, p_toxic, toxic) for each row of docs; toxic: P(grade >= 1) is at least reject."""
     out = score(docs.select("doc_id", "text"), fit(docs, labels, params)).drop("text")
     return out.select("doc_id", F.round("_severity", 9).alias("severity"), F.col("_grade").alias("grade"), F.round("_p_toxic", 9).alias("p_toxic"), (F.col("_p_toxic") >= reject).alias("toxic"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, params: Fit | None = None, reject: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, params: Fit | None = None, reject: float = 0.2) -> DataFrame:
     """The rows of docs that are not toxic, all columns as they were."""
     out = score(docs, fit(docs, labels, params)).where(F.col("_p_toxic") < reject)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
