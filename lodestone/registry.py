@@ -1,13 +1,24 @@
-"""Collects the queries of all operator modules, and the SQL that must give the same rows."""
+"""Collects the queries of all catalogues, and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestone.plans import graph_queries
+
 FLAGSHIP = "gr14_most_influential"
+CATALOGUES = (graph_queries,)
+
+
+def _all() -> dict:
+    return {k: v for c in CATALOGUES for k, v in c.QUERIES.items()}
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in _all().items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in _all().items() if sql}
