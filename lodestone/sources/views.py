@@ -107,7 +107,7 @@ def translation_metrics(spark: SparkSession, folder: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     e = table(spark, folder, "events")
     return e.select(
-        "event_id", "ts", F.col("event_type").alias("metric_name"), "value", F.least(F.lit(1.0), F.col("value") / 100.0).alias("confidence"), F.floor(F.col("value") * 10).alias("ms"),
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("metric_name"), "value", F.least(F.lit(1.0), F.col("value") / 100.0).alias("confidence"), F.floor(F.col("value") * 10).alias("ms"),
         F.when(F.col("event_type") == "error", F.concat(F.lit("E"), F.col("event_id") % 4)).alias("error_type"), k.alias("k"), F.col("user_id"),
         F.create_map(F.lit("confidence"), k >= 30, F.lit("format"), k % 2 == 0, F.lit("preservation"), k % 5 != 0).alias("gates"),
     )
@@ -121,7 +121,7 @@ tm AS (
 
 
 def review_queue(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders")
+    o = table(spark, folder, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
     level = F.substring("o_orderpriority", 1, 1)
     return o.select(
         F.col("o_orderkey").alias("id"), F.when(level.isin("1", "2"), "high").when(level.isin("3", "4"), "medium").otherwise("low").alias("severity"),
