@@ -6,9 +6,11 @@
    COORDS coordinates agree. By the prefix rule, two such classes meet in a list of the COORDS - MATCH + 1 rarest values
    of each (rarest over the whole corpus first); all other postings are skipped. Values that no other class has are the
    rarest and have no list.
-3. First every class meets the smallest class of each of its lists. Classes linked thus share a component.
-4. Then only lists that still hold several components are compared, pair by pair but in tiles of bounded size, and only
-   pairs from different components whose signatures agree often enough leave a tile. No other pair is written.
+3. In a few rounds every class meets one class, the hub, of each list that still holds several components: the HUBS
+   hubs that it collides with most often. Linked classes share a component from the next round on.
+4. Then lists that still hold several components are compared whole, in tiles: the classes outside a list's largest
+   component, by blocks, against all of the list, by larger blocks. Only pairs from different components whose
+   signatures agree often enough leave a tile. No other pair is written.
 5. Links are confirmed on the full shingle sets of the texts; components of all links give the result.
 
 With similarity 0.75 or more, fewer than MATCH = 32 of 64 agreeing coordinates have a chance of about 4e-6 for a pair
@@ -29,8 +31,10 @@ from lodestone.llm.common import saved
 from lodestone.llm.components import components
 
 COORDS, MATCH = 64, 32
-#: Classes of one list that are compared at once; longer lists are dealt over tiles of two such blocks.
-BLOCK = 128
+#: A tile compares ROWS classes outside a list's largest component with COLUMNS classes of the list, about.
+ROWS, COLUMNS = 128, 1024
+#: Hubs that a class is compared with in a round, and rounds at most; what they leave open is for the tiles.
+HUBS, ROUNDS = 3, 4
 
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 63, COORDS, np.uint64) * np.uint64(2)
@@ -108,14 +112,31 @@ def _close(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).where(agreeing(F.col("c_a"), F.col("c_b")) >= MATCH).select("a", "b")
 
 
-def _tile_pairs(postings: DataFrame, classes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) from lists that hold several components, compared in tiles of at most 2 * BLOCK expected classes."""
-    rooted = postings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_lists = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high and n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = rooted.join(open_lists, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, "block").alias("i"), F.greatest(j, "block").alias("j")))
-    tiles = members.withColumn("tile", F.explode(others)).join(classes.select("id", "n_shingles", "coords"), "id")
-    tiles = tiles.select("key", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "block", "id", "root", "n_shingles", "coords")
+def _rooted(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return postings.withColumn("root", F.col("id"))
+    return postings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _hub_pairs(rooted: DataFrame, round_: int) -> DataFrame:
+    """Pairs (a, b) of a class and a hub of another component, HUBS for each class at most."""
+    order = F.col("id") if round_ == 0 else F.xxhash64("id", "key", F.lit(round_))
+    lists = rooted.groupBy("key").agg(F.min_by(F.struct("id", "root"), order).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    met = rooted.join(lists, "key").where(F.col("root") != F.col("hub.root")).groupBy("id", F.col("hub.id").alias("hub")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "hub"))).where(F.col("rank") <= HUBS)
+    return ranked.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _tile_pairs(rooted: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components from lists that hold several, compared in tiles of bounded size."""
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("top.n < n")
+    grid = sizes.select("key", F.col("top.root").alias("largest"), F.ceil((F.col("n") - F.col("top.n")) / ROWS).cast("int").alias("rows"), F.ceil(F.col("n") / COLUMNS).cast("int").alias("cols"))
+    members = rooted.join(grid, "key")
+    place = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n)).cast("int")
+    as_col = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), place("cols").alias("j"), F.lit(False).alias("is_row")))
+    as_row = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: F.struct(place("rows").alias("i"), j.alias("j"), F.lit(True).alias("is_row")))
+    both = F.when(F.col("root") == F.col("largest"), as_col).otherwise(F.concat(as_col, as_row))
+    tiles = members.withColumn("tile", F.explode(both)).select("key", "tile.i", "tile.j", "tile.is_row", "id", "root").join(classes.select("id", "n_shingles", "coords"), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _runs(batches, ("key", "i", "j")):
@@ -123,7 +144,7 @@ def _tile_pairs(postings: DataFrame, classes: DataFrame, roots: DataFrame, thres
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    dealt = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = tiles.select("key", "i", "j", "is_row", "id", "root", "n_shingles", "coords").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -147,21 +168,19 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
 
 def _tile(tile: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     ids, root, n = (tile[c].to_numpy() for c in ("id", "root", "n_shingles"))
-    block, i, j = tile["block"].to_numpy(), tile["i"][0].as_py(), tile["j"][0].as_py()
+    is_row = tile["is_row"].to_numpy(zero_copy_only=False)
     coords = tile["coords"].combine_chunks()
     coords = (coords.chunk(0) if isinstance(coords, pa.ChunkedArray) else coords).flatten().to_numpy().reshape(-1, COORDS)
     found_a, found_b = [], []
-    left = np.flatnonzero(block == i)
-    right = left if i == j else np.flatnonzero(block == j)
-    for x in left.tolist():
-        other = right[(root[right] != root[x]) & (np.minimum(n[right], n[x]) >= threshold * np.maximum(n[right], n[x]))]
-        if i == j:
-            other = other[other > x]
+    cols = np.flatnonzero(~is_row)
+    for x in np.flatnonzero(is_row).tolist():
+        other = cols[(root[cols] != root[x]) & (np.minimum(n[cols], n[x]) >= threshold * np.maximum(n[cols], n[x]))]
         if len(other):
             other = other[(coords[other] == coords[x]).sum(axis=1) >= MATCH]
             found_a += [min(ids[x], y) for y in ids[other].tolist()]
             found_b += [max(ids[x], y) for y in ids[other].tolist()]
-    return np.array(found_a, np.int64), np.array(found_b, np.int64)
+    pairs = np.unique(np.array([found_a, found_b], np.int64), axis=1)
+    return pairs[0], pairs[1]
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -207,14 +226,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
     classes = saved(rows.dropDuplicates(["id", "digest1", "digest2"]).select("id", "n_shingles", "coords"))
 
     postings = saved(prefix_postings(classes))
-    hubs = postings.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    to_hub = postings.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    copies = member.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    first_links = saved(confirmed(_close(to_hub, classes, threshold), docs, size, threshold))
-    roots = components(first_links)
-    more = saved(_tile_pairs(postings, classes, roots, threshold))
-    more_links = confirmed(more, docs, size, threshold) if not more.isEmpty() else more
-    class_links = first_links.unionByName(more_links)
+    links, roots = None, None
+    for round_ in range(ROUNDS):
+        new = saved(confirmed(_close(_hub_pairs(_rooted(postings, roots), round_), classes, threshold), docs, size, threshold))
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        roots = components(links)
+    more = saved(_tile_pairs(_rooted(postings, roots), classes, threshold))
+    if not more.isEmpty():
+        found_more = saved(confirmed(more, docs, size, threshold))
+        links = found_more if links is None else links.unionByName(found_more)
+    class_links = more.limit(0) if links is None else links
     # Only ids with several texts tie two classes together; all else joins its class at the end.
     several = member.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     ties = member.join(several, "doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
