@@ -13,8 +13,9 @@
    signatures agree often enough leave a tile. No other pair is written.
 5. Links are confirmed on the full shingle sets of the texts; components of all links give the result.
 
-With similarity 0.75 or more, fewer than MATCH = 32 of 64 agreeing coordinates have a chance of about 4e-6 for a pair
-right at the threshold, and much less above it.
+A second signature of COORDS short values, used for comparing only, sharpens the test: of both signatures' 128
+coordinates at least MATCH_ALL must agree. For a pair right at the threshold, fewer than MATCH = 32 of 64 or fewer than
+MATCH_ALL = 73 of 128 have a chance of about 4e-6 each, and much less above it.
 """
 
 from __future__ import annotations
@@ -30,21 +31,21 @@ from lodestone.llm import textarrays as T
 from lodestone.llm.common import saved
 from lodestone.llm.components import components
 
-COORDS, MATCH = 64, 32
+COORDS, MATCH, MATCH_ALL = 64, 32, 73
 #: A tile compares ROWS classes outside a list's largest component with COLUMNS classes of the list, about.
 ROWS, COLUMNS = 128, 1024
 #: Hubs that a class is compared with in a round, and rounds at most; what they leave open is for the tiles.
 HUBS, ROUNDS = 3, 4
 
 _rng = np.random.default_rng(20240607)
-_XOR = _rng.integers(0, 1 << 63, COORDS, np.uint64) * np.uint64(2)
-_MUL = _rng.integers(0, 1 << 63, COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _rng.integers(0, 1 << 63, 2 * COORDS, np.uint64) * np.uint64(2)
+_MUL = _rng.integers(0, 1 << 63, 2 * COORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signature(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of COORDS unsigned 64-bit minima for each text; texts without shingles must not be among them."""
-    out = np.empty((len(offsets) - 1, COORDS), np.uint64)
-    for k in range(COORDS):
+    """A row of 2 * COORDS unsigned 64-bit minima for each text; texts without shingles must not be among them."""
+    out = np.empty((len(offsets) - 1, 2 * COORDS), np.uint64)
+    for k in range(2 * COORDS):
         v = shingles ^ _XOR[k]
         v *= _MUL[k]
         v ^= v >> np.uint64(32)
@@ -66,7 +67,7 @@ def shingle_sets(chunk: T.Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, digest1, digest2, coords): coords is null where there is no shingle."""
+    """(doc_id, n_shingles, digest1, digest2, coords, checks): coords and checks are empty where there is no shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,7 +77,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 n = np.diff(at)
                 some = n > 0
                 packed = np.concatenate((at[:-1][some], [len(sets)]))
-                coords = signature(sets, packed) if some.any() else np.zeros((0, COORDS), np.uint64)
+                coords = signature(sets, packed) if some.any() else np.zeros((0, 2 * COORDS), np.uint64)
                 digests = []
                 for salt in (0x1234567, 0x89ABCDEF01):
                     d = np.zeros(len(n), np.uint64)
@@ -84,11 +85,12 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                         d[some] = np.add.reduceat(T.mix(sets + np.uint64(salt)), packed[:-1])
                     digests.append(pa.array(d.view(np.int64)))
                 ends = np.concatenate(([0], np.cumsum(np.where(some, COORDS, 0)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(coords.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(c.first, len(n)), pa.array(n.astype(np.int64)), *digests, lists], names=["doc_id", "n_shingles", "digest1", "digest2", "coords"])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(coords[:, :COORDS]).view(np.int64).ravel()))
+                shorts = pa.ListArray.from_arrays(pa.array(ends), pa.array((coords[:, COORDS:] >> np.uint64(48)).astype(np.uint16).view(np.int16).ravel()))
+                yield pa.RecordBatch.from_arrays([ids.slice(c.first, len(n)), pa.array(n.astype(np.int64)), *digests, lists, shorts], names=["doc_id", "n_shingles", "digest1", "digest2", "coords", "checks"])
 
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return few.mapInArrow(run, "doc_id long, n_shingles long, digest1 long, digest2 long, coords array<long>")
+    return few.mapInArrow(run, "doc_id long, n_shingles long, digest1 long, digest2 long, coords array<long>, checks array<smallint>")
 
 
 def agreeing(a: Column, b: Column) -> Column:
@@ -107,9 +109,10 @@ def prefix_postings(classes: DataFrame) -> DataFrame:
 
 def _close(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that agree in MATCH coordinates and whose set sizes allow the threshold."""
-    side = {s: classes.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("coords").alias(f"c_{s}")) for s in "ab"}
+    side = {s: classes.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("coords").alias(f"c_{s}"), F.col("checks").alias(f"h_{s}")) for s in "ab"}
     both = pairs.join(side["a"], "a").join(side["b"], "b")
-    return both.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).where(agreeing(F.col("c_a"), F.col("c_b")) >= MATCH).select("a", "b")
+    near = both.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).withColumn("agree", agreeing(F.col("c_a"), F.col("c_b")))
+    return near.where((F.col("agree") >= MATCH) & (F.col("agree") + agreeing(F.col("h_a"), F.col("h_b")) >= MATCH_ALL)).select("a", "b")
 
 
 def _rooted(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -136,7 +139,7 @@ def _tile_pairs(rooted: DataFrame, classes: DataFrame, threshold: float) -> Data
     as_col = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), place("cols").alias("j"), F.lit(False).alias("is_row")))
     as_row = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: F.struct(place("rows").alias("i"), j.alias("j"), F.lit(True).alias("is_row")))
     both = F.when(F.col("root") == F.col("largest"), as_col).otherwise(F.concat(as_col, as_row))
-    tiles = members.withColumn("tile", F.explode(both)).select("key", "tile.i", "tile.j", "tile.is_row", "id", "root").join(classes.select("id", "n_shingles", "coords"), "id")
+    tiles = members.withColumn("tile", F.explode(both)).select("key", "tile.i", "tile.j", "tile.is_row", "id", "root").join(classes.select("id", "n_shingles", "coords", "checks"), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _runs(batches, ("key", "i", "j")):
@@ -144,7 +147,7 @@ def _tile_pairs(rooted: DataFrame, classes: DataFrame, threshold: float) -> Data
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    dealt = tiles.select("key", "i", "j", "is_row", "id", "root", "n_shingles", "coords").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = tiles.select("key", "i", "j", "is_row", "id", "root", "n_shingles", "coords", "checks").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -169,14 +172,15 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
 def _tile(tile: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     ids, root, n = (tile[c].to_numpy() for c in ("id", "root", "n_shingles"))
     is_row = tile["is_row"].to_numpy(zero_copy_only=False)
-    coords = tile["coords"].combine_chunks()
-    coords = (coords.chunk(0) if isinstance(coords, pa.ChunkedArray) else coords).flatten().to_numpy().reshape(-1, COORDS)
+    coords, checks = (tile[c].combine_chunks().flatten().to_numpy().reshape(-1, COORDS) for c in ("coords", "checks"))
     found_a, found_b = [], []
     cols = np.flatnonzero(~is_row)
     for x in np.flatnonzero(is_row).tolist():
         other = cols[(root[cols] != root[x]) & (np.minimum(n[cols], n[x]) >= threshold * np.maximum(n[cols], n[x]))]
         if len(other):
-            other = other[(coords[other] == coords[x]).sum(axis=1) >= MATCH]
+            agree = (coords[other] == coords[x]).sum(axis=1)
+            other, agree = other[agree >= MATCH], agree[agree >= MATCH]
+            other = other[agree + (checks[other] == checks[x]).sum(axis=1) >= MATCH_ALL]
             found_a += [min(ids[x], y) for y in ids[other].tolist()]
             found_b += [max(ids[x], y) for y in ids[other].tolist()]
     pairs = np.unique(np.array([found_a, found_b], np.int64), axis=1)
@@ -223,7 +227,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
     firsts = real.groupBy("digest1", "digest2").agg(F.min("doc_id").alias("id"))
     member = saved(real.select("doc_id", "digest1", "digest2").join(firsts, ["digest1", "digest2"]).select("doc_id", "id").distinct())
     rows = real.join(firsts.withColumn("doc_id", F.col("id")), ["digest1", "digest2", "doc_id"])
-    classes = saved(rows.dropDuplicates(["id", "digest1", "digest2"]).select("id", "n_shingles", "coords"))
+    classes = saved(rows.dropDuplicates(["id", "digest1", "digest2"]).select("id", "n_shingles", "coords", "checks"))
 
     postings = saved(prefix_postings(classes))
     links, roots = None, None
