@@ -72,13 +72,16 @@ def encode_tiles(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     row_bytes = (bits + 7) // 8
     row_begin = np.cumsum(row_bytes) - row_bytes
     begin = (row_begin * 8)[:, None] + np.cumsum(length, axis=1) - length
-    flat_len = length.ravel()
-    first = np.cumsum(flat_len) - flat_len
-    of = np.repeat(np.arange(n * TILES, dtype=np.int32), flat_len)
-    inner = (np.arange(len(of)) - first[of]).astype(np.int32)
-    out = np.ones(int(row_bytes.sum()) * 8, np.uint8)
-    out[begin.ravel()[of] + inner] = (_CODE[level].ravel()[of] >> (flat_len[of] - 1 - inner)) & 1
-    packed = np.packbits(out)
+    # A code has 13 bits at most, so with its place in a byte it touches three bytes; codes share bytes but no bits.
+    at, code = begin.ravel(), _CODE[level].ravel()
+    code = code << (24 - length.ravel() - (at & 7))
+    at >>= 3
+    size = int(row_bytes.sum())
+    total = np.zeros(size + 3)
+    for k in range(3):
+        total[k : k + size + 1] += np.bincount(at, weights=(code >> (16 - 8 * k)) & 255, minlength=size + 1)[: size + 1]
+    packed = total[:size].astype(np.uint8)
+    packed[np.cumsum(row_bytes) - 1] |= ((1 << (row_bytes * 8 - bits)) - 1).astype(np.uint8)  # rows end in ones
     full = packed == 255  # a zero byte follows these
     shift = np.cumsum(full) - full
     row = np.repeat(np.arange(n), row_bytes)
@@ -279,6 +282,23 @@ def decode_scans(head: Head, scans: list[bytes], pixels: bool = False) -> Planes
     single = per == 1
     while len(live):
         look = (window[bit >> 3] >> (8 - (bit & 7))) & 0xFFFFFFFF
+        if single and not k.any():  # all at a mean: read it, and the end of the block if that follows at once
+            entry = tables[mean_of[0] + (look >> 16)].astype(np.int64)
+            length, size = entry >> 8, entry & 15
+            extra = (look >> (32 - length - size)) & ((1 << size) - 1)
+            values[live, block] = extra - ((1 << size) - 1) * ((extra << 1) < (1 << size))
+            bit = bit + length + size
+            wrong = (length == 0) | (bit > limit)
+            then = tables[other_of[0] + (((window[np.minimum(bit >> 3, len(window) - 1)] >> (8 - (bit & 7))) >> 16) & 0xFFFF)].astype(np.int64)
+            ends_here = ((then & 255) == 0) & (then > 0)
+            bit += np.where(ends_here, then >> 8, 0)
+            block = block + ends_here
+            k = 1 - ends_here.astype(np.int64)
+            if wrong.any() or (block >= total).any():
+                bad[live[wrong]] = True
+                on = (block < total) & ~wrong & (bit <= limit)
+                live, bit, block, k, total = live[on], bit[on], block[on], k[on], total[on]
+            continue
         table = np.where(k == 0, mean_of[0], other_of[0]) if single else np.where(k == 0, mean_of[block % per], other_of[block % per])
         entry = tables[table + (look >> 16)].astype(np.int64)
         length, size, run = entry >> 8, entry & 15, (entry >> 4) & 15
