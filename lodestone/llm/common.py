@@ -45,6 +45,17 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def set_aside(docs: DataFrame) -> DataFrame:
+    """docs as (doc_id, text, _rest): all other columns, whatever their names, in one struct (null if there are none)."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None).cast("int")).alias("_rest"))
+
+
+def put_back(packed: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns in their order from (doc_id, text, _rest); changed gives some of them new values."""
+    return packed.select(*[changed.get(c, F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c]).alias(c) for c in columns])
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -57,7 +68,3 @@ def crc_of_id(c: Column) -> Column:
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-
-def arrays_per_batch(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch hands to Python, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved
+from lodestone.llm.common import saved, set_aside
 
 BINS = 512
 TIE_BITS, DIM_BITS = 32, 20
@@ -130,11 +130,13 @@ def sharded(docs: DataFrame, shards: int = 40, dims: list[Column] | None = None)
     id is an id like others. Rows of the same id and text stay together. An empty table gives no rows; with fewer
     groups than shards some shards stay empty.
     """
-    rows = measured(docs, dims)
+    given = {f"_given{i}": d for i, d in enumerate(dims or [])}
+    rows = measured(set_aside(docs.withColumns(given)), [F.col("_rest")[c] for c in given] or None)
     own = [c for c in rows.columns if c[:2] == "_d" and c[2:].isdigit()]
     tree, heavy = grow(saved(rows.select("doc_id", "_size", "_h", *own)), len(own), shards)
     _numbered(tree)
-    return rows.withColumn("_shard", place(tree, coordinates(len(own), heavy), lambda n: n.cut)).select(*[F.col(f"`{c}`") for c in docs.columns], "_shard")
+    placed = rows.withColumn("_rest", F.struct(F.col("_rest").alias("row"), place(tree, coordinates(len(own), heavy), lambda n: n.cut).cast("int").alias("shard")))
+    return placed.select(*[(F.col(c) if c in ("doc_id", "text") else F.col("_rest.row")[c]).alias(c) for c in docs.columns], F.col("_rest.shard").alias("_shard"))
 
 
 def _numbered(tree: Node) -> None:

@@ -102,8 +102,8 @@ class Network:
         out /= out.sum(axis=2, keepdims=True)
         return out
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross entropy over all positions; x (length, windows) bytes, y (windows) language numbers."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, there: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy over all positions, or those there; x (length, windows) bytes, y (windows) language numbers."""
         x = _INPUT[x]
         kept: dict[str, list] = {"f": [], "b": []}
         states = {d: np.empty((*x.shape, self.hidden), np.float32) for d in "fb"}
@@ -115,7 +115,9 @@ class Network:
         prob = np.exp(logits)
         prob /= prob.sum(axis=2, keepdims=True)
         prob[:, np.arange(len(y)), y] -= 1
-        prob /= x.size
+        prob /= x.size if there is None else max(1, there.sum())
+        if there is not None:
+            prob *= there[:, :, None]
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         g["c"] = prob.sum(axis=(0, 1))
         for d in "fb":
@@ -154,7 +156,10 @@ def train(windows: np.ndarray, lang: np.ndarray, langs: list[str], params: Fit)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     for step in range(1, params.steps + 1):
         pick = np.concatenate([r[rng.integers(0, len(r), -(-params.batch // len(langs)))] for r in rows])
-        g = net.gradients(np.ascontiguousarray(windows[pick].T), lang[pick])
+        # Every other window is cut short: short texts, and the ends of long ones, look so.
+        cut = np.where(np.arange(len(pick)) % 2, rng.integers(4, windows.shape[1] + 1, len(pick)), windows.shape[1])
+        there = np.arange(windows.shape[1])[:, None] < cut
+        g = net.gradients(np.where(there, windows[pick].T, np.uint8(0)), lang[pick], there)
         size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         rate = params.rate * min(1.0, 2.0 * (1 - step / (params.steps + 1)))
         for k, v in g.items():

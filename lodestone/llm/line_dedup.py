@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WHITESPACE, ascii_lower, partitions
+from lodestone.llm.common import WHITESPACE, ascii_lower, partitions, put_back, set_aside
 
 SALTS = 64
 #: Documents without an id come after all others.
@@ -88,10 +88,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
     All rows stay; a text whose lines all go becomes empty. Other columns pass through.
     """
-    out = apply_bitmaps(docs, keep_bitmaps(docs, min_chars)).withColumn("text", F.col("_kept"))
+    packed = set_aside(docs)
+    out = apply_bitmaps(packed, keep_bitmaps(packed, min_chars))
+    changed = {"text": F.col("_kept")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.when(F.col("_n_dropped") > 0, F.char_length("_kept").cast("long")).otherwise(F.col("_rest")["n_chars"])
+    return put_back(out, docs.columns, **changed)
 
 
 def line_dedup_report(docs: DataFrame, min_chars: int = 10) -> DataFrame:

@@ -365,13 +365,15 @@ def decode_frames(frames: list[bytes], pixels: bool = False) -> list[tuple[np.nd
     groups: dict[bytes, tuple[Head, list[int]]] = {}
     last: tuple[bytes, tuple[Head, list[int]]] | None = None
     for i, f in enumerate(frames):
-        if last and f.startswith(last[0]):
+        if last and len(f) > len(last[0]) and f.startswith(last[0]):
             last[1][1].append(i)
             continue
         try:
             head = read_head(f)
         except (ValueError, IndexError, KeyError, struct.error):
             continue
+        if len(f) <= head.scan:
+            continue
         key = bytes(f[: head.scan])
         last = (key, groups.setdefault(key, (head, [])))
         last[1][1].append(i)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textarrays as T
+from lodestone.llm.common import put_back, set_aside
 
 BITS = 20
 
@@ -43,6 +44,8 @@ class Model:
     """Sorted feature ids with a weight."""
     weights: np.ndarray
     thresholds: np.ndarray
+    reject: float = 0.5
+    """The chance of a toxic grade from which on a document is rejected."""
 
     def table(self) -> np.ndarray:
         dense = np.zeros(1 << BITS, np.float32)
@@ -188,7 +191,19 @@ def train(toxic: np.ndarray, text: np.ndarray, feature: np.ndarray, count: np.nd
         w = np.sign(w) * np.maximum(np.abs(w) - step * params.l1, 0)
         theta = np.maximum.accumulate(theta - step * by_theta + 1e-6 * np.arange(k - 1))
     on = w != 0
-    return Model(ids[on], w[on].astype(np.float32), theta)
+    model = Model(ids[on], w[on].astype(np.float32), theta)
+    chance = 1 - model.probabilities(np.bincount(text, weights=w[at] * value, minlength=n))[:, 0]
+    model.reject = rejection(chance, toxic)
+    return model
+
+
+def rejection(chance: np.ndarray, toxic: np.ndarray, clean_counts: float = 2.0) -> float:
+    """The level that costs least on the sample, a clean document rejected counting clean_counts times a toxic one kept."""
+    odds = np.linspace(-4, 1, 101)
+    levels = 1 / (1 + np.exp(-odds))
+    cost = np.array([clean_counts * (chance[~toxic] >= v).sum() + (chance[toxic] < v).sum() for v in levels])
+    best = np.flatnonzero(cost == cost.min())
+    return float(levels[best[len(best) // 2]])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -199,7 +214,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = S.StructType([*docs.schema.fields, S.StructField("_p_toxic", S.DoubleType()), S.StructField("_severity", S.DoubleType()), S.StructField("_grade", S.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*bundle.value)
+        m = Model(*bundle.value)  # scores do not need the level
         table = m.table()
         for b in batches:
             s = np.zeros(b.num_rows)
@@ -215,13 +230,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def toxicity_report(docs: DataFrame, labels: DataFrame, params: Fit | None = None, reject: float = 0.2) -> DataFrame:
-    """(doc_id, severity, grade, p_toxic, toxic) for each row of docs; toxic: P(grade >= 1) is at least reject."""
-    out = score(docs.select("doc_id", "text"), fit(docs, labels, params)).drop("text")
+def toxicity_report(docs: DataFrame, labels: DataFrame, params: Fit | None = None, reject: float | None = None) -> DataFrame:
+    """(doc_id, severity, grade, p_toxic, toxic) for each row of docs; toxic: P(grade >= 1) is at least reject, or the model's own level."""
+    model = fit(docs, labels, params)
+    reject = model.reject if reject is None else reject
+    out = score(docs.select("doc_id", "text"), model).drop("text")
     return out.select("doc_id", F.round("_severity", 9).alias("severity"), F.col("_grade").alias("grade"), F.round("_p_toxic", 9).alias("p_toxic"), (F.col("_p_toxic") >= reject).alias("toxic"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, params: Fit | None = None, reject: float = 0.2) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, params: Fit | None = None, reject: float | None = None) -> DataFrame:
     """The rows of docs that are not toxic, all columns as they were."""
-    out = score(docs, fit(docs, labels, params)).where(F.col("_p_toxic") < reject)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = fit(docs, labels, params)
+    out = score(set_aside(docs), model).where(F.col("_p_toxic") < (model.reject if reject is None else reject))
+    return put_back(out, docs.columns)
