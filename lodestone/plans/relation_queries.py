@@ -50,7 +50,7 @@ pairs AS (SELECT DISTINCT a.id AS id1, b.id AS id2, a.nm AS na, b.nm AS nb, a.bi
 sc AS (SELECT id1, id2, {PAIR('na', 'nb')} AS n, CASE WHEN ba = bb THEN 1.0 WHEN abs(ba - bb) <= 5 THEN 0.85 WHEN abs(ba - bb) <= 10 THEN 0.7 WHEN abs(ba - bb) <= 20 THEN 0.5 ELSE 0.0 END::DOUBLE AS d FROM pairs),
 pr AS (SELECT id1, id2, n, d, (n * CASE WHEN n = 0.5 THEN 0.25 ELSE 0.5 END::DOUBLE + d * CASE WHEN d = 0.5 THEN 0.1 ELSE 0.2 END::DOUBLE + 0.5::DOUBLE * 0.075::DOUBLE) / (CASE WHEN n = 0.5 THEN 0.25 ELSE 0.5 END::DOUBLE + CASE WHEN d = 0.5 THEN 0.1 ELSE 0.2 END::DOUBLE + 0.075::DOUBLE) AS o FROM sc),
 fin AS (SELECT id1, id2, round(n, 6) AS name_score, d AS date_score, round(CASE WHEN n > 0.98 AND o < 0.9 AND d > 0 THEN 0.92::DOUBLE ELSE o END, 6) AS probability FROM pr)"""
-DECADE = F.expr("birth div 10")
+DECADE = "birth div 10"
 
 
 QUERIES = {
@@ -96,16 +96,16 @@ QUERIES = {
         f"WITH {NODES_SQL}, {ENT.replace('SELECT id,', 'SELECT id, name,')}, x AS (SELECT id, name, round({PAIR('nm', 'q')}, 6) AS score FROM ent, (SELECT 'small widgit' AS q)) SELECT * FROM x WHERE score >= 0.5 ORDER BY score DESC, id LIMIT 10",
     ),
     "er18_duplicates": (
-        _with(lambda n, e: E.duplicates(_entities(n), DECADE)),
+        _with(lambda n, e: E.duplicates(_entities(n), F.expr(DECADE))),
         f"WITH {PAIRS} SELECT *, CASE WHEN probability >= 0.95 THEN 'very_high' WHEN probability >= 0.85 THEN 'high' WHEN probability >= 0.75 THEN 'medium' ELSE 'low' END AS class FROM fin WHERE name_score >= 0.6 AND probability >= 0.7",
     ),
     "er19_clusters": (
-        _with(lambda n, e: E.clusters(_entities(n), E.duplicates(_entities(n), DECADE).where("probability >= 0.9"))),
+        _with(lambda n, e: E.clusters(_entities(n), E.duplicates(_entities(n), F.expr(DECADE)).where("probability >= 0.9"))),
         f"""WITH RECURSIVE {PAIRS}, l AS (SELECT id1 AS a, id2 AS b FROM fin WHERE name_score >= 0.6 AND probability >= 0.9), lk AS (SELECT a, b FROM l UNION SELECT b, a FROM l), walk AS (SELECT a AS start, a AS node FROM lk UNION SELECT w.start, lk.b FROM walk w JOIN lk ON lk.a = w.node),
 root AS (SELECT start AS id, min(node) AS cluster FROM walk GROUP BY start) SELECT cluster, count(*) AS size, (list(root.id ORDER BY -confidence, root.id))[1] AS canonical FROM root JOIN ent USING (id) GROUP BY cluster""",
     ),
     "er20_resolve": (
-        _with(lambda n, e: E.duplicates(_entities(n), DECADE).groupBy(E.resolve(F.col("probability")).alias("decision")).agg(F.count(F.lit(1)).alias("n"))),
+        _with(lambda n, e: E.duplicates(_entities(n), F.expr(DECADE)).groupBy(E.resolve(F.col("probability")).alias("decision")).agg(F.count(F.lit(1)).alias("n"))),
         f"WITH {PAIRS} SELECT CASE WHEN probability >= 0.95 THEN 'same' WHEN probability >= 0.8 THEN 'potential_duplicate' ELSE 'new' END AS decision, count(*) AS n FROM fin WHERE name_score >= 0.6 AND probability >= 0.7 GROUP BY 1",
     ),
     "er21_merge": (
