@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import graph_queries, relation_queries, stats_queries, text_queries
+from lodestone.plans import graph_queries, relation_queries, stats_queries, text_queries, workflow_queries
 
 FLAGSHIP = "gr14_most_influential"
-CATALOGUES = (graph_queries, stats_queries, relation_queries, text_queries)
+CATALOGUES = (graph_queries, stats_queries, relation_queries, text_queries, workflow_queries)
 
 
 def _all() -> dict:
