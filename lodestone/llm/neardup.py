@@ -9,9 +9,13 @@
 3. In a few rounds every class meets one class, the hub, of each list that still holds several components: the HUBS
    hubs that it collides with most often. Linked classes share a component from the next round on.
 4. Then lists that still hold several components are compared whole, in tiles: the classes outside a list's largest
-   component, by blocks, against all of the list, by larger blocks. Only pairs from different components whose
-   signatures agree often enough leave a tile. No other pair is written.
-5. Links are confirmed on the full shingle sets of the texts; components of all links give the result.
+   component, by blocks, against all of the list, by blocks. A pair from different components whose signatures agree
+   often enough is a candidate in one list only, that of the first coordinate that is in the prefix of both. A tile
+   writes one row for each class that has candidates in it, never one for each pair: texts that are alike, but under
+   the threshold, make as many candidates as pairs.
+5. Each class of a tile gets its full shingle set, and the tile's candidates are decided there. Of the links it finds a
+   tile writes those that join components, one fewer than the components it joins.
+6. Components of all links give the result.
 
 A second signature of COORDS short values, used for comparing only, sharpens the test: of both signatures' 128
 coordinates at least MATCH_ALL must agree. For a pair right at the threshold, fewer than MATCH = 32 of 64 or fewer than
@@ -33,7 +37,9 @@ from lodestone.llm.components import components
 
 COORDS, MATCH, MATCH_ALL = 64, 32, 73
 #: A tile compares ROWS classes outside a list's largest component with COLUMNS classes of the list, about.
-ROWS, COLUMNS = 128, 1024
+ROWS, COLUMNS = 512, 512
+#: Candidates are decided in blocks of SET_ROWS by SET_COLUMNS classes of a tile.
+SET_ROWS, SET_COLUMNS = 64, 192
 #: Hubs that a class is compared with in a round, and rounds at most; what they leave open is for the tiles.
 HUBS, ROUNDS = 3, 4
 
@@ -98,13 +104,17 @@ def agreeing(a: Column, b: Column) -> Column:
 
 
 def prefix_postings(classes: DataFrame) -> DataFrame:
-    """(id, key) for the rarest values of each class, as far as other classes have them too."""
-    posted = classes.select("id", F.posexplode("coords").alias("k", "value")).select("id", F.xxhash64("k", "value").alias("key"))
+    """(id, k, key, mask) for the rarest values of each class, as far as other classes have them too.
+
+    k is the value's coordinate; mask has the bits of all coordinates that the class is posted under.
+    """
+    posted = classes.select("id", F.posexplode("coords").alias("k", "value")).select("id", "k", F.xxhash64("k", "value").alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     known = posted.join(shared, "key")
     mine = Window.partitionBy("id")
     ranked = known.withColumns({"has": F.count(F.lit(1)).over(mine), "rank": F.row_number().over(mine.orderBy("n", "key"))})
-    return ranked.where(F.col("rank") <= COORDS - MATCH + 1 - (COORDS - F.col("has"))).select("id", "key")
+    few = ranked.where(F.col("rank") <= COORDS - MATCH + 1 - (COORDS - F.col("has")))
+    return few.select("id", "k", "key", F.bit_or(F.expr("shiftleft(1L, k)")).over(mine).alias("mask"))
 
 
 def _close(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -130,25 +140,24 @@ def _hub_pairs(rooted: DataFrame, round_: int) -> DataFrame:
     return ranked.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def _tile_pairs(rooted: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components from lists that hold several, compared in tiles of bounded size."""
+def _tile_candidates(rooted: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(key, i, j, id, root, others): the classes that have candidates in a block of a tile, others being a row's
+    candidates and empty for a column."""
     sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("top.n < n")
     grid = sizes.select("key", F.col("top.root").alias("largest"), F.ceil((F.col("n") - F.col("top.n")) / ROWS).cast("int").alias("rows"), F.ceil(F.col("n") / COLUMNS).cast("int").alias("cols"))
-    members = rooted.join(grid, "key")
+    members = rooted.join(grid, "key").join(classes.select("id", "n_shingles", "coords", "checks"), "id")
     place = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n)).cast("int")
     as_col = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), place("cols").alias("j"), F.lit(False).alias("is_row")))
     as_row = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: F.struct(place("rows").alias("i"), j.alias("j"), F.lit(True).alias("is_row")))
     both = F.when(F.col("root") == F.col("largest"), as_col).otherwise(F.concat(as_col, as_row))
-    tiles = members.withColumn("tile", F.explode(both)).select("key", "tile.i", "tile.j", "tile.is_row", "id", "root").join(classes.select("id", "n_shingles", "coords", "checks"), "id")
+    tiles = members.withColumn("top", F.col("root") == F.col("largest")).withColumn("tile", F.explode(both))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _runs(batches, ("key", "i", "j")):
-            a, b = _tile(tile, threshold)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield from _candidates(tile, threshold)
 
-    dealt = tiles.select("key", "i", "j", "is_row", "id", "root", "n_shingles", "coords", "checks").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    dealt = tiles.select("key", "tile.i", "tile.j", "tile.is_row", "id", "k", "root", "top", "mask", "n_shingles", "coords", "checks").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(compare, "key long, i long, j long, id long, root long, others array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -169,22 +178,110 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
         yield pa.Table.from_batches(rest)
 
 
-def _tile(tile: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    ids, root, n = (tile[c].to_numpy() for c in ("id", "root", "n_shingles"))
-    is_row = tile["is_row"].to_numpy(zero_copy_only=False)
+def _candidates(tile: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The candidates of one tile by blocks of SET_ROWS rows and SET_COLUMNS columns that have some."""
+    ids, root, n, mask = (tile[c].to_numpy() for c in ("id", "root", "n_shingles", "mask"))
+    is_row, top = (tile[c].to_numpy(zero_copy_only=False) for c in ("is_row", "top"))
+    key, i, j, k = (tile[c][0].as_py() for c in ("key", "i", "j", "k"))
     coords, checks = (tile[c].combine_chunks().flatten().to_numpy().reshape(-1, COORDS) for c in ("coords", "checks"))
-    found_a, found_b = [], []
+    in_prefix = (mask[:, None] >> np.arange(COORDS)) & 1 == 1
     cols = np.flatnonzero(~is_row)
+    found: list[tuple[int, np.ndarray]] = []
     for x in np.flatnonzero(is_row).tolist():
-        other = cols[(root[cols] != root[x]) & (np.minimum(n[cols], n[x]) >= threshold * np.maximum(n[cols], n[x]))]
+        # Of two classes outside the largest component, the smaller id is the row.
+        other = cols[(root[cols] != root[x]) & (top[cols] | (ids[cols] > ids[x])) & (np.minimum(n[cols], n[x]) >= threshold * np.maximum(n[cols], n[x]))]
+        if not len(other):
+            continue
+        same = coords[other] == coords[x]
+        agree = same.sum(axis=1)
+        first_here = ~(same[:, :k] & in_prefix[other][:, :k] & in_prefix[x, :k]).any(axis=1)
+        enough = np.flatnonzero((agree >= MATCH) & first_here)
+        other, agree = other[enough], agree[enough]
+        other = other[agree + (checks[other] == checks[x]).sum(axis=1) >= MATCH_ALL]
         if len(other):
-            agree = (coords[other] == coords[x]).sum(axis=1)
-            other, agree = other[agree >= MATCH], agree[agree >= MATCH]
-            other = other[agree + (checks[other] == checks[x]).sum(axis=1) >= MATCH_ALL]
-            found_a += [min(ids[x], y) for y in ids[other].tolist()]
-            found_b += [max(ids[x], y) for y in ids[other].tolist()]
-    pairs = np.unique(np.array([found_a, found_b], np.int64), axis=1)
-    return pairs[0], pairs[1]
+            found.append((x, other))
+    if not found:
+        return
+    used = np.unique(np.concatenate([o for _, o in found]))
+    for at in range(0, len(found), SET_ROWS):
+        for start in range(0, len(used), SET_COLUMNS):
+            block = used[start : start + SET_COLUMNS]
+            rows = [(x, mine) for x, o in found[at : at + SET_ROWS] if len(mine := o[np.isin(o, block)])]
+            if rows:
+                columns = np.unique(np.concatenate([o for _, o in rows]))
+                members = np.concatenate([[x for x, _ in rows], columns]).astype(np.int64)
+                others = [ids[o] for _, o in rows] + [ids[:0]] * len(columns)
+                ends = np.concatenate(([0], np.cumsum([len(o) for o in others]))).astype(np.int32)
+                size = len(members)
+                place = (key, i * (1 << 20) + at // SET_ROWS, j * (1 << 20) + start // SET_COLUMNS)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.full(size, v, np.int64)) for v in place), pa.array(ids[members]), pa.array(root[members]), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(others)))],
+                    names=["key", "i", "j", "id", "root", "others"],
+                )
+
+
+def _set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(id, shingles): the sorted full shingle set of each wanted id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in T.chunks(b.column("text")):
+                sets, at = shingle_sets(c, size)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(c.first, len(at) - 1), lists], names=["id", "shingles"])
+
+    return texts.mapInArrow(run, "id long, shingles array<long>")
+
+
+def _tile_links(found: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links (a, b) that join the components of each block of candidates; the full sets decide."""
+    num = round(threshold * 100)
+    sets = _set_table(docs, found.select("id").distinct(), size)
+    dealt = found.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _runs(batches, ("key", "i", "j")):
+            links = _block_links(block, num)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*links, strict=True)], names=["a", "b"])
+
+    return dealt.mapInArrow(decide, "a long, b long").distinct()
+
+
+def _block_links(block: pa.Table, num: int) -> list[tuple[int, int]]:
+    ids, root = block["id"].to_numpy(), dict(zip(block["id"].to_pylist(), block["root"].to_pylist(), strict=True))
+    lists = block["shingles"].combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    by_id: dict[int, list[np.ndarray]] = {}  # an id that several rows share has several sets, which may repeat
+    for r, x in enumerate(ids.tolist()):
+        if ends[r] < ends[r + 1]:
+            by_id.setdefault(x, []).append(flat[ends[r] : ends[r + 1]])
+    joined: dict[int, int] = {}
+
+    def end(x: int) -> int:
+        while (up := joined.get(x, x)) != x:
+            x = up
+        return x
+
+    links, done = [], set()
+    for x, others in zip(ids.tolist(), block["others"].to_pylist(), strict=True):
+        if not others or x in done:
+            continue
+        done.add(x)
+        theirs = [(y, s) for y in others for s in by_id[y]]
+        data, n = np.concatenate([s for _, s in theirs]), np.array([len(s) for _, s in theirs])
+        starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+        for own in by_id[x]:
+            at = np.minimum(np.searchsorted(own, data), len(own) - 1)
+            common = np.add.reduceat((own[at] == data).astype(np.int64), starts)
+            for t in np.flatnonzero(100 * common >= num * (n + len(own) - common)).tolist():
+                y = theirs[t][0]
+                low, high = sorted((end(root[x]), end(root[y])))
+                if low != high:
+                    joined[high] = low
+                    links.append((min(x, y), max(x, y)))
+    return links
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -237,11 +334,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) ->
             break
         links = new if links is None else links.unionByName(new)
         roots = components(links)
-    more = saved(_tile_pairs(_rooted(postings, roots), classes, threshold))
-    if not more.isEmpty():
-        found_more = saved(confirmed(more, docs, size, threshold))
+    candidates = saved(_tile_candidates(_rooted(postings, roots), classes, threshold))
+    if not candidates.isEmpty():
+        found_more = saved(_tile_links(candidates, docs, size, threshold))
         links = found_more if links is None else links.unionByName(found_more)
-    class_links = more.limit(0) if links is None else links
+    class_links = candidates.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if links is None else links
     # Only ids with several texts tie two classes together; all else joins its class at the end.
     several = member.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     ties = member.join(several, "doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a <> b")

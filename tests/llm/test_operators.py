@@ -67,6 +67,30 @@ def test_near_dup_finds_chains_of_a_large_group(spark):
     assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(root))
 
 
+@pytest.mark.parametrize("rounds", [0, 1, neardup.ROUNDS])
+def test_near_dup_of_alike_texts_about_the_threshold(spark, monkeypatch, rounds):
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "ROWS", 40)
+    monkeypatch.setattr(neardup, "COLUMNS", 50)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(260):
+        words = [f"w{k}" for k in range(100)]
+        for at in rng.integers(0, 100, int(rng.integers(1, 6))):
+            words[at] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(96)} for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert len(set(root)) > 5  # some stay alone beside a large component
+    found = neardup.near_dup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(root))
+
+
 def test_decontamination(docs, none, spark):
     items = spark.createDataFrame([(1, "w20 w21 w22 w23 w24 w25 w26 w27"), (2, "one two"), (3, None), (4, ""), (5, "never seen words in any text here"), (1, "w20 w21 w22 w23 w24 w25 w26 w27")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()}
