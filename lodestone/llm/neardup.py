@@ -41,7 +41,7 @@ ROWS, COLUMNS = 512, 512
 #: Candidates are decided in blocks of SET_ROWS by SET_COLUMNS classes of a tile.
 SET_ROWS, SET_COLUMNS = 64, 192
 #: Hubs that a class is compared with in a round, and rounds at most; what they leave open is for the tiles.
-HUBS, ROUNDS = 3, 4
+HUBS, ROUNDS = 3, 2
 
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 63, 2 * COORDS, np.uint64) * np.uint64(2)
@@ -194,9 +194,9 @@ def _candidates(tile: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
             continue
         same = coords[other] == coords[x]
         agree = same.sum(axis=1)
-        first_here = ~(same[:, :k] & in_prefix[other][:, :k] & in_prefix[x, :k]).any(axis=1)
-        enough = np.flatnonzero((agree >= MATCH) & first_here)
-        other, agree = other[enough], agree[enough]
+        near = np.flatnonzero(agree >= MATCH)
+        near = near[~(same[near, :k] & in_prefix[other[near], :k] & in_prefix[x, :k]).any(axis=1)]
+        other, agree = other[near], agree[near]
         other = other[agree + (checks[other] == checks[x]).sum(axis=1) >= MATCH_ALL]
         if len(other):
             found.append((x, other))
@@ -206,7 +206,7 @@ def _candidates(tile: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(found), SET_ROWS):
         for start in range(0, len(used), SET_COLUMNS):
             block = used[start : start + SET_COLUMNS]
-            rows = [(x, mine) for x, o in found[at : at + SET_ROWS] if len(mine := o[np.isin(o, block)])]
+            rows = [(x, mine) for x, o in found[at : at + SET_ROWS] if len(mine := o[(o >= block[0]) & (o <= block[-1])])]
             if rows:
                 columns = np.unique(np.concatenate([o for _, o in rows]))
                 members = np.concatenate([[x for x, _ in rows], columns]).astype(np.int64)
