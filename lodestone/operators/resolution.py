@@ -1,8 +1,8 @@
 """Entity resolution: duplicate pairs, clusters, merges.
 
-Pairs come from blocking: entities of one type meet only where they share a block key (the phonetic key of a word of the
-name, by default, with the decade of birth where it is known). Blocks larger than a bound are split by a further key, the
-first letters of the name, so that no block's pairs outgrow a task.
+Entities of one type with equal names are one case for the comparison of names, and those that also agree in year and
+tradition are one for the whole score; pairs of entities are formed last, and only those found to be duplicates. Distinct
+names meet where they share the phonetic key of a word, which loses no pair whose names score over .5.
 """
 
 from __future__ import annotations
@@ -29,26 +29,61 @@ def candidate_pairs(blocked: DataFrame) -> DataFrame:
     return pairs.select("a", "b").dropDuplicates(["a", "b"])
 
 
-def scored_pairs(pairs: DataFrame) -> DataFrame:
-    """(id1, id2, name_score, date_score, probability, class).
+def _overall(n: Column, d: Column, t: Column) -> Column:
+    """The name counts .5, dates .2, tradition .15; a signal of exactly .5 says nothing and counts half. Very alike names
+    without conflicting dates are lifted to .92."""
+    ws = [(n, F.when(n == 0.5, 0.25).otherwise(0.5)), (d, F.when(d == 0.5, 0.1).otherwise(0.2)), (t, F.when(t == 0.5, 0.075).otherwise(0.15))]
+    overall = sum((c * w for c, w in ws), F.lit(0.0)) / sum((w for _, w in ws), F.lit(0.0))
+    return F.when((n > 0.98) & (overall < 0.9) & (d > 0), 0.92).otherwise(overall)
 
-    The name counts .5, dates .2, tradition .15; a signal of exactly .5 says nothing and counts half. Very alike names
-    without conflicting dates are lifted to .92.
+
+def like_names(names: DataFrame, at_least: float) -> DataFrame:
+    """(type, na, nb, n): ordered pairs of distinct names (type, name; normalised) of a type, each name with itself too, that score at_least."""
+    if at_least > 0.5:  # names without a common key score at most .5
+        keys = F.array_distinct(F.transform(words(F.col("name")), phonetic_key))
+        names = names.withColumn("key", F.explode(F.when(F.size(keys) == 0, F.array(F.lit(""))).otherwise(keys)))
+        on = ["type", "key"]
+    else:
+        on = ["type"]
+    pairs = names.withColumnRenamed("name", "na").join(names.withColumnRenamed("name", "nb"), on).select("type", "na", "nb").distinct()
+    # Scored in an aggregate: as a plain column the optimiser would carry the score into the joins that follow.
+    scored = pairs.groupBy("type", "na", "nb").agg(F.max(name_similarity(F.col("na"), F.col("nb"))).alias("n"))
+    return scored.where(F.round("n", 6) >= at_least)
+
+
+def _met(names: DataFrame, a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of profiles a (type, na, a) and b (type, nb, b) of like names; pairs left out score under the threshold.
+
+    Years at most 20 apart meet by bands of 20 years, unknown years meet all. Years further apart score 0 and meet for the
+    names that reach the threshold in spite of it: within a tradition, where only equal traditions lift them that far.
     """
-    a, b = normalised(F.col("a.name")), normalised(F.col("b.name"))
-    parts = pairs.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), name_similarity(a, b).alias("n"), year_similarity(F.col("a.birth"), F.col("b.birth")).alias("d"), F.when(F.col("a.tradition").isNull() | F.col("b.tradition").isNull(), 0.5).otherwise((F.col("a.tradition") == F.col("b.tradition")).cast("double")).alias("t"))
-    weight = lambda c, w: F.when(F.col(c) == 0.5, w / 2).otherwise(w)
-    ws = [("n", 0.5), ("d", 0.2), ("t", 0.15)]
-    total = sum((weight(c, w) for c, w in ws), F.lit(0.0))
-    overall = sum((F.col(c) * weight(c, w) for c, w in ws), F.lit(0.0)) / total
-    lifted = F.when((F.col("n") > 0.98) & (overall < 0.9) & (F.col("d") > 0), 0.92).otherwise(overall)
-    out = parts.select("id1", "id2", F.round("n", 6).alias("name_score"), F.col("d").alias("date_score"), F.round(lifted, 6).alias("probability"))
-    return out.withColumn("class", similarity_class(F.col("probability")))
+    passes = lambda t: F.round(_overall(F.col("n"), F.lit(0.0), F.lit(t)), 6) >= threshold
+    band, apart = (lambda s: F.floor(F.col(f"{s}.birth") / 20)), F.abs(F.col("a.birth") - F.col("b.birth"))
+    pair = lambda n, x, y, *on: n.join(x, ["type", "na"]).join(y, ["type", "nb", *on]).select("type", "n", "a", "b")
+    near = pair(names, a.withColumn("band", F.explode(F.sequence(band("a") - 1, band("a") + 1))), b.withColumn("band", band("b")), "band").where(apart <= 20)
+    unknown = pair(names, a.where("a.birth is null"), b).unionByName(pair(names, a.where("a.birth is not null"), b.where("b.birth is null")))
+    always = passes(0.5) | passes(0.0)
+    tradition = lambda x, s: x.withColumn("tradition", F.col(f"{s}.tradition"))
+    far = pair(names.where(always), a, b).unionByName(pair(names.where(~always & passes(1.0)), tradition(a, "a"), tradition(b, "b"), "tradition")).where(apart > 20)
+    return near.unionByName(unknown).unionByName(far)
 
 
 def duplicates(entities: DataFrame, extra: Column | None = None, name_at_least: float = 0.6, threshold: float = 0.7) -> DataFrame:
-    pairs = scored_pairs(candidate_pairs(block_keys(entities, extra)))
-    return pairs.where((F.col("name_score") >= name_at_least) & (F.col("probability") >= threshold))
+    """(id1, id2, name_score, date_score, probability, class) of all pairs of one type, id1 < id2, that score enough.
+
+    With extra only entities of equal extra are compared; pairs across its values are then left out.
+    """
+    own = entities.select("id", "type", F.struct(normalised(F.col("name")).alias("name"), "birth", "tradition", (F.lit(0) if extra is None else extra).alias("extra")).alias("p")).where("p.name is not null")
+    profiles = own.select("type", "p").distinct()
+    names = like_names(own.select("type", "p.name").distinct(), name_at_least)
+    side = lambda s, n: profiles.select("type", F.col("p.name").alias(n), F.col("p").alias(s))
+    met = _met(names, side("a", "na"), side("b", "nb"), threshold).where(F.col("a.extra").eqNullSafe(F.col("b.extra")))
+    same = F.when(F.col("a.tradition").isNull() | F.col("b.tradition").isNull(), 0.5).otherwise((F.col("a.tradition") == F.col("b.tradition")).cast("double"))
+    scored = met.withColumn("d", year_similarity(F.col("a.birth"), F.col("b.birth"))).withColumn("t", same)
+    scored = scored.select("type", "a", "b", F.round("n", 6).alias("name_score"), F.col("d").alias("date_score"), F.round(_overall(F.col("n"), F.col("d"), F.col("t")), 6).alias("probability")).where(F.col("probability") >= threshold)
+    ids = lambda s, i: own.select("type", F.col("p").alias(s), F.col("id").alias(i))
+    pairs = scored.join(ids("a", "id1"), ["type", "a"]).join(ids("b", "id2"), ["type", "b"]).where("id1 < id2")
+    return pairs.select("id1", "id2", "name_score", "date_score", "probability", similarity_class(F.col("probability")).alias("class"))
 
 
 def clusters(entities: DataFrame, pairs: DataFrame) -> DataFrame:

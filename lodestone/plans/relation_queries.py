@@ -51,6 +51,11 @@ sc AS (SELECT id1, id2, {PAIR('na', 'nb')} AS n, CASE WHEN ba = bb THEN 1.0 WHEN
 pr AS (SELECT id1, id2, n, d, (n * CASE WHEN n = 0.5 THEN 0.25 ELSE 0.5 END::DOUBLE + d * CASE WHEN d = 0.5 THEN 0.1 ELSE 0.2 END::DOUBLE + 0.5::DOUBLE * 0.075::DOUBLE) / (CASE WHEN n = 0.5 THEN 0.25 ELSE 0.5 END::DOUBLE + CASE WHEN d = 0.5 THEN 0.1 ELSE 0.2 END::DOUBLE + 0.075::DOUBLE) AS o FROM sc),
 fin AS (SELECT id1, id2, round(n, 6) AS name_score, d AS date_score, round(CASE WHEN n > 0.98 AND o < 0.9 AND d > 0 THEN 0.92::DOUBLE ELSE o END, 6) AS probability FROM pr)"""
 DECADE = "birth div 10"
+#: All pairs without blocks: distinct names against each other, then the entities of names that are alike.
+ALL_PAIRS = f"""{NODES_SQL}, {ENT}, nms AS (SELECT DISTINCT nm FROM ent), ns AS (SELECT a.nm AS na, b.nm AS nb, {PAIR('a.nm', 'b.nm')} AS n FROM nms a, nms b),
+sc AS (SELECT a.id AS id1, b.id AS id2, n, CASE WHEN a.birth IS NULL OR b.birth IS NULL THEN 0.5 WHEN a.birth = b.birth THEN 1.0 WHEN abs(a.birth - b.birth) <= 5 THEN 0.85 WHEN abs(a.birth - b.birth) <= 10 THEN 0.7 WHEN abs(a.birth - b.birth) <= 20 THEN 0.5 ELSE 0.0 END::DOUBLE AS d
+  FROM ns JOIN ent a ON a.nm = na JOIN ent b ON b.nm = nb WHERE round(n, 6) >= 0.6 AND a.id < b.id),
+{PAIRS[PAIRS.index("pr AS ("):]}"""
 
 
 QUERIES = {
@@ -108,6 +113,19 @@ root AS (SELECT start AS id, min(node) AS cluster FROM walk GROUP BY start) SELE
         _with(lambda n, e: E.duplicates(_entities(n), F.expr(DECADE)).groupBy(E.resolve(F.col("probability")).alias("decision")).agg(F.count(F.lit(1)).alias("n"))),
         f"WITH {PAIRS} SELECT CASE WHEN probability >= 0.95 THEN 'same' WHEN probability >= 0.8 THEN 'potential_duplicate' ELSE 'new' END AS decision, count(*) AS n FROM fin WHERE name_score >= 0.6 AND probability >= 0.7 GROUP BY 1",
     ),
+    "er18_duplicates_whole": (
+        _with(lambda n, e: E.duplicates(_entities(n))),
+        f"WITH {ALL_PAIRS} SELECT *, CASE WHEN probability >= 0.95 THEN 'very_high' WHEN probability >= 0.85 THEN 'high' WHEN probability >= 0.75 THEN 'medium' ELSE 'low' END AS class FROM fin WHERE name_score >= 0.6 AND probability >= 0.7",
+    ),
+    "er19_clusters_whole": (
+        _with(lambda n, e: E.clusters(_entities(n), E.duplicates(_entities(n), threshold=0.9))),
+        f"""WITH RECURSIVE {ALL_PAIRS}, l AS (SELECT id1 AS a, id2 AS b FROM fin WHERE name_score >= 0.6 AND probability >= 0.9), lk AS (SELECT a, b FROM l UNION SELECT b, a FROM l), walk AS (SELECT a AS start, a AS node FROM lk UNION SELECT w.start, lk.b FROM walk w JOIN lk ON lk.a = w.node),
+root AS (SELECT start AS id, min(node) AS cluster FROM walk GROUP BY start) SELECT cluster, count(*) AS size, (list(root.id ORDER BY -confidence, root.id))[1] AS canonical FROM root JOIN ent USING (id) GROUP BY cluster""",
+    ),
+    "er20_resolve_whole": (
+        _with(lambda n, e: E.duplicates(_entities(n)).groupBy(E.resolve(F.col("probability")).alias("decision")).agg(F.count(F.lit(1)).alias("n"))),
+        f"WITH {ALL_PAIRS} SELECT CASE WHEN probability >= 0.95 THEN 'same' WHEN probability >= 0.8 THEN 'potential_duplicate' ELSE 'new' END AS decision, count(*) AS n FROM fin WHERE name_score >= 0.6 AND probability >= 0.7 GROUP BY 1",
+    ),
     "er21_merge": (
         _with(lambda n, e: E.merged(n.where("type = 'person'").alias("a").select(F.struct("id", "name", "birth", "death", "tradition", "confidence", "verified").alias("primary"), F.concat(F.lit("c"), F.regexp_extract("id", r"\d+", 0).cast("long") + 900).alias("k")).join(n.where("type = 'person'").select(F.col("id").alias("k"), F.struct("id", "name", "birth", "death", "tradition", "confidence", "verified").alias("duplicate")), "k")).select("id", "merged_id", "birth", "confidence", "verified", F.size("conflicts").alias("conflicts"))),
         f"""WITH {NODES_SQL}, p AS (SELECT *, {K} AS key FROM kg_nodes WHERE type = 'person')
