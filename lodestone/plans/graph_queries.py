@@ -120,7 +120,8 @@ SELECT id, type, name, degree, round(degree * mean, 4) AS influence FROM kg_node
         f"""WITH RECURSIVE {KG_SQL}, {UND}, steps AS (SELECT node, other FROM und WHERE predicate = 'incarnation_of'), walk AS (SELECT id AS start, id AS node FROM kg_nodes UNION SELECT w.start, s.other FROM walk w JOIN steps s ON s.node = w.node),
 root AS (SELECT start, min(node) AS component FROM walk GROUP BY start) SELECT component, count(*) AS n FROM root GROUP BY component""",
     ),
-    "gr15_label_propagation": (_with(lambda n, e: G.label_propagation(n.where("type in ('person', 'place')"), e, ["lived_at", "teacher_of"], 3)), None),
+    "gr15_components_whole": (_with(lambda n, e: G.components(n, e).groupBy("component").agg(F.count(F.lit(1)).alias("n"))), None),
+    "gr15_label_propagation": (_with(lambda n, e: G.label_propagation(n, e)), None),
     "gr16_suggest_links": (
         _with(lambda n, e: G.suggest_links(G.of_types(e, SOCIAL), "c37", 0.01)),
         f"""WITH {EDGES_SQL}, {UND}, steps AS (SELECT node, other FROM und WHERE predicate IN {SOCIAL_SQL}), mine AS (SELECT other AS via FROM steps WHERE node = 'c37'),

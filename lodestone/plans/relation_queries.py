@@ -70,6 +70,10 @@ QUERIES = {
         _with(lambda n, e: R.orphaned_edges(_copy(n), G.of_types(e, ["cites", "lived_at"]))),
         f"WITH {COPY}, {EDGES_SQL} SELECT * FROM (SELECT e.id, CASE WHEN s.id IS NULL AND d.id IS NULL THEN 'both' WHEN s.id IS NULL THEN 'subject' WHEN d.id IS NULL THEN 'object' END AS reason FROM kg_edges e LEFT JOIN other s ON s.id = src LEFT JOIN other d ON d.id = dst WHERE predicate IN ('cites', 'lived_at')) WHERE reason IS NOT NULL",
     ),
+    "jn10_orphaned_edges_whole": (
+        _with(lambda n, e: R.orphaned_edges(_copy(n), e)),
+        f"WITH {COPY}, {EDGES_SQL} SELECT * FROM (SELECT e.id, CASE WHEN s.id IS NULL AND d.id IS NULL THEN 'both' WHEN s.id IS NULL THEN 'subject' WHEN d.id IS NULL THEN 'object' END AS reason FROM kg_edges e LEFT JOIN other s ON s.id = src LEFT JOIN other d ON d.id = dst) WHERE reason IS NOT NULL",
+    ),
     "src11_upsert": (
         _with(lambda n, e: R.upsert(_copy(n).select("id", "name", "confidence"), n.where("type = 'place'").select("id", F.upper("name").alias("name"), "confidence"), ["id"]).groupBy(F.col("name")).agg(F.count(F.lit(1)).alias("n"))),
         f"WITH {COPY} SELECT name, count(*) AS n FROM (SELECT id, name FROM other WHERE id NOT IN (SELECT id FROM kg_nodes WHERE type = 'place') UNION ALL SELECT id, upper(name) FROM kg_nodes WHERE type = 'place') GROUP BY name",
@@ -78,6 +82,10 @@ QUERIES = {
         _with(lambda n, e: R.detach_delete(n, G.of_types(e, ["cites"]), n.where("verified and type = 'text'").select("id"))[1].select("src", "dst")),
         f"WITH {KG_SQL}, gone AS (SELECT id FROM kg_nodes WHERE verified AND type = 'text') SELECT src, dst FROM kg_edges WHERE predicate = 'cites' AND src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)",
     ),
+    "src12_detach_delete_whole": (
+        _with(lambda n, e: R.detach_delete(n, e, n.where("verified and type = 'text'").select("id"))[1].select("src", "predicate", "dst")),
+        f"WITH {KG_SQL}, gone AS (SELECT id FROM kg_nodes WHERE verified AND type = 'text') SELECT src, predicate, dst FROM kg_edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)",
+    ),
     "src13_patch": (
         _with(lambda n, e: R.patch(n.where("type = 'person'").select("id", "name", "tradition"), n.where("verified").select("id", F.lit("REVISED").alias("tradition")), "id", ["tradition"]).groupBy("tradition").agg(F.count(F.lit(1)).alias("n"))),
         f"WITH {NODES_SQL} SELECT CASE WHEN verified THEN 'REVISED' ELSE tradition END AS tradition, count(*) AS n FROM kg_nodes WHERE type = 'person' GROUP BY 1",
@@ -142,6 +150,16 @@ SELECT a.id, b.id AS merged_id, CASE WHEN a.confidence >= b.confidence THEN a.bi
         _with(lambda n, e: V.adjusted_confidence(n, G.of_types(e, ["teacher_of", "student_of", "incarnation_of", "cites"]))),
         f"""WITH {ENDS}, {TYPES}, {TIME}, w AS (SELECT id, count(*) FILTER (issue NOT IN ('UNUSUAL_AGE_DIFFERENCE', 'LARGE_INCARNATION_GAP')) AS e, count(*) FILTER (issue IN ('UNUSUAL_AGE_DIFFERENCE', 'LARGE_INCARNATION_GAP')) AS w FROM tm GROUP BY id)
 SELECT en.id, round(CASE WHEN ti.issue IS NOT NULL THEN 0.0 ELSE least(1.0, en.confidence * pow(0.5, coalesce(w.e, 0)) * pow(0.85, coalesce(w.w, 0)) * CASE WHEN src = dst THEN 0.3 ELSE 1.0 END) END::DOUBLE, 6) AS confidence FROM en JOIN ti USING (id) LEFT JOIN w USING (id) WHERE predicate IN ('teacher_of', 'student_of', 'incarnation_of', 'cites')""",
+    ),
+    "rv4_inverse_suggestions_whole": (
+        _with(lambda n, e: V.inverse_suggestions(e)),
+        f"""WITH {EDGES_SQL}, m(p, q) AS (VALUES {", ".join(str(x) for x in G.INVERSES.items())})
+SELECT dst AS src, q AS predicate, src AS dst, 0.95::DOUBLE AS confidence FROM kg_edges a JOIN m ON p = predicate WHERE NOT EXISTS (SELECT 1 FROM kg_edges b WHERE b.src = a.dst AND b.dst = a.src AND b.predicate = q)""",
+    ),
+    "rv5_adjusted_confidence_whole": (
+        _with(lambda n, e: V.adjusted_confidence(n, e)),
+        f"""WITH {ENDS}, {TYPES}, {TIME}, w AS (SELECT id, count(*) FILTER (issue NOT IN ('UNUSUAL_AGE_DIFFERENCE', 'LARGE_INCARNATION_GAP')) AS e, count(*) FILTER (issue IN ('UNUSUAL_AGE_DIFFERENCE', 'LARGE_INCARNATION_GAP')) AS w FROM tm GROUP BY id)
+SELECT en.id, round(CASE WHEN ti.issue IS NOT NULL THEN 0.0 ELSE least(1.0, en.confidence * pow(0.5, coalesce(w.e, 0)) * pow(0.85, coalesce(w.w, 0)) * CASE WHEN src = dst THEN 0.3 ELSE 1.0 END) END::DOUBLE, 6) AS confidence FROM en JOIN ti USING (id) LEFT JOIN w USING (id)""",
     ),
     "ag26_validation_report": (_with(lambda n, e: V.report(n, e)), f"WITH {ENDS}, {TYPES}, {TIME} SELECT issue, count(*) AS n, count(*) >= 5 AS systematic FROM (SELECT * FROM ti WHERE issue IS NOT NULL UNION ALL SELECT * FROM tm) GROUP BY issue"),
     "tr7_cycle_years": (

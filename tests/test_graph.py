@@ -52,6 +52,35 @@ def test_components_and_cycles(kg, spark):
     assert {r.id for r in G.cycle_nodes(loop, "cites").collect()} == {"a", "b", "c"}
 
 
+def test_whole_graph_queries(spark):
+    from collections import Counter
+
+    from lodestone import registry
+    from lodestone.sources.views import kg_edges, kg_nodes
+    from tests.conftest import SF
+
+    ids = [r.id for r in kg_nodes(spark, SF).select("id").collect()]
+    edges = [(r.src, r.dst) for r in kg_edges(spark, SF).select("src", "dst").collect()]
+    near = {i: {i} for i in ids}
+    for a, b in edges:
+        near.setdefault(a, {a}).add(b)
+        near.setdefault(b, {b}).add(a)
+    root, label = {}, {i: i for i in ids}
+    for first in sorted(near):
+        todo = [] if first in root else [first]
+        while todo:
+            x = todo.pop()
+            if x not in root:
+                root[x] = first
+                todo += near[x]
+    q = registry.queries()
+    assert {r.component: r.n for r in q["gr15_components_whole"](spark, SF).collect()} == Counter(root[i] for i in ids)
+    for _ in range(5):
+        votes = {i: Counter(label[j] for j in near[i] if j in label) for i in near}
+        label = {i: min(v, key=lambda k: (-v[k], k)) for i, v in votes.items() if v}
+    assert {r.id: r.community for r in q["gr15_label_propagation"](spark, SF).collect()} == label
+
+
 def test_near_places(kg):
     assert [r.id for r in G.nearby(kg[0], 29.0, 91.0, 150).collect()] == ["lhasa", "lhodrak"]
 
