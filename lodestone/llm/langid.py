@@ -27,10 +27,12 @@ WINDOW, STEPPED = 128, 1024
 
 @dataclass
 class Fit:
-    """per_lang: documents of a language learned from, about, drawn by a hash of the id; windows: windows of each."""
+    """per_lang: documents of a language learned from, about, drawn by a hash of the id; windows: windows of each.
+
+    Every language is learned: the sample is bounded by languages * per_lang documents.
+    """
 
     per_lang: int = 300
-    max_langs: int = 64
     windows: int = 6
     length: int = 48
     hidden: int = 12
@@ -186,7 +188,7 @@ def fit(labelled: DataFrame, params: Fit | None = None) -> Network:
     """
     params = params or Fit()
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(params.max_langs).collect()
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return Network([], params.hidden)
@@ -218,8 +220,9 @@ def _pooled(net: Network, chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
     length = np.minimum(WINDOW, chunk.offsets[1:][text] - begin)
     padded = np.concatenate((chunk.data, np.zeros(WINDOW, np.uint8)))
     order = np.argsort(length, kind="stable")  # windows of about the same length move together
-    for i in range(0, len(order), STEPPED):
-        part = order[i : i + STEPPED]
+    stepped = max(1, STEPPED * 64 // max(64, n_langs))  # of many languages fewer at once: the memory stays the same
+    for i in range(0, len(order), stepped):
+        part = order[i : i + stepped]
         steps = np.arange(int(length[part].max()))[:, None]
         x = padded[np.minimum(begin[part] + steps, len(padded) - 1)]
         there = steps < length[part]

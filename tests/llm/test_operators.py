@@ -151,6 +151,14 @@ def test_pixels_of_a_frame_with_detail():
     assert mjpeg.decode_frames([b"\xff\xd8\xff", head])[0] is None
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"text of language {i % 70}", f"l{i % 70:02}") for i in range(140)]
+    texts = spark.createDataFrame([*rows, (500, "no label", None)], "doc_id long, text string, lang string")
+    net = langid.fit(texts, langid.Fit(steps=2))
+    assert net.langs == [f"l{k:02}" for k in range(70)]
+    assert langid.identify(texts.select("doc_id", "text"), net).where("_lang like 'l%'").count() == 141
+
+
 def test_language(spark, docs, none):
     rng = np.random.default_rng(5)
     syllables = {"en": ["the", "ing", "tion", "er"], "fr": ["eau", "que", "é", "oi"]}
