@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,21 +23,35 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where a local session names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^,\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: loops start from a short plan, and lost executors cost nothing."""
+    """df as a Parquet table in the shared folder, read again: loops start from a short plan, and lost executors cost nothing.
+
+    The table goes when the driver ends, or before that with dropped().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._step = path
+    return back
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Removes tables of materialised() that no plan reads any more; other tables and None are left alone."""
+    for df in tables:
+        if path := getattr(df, "_step", None):
+            _drop(df.sparkSession, path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
