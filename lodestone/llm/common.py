@@ -1,48 +1,24 @@
-"""Helpers that the training-data operators share: tables, the shared folder, hashes of ids."""
+"""Helpers that the training-data operators share: columns set aside, hashes of ids; tables come from lodestone.session."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import materialised as saved
+from lodestone.session import table
+
+__all__ = ["LOWER", "UPPER", "WHITESPACE", "ascii_lower", "crc_of_id", "partitions", "put_back", "saved", "set_aside", "table", "without"]
+
 #: The characters that separate words and pad lines, as the contracts fix them.
 WHITESPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again. It goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended before
-        pass
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs without its own columns of these names (in any case), which a result column of that name replaces."""
+    low = {n.lower() for n in names}
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in low])
 
 
 def set_aside(docs: DataFrame) -> DataFrame:

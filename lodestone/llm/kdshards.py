@@ -7,8 +7,8 @@ and a few histograms of bytes, each over one bin of the one before, find the cut
 ``shards * BINS`` rows) reach the driver; every document counts in each of them.
 
 A coordinate is a dimension scaled to 20 bits, followed by 32 bits of a hash of the text, so that equal texts stay
-together and ties can be cut. Only a group of equal texts that would fill a large part of a shard is told apart by id; there
-are at most ``shards * HEAVY`` such groups.
+together and ties can be cut. Only a group of equal texts with more bytes than a whole shard is to hold cannot stay
+together; its rows are told apart by id. There are fewer such groups than shards.
 """
 
 from __future__ import annotations
@@ -18,12 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved, set_aside
+from lodestone.llm.common import saved, set_aside, without
 
 BINS = 512
 TIE_BITS, DIM_BITS = 32, 20
-#: Groups of equal texts over 1 / HEAVY of a shard's target are told apart by id.
-HEAVY = 20
 #: A cut is fine enough when the bin it falls in holds so small a part of the node.
 FINE = 0.001
 #: Parts of a shard whose rows are numbered separately.
@@ -69,10 +67,10 @@ def place(node: Node, coords: list[Column], leaf) -> Column:
 
 
 def grow(rows: DataFrame, n_dims: int, shards: int) -> tuple[Node, list[int]]:
-    """The tree for rows (as from measured(), kept in a table) and the hashes of the heavy groups."""
+    """The tree for rows (as from measured(), kept in a table) and the hashes of the groups larger than a shard."""
     total = rows.agg(F.sum("_size")).first()[0] or 0
     groups = rows.groupBy("_h").agg(F.sum("_size").alias("w"), F.count(F.lit(1)).alias("n"))
-    heavy = [r["_h"] for r in groups.where((F.col("w") > total / shards / HEAVY) & (F.col("n") > 1)).select("_h").collect()]  # at most shards * HEAVY
+    heavy = [r["_h"] for r in groups.where((F.col("w") > total / shards) & (F.col("n") > 1)).select("_h").collect()]  # fewer than shards
     coords = coordinates(n_dims, heavy)
     root = Node(shards)
     level, spread = [root], None
@@ -127,9 +125,11 @@ def sharded(docs: DataFrame, shards: int = 40, dims: list[Column] | None = None)
     """docs with _shard (int): all rows, all columns; shards hold near equal bytes (text plus 16 a row).
 
     dims: numeric columns scaled to 0..1, by default those of text_dims(). Null texts are empty, null dimensions 0; a null
-    id is an id like others. Rows of the same id and text stay together. An empty table gives no rows; with fewer
-    groups than shards some shards stay empty.
+    id is an id like others. Rows of equal texts stay in one shard, unless they have more bytes than a whole shard is to
+    hold: then only those of the same id stay together. An empty table gives no rows; with fewer groups than shards some
+    shards stay empty. A column of docs named _shard gives way to the result's.
     """
+    docs = without(docs, "_shard")
     given = {f"_given{i}": d for i, d in enumerate(dims or [])}
     rows = measured(set_aside(docs.withColumns(given)), [F.col("_rest")[c] for c in given] or None)
     own = [c for c in rows.columns if c[:2] == "_d" and c[2:].isdigit()]

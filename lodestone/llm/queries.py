@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import bpe, decontam, kdshards, langid, line_dedup, mjpeg, neardup, ngram_lm, toxicity, urlfilter
@@ -49,6 +48,8 @@ def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only this query needs the vocabulary files
+
     return bpe.bpe_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
