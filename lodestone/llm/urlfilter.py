@@ -1,9 +1,14 @@
 """Allow or block by url: host and path rules, and gradient-boosted trees for urls without a rule.
 
 All in DataFrame functions. The trees learn from labelled urls by lexical features: lengths, depth, digit share, entropy,
-parameters and statistics of host suffixes and path heads (how often labelled urls with that suffix are blocked). A bounded
-sample of labelled rows is put into a table; half of it gives the suffix statistics, the other half the trees. Each level of
-a tree is one aggregation: sums of gradients and curvatures by node, feature and bin. The model is a column expression.
+parameters and statistics of host suffixes and path heads (how often labelled urls with that suffix are blocked). The
+labels are what rules say, so a suffix that a rule names would only repeat the rule, and stand for one verdict wherever no
+rule fits: such suffixes have no statistics, neither in learning nor in judging. What is left to learn from are the other
+suffixes, path heads and the url's own form.
+
+A bounded sample of distinct labelled urls is put into a table; half of it gives the suffix statistics, the other half the
+trees. Each level of a tree is one aggregation: sums of gradients and curvatures by node, feature and bin. The model is a
+column expression.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, saved
+from lodestone.llm.common import ascii_lower, saved, without
 
 #: (verdict, host, path) of the query.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -23,7 +28,7 @@ STATS = ("suffix1", "suffix2", "head")
 
 @dataclass
 class Fit:
-    """sample_rows: labelled rows learned from, about; drawn by a hash of the url."""
+    """sample_rows: distinct labelled urls learned from, at most about; drawn by a hash of the url, each counting once."""
 
     sample_rows: int = 16000
     trees: int = 12
@@ -71,17 +76,19 @@ def entropy(text: Column) -> Column:
     return F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
 
 
-def lexical(urls: DataFrame) -> DataFrame:
-    """urls (url, host, path, ...) with the features x0, x1, ... and the keys of the statistics."""
+def lexical(urls: DataFrame, rules=RULES) -> DataFrame:
+    """urls (url, host, path, ...) with the features x0, x1, ... and the keys of the statistics; null for a rule's own host."""
     url = F.coalesce(F.col("url"), F.lit(""))
     host, path = F.col("host"), F.col("path")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     size = F.greatest(F.char_length(url), F.lit(1)).cast("double")
     features = [
         F.char_length(url), F.char_length(host), F.char_length(path), _count(path, "/"), _count(host, r"\."), _count(url, "[0-9]") / size, _count(host, "[0-9-]"),
-        entropy(F.substring(host, 1, 200)), F.when(query == "", 0).otherwise(1 + _count(query, "&")), F.char_length(query), F.when(url.startswith("https"), 1).otherwise(0),
+        entropy(host), F.when(query == "", 0).otherwise(1 + _count(query, "&")), F.char_length(query), F.when(url.startswith("https"), 1).otherwise(0),
     ]
-    keys = {"suffix1": F.substring_index(host, ".", -1), "suffix2": F.substring_index(host, ".", -2), "head": F.concat_ws("/", F.substring_index(host, ".", -1), F.element_at(F.split(F.concat(path, F.lit("/ ")), "/", 3), 2))}
+    named = sorted({h for _, h, _ in rules})
+    hidden = lambda suffix: F.when(~suffix.isin(named), suffix)
+    keys = {"suffix1": hidden(F.substring_index(host, ".", -1)), "suffix2": hidden(F.substring_index(host, ".", -2)), "head": F.element_at(F.split(F.concat(path, F.lit("/ ")), "/", 3), 2)}
     return urls.withColumns({f"x{i}": f.cast("double") for i, f in enumerate(features)} | keys)
 
 
@@ -100,7 +107,7 @@ def with_stats(featured: DataFrame, stats: DataFrame, prior: float) -> DataFrame
 
 def suffix_stats(sample: DataFrame, prior: float, smooth: float) -> DataFrame:
     """(kind, key, rate, seen): blocked share, drawn to the prior, and log of the count by suffix."""
-    keyed = sample.select("y", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in STATS])).alias("s"))
+    keyed = sample.select("y", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in STATS])).alias("s")).where("s.key is not null")
     per = keyed.groupBy("s.kind", "s.key").agg(F.sum("y").alias("blocked"), F.count(F.lit(1)).alias("n"))
     return per.select("kind", "key", ((F.col("blocked") + smooth * prior) / (F.col("n") + smooth)).alias("rate"), F.log2(F.col("n") + 1.0).alias("seen"))
 
@@ -177,12 +184,13 @@ def _best(by: dict[int, dict[int, tuple[float, float]]], leaf: float):
     return best
 
 
-def learn(labelled: DataFrame, params: Fit | None = None) -> tuple[Trees, DataFrame, float]:
+def learn(labelled: DataFrame, params: Fit | None = None, rules=RULES) -> tuple[Trees, DataFrame, float]:
     """Trees, suffix statistics and the blocked share from labelled rows (url, host, path, y: 1 for block, else 0)."""
     params = params or Fit()
     n = labelled.count()
     drawn = F.pmod(F.xxhash64(F.lit("draw"), "url"), F.lit(1_000_003)) < min(1.0, params.sample_rows / max(1, n)) * 1_000_003
-    sample = saved(lexical(labelled.where(drawn)).coalesce(4))
+    distinct = labelled.where(drawn).groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.max("y").alias("y"))
+    sample = saved(lexical(distinct, rules))
     base = sample.agg(F.avg("y").alias("y")).first()["y"]
     prior = 0.5 if base is None else float(base)
     half = F.pmod(F.xxhash64(F.lit("half"), "url"), F.lit(2))
@@ -194,15 +202,17 @@ def judged(pages: DataFrame, rules=RULES, params: Fit | None = None) -> DataFram
     """pages with _host, _path, _rule, _verdict, _p_block: rules decide first, then the trees, learned from what rules decide.
 
     Null and odd urls have an empty host and path, no rule and the trees' verdict. Without urls that rules decide, or where
-    these all have one verdict, the trees give that verdict, or allow. Repeated rows are judged alike.
+    these all have one verdict, the trees give that verdict, or allow. Repeated rows are judged alike; columns of pages with
+    the result's names give way.
     """
+    pages = without(pages, "_host", "_path", "_rule", "_verdict", "_p_block")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     few = pages.select("url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("say", verdict)
-    trees, stats, prior = learn(few.where("say is not null").select("url", "host", "path", (F.col("say") == "block").cast("int").alias("y")), params)
+    trees, stats, prior = learn(few.where("say is not null").select("url", "host", "path", (F.col("say") == "block").cast("int").alias("y")), params, rules)
     own = {c: f"_own_{i}" for i, c in enumerate(pages.columns)}
     renamed = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.col("url"))
     parsed = renamed.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    featured = with_stats(lexical(parsed), stats, prior)
+    featured = with_stats(lexical(parsed, rules), stats, prior)
     p = 1 / (1 + F.exp(-margin(trees, lambda i: F.col(f"x{i}"))))
     return featured.withColumns({"_rule": rule, "_p_block": p}).select(
         *[F.col(n).alias(c) for c, n in own.items()], F.col("host").alias("_host"), F.col("path").alias("_path"), "_rule", F.coalesce(verdict, F.when(F.col("_p_block") >= 0.5, "block").otherwise("allow")).alias("_verdict"), "_p_block"
@@ -210,6 +220,10 @@ def judged(pages: DataFrame, rules=RULES, params: Fit | None = None) -> DataFram
 
 
 def url_report(pages: DataFrame, rules=RULES, params: Fit | None = None) -> DataFrame:
-    """(page_id, host, path, rule, verdict, p_block) for each row of pages."""
+    """(page_id, host, path, rule, verdict, p_block) for each row of pages.
+
+    A null url, or one without ://, has an empty host and path, no rule and the trees' verdict; every row counts, with a
+    null or repeated id too.
+    """
     out = judged(pages.select("page_id", "url"), rules, params)
     return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"), F.round("_p_block", 6).alias("p_block"))
