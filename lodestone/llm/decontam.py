@@ -10,7 +10,8 @@ the item's shingles in the whole document.
 
 Items of fewer than five words have one shingle, their whole word sequence; it is looked for at every place.
 
-Items are the query side: they go to the executors in blocks of at most BLOCK_BYTES of text, each block against all documents.
+Items are the query side: they go to the executors in blocks of about BLOCK_BYTES of text, each block against all
+documents. Where there are several blocks, one is on the executors at a time: its result is written before the next comes.
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textarrays as T
+from lodestone.llm.common import saved
 
 COORDS = 64
 BLOCK_BYTES = 16 << 20
+#: COORDS coordinates find what has at least this share of an item's shingles.
+LEAST = 0.75
 
 _rng = np.random.default_rng(77003)
 _XOR = _rng.integers(0, 1 << 63, COORDS, np.uint64) * np.uint64(2)
@@ -45,8 +49,8 @@ class Items:
     """One block of items: shingles, and by partition the coordinates' values."""
 
     def __init__(self, ids: list, texts: list[str], size: int) -> None:
-        self.size, self.ids, self.sets, self.short = size, [], [], {}
-        lengths = []
+        self.size, self.ids, self.sets = size, [], []
+        lengths, short = [], {}
         for c in T.chunks(pa.array(texts, pa.string())):
             w = T.words(c)
             sh, at = T.shingles(w, size)
@@ -55,10 +59,16 @@ class Items:
                     continue
                 own = sh[at[r] : at[r + 1]]
                 if n_words < size:
-                    self.short.setdefault(n_words, []).append(len(self.ids))
+                    short.setdefault(n_words, []).append(len(self.ids))
                 lengths.append(0 if n_words < size else len(own))
                 self.ids.append(ids[c.first + r])
                 self.sets.append(np.unique(own))
+        self.short = {}
+        """By number of words: the sorted hashes of the short items, and the items."""
+        for n_words, items in short.items():
+            values = np.array([self.sets[i][0] for i in items], np.uint64)
+            order = np.argsort(values, kind="stable")
+            self.short[n_words] = values[order], np.array(items)[order]
         lengths = np.array(lengths, np.int64)
         level = np.where(lengths > 0, np.ceil(np.log2(np.maximum(lengths, 1))), -1).astype(np.int64)
         self.levels = {}
@@ -84,13 +94,14 @@ class Items:
             common = int(np.isin(own, sh[at[text] : at[text + 1]]).sum())
             if common >= threshold * len(own) - 1e-9:
                 out.append((text, item, common))
-        for n_words, items in self.short.items():
+        for n_words, (values, items) in self.short.items():
             grams = T.gram(w.hashes, n_words)
-            for item in items:
-                for place in np.flatnonzero(grams == self.sets[item][0]).tolist():
-                    text = int(np.searchsorted(w.offsets, place, "right")) - 1
-                    if place + n_words <= w.offsets[text + 1] and (text, item, 1) not in out[-1:]:
-                        out.append((text, item, 1))
+            a, b = np.searchsorted(values, grams, "left"), np.searchsorted(values, grams, "right")
+            hit = np.flatnonzero(b > a)
+            text = np.searchsorted(w.offsets, hit, "right") - 1
+            inside = hit + n_words <= w.offsets[text + 1]
+            found = {(t, int(x)) for t, i, j in zip(text[inside].tolist(), a[hit[inside]].tolist(), b[hit[inside]].tolist(), strict=True) for x in items[i:j]}
+            out += [(t, x, 1) for t, x in found]
         return sorted(set(out))
 
     def _candidates(self, sh: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
@@ -133,7 +144,7 @@ class Items:
 
 def item_blocks(benchmark: DataFrame) -> Iterator[tuple[list, list[str]]]:
     """The items that have a text, in blocks of about BLOCK_BYTES of text."""
-    some = benchmark.where("text is not null").select("item_id", "text")
+    some = benchmark.where("text is not null").select("item_id", "text").distinct()
     total = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (BLOCK_BYTES // 2)))
     for k in range(blocks):
@@ -145,12 +156,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float
     """(doc_id, item_id, n_item_shingles, n_common, containment): a row for each document and item that leaks into it.
 
     Null and empty texts and items without words leak nothing; repeated rows of either table give a pair once. Without
-    items or documents there are no rows.
+    items or documents there are no rows. threshold is LEAST or more.
     """
+    if threshold < LEAST:
+        raise ValueError(f"containment under {LEAST} would be missed")
     key = docs.schema["doc_id"].dataType
     schema = S.StructType([S.StructField("doc_id", key), S.StructField("item_id", benchmark.schema["item_id"].dataType), S.StructField("n_item_shingles", S.LongType()), S.StructField("n_common", S.LongType())])
-    parts = []
+    parts, last = [], None
     for ids, texts in item_blocks(benchmark):
+        if last is not None:
+            parts[-1] = saved(parts[-1])
+            last.destroy()
         block = docs.sparkSession.sparkContext.broadcast(Items(ids, texts, size))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
@@ -166,14 +182,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float
                 )
 
         parts.append(docs.select("doc_id", "text").mapInArrow(run, schema))
+        last = block
     found = reduce(DataFrame.unionByName, parts)
     found = found.groupBy("doc_id", "item_id", "n_item_shingles").agg(F.max("n_common").alias("n_common"))
     return found.withColumn("containment", F.col("n_common") / F.col("n_item_shingles"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.75) -> DataFrame:
-    """The rows of docs that no item leaks into, all columns as they were; one pass over docs for each block of items."""
+    """The rows of docs that no item leaks into, all columns as they were; one pass over docs for each block of items.
+
+    Null and empty texts stay, repeated rows all stay or all go. threshold is LEAST or more.
+    """
+    if threshold < LEAST:
+        raise ValueError(f"containment under {LEAST} would be missed")
+    last = None
     for ids, texts in item_blocks(benchmark):
+        if last is not None:
+            docs = saved(docs)
+            last.destroy()
         block = docs.sparkSession.sparkContext.broadcast(Items(ids, texts, size))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
@@ -183,5 +209,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, thre
                     clean[[c.first + text for text, _, _ in block.value.leaks(c, threshold)]] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs, last = docs.mapInArrow(run, docs.schema), block
     return docs
