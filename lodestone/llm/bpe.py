@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textarrays as T
+from lodestone.llm.common import without
 
 #: Distinct words whose tokens a worker keeps between batches; beyond that it begins anew.
 KEPT_WORDS = 1_500_000
@@ -346,10 +347,12 @@ def _slices(values: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with _ids (binary, little-endian unsigned 32-bit token ids). Null and empty texts have no ids.
+    """docs with _ids (binary, little-endian unsigned 32-bit token ids); a column of docs of that name gives way.
 
+    Null and empty texts have no ids; repeated rows are encoded alike; an empty table gives no rows.
     path names the file of ranks, which is on every machine; pattern is the regular expression that splits texts.
     """
+    docs = without(docs, "_ids")
     schema = S.StructType([*docs.schema.fields, S.StructField("_ids", S.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +368,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """encoded with _decoded (binary), the bytes that _ids stands for."""
+    """encoded with _decoded (binary), the bytes that _ids stands for (none where it is null); a column of that name gives way."""
+    encoded = without(encoded, "_decoded")
     schema = S.StructType([*encoded.schema.fields, S.StructField("_decoded", S.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +382,10 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def bpe_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs. One pass; ids and bytes are not kept."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs. One pass; ids and bytes are not kept.
+
+    Null and empty texts have no tokens and the hashes of nothing. Every row counts, with a null or repeated id too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textarrays as T
-from lodestone.llm.common import crc_of_id
+from lodestone.llm.common import crc_of_id, without
 
 #: Bytes of a window when texts are labelled, and windows that move in step.
 WINDOW, STEPPED = 128, 1024
@@ -27,9 +27,10 @@ WINDOW, STEPPED = 128, 1024
 
 @dataclass
 class Fit:
-    """per_lang: documents of a language learned from, about, drawn by a hash of the id; windows: windows of each.
+    """per_lang: documents of a language learned from, about, drawn by a hash of id and text; windows: windows of each.
 
-    Every language is learned: the sample is bounded by languages * per_lang documents.
+    Every language is learned: the sample is bounded by languages * per_lang documents of at most windows * length bytes.
+    A row that is repeated, as often as it may be, is learned from once.
     """
 
     per_lang: int = 300
@@ -193,7 +194,7 @@ def fit(labelled: DataFrame, params: Fit | None = None) -> Network:
     if not langs:
         return Network([], params.hidden)
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(params.per_lang / r["n"]))])
-    place = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1_000_003)) / 1_000_003.0
+    place = F.pmod(F.xxhash64(F.lit("draw"), "doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0
     drawn = usable.where(F.col("lang").isin(langs)).where(place < F.element_at(share, F.col("lang")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +202,7 @@ def fit(labelled: DataFrame, params: Fit | None = None) -> Network:
             rows = [(lang, w, i) for lang, text, i in zip(*(b.column(c).to_pylist() for c in ("lang", "text", "doc_id")), strict=True) for w in _even_windows(text.encode(), params.windows, params.length)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "window", "doc_id"])
 
-    got = drawn.select("lang", "text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(cut, "lang string, window binary, doc_id long").toArrow()  # about per_lang * windows short rows a language
+    got = drawn.select("lang", "text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(cut, "lang string, window binary, doc_id long").distinct().toArrow()  # about per_lang * windows short rows a language
     rows = sorted(zip(*(got[c].to_pylist() for c in ("lang", "window", "doc_id")), strict=True), key=lambda r: (r[0], r[2] or 0, r[1]))
     number = {lang: k for k, lang in enumerate(sorted({r[0] for r in rows}))}
     windows = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, params.length)
@@ -239,8 +240,10 @@ def _pooled(net: Network, chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
 def identify(docs: DataFrame, net: Network) -> DataFrame:
     """docs with _lang, _score (mean probability of that language) and _share (of positions labelled so).
 
+    Columns of docs with these names give way. Repeated rows are labelled alike; an empty table gives no rows.
     Texts that are null or have no letter are `und` with score 0, as are all where the network knows no language.
     """
+    docs = without(docs, "_lang", "_score", "_share")
     model = docs.sparkSession.sparkContext.broadcast((net.langs, net.hidden, net.p))  # a few kilobytes a language
     schema = S.StructType([*docs.schema.fields, S.StructField("_lang", S.StringType()), S.StructField("_score", S.DoubleType()), S.StructField("_share", S.DoubleType())])
 
@@ -271,7 +274,10 @@ def train_rows(doc_id: Column) -> Column:
 
 
 def lang_report(docs: DataFrame, params: Fit | None = None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, share) for each row of docs; learns from rows whose crc32(doc_id) mod 3 is not 1."""
+    """(doc_id, held_out, lang_pred, score, share) for each row of docs; learns from rows whose crc32(doc_id) mod 3 is not 1.
+
+    Texts that are null or have no letter are `und`; ids may be null or repeated, each row has its own prediction.
+    """
     net = fit(docs.where(train_rows(F.col("doc_id"))).select("doc_id", "text", "lang"), params)
     out = identify(docs.select("doc_id", "text"), net)
     return out.select("doc_id", (~train_rows(F.col("doc_id"))).alias("held_out"), F.col("_lang").alias("lang_pred"), F.round("_score", 6).alias("score"), F.round("_share", 6).alias("share"))

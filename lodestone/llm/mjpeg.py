@@ -29,6 +29,8 @@ from lodestone.llm import textarrays as T
 TILES, ROWS, FPS = 64, 16, 25
 FRAME = TILES * ROWS
 CHUNK_BYTES = 256 << 10
+#: Frames that are encoded or decoded at once.
+GROUP = 1024
 #: A cut: a histogram difference over FLOOR and over mean + SPREAD deviations of the shot's last MEMORY differences.
 FLOOR, SPREAD, MEMORY, LEVELS = 0.2, 3.0, 12, 16
 
@@ -447,11 +449,14 @@ def store(chunk: T.Chunk) -> list[bytes]:
     first = (np.cumsum(n_frames) - n_frames) * ROWS
     tiles = np.zeros(int(n_frames.sum()) * FRAME, np.uint8)
     tiles[np.arange(len(chunk.data)) + np.repeat(first * TILES - chunk.offsets[:-1], size)] = chunk.data
-    scans, at = encode_tiles(tiles.reshape(-1, TILES))
-    raw, at = scans.tobytes(), at.tolist()
+    frames: list[bytes] = []
+    for begin in range(0, len(tiles), GROUP * FRAME):  # a very long text is worked on in parts
+        scans, at = encode_tiles(tiles[begin : begin + GROUP * FRAME].reshape(-1, TILES))
+        raw, at = scans.tobytes(), at.tolist()
+        frames += [FRAME_HEAD + raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
     out, f = [], 0
     for n, count in zip(lines.tolist(), n_frames.tolist(), strict=True):
-        out.append(write_avi([FRAME_HEAD + raw[at[i] : at[i + 1]] for i in range(f, f + count)], TILES * 8, ROWS * 8, f"payload={n * TILES}"))
+        out.append(write_avi(frames[f : f + count], TILES * 8, ROWS * 8, f"payload={n * TILES}"))
         f += count
     return out
 
@@ -459,7 +464,8 @@ def store(chunk: T.Chunk) -> list[bytes]:
 def load(files: list[bytes]) -> list[tuple[bytes, list[np.ndarray]]]:
     """The payload and the frames' block means of files that store() made."""
     videos = [read_avi(f) for f in files]
-    decoded = decode_frames([f[a : a + n] for f, v in zip(files, videos, strict=True) for a, n in v.frames])
+    frames = [f[a : a + n] for f, v in zip(files, videos, strict=True) for a, n in v.frames]
+    decoded = [d for i in range(0, len(frames), GROUP) for d in decode_frames(frames[i : i + GROUP])]
     out, i = [], 0
     for v in videos:
         means = [d[0] for d in decoded[i : i + len(v.frames)]]
@@ -478,6 +484,8 @@ def media_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) for each row of docs.
 
     Each text is stored as an AVI file, and all that follows is computed from what is read back from that file's bytes.
+    A null text is an empty one, whose file holds 64 zeros; equal texts have equal files, whatever their ids. A text of
+    any length is one file; the arrays around it are worked on GROUP frames at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
