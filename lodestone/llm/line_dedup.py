@@ -2,7 +2,8 @@
 
 Every line becomes a 128-bit hash of its key, its document and its position. The hashes are range-partitioned
 and sorted by document and position inside each key, so that the first document of a key streams by first. What
-comes back for each text is a compressed keep bitmap: the runs of lines to keep. Lines themselves are never shuffled.
+comes back for each text is a compressed keep bitmap: the runs of lines to keep. Lines themselves are never shuffled;
+whole texts move once, to meet their bitmaps.
 
 A key that a large part of all documents shares is dealt over ``SALTS`` ranges by a hash of the document. A first
 pass streams the first document of each (key, salt); a line of any other document is a copy whatever other
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WHITESPACE, ascii_lower, partitions, put_back, set_aside
+from lodestone.llm.common import WHITESPACE, ascii_lower, partitions, put_back, saved, set_aside
 
 SALTS = 64
 #: Documents without an id come after all others.
@@ -47,7 +48,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", t
     lines = src.select("_d", F.xxhash64("_t").alias("_h"), F.posexplode(lines_of(F.col("_t"))).alias("_pos", "_line"))
     keys = lines.withColumn("_key", line_key(F.col("_line"))).where(F.char_length("_key") >= min_chars)
     hashed = keys.select("_d", "_h", "_pos", F.xxhash64("_key").alias("_k1"), F.xxhash64(F.lit(7), "_key").alias("_k2"))
-    hashed = hashed.withColumn("_salt", F.pmod(F.hash("_d"), F.lit(SALTS)))
+    hashed = saved(hashed.withColumn("_salt", F.pmod(F.hash("_d"), F.lit(SALTS))))  # ranges are drawn from it, then it is dealt
 
     def streamed(df: DataFrame, *key: str) -> DataFrame:
         dealt = df.repartitionByRange(n, *key).sortWithinPartitions(*key, "_d", "_h", "_pos")
@@ -58,7 +59,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", t
     local = local.withColumn("_copy", F.col("_d") > F.col("_first")).drop("_first")
     local = local.withColumn("_salt", F.when(F.col("_copy"), F.col("_salt")).otherwise(F.lit(-1)))
     whole = streamed(local, "_k1", "_k2", "_salt").where(F.col("_copy") | (F.col("_d") > F.col("_first")))
-    per_doc = whole.groupBy("_d", "_h").agg(F.array_sort(F.array_distinct(F.collect_list("_pos"))).alias("_gone"))
+    per_doc = whole.groupBy("_d", "_h").agg(F.array_sort(F.collect_set("_pos")).alias("_gone"))
     runs = F.zip_with(
         F.concat(F.array(F.lit(-1)), "_gone"),
         F.concat(F.col("_gone"), F.array(F.lit(2**31 - 1))),
