@@ -10,11 +10,11 @@
    hubs that it collides with most often. Linked classes share a component from the next round on.
 4. Then lists that still hold several components are compared whole, in tiles: the classes outside a list's largest
    component, by blocks, against all of the list, by blocks. A pair from different components whose signatures agree
-   often enough is a candidate in one list only, that of the first coordinate that is in the prefix of both. A tile
-   writes one row for each class that has candidates in it, never one for each pair: texts that are alike, but under
-   the threshold, make as many candidates as pairs.
-5. Each class of a tile gets its full shingle set, and the tile's candidates are decided there. Of the links it finds a
-   tile writes those that join components, one fewer than the components it joins.
+   often enough is a candidate in one list only, that of the first coordinate that is in the prefix of both.
+5. Candidates of both kinds are decided where they are found. A tile (a hub with a part of its classes is one too) first
+   sees signatures only and names its classes that have any candidate, in blocks. Each block then gets these classes'
+   full shingle sets once, finds its candidates again and decides them. Of the links it finds it writes those that join
+   components, one fewer than the components it joins. Pairs that are candidates and no links are never written.
 6. Components of all links give the result.
 
 A second signature of COORDS short values, used for comparing only, sharpens the test: of both signatures' 128
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import textarrays as T
@@ -36,12 +36,16 @@ from lodestone.llm.common import saved
 from lodestone.llm.components import components
 
 COORDS, MATCH, MATCH_ALL = 64, 32, 73
+#: The least similarity for which MATCH and MATCH_ALL hold.
+LEAST = 0.75
 #: A tile compares ROWS classes outside a list's largest component with COLUMNS classes of the list, about.
-ROWS, COLUMNS = 512, 512
+ROWS, COLUMNS = 1024, 1024
 #: Candidates are decided in blocks of SET_ROWS by SET_COLUMNS classes of a tile.
 SET_ROWS, SET_COLUMNS = 64, 192
 #: Hubs that a class is compared with in a round, and rounds at most; what they leave open is for the tiles.
 HUBS, ROUNDS = 3, 2
+#: Parts that the members of a class are dealt over to meet it.
+SALTS = 16
 
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 63, 2 * COORDS, np.uint64) * np.uint64(2)
@@ -72,6 +76,15 @@ def shingle_sets(chunk: T.Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
     return all_of[new], np.searchsorted(text[new], np.arange(len(at)))
 
 
+def _digest(sets: np.ndarray, at: np.ndarray, half: int) -> np.ndarray:
+    """64 of the 128 bits that stand for each text's whole set; 0 for an empty one."""
+    some = np.diff(at) > 0
+    d = np.zeros(len(some), np.uint64)
+    if some.any():
+        d[some] = np.add.reduceat(T.mix(sets + np.uint64((0x1234567, 0x89ABCDEF01)[half])), at[:-1][some])
+    return d
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, digest1, digest2, coords, checks): coords and checks are empty where there is no shingle."""
 
@@ -84,12 +97,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 some = n > 0
                 packed = np.concatenate((at[:-1][some], [len(sets)]))
                 coords = signature(sets, packed) if some.any() else np.zeros((0, 2 * COORDS), np.uint64)
-                digests = []
-                for salt in (0x1234567, 0x89ABCDEF01):
-                    d = np.zeros(len(n), np.uint64)
-                    if some.any():
-                        d[some] = np.add.reduceat(T.mix(sets + np.uint64(salt)), packed[:-1])
-                    digests.append(pa.array(d.view(np.int64)))
+                digests = [pa.array(_digest(sets, at, half).view(np.int64)) for half in (0, 1)]
                 ends = np.concatenate(([0], np.cumsum(np.where(some, COORDS, 0)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(coords[:, :COORDS]).view(np.int64).ravel()))
                 shorts = pa.ListArray.from_arrays(pa.array(ends), pa.array((coords[:, COORDS:] >> np.uint64(48)).astype(np.uint16).view(np.int16).ravel()))
@@ -99,30 +107,18 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return few.mapInArrow(run, "doc_id long, n_shingles long, digest1 long, digest2 long, coords array<long>, checks array<smallint>")
 
 
-def agreeing(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-
-
 def prefix_postings(classes: DataFrame) -> DataFrame:
-    """(id, k, key, mask) for the rarest values of each class, as far as other classes have them too.
+    """(id, d, k, key, mask) for the rarest values of each class, as far as other classes have them too.
 
     k is the value's coordinate; mask has the bits of all coordinates that the class is posted under.
     """
-    posted = classes.select("id", F.posexplode("coords").alias("k", "value")).select("id", "k", F.xxhash64("k", "value").alias("key"))
+    posted = classes.select("id", "d", F.posexplode("coords").alias("k", "value")).select("id", "d", "k", F.xxhash64("k", "value").alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     known = posted.join(shared, "key")
-    mine = Window.partitionBy("id")
+    mine = Window.partitionBy("id", "d")
     ranked = known.withColumns({"has": F.count(F.lit(1)).over(mine), "rank": F.row_number().over(mine.orderBy("n", "key"))})
     few = ranked.where(F.col("rank") <= COORDS - MATCH + 1 - (COORDS - F.col("has")))
-    return few.select("id", "k", "key", F.bit_or(F.expr("shiftleft(1L, k)")).over(mine).alias("mask"))
-
-
-def _close(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that agree in MATCH coordinates and whose set sizes allow the threshold."""
-    side = {s: classes.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("coords").alias(f"c_{s}"), F.col("checks").alias(f"h_{s}")) for s in "ab"}
-    both = pairs.join(side["a"], "a").join(side["b"], "b")
-    near = both.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).withColumn("agree", agreeing(F.col("c_a"), F.col("c_b")))
-    return near.where((F.col("agree") >= MATCH) & (F.col("agree") + agreeing(F.col("h_a"), F.col("h_b")) >= MATCH_ALL)).select("a", "b")
+    return few.select("id", "d", "k", "key", F.bit_or(F.expr("shiftleft(1L, k)")).over(mine).alias("mask"))
 
 
 def _rooted(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -131,33 +127,63 @@ def _rooted(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
     return postings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def _hub_pairs(rooted: DataFrame, round_: int) -> DataFrame:
-    """Pairs (a, b) of a class and a hub of another component, HUBS for each class at most."""
-    order = F.col("id") if round_ == 0 else F.xxhash64("id", "key", F.lit(round_))
-    lists = rooted.groupBy("key").agg(F.min_by(F.struct("id", "root"), order).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    met = rooted.join(lists, "key").where(F.col("root") != F.col("hub.root")).groupBy("id", F.col("hub.id").alias("hub")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "hub"))).where(F.col("rank") <= HUBS)
-    return ranked.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+def _hub_tiles(rooted: DataFrame, round_: int) -> DataFrame:
+    """Tiles (key, i, j, id, d, k, root, top, mask, is_row) of a class with hubs of other components, HUBS for each class at most.
 
+    The hub is a tile's only row; its classes are the columns, about COLUMNS in a tile.
+    """
+    order = F.col("id") if round_ == 0 else F.xxhash64("id", "d", "key", F.lit(round_))
+    lists = rooted.groupBy("key").agg(F.min_by(F.struct("id", "d", "root"), order).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    met = rooted.join(lists, "key").where(F.col("root") != F.col("hub.root")).groupBy("id", "d", "root", "hub").agg(F.count(F.lit(1)).alias("n"))
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("id", "d").orderBy(F.desc("n"), "hub"))).where(F.col("rank") <= HUBS)
+    pairs = saved(ranked.select("id", "d", "root", "hub"))
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / COLUMNS).alias("parts"))
+    columns = pairs.join(parts, "hub").select(F.col("hub.id").alias("key"), F.pmod(F.xxhash64("id", "d"), F.col("parts")).alias("i"), "id", "d", "root", F.lit(False).alias("is_row"))
+    rows = parts.select(F.col("hub.id").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.col("hub.id").alias("id"), F.col("hub.d").alias("d"), F.col("hub.root").alias("root"), F.lit(True).alias("is_row"))
+    # Any class may be a row's partner (top), and there is no other list in which a pair could be a candidate (mask).
+    return columns.unionByName(rows).withColumns({"j": F.lit(0).cast("long"), "k": F.lit(0), "top": F.lit(True), "mask": F.lit(0).cast("long")})
+
+
+def _list_tiles(rooted: DataFrame) -> DataFrame:
+    """Tiles (key, i, j, id, d, k, root, top, mask, is_row) of the lists that hold several components."""
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("most.n < n")
+    grid = sizes.select("key", F.col("most.root").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / ROWS).alias("rows"), F.ceil(F.col("n") / COLUMNS).alias("cols"))
+    members = rooted.join(grid, "key")
+    place = lambda n: F.pmod(F.xxhash64("id", "d", F.lit(n)), F.col(n))
+    zero = F.lit(0).cast("long")
+    as_col = F.transform(F.sequence(zero, F.col("rows") - 1), lambda i: F.struct(i.alias("i"), place("cols").alias("j"), F.lit(False).alias("is_row")))
+    as_row = F.transform(F.sequence(zero, F.col("cols") - 1), lambda j: F.struct(place("rows").alias("i"), j.alias("j"), F.lit(True).alias("is_row")))
+    top = F.col("root") == F.col("largest")
+    tiles = members.withColumns({"top": top, "tile": F.explode(F.when(top, as_col).otherwise(F.concat(as_col, as_row)))})
+    return tiles.select("key", "tile.i", "tile.j", "id", "d", "k", "root", "top", "mask", "tile.is_row")
+
+
+PLACE = ("key", "i", "j")
+MEMBER = ("id", "d", "k", "root", "top", "mask", "is_row")
+_MEMBER_TYPES = "key long, i long, j long, id long, d long, k int, root long, top boolean, mask long, is_row boolean"
+
+
+def _tile_links(tiles: DataFrame, classes: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame | None:
+    """Links (a, b) that join the components of each block of a tile, or None; full sets decide."""
+    sketch = ("n_shingles", "coords", "checks")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _runs(batches, PLACE):
+            yield from _with_candidates(tile, threshold)
 
-def _tile_candidates(rooted: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(key, i, j, id, root, others): the classes that have candidates in a block of a tile, others being a row's
-    candidates and empty for a column."""
-    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("top.n < n")
-    grid = sizes.select("key", F.col("top.root").alias("largest"), F.ceil((F.col("n") - F.col("top.n")) / ROWS).cast("int").alias("rows"), F.ceil(F.col("n") / COLUMNS).cast("int").alias("cols"))
-    members = rooted.join(grid, "key").join(classes.select("id", "n_shingles", "coords", "checks"), "id")
-    place = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n)).cast("int")
-    as_col = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), place("cols").alias("j"), F.lit(False).alias("is_row")))
-    as_row = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda j: F.struct(place("rows").alias("i"), j.alias("j"), F.lit(True).alias("is_row")))
-    both = F.when(F.col("root") == F.col("largest"), as_col).otherwise(F.concat(as_col, as_row))
-    tiles = members.withColumn("top", F.col("root") == F.col("largest")).withColumn("tile", F.explode(both))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in _runs(batches, ("key", "i", "j")):
-            yield from _candidates(tile, threshold)
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _runs(batches, PLACE):
+            links = _block_links(block, threshold)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*links, strict=True)], names=["a", "b"])
 
-    dealt = tiles.select("key", "tile.i", "tile.j", "tile.is_row", "id", "k", "root", "top", "mask", "n_shingles", "coords", "checks").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(compare, "key long, i long, j long, id long, root long, others array<long>")
+    dealt = tiles.join(classes, ["id", "d"]).select(*PLACE, *MEMBER, *sketch).repartition(*PLACE).sortWithinPartitions(*PLACE)
+    members = saved(dealt.mapInArrow(name, _MEMBER_TYPES))
+    if members.isEmpty():
+        return None
+    whole = classes.join(_set_table(docs, members.select("id").distinct(), size), ["id", "d"])
+    blocks = members.join(whole, ["id", "d"]).select(*PLACE, *MEMBER, *sketch, "shingles").repartition(*PLACE).sortWithinPartitions(*PLACE)
+    return saved(blocks.mapInArrow(decide, "a long, b long").distinct())
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -178,15 +204,14 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
         yield pa.Table.from_batches(rest)
 
 
-def _candidates(tile: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
-    """The candidates of one tile by blocks of SET_ROWS rows and SET_COLUMNS columns that have some."""
+def _candidates(tile: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of the tile that has candidates its place in the table, and the places of these columns."""
     ids, root, n, mask = (tile[c].to_numpy() for c in ("id", "root", "n_shingles", "mask"))
     is_row, top = (tile[c].to_numpy(zero_copy_only=False) for c in ("is_row", "top"))
-    key, i, j, k = (tile[c][0].as_py() for c in ("key", "i", "j", "k"))
+    k = tile["k"][0].as_py()
     coords, checks = (tile[c].combine_chunks().flatten().to_numpy().reshape(-1, COORDS) for c in ("coords", "checks"))
     in_prefix = (mask[:, None] >> np.arange(COORDS)) & 1 == 1
     cols = np.flatnonzero(~is_row)
-    found: list[tuple[int, np.ndarray]] = []
     for x in np.flatnonzero(is_row).tolist():
         # Of two classes outside the largest component, the smaller id is the row.
         other = cols[(root[cols] != root[x]) & (top[cols] | (ids[cols] > ids[x])) & (np.minimum(n[cols], n[x]) >= threshold * np.maximum(n[cols], n[x]))]
@@ -199,29 +224,28 @@ def _candidates(tile: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
         other, agree = other[near], agree[near]
         other = other[agree + (checks[other] == checks[x]).sum(axis=1) >= MATCH_ALL]
         if len(other):
-            found.append((x, other))
-    if not found:
-        return
-    used = np.unique(np.concatenate([o for _, o in found]))
-    for at in range(0, len(found), SET_ROWS):
-        for start in range(0, len(used), SET_COLUMNS):
-            block = used[start : start + SET_COLUMNS]
-            rows = [(x, mine) for x, o in found[at : at + SET_ROWS] if len(mine := o[(o >= block[0]) & (o <= block[-1])])]
-            if rows:
-                columns = np.unique(np.concatenate([o for _, o in rows]))
-                members = np.concatenate([[x for x, _ in rows], columns]).astype(np.int64)
-                others = [ids[o] for _, o in rows] + [ids[:0]] * len(columns)
-                ends = np.concatenate(([0], np.cumsum([len(o) for o in others]))).astype(np.int32)
-                size = len(members)
-                place = (key, i * (1 << 20) + at // SET_ROWS, j * (1 << 20) + start // SET_COLUMNS)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.full(size, v, np.int64)) for v in place), pa.array(ids[members]), pa.array(root[members]), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(others)))],
-                    names=["key", "i", "j", "id", "root", "others"],
-                )
+            yield x, other
+
+
+def _with_candidates(tile: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The members of a tile's blocks, SET_ROWS rows by SET_COLUMNS columns of those that have candidates in the tile."""
+    rows, columns = [], np.zeros(tile.num_rows, bool)
+    for x, other in _candidates(tile, threshold):
+        rows.append(x)
+        columns[other] = True
+    columns = np.flatnonzero(columns)
+    i, j = (tile[c][0].as_py() << 20 for c in ("i", "j"))
+    few = tile.select([*PLACE, *MEMBER])
+    for r in range(0, len(rows), SET_ROWS):
+        for c in range(0, len(columns), SET_COLUMNS):
+            block = few.take(np.concatenate((np.array(rows[r : r + SET_ROWS], np.int64), columns[c : c + SET_COLUMNS])))
+            place = {"i": i + r // SET_ROWS, "j": j + c // SET_COLUMNS}
+            named = [pa.array(np.full(block.num_rows, place[k], np.int64)) if k in place else block[k].combine_chunks() for k in few.column_names]
+            yield pa.RecordBatch.from_arrays(named, names=few.column_names)
 
 
 def _set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, shingles): the sorted full shingle set of each wanted id."""
+    """(id, d, shingles): the sorted full shingle set of each text of a wanted id, and the first half of its digest."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,34 +253,18 @@ def _set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             for c in T.chunks(b.column("text")):
                 sets, at = shingle_sets(c, size)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(c.first, len(at) - 1), lists], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(c.first, len(at) - 1), pa.array(_digest(sets, at, 0).view(np.int64)), lists], names=["id", "d", "shingles"])
 
-    return texts.mapInArrow(run, "id long, shingles array<long>")
+    return texts.mapInArrow(run, "id long, d long, shingles array<long>").dropDuplicates(["id", "d"])
 
 
-def _tile_links(found: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Links (a, b) that join the components of each block of candidates; the full sets decide."""
+def _block_links(block: pa.Table, threshold: float) -> list[tuple[int, int]]:
+    """Links (smaller id, larger id) between components of the block: candidates whose full sets are alike enough."""
     num = round(threshold * 100)
-    sets = _set_table(docs, found.select("id").distinct(), size)
-    dealt = found.join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _runs(batches, ("key", "i", "j")):
-            links = _block_links(block, num)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*links, strict=True)], names=["a", "b"])
-
-    return dealt.mapInArrow(decide, "a long, b long").distinct()
-
-
-def _block_links(block: pa.Table, num: int) -> list[tuple[int, int]]:
-    ids, root = block["id"].to_numpy(), dict(zip(block["id"].to_pylist(), block["root"].to_pylist(), strict=True))
+    ids, root = block["id"].to_pylist(), block["root"].to_pylist()
     lists = block["shingles"].combine_chunks()
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-    by_id: dict[int, list[np.ndarray]] = {}  # an id that several rows share has several sets, which may repeat
-    for r, x in enumerate(ids.tolist()):
-        if ends[r] < ends[r + 1]:
-            by_id.setdefault(x, []).append(flat[ends[r] : ends[r + 1]])
+    n = np.diff(ends)
     joined: dict[int, int] = {}
 
     def end(x: int) -> int:
@@ -264,81 +272,55 @@ def _block_links(block: pa.Table, num: int) -> list[tuple[int, int]]:
             x = up
         return x
 
-    links, done = [], set()
-    for x, others in zip(ids.tolist(), block["others"].to_pylist(), strict=True):
-        if not others or x in done:
-            continue
-        done.add(x)
-        theirs = [(y, s) for y in others for s in by_id[y]]
-        data, n = np.concatenate([s for _, s in theirs]), np.array([len(s) for _, s in theirs])
-        starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-        for own in by_id[x]:
-            at = np.minimum(np.searchsorted(own, data), len(own) - 1)
-            common = np.add.reduceat((own[at] == data).astype(np.int64), starts)
-            for t in np.flatnonzero(100 * common >= num * (n + len(own) - common)).tolist():
-                y = theirs[t][0]
+    links = []
+    for x, other in _candidates(block, threshold):
+        own = flat[ends[x] : ends[x + 1]]
+        apart = [y for y in other.tolist() if end(root[y]) != end(root[x])]
+        for at in range(0, len(apart), 32):  # what is linked meanwhile needs no comparison
+            some = [y for y in apart[at : at + 32] if end(root[y]) != end(root[x])]
+            if not some:
+                continue
+            data, size = np.concatenate([flat[ends[y] : ends[y + 1]] for y in some]), n[some]
+            starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+            place = np.minimum(np.searchsorted(own, data), len(own) - 1)
+            common = np.add.reduceat((own[place] == data).astype(np.int64), starts)
+            for t in np.flatnonzero(100 * common >= num * (size + len(own) - common)).tolist():
+                y = some[t]
                 low, high = sorted((end(root[x]), end(root[y])))
                 if low != high:
                     joined[high] = low
-                    links.append((min(x, y), max(x, y)))
+                    links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
     return links
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of document ids whose full shingle sets have intersection / union >= threshold."""
-    num = round(threshold * 100)
-    needed = saved(pairs)
-    wanted = needed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"))
-    both = needed.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                sets = []
-                for name in ("ta", "tb"):
-                    own = []
-                    for c in T.chunks(part.column(name)):
-                        s, o = shingle_sets(c, size)
-                        own += [s[i:j] for i, j in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
-                    sets.append(own)
-                for x, y in zip(*sets, strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= num * (len(x) + len(y) - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct()
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.75) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text, ...).
 
     component_id is the smallest id that the document is linked with over any number of links, itself included. Texts
     without words have no shingles and no links. A row with a null id has no links and a null component_id. Rows with
-    the same id are one document: it is linked if any of their texts is.
+    the same id are one document: it is linked if any of their texts is. threshold is LEAST or more.
     """
+    if threshold < LEAST:
+        raise ValueError(f"links under {LEAST} would be missed")
     found = saved(sketches(docs, size))
     real = found.where("n_shingles > 0 and doc_id is not null")
-    firsts = real.groupBy("digest1", "digest2").agg(F.min("doc_id").alias("id"))
-    member = saved(real.select("doc_id", "digest1", "digest2").join(firsts, ["digest1", "digest2"]).select("doc_id", "id").distinct())
-    rows = real.join(firsts.withColumn("doc_id", F.col("id")), ["digest1", "digest2", "doc_id"])
-    classes = saved(rows.dropDuplicates(["id", "digest1", "digest2"]).select("id", "n_shingles", "coords", "checks"))
+    # Of each class the smallest id; a class with many copies is dealt over SALTS parts to meet it.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    firsts = real.groupBy("digest1", "digest2").agg(F.min("doc_id").alias("id"), F.collect_set(salt).alias("salts"))
+    met = real.select("doc_id", "digest1", "digest2", salt.alias("salt")).join(firsts.withColumn("salt", F.explode("salts")), ["digest1", "digest2", "salt"])
+    member = saved(met.select("doc_id", "id").distinct())
+    rows = real.join(firsts.select("digest1", "digest2", "id", F.col("id").alias("doc_id")), ["digest1", "digest2", "doc_id"])
+    classes = saved(rows.dropDuplicates(["id", "digest1", "digest2"]).select("id", F.col("digest1").alias("d"), "n_shingles", "coords", "checks"))
 
     postings = saved(prefix_postings(classes))
     links, roots = None, None
-    for round_ in range(ROUNDS):
-        new = saved(confirmed(_close(_hub_pairs(_rooted(postings, roots), round_), classes, threshold), docs, size, threshold))
-        if new.isEmpty():
-            break
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
-    candidates = saved(_tile_candidates(_rooted(postings, roots), classes, threshold))
-    if not candidates.isEmpty():
-        found_more = saved(_tile_links(candidates, docs, size, threshold))
-        links = found_more if links is None else links.unionByName(found_more)
-    class_links = candidates.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if links is None else links
+    for round_ in range(ROUNDS + 1):
+        rooted = _rooted(postings, roots)
+        new = _tile_links(_hub_tiles(rooted, round_) if round_ < ROUNDS else _list_tiles(rooted), classes, docs, size, threshold)
+        if new is not None:
+            links = new if links is None else links.unionByName(new)
+            roots = components(links) if round_ < ROUNDS else None
+    class_links = member.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if links is None else links
     # Only ids with several texts tie two classes together; all else joins its class at the end.
     several = member.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     ties = member.join(several, "doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
