@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-import public_tokenizers
 from lodestone.llm import bpe, decontam, line_dedup, neardup, toxicity
 from lodestone.llm.common import saved, table
 
@@ -31,6 +30,8 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with their number and hashes: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    import public_tokenizers  # only this stage needs the vocabulary files
+
     return bpe.bpe_report(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -41,7 +42,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's rows in a Parquet table that the next reads."""
+    """The stages over documents, each one's rows in a Parquet table that the next reads.
+
+    Documents with a null or empty text, or whose lines all went, stay to the end and have no tokens: no stage finds them
+    toxic, alike or leaked. Rows with a null id stay; rows that share an id stay or go together where near duplicates go.
+    Repeated rows lose no lines to each other. Without documents there are no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
