@@ -108,7 +108,7 @@ def _drawn(labels: DataFrame, params: Fit) -> tuple[DataFrame, list[float]]:
     take = [min(n.get(k, 0), max(half, params.sample_rows - n.get(1 - k, 0))) for k in (0, 1)]
     parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(take[k]) for k in (0, 1)]
     counts = [n.get(k, 0) / max(1, take[k]) for k in (0, 1)]
-    mean = sum(n.values()) / max(1, sum(take))
+    mean = max(1, sum(n.values())) / max(1, sum(take))
     return parts[0].unionByName(parts[1]), [c / mean for c in counts]
 
 
