@@ -44,7 +44,7 @@ ROWS, COLUMNS = 1024, 1024
 SET_ROWS, SET_COLUMNS = 64, 192
 #: Hubs that a class is compared with in a round, and rounds at most; what they leave open is for the tiles.
 HUBS, ROUNDS = 3, 2
-#: Parts that the members of a class are dealt over to meet it.
+#: Parts that the members of a class, or the classes of a hub, are dealt over to meet it.
 SALTS = 16
 
 _rng = np.random.default_rng(20240607)
@@ -137,8 +137,10 @@ def _hub_tiles(rooted: DataFrame, round_: int) -> DataFrame:
     met = rooted.join(lists, "key").where(F.col("root") != F.col("hub.root")).groupBy("id", "d", "root", "hub").agg(F.count(F.lit(1)).alias("n"))
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("id", "d").orderBy(F.desc("n"), "hub"))).where(F.col("rank") <= HUBS)
     pairs = saved(ranked.select("id", "d", "root", "hub"))
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / COLUMNS).alias("parts"))
-    columns = pairs.join(parts, "hub").select(F.col("hub.id").alias("key"), F.pmod(F.xxhash64("id", "d"), F.col("parts")).alias("i"), "id", "d", "root", F.lit(False).alias("is_row"))
+    salt = F.pmod(F.xxhash64("id", "d"), F.lit(SALTS)).cast("int")
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / COLUMNS).alias("parts"), F.collect_set(salt).alias("salts"))
+    met = pairs.withColumn("salt", salt).join(parts.withColumn("salt", F.explode("salts")), ["hub", "salt"])
+    columns = met.select(F.col("hub.id").alias("key"), F.pmod(F.xxhash64("d", "id"), F.col("parts")).alias("i"), "id", "d", "root", F.lit(False).alias("is_row"))
     rows = parts.select(F.col("hub.id").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.col("hub.id").alias("id"), F.col("hub.d").alias("d"), F.col("hub.root").alias("root"), F.lit(True).alias("is_row"))
     # Any class may be a row's partner (top), and there is no other list in which a pair could be a candidate (mask).
     return columns.unionByName(rows).withColumns({"j": F.lit(0).cast("long"), "k": F.lit(0), "top": F.lit(True), "mask": F.lit(0).cast("long")})

@@ -7,7 +7,7 @@ the weights are those that make it most probable. Texts are then scored with the
 
 No table of n-grams is ever gathered in one place:
 
-1. Texts are dealt into blocks by a hash of their id. A block's distinct n-grams (as 64-bit hashes, sorted) and their
+1. Texts are dealt into blocks by a hash of id and text, so that one id (or none) may have any number of texts. A block's distinct n-grams (as 64-bit hashes, sorted) and their
    counts go out as a few byte strings, one for each of many ranges of hashes.
 2. All blocks' strings for a range meet, are added up, and each block gets the sums back in the order it asked.
 3. Block by block the texts are read again beside the sums of their n-grams.
@@ -52,7 +52,7 @@ def _blocked(docs: DataFrame, train: Column, deleted: Column) -> tuple[DataFrame
     size = few.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(max(1, -(-size // BLOCK_BYTES)))
     less = max(1, blocks // DELETED)
-    place = F.xxhash64("doc_id", F.octet_length("text"))
+    place = F.xxhash64("doc_id", "text")
     block = F.when(F.col("part") == 1, blocks + F.pmod(place, F.lit(less))).otherwise(F.pmod(place, F.lit(blocks)))
     return few.withColumn("block", block.cast("int")), blocks
 
