@@ -28,15 +28,20 @@ def of_types(edges: DataFrame, predicates: list[str] | None) -> DataFrame:
 
 
 def _chains(edges: DataFrame, start: str, come: str, go: str, max_depth: int, min_confidence: float) -> DataFrame:
-    """(node, path, confidence, depth) of all simple chains from start; an edge leads from its column come to its column go."""
-    steps = edges.where(F.col("confidence") >= min_confidence).select(F.col(come).alias("_at"), F.col(go).alias("_to"), F.col("confidence").alias("_c"))
+    """(node, path, confidence, depth) of all simple chains from start; an edge leads from its column come to its column go.
+
+    Each level is written before the next begins, so that a level is worked out once.
+    """
+    steps = materialised(edges.where(F.col("confidence") >= min_confidence).select(F.col(come).alias("_at"), F.col(go).alias("_to"), F.col("confidence").alias("_c")))
     level = edges.sparkSession.createDataFrame([(start, [start], 1.0, 0)], "node string, path array<string>, confidence double, depth int")
-    found = [level]
+    found = [level.limit(0)]
     for _ in range(max_depth):
         level = level.join(steps, F.col("node") == F.col("_at")).where(~F.array_contains("path", F.col("_to")))
-        level = level.select(F.col("_to").alias("node"), F.array_append("path", F.col("_to")).alias("path"), (F.col("confidence") * F.col("_c")).alias("confidence"), (F.col("depth") + 1).alias("depth"))
+        level = materialised(level.select(F.col("_to").alias("node"), F.array_append("path", F.col("_to")).alias("path"), (F.col("confidence") * F.col("_c")).alias("confidence"), (F.col("depth") + 1).alias("depth")))
+        if level.isEmpty():
+            break
         found.append(level)
-    return reduce(DataFrame.unionByName, found[1:])
+    return reduce(DataFrame.unionByName, found)
 
 
 def _best_chain(chains: DataFrame, ends: DataFrame) -> DataFrame:
@@ -87,13 +92,12 @@ def incarnation_line(nodes: DataFrame, edges: DataFrame, person: str) -> DataFra
     return found.select(place.cast("long").alias("position"), "id", "name", "birth")
 
 
-def levels(edges: DataFrame, start: str, target: str | None, max_length: int) -> DataFrame:
-    """(node, depth) breadth first over undirected edges from start (depth 0) until target is found or max_length is reached."""
-    steps = materialised(undirected(edges).select("node", F.col("other").alias("to")).distinct())
-    seen = edges.sparkSession.createDataFrame([(start, 0)], "node string, depth int")
+def levels(steps: DataFrame, start: str, target: str | None, max_length: int) -> DataFrame:
+    """(node, depth) breadth first over steps (node, other) from start (depth 0) until target is found or max_length is reached."""
+    seen = steps.sparkSession.createDataFrame([(start, 0)], "node string, depth int")
     frontier = seen
     for depth in range(1, max_length + 1):
-        new = frontier.select("node").join(steps, "node").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti")
+        new = frontier.select("node").join(steps.select("node", "other"), "node").select(F.col("other").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = materialised(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
@@ -103,46 +107,65 @@ def levels(edges: DataFrame, start: str, target: str | None, max_length: int) ->
     return seen
 
 
+def shortest_path(edges: DataFrame, start: str, target: str, max_length: int = 10, predicates: list[str] | None = None) -> DataFrame:
+    """(path, length, confidence) of one shortest path: the most probable, then the first by name. No row where there is none."""
+    return shortest_paths(edges, start, target, max_length, 1, predicates)
+
+
 def shortest_length(edges: DataFrame, start: str, target: str, max_length: int = 10, predicates: list[str] | None = None) -> DataFrame:
     """(start, target, length); no row where there is no path of at most max_length edges."""
-    found = levels(of_types(edges, predicates), start, target, max_length)
+    found = levels(materialised(undirected(of_types(edges, predicates)).select("node", "other")), start, target, max_length)
     return found.where(F.col("node") == target).select(F.lit(start).alias("start"), F.lit(target).alias("target"), F.col("depth").cast("long").alias("length"))
 
 
 def shortest_paths(edges: DataFrame, start: str, target: str, max_length: int = 5, limit: int = 10, predicates: list[str] | None = None) -> DataFrame:
     """(path, length, confidence) of all shortest paths, most probable first. Of parallel edges the most probable counts."""
-    own = of_types(edges, predicates)
-    depth = materialised(levels(own, start, target, max_length))
+    steps = materialised(undirected(of_types(edges, predicates)).select("node", "other", "confidence"))
+    depth = levels(steps, start, target, max_length)
     end = depth.where(F.col("node") == target).first()
     spark = edges.sparkSession
     if end is None or not end["depth"]:
         return spark.createDataFrame([], "path string, length long, confidence double")
-    best = undirected(own).groupBy("node", "other").agg(F.max("confidence").alias("c"))
-    back = best.join(depth.select("node", F.col("depth").alias("d")), "node").join(depth.select(F.col("node").alias("other"), F.col("depth").alias("e")), "other").where("e = d - 1")
-    back = materialised(back.select("node", "other", "c"))  # only edges that lead one level towards the start
+    # From the target back, each time only over edges that lead one level towards the start.
     paths = spark.createDataFrame([(target, [target], 1.0)], "node string, path array<string>, confidence double")
-    for _ in range(end["depth"]):
+    for d in range(end["depth"] - 1, -1, -1):
+        nearer = depth.where(F.col("depth") == d).select(F.col("node").alias("other"))
+        back = paths.select("node").distinct().join(steps, "node").join(nearer, "other", "left_semi").groupBy("node", "other").agg(F.max("confidence").alias("c"))
         paths = paths.join(back, "node").select(F.col("other").alias("node"), F.concat(F.array("other"), "path").alias("path"), (F.col("confidence") * F.col("c")).alias("confidence"))
+        paths = materialised(paths)
     out = paths.select(F.concat_ws(">", "path").alias("path"), F.lit(end["depth"]).cast("long").alias("length"), F.round("confidence", 6).alias("confidence"))
     return out.orderBy(F.desc("confidence"), "path").limit(limit)
 
 
-def network(nodes: DataFrame, edges: DataFrame, centre: str, depth: int = 2, min_confidence: float = 0.0, predicates: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
-    """(id, type, name, hops, confidence): nodes within depth undirected hops over edges of min_confidence or more.
-
-    confidence is the highest of the first edges of the paths that lead there. The centre is left out.
-    """
-    steps = undirected(of_types(edges, predicates).where(F.col("confidence") >= min_confidence)).select("node", F.col("other").alias("to"), "confidence")
-    level = steps.where(F.col("node") == centre).groupBy(F.col("to").alias("at")).agg(F.max("confidence").alias("first")).withColumn("hops", F.lit(1))
+def network_paths(nodes: DataFrame, edges: DataFrame, centre: str, depth: int = 2, min_confidence: float = 0.0, predicates: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
+    """(at, type, name, first, confidence, hops): a row for each node within depth undirected hops over edges of min_confidence
+    or more and each first edge (its id and confidence) of a path that leads there; hops is the least. The centre is left out."""
+    steps = materialised(undirected(of_types(edges, predicates).where(F.col("confidence") >= min_confidence)).select("node", F.col("other").alias("to"), "id", "confidence"))
+    level = steps.where(F.col("node") == centre).select(F.col("to").alias("at"), F.col("id").alias("first"), "confidence", F.lit(1).alias("hops"))
     found = [level]
     for hop in range(2, depth + 1):
-        level = level.join(steps.select("node", "to"), F.col("at") == F.col("node")).groupBy(F.col("to").alias("at")).agg(F.max("first").alias("first")).withColumn("hops", F.lit(hop))
+        level = level.join(steps.select("node", "to"), F.col("at") == F.col("node")).select(F.col("to").alias("at"), "first", "confidence").distinct().withColumn("hops", F.lit(hop))
+        level = materialised(level)
         found.append(level)
-    best = reduce(DataFrame.unionByName, found).where(F.col("at") != centre).groupBy("at").agg(F.min("hops").alias("hops"), F.max("first").alias("first"))
-    out = nodes.join(best, F.col("id") == F.col("at"))
-    if types:
-        out = out.where(F.col("type").isin(types))
-    return out.select("id", "type", "name", F.col("hops").cast("long").alias("hops"), F.round("first", 6).alias("confidence"))
+    every = reduce(DataFrame.unionByName, found).where(F.col("at") != centre).groupBy("at", "first").agg(F.max("confidence").alias("confidence"), F.min("hops").alias("hops"))
+    out = every.join(nodes.select(F.col("id").alias("at"), "type", "name"), "at")
+    return (out.where(F.col("type").isin(types)) if types else out).select("at", "type", "name", "first", "confidence", "hops")
+
+
+def network(nodes: DataFrame, edges: DataFrame, centre: str, depth: int = 2, min_confidence: float = 0.0, predicates: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
+    """(id, type, name, hops, confidence): nodes within depth hops; confidence is the highest of the first edges that lead there."""
+    by = network_paths(nodes, edges, centre, depth, min_confidence, predicates, types).groupBy(F.col("at").alias("id"), "type", "name")
+    return by.agg(F.min("hops").cast("long").alias("hops"), F.round(F.max("confidence"), 6).alias("confidence"))
+
+
+def network_edges(paths: DataFrame) -> DataFrame:
+    """(id, confidence): the distinct first edges of network_paths()."""
+    return paths.groupBy(F.col("first").alias("id")).agg(F.round(F.max("confidence"), 6).alias("confidence"))
+
+
+def network_summary(paths: DataFrame) -> DataFrame:
+    """One row (nodes, edges, confidence) of network_paths(): numbers of both, and the mean over node and first edge."""
+    return paths.agg(F.count_distinct("at").alias("nodes"), F.count_distinct("first").alias("edges"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
 def contemporaries(nodes: DataFrame, edges: DataFrame, person: str, years: int = 50, same_place: bool = False, same_tradition: bool = False, limit: int = 50) -> DataFrame:
@@ -334,23 +357,58 @@ def missing_inverse(edges: DataFrame, predicate: str = "teacher_of") -> DataFram
     return of_types(edges, [predicate]).select("src", "dst").join(there, ["src", "dst"], "left_anti")
 
 
-def cycle_nodes(edges: DataFrame, predicate: str) -> DataFrame:
-    """(id): nodes on a cycle of the predicate. Nodes that nothing leads to, or that lead nowhere, are peeled off; what is left is
-    walked from every node, by distinct pairs, until no new pair appears."""
-    core = materialised(of_types(edges, [predicate]).select("src", "dst").distinct())
+def _peeled(core: DataFrame) -> DataFrame:
+    """core (predicate, src, dst) without the nodes that nothing leads to, or that lead nowhere, again and again."""
+    n = core.count()
     while True:
-        thinner = core.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        thinner = materialised(thinner.select("src", "dst"))
-        if thinner.count() == core.count():
-            break
-        core = thinner
-    pairs = core
-    while True:  # paths of up to 1, 2, 4, ... edges
-        longer = materialised(pairs.unionByName(pairs.select("src", F.col("dst").alias("mid")).join(pairs.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")).distinct())
-        if longer.count() == pairs.count():
-            break
-        pairs = longer
-    return pairs.where("src = dst").select(F.col("src").alias("id")).distinct()
+        ends = core.select("predicate", F.col("src").alias("dst")).distinct(), core.select("predicate", F.col("dst").alias("src")).distinct()
+        core = materialised(core.join(ends[0], ["predicate", "dst"], "left_semi").join(ends[1], ["predicate", "src"], "left_semi").select("predicate", "src", "dst"))
+        before, n = n, core.count()
+        if n == before:
+            return core
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(predicate, id): nodes on a cycle of edges of one predicate, for all predicates together; an edge to itself is one.
+
+    What peeling leaves is coloured: each node takes the least name that reaches it. A node that keeps its own name is the
+    root of a strongly connected component, which is what reaches the root among nodes of its colour. These components
+    are taken out and the rest is peeled and coloured again. Loops carry one row for each node or edge, never for each pair of nodes.
+    """
+    core, found = _peeled(materialised(edges.select("predicate", "src", "dst").distinct())), None
+    while not core.isEmpty():
+        node = F.explode(F.array("src", "dst")).alias("id")
+        colour = materialised(core.select("predicate", node).distinct().withColumn("colour", F.col("id")))
+        while True:
+            sent = core.join(colour.withColumnRenamed("id", "src"), ["predicate", "src"]).groupBy("predicate", F.col("dst").alias("id")).agg(F.min("colour").alias("sent"))
+            new = colour.join(sent, ["predicate", "id"], "left").select("predicate", "id", F.least("colour", F.coalesce("sent", "colour")).alias("colour"), (F.col("sent") < F.col("colour")).alias("moved"))
+            new = materialised(new)
+            colour = new.drop("moved")
+            if new.where("moved").isEmpty():
+                break
+        of = lambda end: colour.select("predicate", F.col("id").alias(end), "colour")
+        inner = materialised(core.join(of("src"), ["predicate", "src"]).join(of("dst"), ["predicate", "dst", "colour"]).select("predicate", "src", "dst"))
+        part = materialised(colour.where("id = colour").select("predicate", "id"))
+        fresh = part
+        while not fresh.isEmpty():
+            back = inner.join(fresh.withColumnRenamed("id", "dst"), ["predicate", "dst"], "left_semi").select("predicate", F.col("src").alias("id")).distinct()
+            fresh = materialised(back.join(part, ["predicate", "id"], "left_anti"))
+            part = part.unionByName(fresh)
+        part = materialised(part.join(colour, ["predicate", "id"]))
+        large = part.groupBy("predicate", "colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("predicate", "colour")
+        loops = core.where("src = dst").select("predicate", F.col("src").alias("id"))
+        on = part.join(large, ["predicate", "colour"], "left_semi").select("predicate", "id").unionByName(part.join(loops, ["predicate", "id"], "left_semi").select("predicate", "id")).distinct()
+        on = materialised(on)
+        found = on if found is None else found.unionByName(on)
+        gone = part.select("predicate", "id")
+        core = core.join(gone.withColumnRenamed("id", "src"), ["predicate", "src"], "left_anti").join(gone.withColumnRenamed("id", "dst"), ["predicate", "dst"], "left_anti")
+        core = _peeled(materialised(core.select("predicate", "src", "dst")))
+    return edges.select("predicate", F.col("src").alias("id")).limit(0) if found is None else found
+
+
+def cycle_nodes(edges: DataFrame, predicate: str) -> DataFrame:
+    """(id): nodes on a cycle of the predicate."""
+    return cycles(of_types(edges, [predicate])).select("id")
 
 
 def node_violations(nodes: DataFrame) -> DataFrame:
@@ -368,3 +426,18 @@ def flattened(nodes: DataFrame) -> DataFrame:
     cols = [c for c in nodes.columns if c != "id"]
     pairs = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in cols])
     return nodes.select("id", F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("properties"))
+
+
+def unflattened(flat: DataFrame, types: dict[str, str]) -> DataFrame:
+    """(id, columns of types): the map of texts of flattened() as columns of these types again; what is not in the map is null."""
+    return flat.select("id", *[F.try_element_at("properties", F.lit(c)).cast(t).alias(c) for c, t in types.items()])
+
+
+def edge_violations(edges: DataFrame, predicates: list[str]) -> DataFrame:
+    """(id, violation): a row for each rule an edge breaks: its ends, a known predicate, its confidence, no edge to itself."""
+    rules = {
+        "missing_source": F.col("src").isNull() | (F.trim("src") == ""), "missing_target": F.col("dst").isNull() | (F.trim("dst") == ""), "unknown_predicate": ~F.coalesce(F.col("predicate"), F.lit("")).isin(predicates),
+        "confidence_range": ~F.col("confidence").between(0, 1), "self_loop": F.col("src") == F.col("dst"),
+    }
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), k) for k, c in rules.items()]))
+    return edges.select("id", F.explode(broken).alias("violation"))

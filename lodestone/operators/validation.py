@@ -8,17 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.graph import INVERSES
+from lodestone.operators.graph import INVERSES, cycles
 
 #: Predicate, type of the subject, type of the object.
 TYPE_RULES = [
     ("teacher_of", "person", "person"), ("student_of", "person", "person"), ("incarnation_of", "person", "person"), ("lived_at", "person", "place"), ("wrote", "person", "text"),
     ("cites", "text", "text"), ("within", "place", "place"), ("located_at", "institution", "place"), ("attended", "person", "event"), ("mentions", "event", "text"),
+    ("commentary_on", "text", "text"),
 ]
 
 
 def with_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """edges with s and o, structs of the nodes at both ends (null where there is none)."""
+    """edges with s and o, structs of the nodes at both ends (null where there is none), and year (null where edges have none)."""
+    edges = edges if "year" in edges.columns else edges.withColumn("year", F.lit(None).cast("long"))
     n = nodes.select(F.col("id").alias("_k"), F.struct("type", "birth", "death", "written").alias("_v"))
     return edges.join(n.select(F.col("_k").alias("src"), F.col("_v").alias("s")), "src", "left").join(n.select(F.col("_k").alias("dst"), F.col("_v").alias("o")), "dst", "left")
 
@@ -34,13 +36,26 @@ def type_issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("id", issue.alias("issue")).where("issue is not null")
 
 
+#: Codes that warn; all others are errors. Predicates that may come after a person's death.
+WARNINGS = ("UNUSUAL_AGE_DIFFERENCE", "LARGE_INCARNATION_GAP")
+POSTHUMOUS = ("wrote", "compiled")
+#: What to do about an issue, how surely it is right, and whether it may be done unasked.
+CORRECTIONS = [
+    ("ACTION_BEFORE_BIRTH", "modify_date", 0.5, False), ("ACTION_BEFORE_BIRTH", "mark_disputed", 0.7, False), ("ACTION_AFTER_DEATH", "modify_date", 0.5, False), ("ACTION_AFTER_DEATH", "mark_disputed", 0.7, False),
+    ("TEACHER_YOUNGER_THAN_STUDENT", "modify_date", 0.6, False), ("MISSING_INVERSE_RELATIONSHIP", "add_relationship", 0.95, True), ("SELF_RELATIONSHIP", "remove_relationship", 1.0, True), ("CIRCULAR_RELATIONSHIP", "remove_relationship", 0.5, False),
+]
+
+
 def temporal_checks() -> Column:
     """The codes of all broken rules of time, as an array."""
-    p, born, taught = F.col("predicate"), F.col("s.birth"), F.col("o.birth")
-    gap = taught - born
+    p, born, died, year = F.col("predicate"), F.col("s.birth"), F.col("s.death"), F.col("year")
+    person, people, texts = F.col("s.type") == "person", (F.col("s.type") == "person") & (F.col("o.type") == "person"), (F.col("s.type") == "text") & (F.col("o.type") == "text")
+    gap, later, earlier_text = F.col("o.birth") - born, born - F.col("o.death"), F.col("s.written") < F.col("o.written")
     checks = {
-        "TEACHER_YOUNGER": (p == "teacher_of") & (gap < 0), "UNUSUAL_AGE_DIFFERENCE": (p == "teacher_of") & (gap > 0) & (gap < 10), "STUDENT_OLDER": (p == "student_of") & (gap > 0),
-        "INVALID_INCARNATION": (p == "incarnation_of") & (born - F.col("o.death") < -1), "LARGE_INCARNATION_GAP": (p == "incarnation_of") & (born - F.col("o.death") > 50), "CITES_FUTURE": (p == "cites") & (F.col("s.written") < F.col("o.written")),
+        "ACTION_BEFORE_BIRTH": person & (year < born), "ACTION_AFTER_DEATH": person & (year > died) & ~p.isin(*POSTHUMOUS),
+        "UNUSUAL_AGE_DIFFERENCE": (p == "teacher_of") & people & (gap > 0) & (gap < 10), "TEACHER_YOUNGER_THAN_STUDENT": (p == "teacher_of") & people & (gap < 0),
+        "INVALID_INCARNATION_TIMELINE": (p == "incarnation_of") & people & (later < -1), "LARGE_INCARNATION_GAP": (p == "incarnation_of") & people & (later > 50),
+        "CITES_FUTURE_TEXT": (p == "cites") & texts & earlier_text, "COMMENTARY_BEFORE_ROOT_TEXT": (p == "commentary_on") & texts & earlier_text,
     }
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), k) for k, c in checks.items()]))
 
@@ -49,21 +64,43 @@ def temporal_issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return with_ends(nodes, edges).select("id", F.explode(temporal_checks()).alias("issue"))
 
 
+def logical_issues(edges: DataFrame) -> DataFrame:
+    """(id, issue): edges to themselves, and edges that touch a node on a cycle of their predicate."""
+    loops = edges.where("src = dst").select("id", F.lit("SELF_RELATIONSHIP").alias("issue"))
+    on = cycles(edges)
+    touch = lambda end: edges.join(on.withColumnRenamed("id", end), ["predicate", end], "left_semi").select("id")
+    return loops.unionByName(touch("src").unionByName(touch("dst")).distinct().withColumn("issue", F.lit("CIRCULAR_RELATIONSHIP")))
+
+
+def issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, issue, category, severity) of all checks."""
+    parts = {"type": type_issues(nodes, edges), "temporal": temporal_issues(nodes, edges), "logical": logical_issues(edges)}
+    every = [df.select("id", "issue", F.lit(k).alias("category")) for k, df in parts.items()]
+    return every[0].unionByName(every[1]).unionByName(every[2]).withColumn("severity", F.when(F.col("issue").isin(*WARNINGS), "warning").otherwise("error"))
+
+
+def corrections(found: DataFrame) -> DataFrame:
+    """(id, issue, action, confidence, unasked): advice for the issues that have some."""
+    advice = found.sparkSession.createDataFrame(CORRECTIONS, "issue string, action string, confidence double, unasked boolean")  # a few rows
+    return found.join(F.broadcast(advice), "issue").select("id", "issue", "action", "confidence", "unasked")
+
+
 def adjusted_confidence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, confidence): a type error gives 0; else halved for each error of time, times .85 for each warning, .3 for a loop."""
+    """(id, confidence): a type error gives 0; else halved for each error of time, times .85 for each warning, .3 for each error of logic."""
     bad = type_issues(nodes, edges).select("id").withColumn("type_error", F.lit(True))
     codes = temporal_checks()
-    warned = F.size(F.filter(codes, lambda c: c.isin("UNUSUAL_AGE_DIFFERENCE", "LARGE_INCARNATION_GAP")))
-    base = with_ends(nodes, edges).select("id", "confidence", (F.size(codes) - warned).alias("errors"), warned.alias("warnings"), (F.col("src") == F.col("dst")).cast("int").alias("loops"))
-    out = base.join(bad, "id", "left")
+    warned = F.size(F.filter(codes, lambda c: c.isin(*WARNINGS)))
+    logic = logical_issues(edges).groupBy("id").agg(F.count(F.lit(1)).alias("logic"))
+    base = with_ends(nodes, edges).select("id", "confidence", (F.size(codes) - warned).alias("errors"), warned.alias("warnings"))
+    out = base.join(bad, "id", "left").join(logic, "id", "left").withColumn("loops", F.coalesce("logic", F.lit(0)))
     value = F.when(F.col("type_error"), 0.0).otherwise(F.least(F.lit(1.0), F.col("confidence") * F.pow(F.lit(0.5), "errors") * F.pow(F.lit(0.85), "warnings") * F.pow(F.lit(0.3), "loops")))
     return out.select("id", F.round(value, 6).alias("confidence"))
 
 
 def report(nodes: DataFrame, edges: DataFrame, systematic: int = 5) -> DataFrame:
-    """(issue, n, systematic) over all checks of types and time."""
-    every = type_issues(nodes, edges).unionByName(temporal_issues(nodes, edges))
-    return every.groupBy("issue").agg(F.count(F.lit(1)).alias("n")).withColumn("systematic", F.col("n") >= systematic)
+    """(category, severity, issue, n, confidence, systematic): how often each issue occurs, and the mean confidence of its edges."""
+    every = issues(nodes, edges).join(edges.select("id", "confidence"), "id")
+    return every.groupBy("category", "severity", "issue").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence")).withColumn("systematic", F.col("n") >= systematic)
 
 
 def inverse_suggestions(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph as G
-from lodestone.sources.views import EDGES_SQL, KG_SQL, NODES_SQL, kg_edges, kg_nodes
+from lodestone.operators.validation import TYPE_RULES
+from lodestone.sources.views import DATED_SQL, EDGES_SQL, KG_SQL, NODES_SQL, dated_edges, kg_edges, kg_nodes
 
 
 def _with(f):
@@ -36,6 +37,9 @@ SELECT n.id, n.name, min(w.depth)::BIGINT AS hops FROM walk w JOIN kg_nodes n ON
 SOCIAL = ["teacher_of", "student_of", "incarnation_of", "lived_at"]
 SOCIAL_SQL = "('teacher_of', 'student_of', 'incarnation_of', 'lived_at')"
 FAMILY = ["teacher_of", "incarnation_of"]
+#: Ends of paths of one or two edges from c37, with the first edge.
+FIRSTS = f"""steps AS (SELECT node, other, id, confidence FROM und WHERE predicate IN {SOCIAL_SQL} AND confidence >= 0.82), one AS (SELECT other AS spot, id AS first, confidence AS c FROM steps WHERE node = 'c37'),
+every AS (SELECT * FROM one UNION SELECT s.other, o.first, o.c FROM one o JOIN steps s ON s.node = o.spot), ends AS (SELECT DISTINCT spot, first, c FROM every JOIN kg_nodes n ON n.id = spot WHERE spot <> 'c37' AND type IN ('person', 'place'))"""
 
 QUERIES = {
     "gr1_teacher_lineage": (_with(lambda n, e: G.teacher_lineage(e, "c83")), _lineage("teacher_of", "c83", "list_reverse(path)")),
@@ -48,6 +52,14 @@ line AS (SELECT node FROM down UNION SELECT node FROM up)
 SELECT row_number() OVER (ORDER BY coalesce(birth, 9999), id)::BIGINT AS position, id, name, birth FROM kg_nodes JOIN line ON id = node""",
     ),
     "gr4_shortest_path": (
+        _with(lambda n, e: G.shortest_path(e, "c17", "p55", 6)),
+        f"""WITH RECURSIVE {EDGES_SQL}, {UND}, best AS (SELECT node, other, max(confidence) AS c FROM und GROUP BY node, other),
+walk AS (SELECT 'c17' AS node, 0 AS depth UNION SELECT b.other, w.depth + 1 FROM walk w JOIN best b ON b.node = w.node WHERE w.depth < 6), lv AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node),
+paths AS (SELECT 'p55' AS node, ['p55'] AS path, 1.0::DOUBLE AS confidence, (SELECT depth FROM lv WHERE node = 'p55') AS depth
+  UNION ALL SELECT b.other, list_prepend(b.other, p.path), p.confidence * b.c, p.depth - 1 FROM paths p JOIN best b ON b.node = p.node JOIN lv l ON l.node = b.other AND l.depth = p.depth - 1)
+SELECT array_to_string(path, '>') AS path, len(path)::BIGINT - 1 AS length, round(confidence, 6) AS confidence FROM paths WHERE node = 'c17' ORDER BY round(confidence, 6) DESC, path LIMIT 1""",
+    ),
+    "gr4_shortest_length": (
         _with(lambda n, e: G.shortest_length(e, "c17", "p55", 6)),
         f"""WITH RECURSIVE {EDGES_SQL}, {UND}, steps AS (SELECT DISTINCT node, other FROM und), walk AS (SELECT 'c17' AS node, 0 AS depth UNION SELECT s.other, w.depth + 1 FROM walk w JOIN steps s ON s.node = w.node WHERE w.depth < 6)
 SELECT 'c17' AS start, 'p55' AS target, min(depth)::BIGINT AS length FROM walk WHERE node = 'p55' HAVING count(*) > 0""",
@@ -68,6 +80,14 @@ two AS (SELECT s.other AS spot, max(o.first) AS first, 2 AS hops FROM one o JOIN
 best AS (SELECT spot, min(hops) AS hops, max(first) AS first FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE spot <> 'c37' GROUP BY spot)
 SELECT id, type, name, hops::BIGINT AS hops, round(first, 6) AS confidence FROM kg_nodes JOIN best ON id = spot WHERE type IN ('person', 'place')""",
     ),
+    "gr6_network_edges": (
+        _with(lambda n, e: G.network_edges(G.network_paths(n, e, "c37", 2, 0.82, SOCIAL, ["person", "place"]))),
+        f"WITH {KG_SQL}, {UND}, {FIRSTS} SELECT first AS id, round(max(c), 6) AS confidence FROM ends GROUP BY first",
+    ),
+    "gr6_network_summary": (
+        _with(lambda n, e: G.network_summary(G.network_paths(n, e, "c37", 2, 0.82, SOCIAL, ["person", "place"]))),
+        f"WITH {KG_SQL}, {UND}, {FIRSTS} SELECT count(DISTINCT spot) AS nodes, count(DISTINCT first) AS edges, round(avg(c), 6) AS confidence FROM ends",
+    ),
     "gr7_contemporaries": (
         _with(lambda n, e: G.contemporaries(n, e, "c37", 30)),
         f"""WITH {NODES_SQL}, me AS (SELECT birth AS b, coalesce(death, birth + 80) AS d FROM kg_nodes WHERE id = 'c37')
@@ -138,6 +158,19 @@ FROM kg_nodes WHERE merge_status = 'active' AND contains(lower(name), 'supplier#
         _with(lambda n, e: G.search(n, "FRANCE", fuzzy=False)),
         f"WITH {NODES_SQL} SELECT id, type, name, 1.0::DOUBLE AS score FROM kg_nodes WHERE merge_status = 'active' AND name = 'FRANCE' ORDER BY name, id LIMIT 20",
     ),
+    "gr17_search_exact_name": (
+        _with(lambda n, e: G.search(n.where("type = 'text'"), "red widget", fuzzy=False)),
+        f"WITH {NODES_SQL} SELECT id, type, name, 1.0::DOUBLE AS score FROM kg_nodes WHERE type = 'text' AND merge_status = 'active' AND name = 'red widget' ORDER BY name, id LIMIT 20",
+    ),
+    "gr21_cycles_whole": (_with(lambda n, e: G.cycles(e)), None),
+    "gr22_edge_violations": (
+        lambda s, d: G.edge_violations(dated_edges(s, d), [p for p, _, _ in TYPE_RULES]).groupBy("violation").agg(F.count(F.lit(1)).alias("n")),
+        f"WITH {DATED_SQL}, v AS (SELECT CASE WHEN src = dst THEN 'self_loop' WHEN predicate = 'alludes_to' THEN 'unknown_predicate' END AS violation FROM dated) SELECT violation, count(*) AS n FROM v WHERE violation IS NOT NULL GROUP BY violation",
+    ),
+    "gr23_unflatten": (
+        _with(lambda n, e: G.unflattened(G.flattened(n), {"name": "string", "birth": "long", "lat": "double", "verified": "boolean"})),
+        f"WITH {NODES_SQL} SELECT id, name, birth, lat, verified FROM kg_nodes",
+    ),
     "gr18_counts": (_with(lambda n, e: G.label_counts(n, e)), f"WITH {KG_SQL} SELECT 'node' AS kind, type AS label, count(*) AS n FROM kg_nodes GROUP BY type UNION ALL SELECT 'edge', predicate, count(*) FROM kg_edges GROUP BY predicate"),
     "gr19_merge_rewire": (
         _with(lambda n, e: G.merge_rewire(G.of_types(e, SOCIAL), "c37", "c137").withColumn("confidence", F.round("confidence", 6))),

@@ -10,13 +10,18 @@ from lodestone.operators import relational as R
 from lodestone.operators import resolution as E
 from lodestone.operators import validation as V
 from lodestone.session import table
-from lodestone.sources.views import EDGES_SQL, KG_SQL, NODES_SQL, kg_edges, kg_nodes
+from lodestone.sources.views import DATED_SQL, EDGES_SQL, KG_SQL, NODES_SQL, dated_edges, kg_edges, kg_nodes
 
 
 def _with(f):
     return lambda spark, folder: f(kg_nodes(spark, folder), kg_edges(spark, folder))
 
 
+def _dated(f):
+    """f(nodes, edges with years and faults) as a query."""
+    return lambda spark, folder: f(kg_nodes(spark, folder), dated_edges(spark, folder))
+
+
 def _copy(nodes):
     """A second store of the nodes that lags behind: some missing, some changed."""
     k = F.regexp_extract("id", r"\d+", 0).cast("long")
@@ -30,11 +35,19 @@ def _entities(nodes):
 
 K = "regexp_extract(id, '[0-9]+')::BIGINT"
 COPY = f"{NODES_SQL}, other AS (SELECT id, CASE WHEN {K} % 60 = 5 THEN name || '?' ELSE name END AS name, CASE WHEN {K} % 40 = 3 THEN confidence + 0.05::DOUBLE ELSE confidence END AS confidence FROM kg_nodes WHERE {K} % 50 <> 7)"
-ENDS = f"{KG_SQL}, en AS (SELECT e.*, s.type AS st, s.birth AS sb, s.death AS sd, s.written AS sw, o.type AS ot, o.birth AS ob, o.death AS od, o.written AS ow FROM kg_edges e LEFT JOIN kg_nodes s ON s.id = src LEFT JOIN kg_nodes o ON o.id = dst)"
+ENDS = f"{DATED_SQL}, en AS (SELECT e.*, s.type AS st, s.birth AS sb, s.death AS sd, s.written AS sw, o.type AS ot, o.birth AS ob, o.death AS od, o.written AS ow FROM dated e LEFT JOIN kg_nodes s ON s.id = src LEFT JOIN kg_nodes o ON o.id = dst)"
 TYPES = "rules(predicate, subject, object) AS (VALUES " + ", ".join(map(str, V.TYPE_RULES)) + "), ti AS (SELECT id, CASE WHEN subject IS NULL THEN 'UNKNOWN_PREDICATE' WHEN st IS NULL OR ot IS NULL THEN 'MISSING_ENTITY' WHEN st <> subject THEN 'INVALID_SUBJECT_TYPE' WHEN ot <> object THEN 'INVALID_OBJECT_TYPE' END AS issue FROM en LEFT JOIN rules USING (predicate))"
-TIME = """tm AS (SELECT id, 'TEACHER_YOUNGER' AS issue FROM en WHERE predicate = 'teacher_of' AND ob < sb UNION ALL SELECT id, 'UNUSUAL_AGE_DIFFERENCE' FROM en WHERE predicate = 'teacher_of' AND ob - sb > 0 AND ob - sb < 10
-UNION ALL SELECT id, 'STUDENT_OLDER' FROM en WHERE predicate = 'student_of' AND ob > sb UNION ALL SELECT id, 'INVALID_INCARNATION' FROM en WHERE predicate = 'incarnation_of' AND sb - od < -1
-UNION ALL SELECT id, 'LARGE_INCARNATION_GAP' FROM en WHERE predicate = 'incarnation_of' AND sb - od > 50 UNION ALL SELECT id, 'CITES_FUTURE' FROM en WHERE predicate = 'cites' AND sw < ow)"""
+TIME = """tm AS (SELECT id, 'TEACHER_YOUNGER_THAN_STUDENT' AS issue FROM en WHERE predicate = 'teacher_of' AND ob < sb UNION ALL SELECT id, 'UNUSUAL_AGE_DIFFERENCE' FROM en WHERE predicate = 'teacher_of' AND ob - sb > 0 AND ob - sb < 10
+UNION ALL SELECT id, 'ACTION_BEFORE_BIRTH' FROM en WHERE st = 'person' AND year < sb UNION ALL SELECT id, 'ACTION_AFTER_DEATH' FROM en WHERE st = 'person' AND year > sd AND predicate NOT IN ('wrote', 'compiled')
+UNION ALL SELECT id, 'INVALID_INCARNATION_TIMELINE' FROM en WHERE predicate = 'incarnation_of' AND sb - od < -1 UNION ALL SELECT id, 'LARGE_INCARNATION_GAP' FROM en WHERE predicate = 'incarnation_of' AND sb - od > 50
+UNION ALL SELECT id, 'CITES_FUTURE_TEXT' FROM en WHERE predicate = 'cites' AND sw < ow UNION ALL SELECT id, 'COMMENTARY_BEFORE_ROOT_TEXT' FROM en WHERE predicate = 'commentary_on' AND sw < ow)"""
+LOGIC = """own AS (SELECT DISTINCT src, dst FROM dated WHERE predicate = 'cites'), reach AS (SELECT src AS start, dst AS node FROM own UNION SELECT w.start, o.dst FROM reach w JOIN own o ON o.src = w.node),
+cyc AS (SELECT DISTINCT 'cites' AS predicate, start AS id FROM reach WHERE start = node UNION SELECT predicate, src FROM dated WHERE src = dst),
+li AS (SELECT id, 'SELF_RELATIONSHIP' AS issue FROM dated WHERE src = dst UNION ALL SELECT DISTINCT d.id, 'CIRCULAR_RELATIONSHIP' FROM dated d JOIN cyc c ON c.predicate = d.predicate AND (c.id = d.src OR c.id = d.dst))"""
+CHECKED = f"RECURSIVE {ENDS}, {TYPES}, {TIME}, {LOGIC}, vi AS (SELECT id, issue, 'type' AS category FROM ti WHERE issue IS NOT NULL UNION ALL SELECT id, issue, 'temporal' FROM tm UNION ALL SELECT id, issue, 'logical' FROM li)"
+SEVERITY = "CASE WHEN issue IN ('UNUSUAL_AGE_DIFFERENCE', 'LARGE_INCARNATION_GAP') THEN 'warning' ELSE 'error' END"
+ADJUSTED = f"""WITH {CHECKED}, w AS (SELECT id, count(*) FILTER (category = 'type') AS t, count(*) FILTER (category = 'temporal' AND {SEVERITY} = 'error') AS e, count(*) FILTER ({SEVERITY} = 'warning') AS w, count(*) FILTER (category = 'logical') AS l FROM vi GROUP BY id)
+SELECT d.id, round(CASE WHEN t > 0 THEN 0.0 ELSE least(1.0, confidence * pow(0.5, coalesce(e, 0)) * pow(0.85, coalesce(w, 0)) * pow(0.3, coalesce(l, 0))) END::DOUBLE, 6) AS confidence FROM dated d LEFT JOIN w USING (id)"""
 #: The phonetic key in SQL, for a word of ASCII letters.
 KEY = lambda w: f"(CASE WHEN regexp_replace(upper({w}), '[^A-Z]', '', 'g') = '' THEN '0000' ELSE rpad(regexp_replace(upper({w}), '[^A-Z]', '', 'g')[1] || replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(upper({w}), '[^A-Z]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202'), '0+', '0', 'g'), '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g')[2:], '0', ''), 4, '0')[1:4] END)"
 NAME = "trim(regexp_replace(lower(name), '[-_.,]', ' ', 'g'))"
@@ -59,6 +72,14 @@ sc AS (SELECT a.id AS id1, b.id AS id2, n, CASE WHEN a.birth IS NULL OR b.birth
 
 
 QUERIES = {
+    "jn1_orphans_of_citations": (
+        _with(lambda n, e: R.orphans(n, G.of_types(e, ["cites", "attended", "lived_at"])).groupBy("type").agg(F.count(F.lit(1)).alias("n"))),
+        f"WITH {KG_SQL}, own AS (SELECT * FROM kg_edges WHERE predicate IN ('cites', 'attended', 'lived_at')) SELECT type, count(*) AS n FROM kg_nodes WHERE id NOT IN (SELECT src FROM own UNION SELECT dst FROM own) GROUP BY type",
+    ),
+    "jn8_id_diff_both": (
+        _with(lambda n, e: R.id_diff(n.where("confidence < 0.9"), _copy(n)).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))),
+        f"WITH {COPY}, l AS (SELECT id FROM kg_nodes WHERE confidence < 0.9) SELECT side, count(*) AS n, min(id) AS first FROM (SELECT id, 'left_only' AS side FROM l WHERE id NOT IN (SELECT id FROM other) UNION ALL SELECT id, 'right_only' FROM other WHERE id NOT IN (SELECT id FROM l)) GROUP BY side",
+    ),
     "jn1_orphans": (_with(lambda n, e: R.orphans(n, e).groupBy("type").agg(F.count(F.lit(1)).alias("n"))), f"WITH {KG_SQL} SELECT type, count(*) AS n FROM kg_nodes WHERE id NOT IN (SELECT src FROM kg_edges UNION SELECT dst FROM kg_edges) GROUP BY type"),
     "jn4_semi_join": (_with(lambda n, e: n.join(G.of_types(e, ["cites"]).select(F.col("dst").alias("id")), "id", "left_semi").select("id")), f"WITH {KG_SQL} SELECT id FROM kg_nodes WHERE id IN (SELECT dst FROM kg_edges WHERE predicate = 'cites')"),
     "jn8_id_diff": (_with(lambda n, e: R.id_diff(n, _copy(n))), f"WITH {COPY} SELECT id, 'left_only' AS side FROM kg_nodes WHERE id NOT IN (SELECT id FROM other)"),
@@ -140,28 +161,31 @@ root AS (SELECT start AS id, min(node) AS cluster FROM walk GROUP BY start) SELE
 SELECT a.id, b.id AS merged_id, CASE WHEN a.confidence >= b.confidence THEN a.birth ELSE b.birth END AS birth, round(0.6::DOUBLE * greatest(a.confidence, b.confidence) + 0.4::DOUBLE * least(a.confidence, b.confidence), 6) AS confidence, a.verified OR b.verified AS verified,
   ((a.birth <> b.birth)::INT + (a.death <> b.death)::INT + (a.tradition <> b.tradition)::INT) AS conflicts FROM p a JOIN p b ON b.key = a.key + 900""",
     ),
-    "rv1_type_issues": (_with(lambda n, e: V.type_issues(n, e).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))), f"WITH {ENDS}, {TYPES} SELECT issue, count(*) AS n FROM ti WHERE issue IS NOT NULL GROUP BY issue"),
-    "rv2_temporal_issues": (_with(lambda n, e: V.temporal_issues(n, e)), f"WITH {ENDS}, {TIME} SELECT * FROM tm"),
+    "rv1_type_issues": (_dated(lambda n, e: V.type_issues(n, e).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))), f"WITH {ENDS}, {TYPES} SELECT issue, count(*) AS n FROM ti WHERE issue IS NOT NULL GROUP BY issue"),
+    "rv2_temporal_issues": (_dated(lambda n, e: V.temporal_issues(n, e)), f"WITH {ENDS}, {TIME} SELECT * FROM tm"),
+    "rv3_logical_issues": (_dated(lambda n, e: V.logical_issues(e)), f"WITH RECURSIVE {DATED_SQL}, {LOGIC} SELECT * FROM li"),
+    "rv6_corrections": (
+        _dated(lambda n, e: V.corrections(V.issues(n, e)).groupBy("issue", "action", "confidence", "unasked").agg(F.count(F.lit(1)).alias("n"))),
+        f"WITH {CHECKED}, adv(issue, action, confidence, unasked) AS (VALUES {', '.join(map(str, V.CORRECTIONS))}) SELECT issue, action, confidence::DOUBLE AS confidence, unasked, count(*) AS n FROM vi JOIN adv USING (issue) GROUP BY ALL",
+    ),
     "rv4_inverse_suggestions": (
         _with(lambda n, e: V.inverse_suggestions(G.of_types(e, ["teacher_of", "student_of"]))),
         f"WITH {EDGES_SQL} SELECT dst AS src, CASE predicate WHEN 'teacher_of' THEN 'student_of' ELSE 'teacher_of' END AS predicate, src AS dst, 0.95::DOUBLE AS confidence FROM kg_edges a WHERE predicate IN ('teacher_of', 'student_of') AND NOT EXISTS (SELECT 1 FROM kg_edges b WHERE b.src = a.dst AND b.dst = a.src AND b.predicate = CASE a.predicate WHEN 'teacher_of' THEN 'student_of' ELSE 'teacher_of' END)",
     ),
     "rv5_adjusted_confidence": (
-        _with(lambda n, e: V.adjusted_confidence(n, G.of_types(e, ["teacher_of", "student_of", "incarnation_of", "cites"]))),
-        f"""WITH {ENDS}, {TYPES}, {TIME}, w AS (SELECT id, count(*) FILTER (issue NOT IN ('UNUSUAL_AGE_DIFFERENCE', 'LARGE_INCARNATION_GAP')) AS e, count(*) FILTER (issue IN ('UNUSUAL_AGE_DIFFERENCE', 'LARGE_INCARNATION_GAP')) AS w FROM tm GROUP BY id)
-SELECT en.id, round(CASE WHEN ti.issue IS NOT NULL THEN 0.0 ELSE least(1.0, en.confidence * pow(0.5, coalesce(w.e, 0)) * pow(0.85, coalesce(w.w, 0)) * CASE WHEN src = dst THEN 0.3 ELSE 1.0 END) END::DOUBLE, 6) AS confidence FROM en JOIN ti USING (id) LEFT JOIN w USING (id) WHERE predicate IN ('teacher_of', 'student_of', 'incarnation_of', 'cites')""",
+        _dated(lambda n, e: V.adjusted_confidence(n, G.of_types(e, ["teacher_of", "student_of", "incarnation_of", "cites"]))),
+        f"SELECT * FROM ({ADJUSTED} WHERE predicate IN ('teacher_of', 'student_of', 'incarnation_of', 'cites'))",
     ),
     "rv4_inverse_suggestions_whole": (
         _with(lambda n, e: V.inverse_suggestions(e)),
         f"""WITH {EDGES_SQL}, m(p, q) AS (VALUES {", ".join(str(x) for x in G.INVERSES.items())})
 SELECT dst AS src, q AS predicate, src AS dst, 0.95::DOUBLE AS confidence FROM kg_edges a JOIN m ON p = predicate WHERE NOT EXISTS (SELECT 1 FROM kg_edges b WHERE b.src = a.dst AND b.dst = a.src AND b.predicate = q)""",
     ),
-    "rv5_adjusted_confidence_whole": (
-        _with(lambda n, e: V.adjusted_confidence(n, e)),
-        f"""WITH {ENDS}, {TYPES}, {TIME}, w AS (SELECT id, count(*) FILTER (issue NOT IN ('UNUSUAL_AGE_DIFFERENCE', 'LARGE_INCARNATION_GAP')) AS e, count(*) FILTER (issue IN ('UNUSUAL_AGE_DIFFERENCE', 'LARGE_INCARNATION_GAP')) AS w FROM tm GROUP BY id)
-SELECT en.id, round(CASE WHEN ti.issue IS NOT NULL THEN 0.0 ELSE least(1.0, en.confidence * pow(0.5, coalesce(w.e, 0)) * pow(0.85, coalesce(w.w, 0)) * CASE WHEN src = dst THEN 0.3 ELSE 1.0 END) END::DOUBLE, 6) AS confidence FROM en JOIN ti USING (id) LEFT JOIN w USING (id)""",
+    "rv5_adjusted_confidence_whole": (_dated(lambda n, e: V.adjusted_confidence(n, e)), ADJUSTED),
+    "ag26_validation_report": (
+        _dated(lambda n, e: V.report(n, e)),
+        f"WITH {CHECKED} SELECT category, {SEVERITY} AS severity, issue, count(*) AS n, round(avg(confidence), 6) AS confidence, count(*) >= 5 AS systematic FROM vi JOIN dated USING (id) GROUP BY ALL",
     ),
-    "ag26_validation_report": (_with(lambda n, e: V.report(n, e)), f"WITH {ENDS}, {TYPES}, {TIME} SELECT issue, count(*) AS n, count(*) >= 5 AS systematic FROM (SELECT * FROM ti WHERE issue IS NOT NULL UNION ALL SELECT * FROM tm) GROUP BY issue"),
     "tr7_cycle_years": (
         _with(lambda n, e: n.where("type = 'person'").select("id", V.year_to_cycle(F.col("birth")).alias("c")).select("id", "c.cycle", "c.year", V.element_animal(F.col("c.year")).alias("sign"))),
         f"""WITH {NODES_SQL}, c AS (SELECT id, CASE WHEN birth >= 1027 THEN (birth - 1027) // 60 + 1 END AS cycle, CASE WHEN birth >= 1027 THEN (birth - 1027) % 60 + 1 END AS year FROM kg_nodes WHERE type = 'person')

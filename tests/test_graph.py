@@ -43,6 +43,17 @@ def test_paths(kg):
     assert G.shortest_length(kg[1], "tilopa", "songs").first().length == 4
     assert G.shortest_length(kg[1], "tilopa", "drup").count() == 0
     assert G.shortest_paths(kg[1], "tilopa", "marpa").first().path == "tilopa>naropa>marpa"
+    r = G.shortest_path(kg[1], "tilopa", "songs").first()
+    assert (r.path, r.length, r.confidence) == ("tilopa>naropa>marpa>milarepa>songs", 4, 0.775690)
+    assert G.shortest_path(kg[1], "tilopa", "drup").count() == 0
+
+
+def test_network(kg):
+    paths = G.network_paths(*kg, "milarepa", 2)
+    assert {r.id: r.hops for r in G.network(*kg, "milarepa", 2).collect()} == {"marpa": 1, "naropa": 2, "gampopa": 1, "songs": 1, "lhodrak": 1}
+    assert {r.id for r in G.network_edges(paths).collect()} == {f"{p}:{s}:{d}" for s, p, d, _ in EDGES[2:4] + EDGES[5:]}
+    r = G.network_summary(paths).first()
+    assert (r.nodes, r.edges, r.confidence) == (5, 4, 0.92)
 
 
 def test_components_and_cycles(kg, spark):
@@ -52,6 +63,22 @@ def test_components_and_cycles(kg, spark):
     assert {r.id for r in G.cycle_nodes(loop, "cites").collect()} == {"a", "b", "c"}
 
 
+def test_cycles_of_a_random_graph(spark):
+    """Against reachability of all pairs; a cycle counts within one predicate only."""
+    import random
+
+    draw = random.Random(3)
+    edges = {(draw.choice("pq"), f"n{draw.randrange(40):02}", f"n{draw.randrange(40):02}") for _ in range(90)} | {("r", "z", "z"), ("r", "z", "y")}
+    reach = {p: {(a, b) for q, a, b in edges if q == p} for p in "pqr"}
+    for pairs in reach.values():
+        while more := {(a, d) for a, b in pairs for c, d in pairs if b == c} - pairs:
+            pairs |= more
+    df = spark.createDataFrame([("", a, p, b, 1.0) for p, a, b in edges], "id string, src string, predicate string, dst string, confidence double")
+    got = {(r.predicate, r.id) for r in G.cycles(df).collect()}
+    assert got == {(p, a) for p, pairs in reach.items() for a, b in pairs if a == b} and len(got) > 5
+    assert G.cycles(df.limit(0)).count() == 0
+
+
 def test_whole_graph_queries(spark):
     from collections import Counter
 
@@ -87,7 +114,7 @@ def test_near_places(kg):
 
 def test_validation(kg):
     assert V.type_issues(*kg).count() == 0
-    assert V.temporal_issues(*kg).where("issue = 'TEACHER_YOUNGER'").first().id == "teacher_of:naropa:marpa"
+    assert V.temporal_issues(*kg).where("issue = 'TEACHER_YOUNGER_THAN_STUDENT'").first().id == "teacher_of:naropa:marpa"
     confidence = {r.id: r.confidence for r in V.adjusted_confidence(*kg).collect()}
     assert confidence["teacher_of:naropa:marpa"] == 0.485
 
