@@ -61,7 +61,8 @@ def temporal_checks() -> Column:
 
 
 def temporal_issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return with_ends(nodes, edges).select("id", F.explode(temporal_checks()).alias("issue"))
+    codes = with_ends(nodes, edges).select("id", temporal_checks().alias("issues"))  # fields of structs must not be taken in explode itself: a limit over it then loses rows
+    return codes.select("id", F.explode("issues").alias("issue"))
 
 
 def logical_issues(edges: DataFrame) -> DataFrame:
