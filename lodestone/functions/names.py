@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Honorifics that are no part of a name.
-HONORIFICS = ("rinpoche", "lama", "geshe", "khenpo", "tulku", "je", "lotsawa", "pandita", "acharya")
+HONORIFICS = ("rinpoche", "lama", "je", "rje", "རིན་པོ་ཆེ", "བླ་མ", "རྗེ", "lotsawa", "པཎ་ཆེན", "panchen", "dalai", "དལའི", "khenpo", "མཁན་པོ", "geshe", "དགེ་བཤེས", "tulku", "སྤྲུལ་སྐུ")
 #: Letters with marks and what they are without.
-MARKED = ("āīūṛṝḷḹēōṃṁḥñṅṇṭḍśṣéèêëáàâäíìîïóòôöúùûüçÿ", "aiurrlleommhnnntdsseeeeaaaaiiiioooouuuucy")
+MARKED = ("āīūṛṝḷḹēōṃṁḥñṅṇṭḍśṣéèêëáàâäãíìîïóòôöõúùûüçÿ", "aiurrlleommhnnntdsseeeeaaaaaiiiiooooouuuucy")
+#: Spellings by letter and what they sound like.
+SPELLINGS = {
+    "bla ma": ("lama",), "mar pa": ("marpa",), "mi la": ("milarepa", "mila"), "sgam po pa": ("gampopa",), "tsong kha pa": ("tsongkhapa", "je tsongkhapa"), "pad+ma": ("padma", "pema"), "sa skya": ("sakya",), "dge lugs": ("gelug", "geluk"),
+    "rnying ma": ("nyingma",), "bka' brgyud": ("kagyu", "kagyü"), "jo bo rje": ("atisha", "jowo je"), "tā la'i bla ma": ("dalai lama",),
+}
 #: Codes of a phonetic key by letter.
 SOUNDS = {"BFPV": "1", "CGJKQSXZ": "2", "DT": "3", "L": "4", "MN": "5", "R": "6"}
 
@@ -61,10 +66,46 @@ def length_penalty(a: Column, b: Column) -> Column:
     return F.when(short == 0, 0.5).when(ratio >= 0.7, 1.0).when(ratio >= 0.5, 0.95).when(ratio >= 0.3, 0.85).otherwise(0.7)
 
 
+def same_spelling(a: Column, b: Column) -> Column:
+    """.98 where one name has a spelling by letter and the other what it sounds like, else 0."""
+    has = lambda name, forms: F.coalesce(name.rlike("|".join(rf"\Q{f}\E" for f in forms)), F.lit(False))
+    met = F.lit(False)
+    for letters, sounds in SPELLINGS.items():
+        met = met | (has(a, (letters,)) & has(b, sounds)) | (has(b, (letters,)) & has(a, sounds))
+    return F.when(met, 0.98).otherwise(0.0)
+
+
 def name_similarity(a: Column, b: Column) -> Column:
-    """0..1: 1 for equal names after normalising; else edits, sounds and words by weight, less a penalty for unlike lengths."""
+    """0..1: 1 for equal names after normalising, .98 for two spellings of one; else edits, sounds and words by weight, less a
+    penalty for unlike lengths."""
     mixed = (0.5 * edit_similarity(a, b) + 0.2 * phonetic_similarity(a, b) + 0.2 * word_overlap(a, b)) * length_penalty(a, b)
-    return F.when(a == b, 1.0).otherwise(mixed)
+    return F.when(a == b, 1.0).when(same_spelling(a, b) > 0.95, 0.98).otherwise(mixed)
+
+
+def match_type(a: Column, b: Column) -> Column:
+    """Struct (type, score, confidence): how two normalised names are alike."""
+    s, spelled, sounds = name_similarity(a, b), same_spelling(a, b), phonetic_similarity(a, b)
+    kind = F.when(a == b, "exact").when(spelled > 0.95, "transliteration").when(sounds > 0.8, "phonetic").when(word_overlap(a, b) > 0.7, "word").otherwise("fuzzy")
+    return F.struct(kind.alias("type"), F.round(s, 6).alias("score"), F.round(s * F.when(kind == "exact", 1.0).when(kind == "transliteration", 0.95).otherwise(0.9), 6).alias("confidence"))
+
+
+def best_of_variants(a: Column, b: Column) -> Column:
+    """The highest similarity of any name of one array with any of the other; null where either has none."""
+    scores = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: name_similarity(normalised(x), normalised(y)))))
+    return F.array_max(scores)
+
+
+def set_overlap(a: Column, b: Column) -> Column:
+    """Shared elements over all elements of two arrays, null being empty; null where both are empty."""
+    x, y = (F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))) for c in (a, b))
+    union = F.size(F.array_union(x, y))
+    return F.when(union > 0, F.size(F.array_intersect(x, y)) / F.greatest(union, F.lit(1)))
+
+
+def mean_known(*signals: Column) -> Column:
+    """The mean of the signals that are not null; .5 where all are."""
+    known = F.array_compact(F.array(*signals))
+    return F.when(F.size(known) == 0, 0.5).otherwise(F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(known), F.lit(1)))
 
 
 def similarity_class(s: Column) -> Column:

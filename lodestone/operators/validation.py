@@ -1,4 +1,4 @@
-"""Checks of edges against rules of types, time and logic, and dates out of texts.
+"""Checks of edges against rules of types, time and logic.
 
 The rules are a small table; entities are joined to both ends of an edge once, and each check is a column.
 """
@@ -109,42 +109,3 @@ def inverse_suggestions(edges: DataFrame) -> DataFrame:
     known = F.create_map(*[F.lit(x) for pair in INVERSES.items() for x in pair])
     want = edges.where(F.col("predicate").isin(list(INVERSES))).select(F.col("dst").alias("src"), F.element_at(known, F.col("predicate")).alias("predicate"), F.col("src").alias("dst"))
     return want.join(edges.select("src", "predicate", "dst"), ["src", "predicate", "dst"], "left_anti").withColumn("confidence", F.lit(0.95))
-
-
-#: Elements and animals of the sixty-year cycle, the cycle's first year.
-ELEMENTS = ("fire", "earth", "iron", "water", "wood")
-ANIMALS = ("rabbit", "dragon", "snake", "horse", "sheep", "monkey", "bird", "dog", "pig", "mouse", "ox", "tiger")
-FIRST_CYCLE = 1027
-#: Share of a century that its early, middle and late years stand for.
-PARTS = {"early": 20, "mid": 50, "late": 80}
-
-
-def cycle_year(cycle: Column, year: Column) -> Column:
-    return FIRST_CYCLE + (cycle - 1) * 60 + (year - 1)
-
-
-def year_to_cycle(year: Column) -> Column:
-    """Struct of the cycle's number and the year in it; null before the first cycle."""
-    past = year - FIRST_CYCLE
-    return F.when(past >= 0, F.struct((F.floor(past / 60) + 1).alias("cycle"), (past % 60 + 1).alias("year")))
-
-
-def element_animal(year_in_cycle: Column) -> Column:
-    i = (year_in_cycle - 1).cast("int")
-    sign = F.concat_ws("-", F.element_at(F.array(*map(F.lit, ELEMENTS)), F.floor(i / 4).cast("int") % 5 + 1), F.element_at(F.array(*map(F.lit, ANIMALS)), i % 12 + 1))
-    return F.when(year_in_cycle.isNotNull(), sign)
-
-
-def resolve_date(text: Column) -> Column:
-    """Struct (year, rule, confidence) of a date's text: a year from 600 to 2100, a year of a cycle, a part of a century; else null."""
-    t = F.lower(F.trim(text))
-    direct = F.nullif(F.regexp_extract(t, r"^(?:c\. ?)?(\d{3,4})(?: ?(?:ce|ad))?$", 1), F.lit("")).cast("long")
-    number = lambda pattern, g: F.nullif(F.regexp_extract(t, pattern, g), F.lit("")).cast("long")
-    cyc = r"^rabjung (\d+),? year (\d+)$"
-    cycle = cycle_year(number(cyc, 1), number(cyc, 2))
-    cen = r"^(?:(early|mid|late)[ -])?(\d+)(?:st|nd|rd|th) century$"
-    part = F.regexp_extract(t, cen, 1)
-    shift = F.when(part == "early", PARTS["early"]).when(part == "late", PARTS["late"]).otherwise(PARTS["mid"])
-    century = (number(cen, 2) - 1) * 100 + shift
-    found = lambda y, rule, c: F.when(y.isNotNull(), F.struct(y.alias("year"), F.lit(rule).alias("rule"), F.lit(c).alias("confidence")))
-    return F.coalesce(found(F.when(direct.between(600, 2100), direct), "direct", 1.0), found(cycle, "cycle", 0.9), found(century, "century", 0.6))

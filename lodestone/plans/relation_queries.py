@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import dates as D
 from lodestone.functions import names as N
 from lodestone.operators import graph as G
 from lodestone.operators import relational as R
@@ -187,12 +188,12 @@ SELECT dst AS src, q AS predicate, src AS dst, 0.95::DOUBLE AS confidence FROM k
         f"WITH {CHECKED} SELECT category, {SEVERITY} AS severity, issue, count(*) AS n, round(avg(confidence), 6) AS confidence, count(*) >= 5 AS systematic FROM vi JOIN dated USING (id) GROUP BY ALL",
     ),
     "tr7_cycle_years": (
-        _with(lambda n, e: n.where("type = 'person'").select("id", V.year_to_cycle(F.col("birth")).alias("c")).select("id", "c.cycle", "c.year", V.element_animal(F.col("c.year")).alias("sign"))),
+        _with(lambda n, e: n.where("type = 'person'").select("id", D.year_to_cycle(F.col("birth")).alias("c")).select("id", "c.cycle", "c.year", D.element_animal(F.col("c.year")).alias("sign"))),
         f"""WITH {NODES_SQL}, c AS (SELECT id, CASE WHEN birth >= 1027 THEN (birth - 1027) // 60 + 1 END AS cycle, CASE WHEN birth >= 1027 THEN (birth - 1027) % 60 + 1 END AS year FROM kg_nodes WHERE type = 'person')
 SELECT id, cycle, year, (['fire', 'earth', 'iron', 'water', 'wood'][((year - 1) // 4) % 5 + 1] || '-' || ['rabbit', 'dragon', 'snake', 'horse', 'sheep', 'monkey', 'bird', 'dog', 'pig', 'mouse', 'ox', 'tiger'][(year - 1) % 12 + 1]) AS sign FROM c""",
     ),
     "tr8_resolve_dates": (
-        lambda s, d: table(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(400) + F.col("p_partkey") % 2000, F.lit(" CE"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("Rabjung "), F.col("p_partkey") % 15 + 1, F.lit(", year "), F.col("p_partkey") % 60 + 1)).otherwise(F.concat(F.lit("late "), F.col("p_partkey") % 10 + 10, F.lit("th century"))).alias("t")).select("p_partkey", V.resolve_date(F.col("t")).alias("r")).select("p_partkey", "r.year", "r.rule"),
+        lambda s, d: table(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(400) + F.col("p_partkey") % 2000, F.lit(" CE"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("Rabjung "), F.col("p_partkey") % 15 + 1, F.lit(", year "), F.col("p_partkey") % 60 + 1)).otherwise(F.concat(F.lit("late "), F.col("p_partkey") % 10 + 10, F.lit("th century"))).alias("t")).select("p_partkey", D.resolve_date(F.col("t")).alias("r")).select("p_partkey", "r.year", "r.rule"),
         "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN 400 + p_partkey % 2000 BETWEEN 600 AND 2100 THEN 400 + p_partkey % 2000 END WHEN 1 THEN 1027 + (p_partkey % 15) * 60 + p_partkey % 60 ELSE (p_partkey % 10 + 9) * 100 + 80 END AS year, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN 400 + p_partkey % 2000 BETWEEN 600 AND 2100 THEN 'direct' END WHEN 1 THEN 'cycle' ELSE 'century' END AS rule FROM part",
     ),
 }
