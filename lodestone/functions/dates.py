@@ -65,16 +65,15 @@ def era_year(text: Column) -> Column:
     """Struct (year, confidence) of an era named in a text: its middle, or a fifth from its start (early, beginning) or end (late, end)."""
     t = F.lower(F.coalesce(text, F.lit("")))
     early, late = t.contains("early") | t.contains("beginning"), t.contains("late") | t.contains("end")
-    out = None
-    for names, first, last, sure in ERAS:
-        fifth = (last - first) // 5
-        named = F.lit(False)
-        for n in names:
-            named = named | t.contains(n.lower())
-        year = F.when(early, first + fifth).when(late, last - fifth).otherwise((first + last) // 2).cast("long")
-        value = F.struct(year.alias("year"), F.round(F.when(early | late, sure * 0.8).otherwise(sure * 0.7), 6).alias("confidence"))
-        out = F.when(named, value) if out is None else out.when(named, value)
-    return out
+    eras = F.array(*[F.struct(F.array(*[F.lit(n.lower()) for n in names]).alias("names"), F.lit(first).alias("first"), F.lit(last).alias("last"), F.lit(sure).alias("sure")) for names, first, last, sure in ERAS])
+    named = F.filter(eras, lambda e: F.exists(e["names"], lambda n: F.contains(t, n)))
+
+    def told(e: Column) -> Column:
+        fifth = F.floor((e["last"] - e["first"]) / 5)
+        year = F.when(early, e["first"] + fifth).when(late, e["last"] - fifth).otherwise(F.floor((e["first"] + e["last"]) / 2))
+        return F.struct(year.cast("long").alias("year"), F.round(e["sure"] * F.when(early | late, 0.8).otherwise(0.7), 6).alias("confidence"))
+
+    return F.get(F.transform(F.slice(named, 1, 1), told), F.lit(0))
 
 
 def resolve_date(text: Column, near: Column | None = None) -> Column:
