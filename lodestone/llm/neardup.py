@@ -189,21 +189,26 @@ def _tile_links(tiles: DataFrame, classes: DataFrame, docs: DataFrame, size: int
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """The rows of each key, from batches sorted by key."""
-    rest: list[pa.RecordBatch] = []
+    """The rows of each key, from batches sorted by key. Only the rows of a key that goes on in the next batch are copied."""
+    rest: pa.Table | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        table = pa.Table.from_batches([*rest, b]).combine_chunks()
-        cols = [table[k].to_numpy() for k in keys]
-        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        last = 0
-        for cut in cuts.tolist():
-            yield table.slice(last, cut - last)
-            last = cut
-        rest = table.slice(last).to_batches()
-    if rest:
-        yield pa.Table.from_batches(rest)
+        cols = [b.column(k).to_numpy() for k in keys]
+        cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1).tolist(), b.num_rows]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            run = pa.Table.from_batches([b.slice(begin, end - begin)])
+            if rest is not None:
+                if all(rest[k][0] == run[k][0] for k in keys):
+                    rest = pa.concat_tables([rest, run]).combine_chunks()
+                    continue
+                yield rest
+            rest = run
+        if rest is not None:
+            rest = rest.take(pa.array(np.arange(rest.num_rows)))  # lets go of the batch
+    if rest is not None:
+        yield rest
+    pa.default_memory_pool().release_unused()
 
 
 def _candidates(tile: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
