@@ -29,7 +29,7 @@ from lodestone.llm.common import without
 #: Distinct words whose tokens a worker keeps between batches; beyond that it begins anew.
 KEPT_WORDS = 1_500_000
 #: Bytes of text that are split and encoded at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _NONE = 1 << 30
 
 
