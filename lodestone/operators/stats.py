@@ -39,6 +39,13 @@ def halves_trend(df: DataFrame, keys: list[str], order: list[str], value: str =
     return out.select(*keys, _r("first").alias("first"), _r("second").alias("second"), trend.alias("trend"))
 
 
+def trended_stats(df: DataFrame, keys: list[str], order: list[str], value: str = "value", relative: float = 0.1) -> DataFrame:
+    """nearest_stats with min, max and the trend of halves_trend, less being better; one row has no halves and is stable."""
+    ends = df.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"))
+    trend = halves_trend(df, keys, order, value, relative).select(*keys, "trend")
+    return nearest_stats(df, keys, value).join(ends, keys).join(trend, keys)
+
+
 def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str = "value", width: int = 3) -> DataFrame:
     """df with moving: the mean of the last width values, for full windows only; width is at most the group's size."""
     w = Window.partitionBy(*keys)
@@ -95,6 +102,13 @@ def performance_report(df: DataFrame, keys: list[str], ms: str = "ms", ts: str =
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _r(F.avg(ms)).alias("avg"), p(0.5), p(0.95), p(0.99), F.min(ms).alias("min"), F.max(ms).alias("max"), _r(F.count(F.lit(1)) / F.when(minutes > 0, minutes)).alias("per_minute"))
 
 
+def bottlenecks(df: DataFrame, keys: list[str], ms: str = "ms", api_ms: str = "api_ms") -> DataFrame:
+    """(keys, phase, avg_ms, share): mean time in the API and elsewhere, and their share of all, in percent; null where no time passed."""
+    by = df.groupBy(*keys).agg(F.avg(ms).alias("all"), F.avg(api_ms).alias("api"))
+    phases = F.explode(F.array(F.struct(F.lit("api").alias("phase"), F.col("api").alias("avg")), F.struct(F.lit("processing").alias("phase"), (F.col("all") - F.col("api")).alias("avg"))))
+    return by.select(*keys, "all", phases.alias("p")).select(*keys, "p.phase", _r("p.avg").alias("avg_ms"), _r(100.0 * F.col("p.avg") / F.when(F.col("all") > 0, F.col("all"))).alias("share"))
+
+
 def error_summary(df: DataFrame, examples: int = 3) -> DataFrame:
     """(error_type, n, share, examples): errors by type with the first examples' ids; share of all errors, in percent."""
     errors = df.where("error_type is not null")
@@ -150,6 +164,13 @@ def dashboard(df: DataFrame) -> DataFrame:
     )
 
 
+def activity_by(df: DataFrame, keys: list[str], hit: Column, ts: str = "ts") -> DataFrame:
+    """(keys, requests, errors, error_rate, hit_rate, per_second) of requests; per_second is 0 where there is no span."""
+    span = (F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 1e6
+    n, errors = F.count(F.lit(1)), F.count("error_type")
+    return df.groupBy(*keys).agg(n.alias("requests"), errors.alias("errors"), _r(errors / n).alias("error_rate"), _r(F.count_if(hit) / n).alias("hit_rate"), _r(F.coalesce(n / F.when(span > 0, span), F.lit(0.0)), 9).alias("per_second"))
+
+
 def alerts(df: DataFrame, keys: list[str], low_confidence: float = 0.7, slow_ms: float = 10000, error_share: float = 0.1) -> DataFrame:
     """(keys, monitor, severity, figure): a row for each rule that a group breaks, of three monitors."""
     by = df.groupBy(*keys).agg(F.avg("confidence").alias("conf"), F.percentile("ms", 0.95).alias("p95"), F.avg(F.col("error_type").isNotNull().cast("int")).alias("err"))

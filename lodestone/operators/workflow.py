@@ -64,6 +64,28 @@ def regression_score(runs: DataFrame) -> DataFrame:
     return r.select(F.round(score, 4).alias("score"), F.when(score >= 90, "excellent").when(score >= 75, "good").when(score >= 60, "fair").otherwise("poor").alias("verdict"))
 
 
+def compared_versions(runs: DataFrame, old: str, new: str, least: float = 0.05) -> DataFrame:
+    """One row for runs (example, version, similarity) of two versions: examples of both, improved, regressed, unchanged, mean change.
+
+    Of several runs of an example the mean counts; a change under least is none. Examples of one version only are left out.
+    """
+    of = lambda v: F.avg(F.when(F.col("version") == v, F.col("similarity")))
+    by = runs.groupBy("example").agg(of(old).alias("a"), of(new).alias("b")).where("a is not null and b is not null")
+    change = F.col("b") - F.col("a")
+    counted = [F.count_if(c).alias(k) for k, c in (("improved", change >= least), ("regressed", change <= -least), ("unchanged", F.abs(change) < least))]
+    return by.agg(F.count(F.lit(1)).alias("examples"), *counted, F.round(F.avg(change), 6).alias("mean_change"))
+
+
+def lane_class(confidence: Column) -> Column:
+    return F.when(confidence >= 0.8, "high").when(confidence >= 0.5, "medium").otherwise("low")
+
+
+def query_key(kind: Column, **params: Column) -> Column:
+    """A cache key: the kind of query and the MD5 of its parameters as JSON in the order of their names, nulls included."""
+    named = F.struct(*[c.alias(k) for k, c in sorted(params.items())])
+    return F.concat(kind, F.lit(":"), F.md5(F.to_json(named, {"ignoreNullFields": "false"})))
+
+
 def swim_lane(birth: Column, founded: Column, occurred: Column, death: Column, default: int = 1200) -> tuple[Column, Column]:
     """Start and end year of a bar on a timeline."""
     start = F.coalesce(birth, founded, occurred, F.lit(default))

@@ -29,6 +29,21 @@ _BUCKET = {"hour": "strftime(ts, '%Y-%m-%d %H:00')", "day": "strftime(ts, '%Y-%m
 QUERIES = {
     "ag9_stats_linear": (_events(lambda e: A.linear_stats(e, ["metric_name"])), f"{TM} SELECT metric_name, count(value) AS n, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM e GROUP BY metric_name"),
     "ag10_stats_nearest": (_events(lambda e: A.nearest_stats(e, ["metric_name"])), f"{TM} SELECT metric_name, count(value) AS n, round(avg(value), 6) AS avg, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM e GROUP BY metric_name"),
+    "ag10_metric_trends": (
+        _events(lambda e: A.trended_stats(e, ["metric_name", "day"], ["ts", "event_id"])),
+        f"""{TM}, w AS (SELECT *, row_number() OVER (PARTITION BY metric_name, day ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY metric_name, day) AS n FROM e),
+h AS (SELECT metric_name, day, count(value) AS n, avg(value) AS m, min(value) AS min, max(value) AS max, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, avg(value) FILTER (i <= floor(n / 2)) AS a, avg(value) FILTER (i > floor(n / 2)) AS b FROM w GROUP BY metric_name, day)
+SELECT metric_name, day, n, round(m, 6) AS avg, p50, p95, p99, min, max, CASE WHEN (b - a) / a > 0.1 THEN 'degrading' WHEN (b - a) / a < -0.1 THEN 'improving' ELSE 'stable' END AS trend FROM h""",
+    ),
+    "ag7_bottlenecks": (
+        _events(lambda e: A.bottlenecks(e.withColumn("api_ms", F.floor(F.col("ms") * (F.col("event_id") % 5 + 3) / 10)), ["day"])),
+        f"""{TM}, b AS (SELECT day, avg(ms) AS m, avg(floor(ms * (event_id % 5 + 3) / 10)) AS api FROM e GROUP BY day)
+SELECT day, 'api' AS phase, round(api, 6) AS avg_ms, round(100.0::DOUBLE * api / m, 6) AS share FROM b UNION ALL SELECT day, 'processing', round(m - api, 6), round(100.0::DOUBLE * (m - api) / m, 6) FROM b""",
+    ),
+    "ag29_activity_by_tag": (
+        _events(lambda e: A.activity_by(e.withColumn("tag", F.col("k")), ["tag"], F.col("event_id") % 3 > 0)),
+        f"{TM} SELECT k AS tag, count(*) AS requests, count(error_type) AS errors, round(count(error_type) / count(*), 6) AS error_rate, round(count(*) FILTER (event_id % 3 > 0) / count(*), 6) AS hit_rate, coalesce(round(count(*) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0), 9), 0.0) AS per_second FROM e GROUP BY k",
+    ),
     "ag11_query_stats": (_events(lambda e: A.performance_report(e, ["metric_name"])), f"{TM} SELECT metric_name, count(*) AS n, round(avg(ms), 6) AS avg, quantile_disc(ms::DOUBLE, 0.5) AS p50, quantile_disc(ms::DOUBLE, 0.95) AS p95, quantile_disc(ms::DOUBLE, 0.99) AS p99, min(ms) AS min, max(ms) AS max, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 6e7), 6) AS per_minute FROM e GROUP BY metric_name"),
     "ag12_stddev": (_events(lambda e: e.groupBy("metric_name").agg(F.round(F.stddev_pop("value"), 6).alias("sd"))), f"{TM} SELECT metric_name, round(stddev_pop(value), 6) AS sd FROM e GROUP BY metric_name"),
     "wn1_moving_average": (

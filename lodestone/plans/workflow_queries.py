@@ -49,6 +49,19 @@ SELECT user_id, answer, votes, round(least(1.0, mean + CASE WHEN share >= 1 THEN
         lambda s, d: W.regression_score(translation_metrics(s, d).select((F.col("k") > 20).alias("passed"), (F.col("k") / 100.0).alias("similarity"), "confidence")),
         f"{TM}, r AS (SELECT 100 * (0.5::DOUBLE * avg((k > 20)::INT) + 0.3::DOUBLE * avg(k / 100.0::DOUBLE) + 0.2::DOUBLE * avg(confidence)) AS x FROM tm) SELECT round(x, 4) AS score, CASE WHEN x >= 90 THEN 'excellent' WHEN x >= 75 THEN 'good' WHEN x >= 60 THEN 'fair' ELSE 'poor' END AS verdict FROM r",
     ),
+    "ag30_version_compare": (
+        lambda s, d: W.compared_versions(translation_metrics(s, d).select(F.floor(F.col("event_id") / 2).alias("example"), F.when(F.col("event_id") % 2 == 0, "v1").otherwise("v2").alias("version"), (F.col("k") / 100.0).alias("similarity")), "v1", "v2"),
+        f"""{TM}, b AS (SELECT event_id // 2 AS example, avg(k / 100.0::DOUBLE) FILTER (event_id % 2 = 0) AS a, avg(k / 100.0::DOUBLE) FILTER (event_id % 2 = 1) AS b FROM tm GROUP BY 1), c AS (SELECT b - a AS x FROM b WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT count(*) AS examples, count(*) FILTER (x >= 0.05::DOUBLE) AS improved, count(*) FILTER (x <= -0.05::DOUBLE) AS regressed, count(*) FILTER (abs(x) < 0.05::DOUBLE) AS unchanged, round(avg(x), 6) AS mean_change FROM c""",
+    ),
+    "sf24_query_keys": (
+        lambda s, d: translation_metrics(s, d).groupBy(W.query_key(F.col("metric_name"), user=F.col("user_id") % 50, k=F.col("k")).alias("key")).agg(F.count(F.lit(1)).alias("n")),
+        f"""{TM} SELECT metric_name || ':' || md5('{{"k":' || coalesce(k::VARCHAR, 'null') || ',"user":' || coalesce((user_id % 50)::VARCHAR, 'null') || '}}') AS key, count(*) AS n FROM tm GROUP BY 1""",
+    ),
+    "sx4_lane_classes": (
+        lambda s, d: kg_nodes(s, d).groupBy("type", W.lane_class(F.col("confidence")).alias("class")).agg(F.count(F.lit(1)).alias("n")),
+        f"WITH {NODES_SQL} SELECT type, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS class, count(*) AS n FROM kg_nodes GROUP BY 1, 2",
+    ),
     "sx4_swim_lanes": (
         lambda s, d: kg_nodes(s, d).select("id", *[c.alias(n) for c, n in zip(W.swim_lane(F.col("birth"), F.col("founded"), F.col("occurred"), F.col("death")), ("start", "end"), strict=True)]),
         f'WITH {NODES_SQL} SELECT id, coalesce(birth, founded, occurred, 1200) AS start, coalesce(death, birth, founded, occurred, 1200) AS "end" FROM kg_nodes',
