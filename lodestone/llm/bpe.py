@@ -1,13 +1,16 @@
-"""Byte-level BPE encoding and decoding by merge replay over all distinct words of a batch.
+"""Byte-level BPE encoding and decoding by one merge replay over the distinct words of the whole corpus.
 
-A task gathers the distinct words (matches of the split pattern) of its texts and lays their bytes out as one long
-sequence with links to each position's neighbours. An inverted index, from a pair of neighbouring tokens to the
-positions where it stands, is kept by the rank of the pair's merge. Merges are applied in rank order, each to all of
-its positions at once; only the pairs of the touched neighbours are looked up and indexed anew.
+1. Rows are packed into compressed blocks of about BLOCK_BYTES of text, each a row that goes to one task.
+2. A block's distinct words (matches of the split pattern) are dealt over buckets by their checksum; so each distinct word of
+   all texts is in one bucket, whatever the number of texts and blocks that hold it.
+3. A bucket's words are laid out as one long sequence with links to each position's neighbours. An inverted index, from a
+   pair of neighbouring tokens to the positions where it stands, is kept by the rank of the pair's merge. Merges are applied
+   in rank order, each to all of its positions at once; only the pairs of the touched neighbours are looked up and indexed anew.
+4. Words' ids go back to the blocks that asked for them, where texts are put together from them.
 
 A word's tokens are those of the greedy rule (always the lowest rank, leftmost first). A merge can make a pair whose
 rank is not above its own; the index holds it for the next step, and where that could change the order of merges
-inside one word, the word is encoded by itself. What is known of words is kept over batches, up to KEPT_WORDS of them.
+inside one word, the word is encoded by itself.
 """
 
 from __future__ import annotations
@@ -15,21 +18,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.types as S
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textarrays as T
-from lodestone.llm.common import without
+from lodestone.llm.common import partitions, without
 
-#: Distinct words whose tokens a worker keeps between batches; beyond that it begins anew.
-KEPT_WORDS = 1_500_000
-#: Bytes of text that are split and encoded at once.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text in a block, and those that are split at once.
+BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 2 << 20
+#: Bytes of words that share an inverted index; with more in a bucket there are several.
+REPLAY_BYTES = 4 << 20
 _NONE = 1 << 30
 
 
@@ -151,7 +156,6 @@ class Vocabulary:
         self.token_length[list(self.bytes_of)] = [len(x) for x in self.bytes_of.values()]
         self.token_begin = np.cumsum(self.token_length) - self.token_length
         self.token_bytes = np.frombuffer(b"".join(self.bytes_of[r] for r in sorted(self.bytes_of)), np.uint8)
-        self._forget()
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._bits).astype(np.int64)
@@ -283,49 +287,33 @@ class Vocabulary:
             out[k] = np.array(self.alone(words[k]), "<u4").tobytes()
         return out
 
-    def encode(self, chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts of the chunk (unsigned 32-bit), and where each text's begin."""
+    def split(self, chunk: T.Chunk) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct words of a chunk, for each word of its texts the place in these, and each text's first word."""
         start, stop, first = self.splitter.spans(chunk)
         if not len(start):
-            return np.zeros(0, np.uint32), np.zeros(len(chunk.offsets), np.int64)
-        hashes = T.span_hashes(chunk.data, start, stop)
-        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > KEPT_WORDS:
-            self._forget()
-        new = np.flatnonzero(~_among(distinct, self.known))
-        if len(new):
-            self._learn(distinct[new], self.replay([chunk.data[start[i] : stop[i]].tobytes() for i in at[new].tolist()]))
-        row = np.searchsorted(self.known, distinct)
-        ids, lengths = ragged(self.ids, self.begin[row[which]], self.length[row[which]])
+            return [], np.zeros(0, np.int64), np.zeros(len(chunk.offsets), np.int64)
+        _, at, which = np.unique(T.span_hashes(chunk.data, start, stop), return_index=True, return_inverse=True)
+        same, _ = ragged(chunk.data, start[at][which], (stop - start)[at][which])
+        if len(same) != len(chunk.data) or (same != chunk.data).any():  # two words of one hash
+            number: dict[bytes, int] = {}
+            which = np.array([number.setdefault(chunk.data[i:j].tobytes(), len(number)) for i, j in zip(start.tolist(), stop.tolist(), strict=True)], np.int64)
+            return list(number), which, first
+        raw = chunk.data.tobytes()
+        return [raw[i:j] for i, j in zip(start[at].tolist(), stop[at].tolist(), strict=True)], which, first
+
+    def joined(self, words: list[bytes], which: np.ndarray, first: np.ndarray, known: dict[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a chunk that was split, by the ids of its words, and where each text's begin."""
+        own = [known[w] for w in words]
+        length = np.array([len(x) // 4 for x in own], np.int64)
+        ids, lengths = ragged(np.frombuffer(b"".join(own), "<u4"), (np.cumsum(length) - length)[which], length[which])
         return ids, np.concatenate(([0], np.cumsum(lengths)))[first]
 
-    def _forget(self) -> None:
-        self.known, self.begin, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _learn(self, hashes: np.ndarray, encoded: list[bytes]) -> None:
-        length = np.array([len(x) // 4 for x in encoded], np.int64)
-        begin = len(self.ids) + np.concatenate(([0], np.cumsum(length)[:-1]))
-        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(encoded), "<u4")))
-        known = np.concatenate((self.known, hashes))
-        order = np.argsort(known, kind="stable")
-        self.known = known[order]
-        self.begin = np.concatenate((self.begin, begin))[order]
-        self.length = np.concatenate((self.length, length))[order]
-
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all texts, and where each text's begin."""
         out, lengths = ragged(self.token_bytes, self.token_begin[ids], self.token_length[ids])
         return out, np.concatenate(([0], np.cumsum(lengths)))[offsets]
 
 
-def _among(sorted_values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(sorted_values), bool)
-    at = np.minimum(np.searchsorted(known, sorted_values), len(known) - 1)
-    return known[at] == sorted_values
-
-
 def ragged(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slices of values, one after the other, and their lengths."""
     before = np.cumsum(length) - length
@@ -346,8 +334,125 @@ def _slices(values: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [bytes(raw[i * size : j * size]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with _ids (binary, little-endian unsigned 32-bit token ids); a column of docs of that name gives way.
+def _packed(docs: DataFrame) -> DataFrame:
+    """(block, rows): the rows of docs by blocks of about BLOCK_BYTES of text, compressed. A block is named by its task and place there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, options = TaskContext.get().partitionId(), pa.ipc.IpcWriteOptions(compression="zstd")
+        n = 0
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=options) as to:
+                for h in held:
+                    to.write_batch(h)
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | n]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+
+        for b in batches:
+            for c in T.chunks(b.column("text"), BLOCK_BYTES):
+                held.append(b.slice(c.first, len(c.offsets) - 1))
+                size += len(c.data)
+                if size >= BLOCK_BYTES:
+                    yield out()
+                    n, size = n + 1, 0
+                    held.clear()
+        if held:
+            yield out()
+
+    return docs.mapInArrow(run, "block long, rows binary")
+
+
+def _texts(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(rows)).read_all()
+
+
+def _by_bucket(words: set[bytes], buckets: int) -> dict[int, list[bytes]]:
+    """The words of each bucket, in order: the same for the task that asks and the one that has the answer."""
+    out: dict[int, list[bytes]] = {}
+    for w in sorted(words):
+        out.setdefault(zlib.crc32(w) % buckets, []).append(w)
+    return out
+
+
+def _lengths(x: list[bytes]) -> bytes:
+    return np.array([len(w) for w in x], "<u4").tobytes()
+
+
+def _asked(blocks: DataFrame, path: str, pattern: str, buckets: int) -> DataFrame:
+    """(bucket, block, words, lengths): each block's distinct words by bucket, one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path, pattern)
+        for b in batches:
+            for block, rows in zip(b.column("block").to_pylist(), b.column("rows"), strict=True):
+                words: set[bytes] = set()
+                for c in T.chunks(_texts(rows.as_py()).column("text"), CHUNK_BYTES):
+                    words.update(v.split(c)[0])
+                by = _by_bucket(words, buckets)
+                columns = [pa.array(list(by), pa.int32()), pa.array([block] * len(by), pa.int64()), pa.array([b"".join(x) for x in by.values()], pa.binary()), pa.array([_lengths(x) for x in by.values()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "words", "lengths"])
+
+    return blocks.mapInArrow(run, "bucket int, block long, words binary, lengths binary")
+
+
+def _answers(asked: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(block, bucket, sum, ids, lengths): the ids of the words asked for. Each distinct word of all texts is in one bucket and is replayed
+    there once, whatever the number of blocks that ask; sum is the words' checksum."""
+
+    def run(t: pa.Table) -> pa.Table:
+        v = vocabulary(path, pattern)
+        lists = []
+        for words, lengths in zip(t["words"].to_pylist(), t["lengths"].to_pylist(), strict=True):
+            ends = np.cumsum(np.frombuffer(lengths, "<u4")).tolist()
+            lists.append([words[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)])
+        distinct = list(dict.fromkeys(w for x in lists for w in x))
+        known: dict[bytes, bytes] = {}
+        at = 0
+        while at < len(distinct):  # REPLAY_BYTES of words share an index
+            to, size = at, 0
+            while to < len(distinct) and (size < REPLAY_BYTES or to == at):
+                size += len(distinct[to])
+                to += 1
+            known.update(zip(distinct[at:to], v.replay(distinct[at:to]), strict=True))
+            at = to
+        own = [[known[w] for w in x] for x in lists]
+        sums = [zlib.crc32(w) for w in t["words"].to_pylist()]
+        return pa.table({"block": t["block"], "bucket": t["bucket"], "sum": pa.array(sums, pa.int64()), "ids": pa.array([b"".join(x) for x in own], pa.binary()), "lengths": pa.array([_lengths(x) for x in own], pa.binary())})
+
+    return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, sum long, ids binary, lengths binary")
+
+
+def _coded(docs: DataFrame, path: str, pattern: str, schema: str | S.StructType, made: Callable[[Vocabulary, pa.Table, list[tuple[np.ndarray, np.ndarray]]], pa.Table]) -> DataFrame:
+    """What made() gives for each block of docs and the ids of its texts, chunk by chunk."""
+    n = partitions(docs)
+    blocks, buckets = _packed(docs).repartition(n, "block"), 4 * n
+    answers = _answers(_asked(blocks, path, pattern, buckets), path, pattern)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        v = vocabulary(path, pattern)
+        got = {bucket: (s, ids, lengths) for bucket, s, ids, lengths in zip(*(right[c].to_pylist() for c in ("bucket", "sum", "ids", "lengths")), strict=True)}
+        out = []
+        for rows in left["rows"]:
+            table = _texts(rows.as_py())
+            chunks = [v.split(c) for c in T.chunks(table.column("text"), CHUNK_BYTES)]
+            known: dict[bytes, bytes] = {}
+            for bucket, words in _by_bucket({w for c in chunks for w in c[0]}, buckets).items():
+                s, ids, lengths = got.get(bucket, (-1, b"", b""))
+                if s != zlib.crc32(b"".join(words)):  # a block that came out otherwise when it was read again
+                    known.update(zip(words, v.replay(words), strict=True))
+                    continue
+                ends = np.cumsum(np.frombuffer(lengths, "<u4")).tolist()
+                known.update(zip(words, [ids[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+            out.append(made(v, table, [v.joined(*c, known) for c in chunks]))
+        return pa.concat_tables(out)
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs with _ids (binary, little-endian unsigned 32-bit token ids of text); a column of docs of that name gives way.
 
     Null and empty texts have no ids; repeated rows are encoded alike; an empty table gives no rows.
     path names the file of ranks, which is on every machine; pattern is the regular expression that splits texts.
@@ -355,16 +460,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     docs = without(docs, "_ids")
     schema = S.StructType([*docs.schema.fields, S.StructField("_ids", S.BinaryType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, pattern)
-        for b in batches:
-            out = []
-            for c in T.chunks(b.column(text_col), CHUNK_BYTES):
-                ids, at = v.encode(c)
-                out += _slices(ids, at)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "_ids"])
+    def made(v: Vocabulary, t: pa.Table, coded: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        return t.append_column("_ids", pa.array([x for c in coded for x in _slices(*c)], pa.binary()))
 
-    return docs.mapInArrow(run, schema)
+    return _coded(docs, path, pattern, schema, made)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -382,21 +481,17 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def bpe_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs. One pass; ids and bytes are not kept.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs; ids and bytes are not kept.
 
     Null and empty texts have no tokens and the hashes of nothing. Every row counts, with a null or repeated id too.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, pattern)
-        for b in batches:
-            count, ids_hash, text_hash = [], [], []
-            for c in T.chunks(b.column("text"), CHUNK_BYTES):
-                ids, at = v.encode(c)
-                count += np.diff(at).tolist()
-                ids_hash += [hashlib.sha256(x).hexdigest() for x in _slices(ids, at)]
-                text_hash += [hashlib.sha256(x).hexdigest() for x in _slices(*v.decode(ids, at))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def made(v: Vocabulary, t: pa.Table, coded: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        sha = lambda values, at: [hashlib.sha256(x).hexdigest() for x in _slices(values, at)]
+        count = [n for _, at in coded for n in np.diff(at).tolist()]
+        ids_hash = [x for c in coded for x in sha(*c)]
+        text_hash = [x for c in coded for x in sha(*v.decode(*c))]
+        return pa.table({"doc_id": t["doc_id"], "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())})
 
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return few.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _coded(few, path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", made)

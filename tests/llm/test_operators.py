@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from lodestone.llm import bpe, decontam, kdshards, langid, line_dedup, mjpeg, neardup, ngram_lm, toxicity, urlfilter
+from lodestone.llm.common import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i}" for i in range(300))
@@ -224,3 +225,30 @@ def test_toxicity(spark, docs, none):
     assert np.mean([r.toxic == (r.doc_id % 4 == 0) for r in out]) > 0.98
     assert toxicity.drop_toxic(docs, labels.limit(0)).count() == len(ROWS)
     assert toxicity.toxicity_report(none, labels).count() == 0
+
+
+def test_bpe_of_all_documents_is_the_librarys_whatever_the_blocks(spark, monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    library = tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}, special_tokens={})
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    want = {}
+    for r in docs.collect():
+        ids = library.encode_ordinary(r["text"] or "")
+        want[r["doc_id"]] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())
+    for block, replay in ((bpe.BLOCK_BYTES, bpe.REPLAY_BYTES), (100_000, 5_000)):
+        monkeypatch.setattr(bpe, "BLOCK_BYTES", block)
+        monkeypatch.setattr(bpe, "REPLAY_BYTES", replay)
+        got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.bpe_report(docs, path, pattern).collect()}
+        assert got == want
+
+
+def test_bpe_words_that_no_bucket_answers_are_encoded_in_place(spark, monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = spark.createDataFrame([(1, "some words here"), (2, None), (None, "others"), (None, "others")], "doc_id long, text string")
+    want = sorted(tuple(r) for r in bpe.bpe_report(docs, path, pattern).fillna(-1).collect())
+    monkeypatch.setattr(bpe, "_answers", lambda asked, *_: asked.limit(0).selectExpr("block", "bucket", "1L AS sum", "words AS ids", "lengths"))
+    assert sorted(tuple(r) for r in bpe.bpe_report(docs, path, pattern).fillna(-1).collect()) == want and len(want) == 4
