@@ -292,13 +292,3 @@ def gram_cosine(a: Column, b: Column, n: int = 3) -> Column:
     grams = lambda t: F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - n + 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(n))), lambda g: F.char_length(g) == n))
     x, y = grams(F.lower(_text(a))), grams(F.lower(_text(b)))
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.sqrt(F.greatest(F.size(x) * F.size(y), F.lit(1)).cast("double"))).otherwise(0.0)
-
-
-def text_similarity(a: Column, b: Column) -> Column:
-    """.5 shared words, .3 shared trigrams, .2 likeness by edits of the whole texts."""
-    words = lambda t: F.array_distinct(F.filter(F.split(F.lower(_text(t)), r"\s+"), lambda w: w != ""))
-    x, y = words(a), words(b)
-    union, longer = F.size(F.array_union(x, y)), F.greatest(F.char_length(_text(a)), F.char_length(_text(b)))
-    shared = F.when(union > 0, F.size(F.array_intersect(x, y)) / F.greatest(union, F.lit(1))).otherwise(1.0)
-    edits = F.when(longer > 0, 1 - F.levenshtein(_text(a), _text(b)) / F.greatest(longer, F.lit(1))).otherwise(1.0)
-    return 0.5 * shared + 0.3 * gram_cosine(a, b) + 0.2 * edits

@@ -31,24 +31,6 @@ def unicode_flags(text: Column) -> dict[str, Column]:
     return {k: t.rlike(p) for k, p in rules.items()}
 
 
-def sentences(text: Column, marks: str = r"[.!?།]") -> Column:
-    """Array of trimmed sentences; a mark followed by white space or the end closes one."""
-    parts = F.split(_text(text), rf"(?<={marks})\s+")
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
-
-
-def chunks(sents: Column, budget: int = 3500) -> Column:
-    """Array of chunks: sentences joined while their characters fit the budget; a longer sentence is a chunk by itself."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(state: Column, s: Column) -> Column:
-        fits = F.char_length(state["open"]) + F.char_length(s) + 1 <= budget
-        joined = F.when(state["open"] == "", s).otherwise(F.concat(state["open"], F.lit(" "), s))
-        return F.when(fits | (state["open"] == ""), F.struct(state["done"].alias("done"), joined.alias("open"))).otherwise(F.struct(F.array_append(state["done"], state["open"]).alias("done"), s.alias("open")))
-
-    return F.aggregate(sents, empty, step, lambda st: F.when(st["open"] == "", st["done"]).otherwise(F.array_append(st["done"], st["open"])))
-
-
 def strip_html(html: Column) -> Column:
     out = F.regexp_replace(_text(html), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]*>", " "), r"\s+", " "))

@@ -1,11 +1,7 @@
-"""Raw records made regular, temporary ids resolved, dictionaries looked for in texts."""
+"""Raw records made regular, temporary ids resolved, translations that changed."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,36 +39,6 @@ def with_real_ids(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return out.select(*[F.col(f"_{c}").alias(c) if c in ("src", "dst") else F.col(c) for c in edges.columns])
 
 
-def contained_terms(docs: DataFrame, dictionary: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
-    """(doc_id, term, n): terms of a dictionary (term) that stand anywhere in a text (doc_id, text), and how often, overlaps included.
-
-    All terms are looked for in one reading of each text. The automaton goes to every executor, so a dictionary of more than
-    most_bytes is refused.
-    """
-    terms = dictionary.where("term is not null and term <> ''").select("term").distinct()
-    size = terms.agg(F.sum(F.octet_length("term")).alias("n")).first()["n"] or 0
-    if size > most_bytes:
-        raise ValueError(f"a dictionary of {size} bytes is too large to be sent to all executors")
-    known = docs.sparkSession.sparkContext.broadcast([r["term"] for r in terms.collect()])  # at most most_bytes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
-        for t in known.value:
-            automaton.add_word(t, t)
-        automaton.make_automaton()
-        for b in batches:
-            rows, found = [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                counts: dict[str, int] = {}
-                for _, term in automaton.iter(text or "") if known.value else ():
-                    counts[term] = counts.get(term, 0) + 1
-                found += counts.items()
-                rows += [i] * len(counts)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "term", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, term string, n long")
-
-
 def changed_pairs(before: DataFrame, after: DataFrame) -> DataFrame:
     """(term, old, new): terms whose translation (term, target, page) was changed; of several, that of the first page counts."""
     first = lambda df, name: df.groupBy("term").agg(F.min_by("target", F.struct("page", "target")).alias(name))

@@ -158,9 +158,4 @@ SELECT event_id, round((0.3::DOUBLE * a + 0.25::DOUBLE * b + 0.15::DOUBLE * c +
         rf"""WITH w AS (SELECT conv_id, row_number() OVER () AS i, list_distinct(regexp_extract_all(lower(text), '[^\t\n\f\r\x0B ]+')) AS w FROM conversations), p AS (SELECT conv_id, avg(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))) AS m FROM w a JOIN w b USING (conv_id) WHERE a.i < b.i GROUP BY conv_id)
 SELECT conv_id, n, round(coalesce(m, 1), 6) AS agreement FROM (SELECT conv_id, count(*) AS n FROM w GROUP BY conv_id) LEFT JOIN p USING (conv_id)""",
     ),
-    "ma11_text_similarity": (
-        lambda s, d: table(s, d, "part").select("p_partkey", F.round(C.text_similarity(F.col("p_name"), F.concat("p_brand", F.lit(" "), "p_name", F.lit("s"))), 6).alias("s")),
-        """WITH t AS (SELECT p_partkey, p_name AS a, p_brand || ' ' || p_name || 's' AS b FROM part), g AS (SELECT *, list_distinct(list_transform(range(1, length(a) - 1), lambda i: lower(a)[i:i + 2])) AS x, list_distinct(list_transform(range(1, length(b) - 1), lambda i: lower(b)[i:i + 2])) AS y, list_distinct(string_split(lower(a), ' ')) AS u, list_distinct(string_split(lower(b), ' ')) AS v FROM t)
-SELECT p_partkey, round(0.5::DOUBLE * len(list_intersect(u, v)) / len(list_distinct(list_concat(u, v))) + 0.3::DOUBLE * len(list_intersect(x, y)) / sqrt(len(x) * len(y)) + 0.2::DOUBLE * (1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE), 6) AS s FROM g""",
-    ),
 }

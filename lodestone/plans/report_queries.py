@@ -165,10 +165,6 @@ QUERIES = {
         lambda s, d: R.with_real_ids(G.of_types(kg_edges(s, d), ["teacher_of", "lived_at"]).select("src", "predicate", "dst"), kg_nodes(s, d).where(_key() % 4 > 0).select(F.col("id").alias("temp"), F.concat(F.lit("real-"), "id").alias("real"))),
         f"WITH {KG_SQL}, ok AS (SELECT id FROM kg_nodes WHERE {K} % 4 > 0) SELECT 'real-' || src AS src, predicate, 'real-' || dst AS dst FROM kg_edges WHERE predicate IN ('teacher_of', 'lived_at') AND src IN (SELECT id FROM ok) AND dst IN (SELECT id FROM ok)",
     ),
-    "jn13_contained_terms": (
-        lambda s, d: R.contained_terms(table(s, d, "documents"), s.createDataFrame([(t,) for t in ("the", "tion", "que", "ment de", "nicht auf", "ê", "")], "term string")).select("doc_id", "term"),
-        "SELECT doc_id, term FROM documents JOIN (SELECT unnest(['the', 'tion', 'que', 'ment de', 'nicht auf', 'ê']) AS term) ON contains(text, term)",
-    ),
     "jn14_term_lookup": (
         lambda s, d: dictionary.lookup(table(s, d, "documents"), s.createDataFrame([("the", "article"), ("und", "and"), ("des", "of the")], "tibetan string, english string")).groupBy("term", "english").agg(F.count(F.lit(1)).alias("n")),
         r"SELECT term, english, count(*) AS n FROM (SELECT doc_id, list_distinct(regexp_extract_all(text, '[^\t\n\f\r\x0B ]+')) AS w FROM documents) JOIN (VALUES ('the', 'article'), ('und', 'and'), ('des', 'of the')) t(term, english) ON list_contains(w, term) GROUP BY ALL",

@@ -30,8 +30,6 @@ QUERIES = {
         _docs(lambda d: d.select("doc_id", X.token_estimate(F.col("text"), LATIN).alias("tokens"))),
         r"SELECT doc_id, (ceil(len(regexp_extract_all(text, '[\x{00C0}-\x{00FF}]')) / 4.0) + ceil(len(regexp_extract_all(regexp_replace(text, '[\x{00C0}-\x{00FF}]', ' ', 'g'), '[^\t\n\f\r\x0B ]+')) * 1.3::DOUBLE))::BIGINT AS tokens FROM documents",
     ),
-    "sf3_sentences": (_docs(lambda d: d.select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n"))), None),
-    "sf4_chunks": (_docs(lambda d: d.select("doc_id", X.chunks(X.sentences(F.col("text")), 800).alias("c")).select("doc_id", F.posexplode("c").alias("pos", "chunk")).select("doc_id", "pos", F.char_length("chunk").alias("chars"))), None),
     "sf6_repeated_lines": (
         _docs(X.repeated_lines),
         "SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents) WHERE line <> '' AND length(line) <= 100 GROUP BY doc_id, line HAVING count(*) >= 3",

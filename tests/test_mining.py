@@ -1,6 +1,5 @@
 """Relations, signals, records and checks on a few rows that can be read."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import checks as C
@@ -51,15 +50,6 @@ def test_merge_and_undo(spark):
     assert {tuple(r) for r in S.merge_undone(after, history).collect()} == {tuple(r) for r in nodes.collect()}
 
 
-def test_terms_anywhere_in_texts(spark):
-    docs = spark.createDataFrame([(1, "aaa bab"), (2, None), (None, "ab")], "doc_id long, text string")
-    terms = spark.createDataFrame([("aa",), ("ab",), (None,), ("",)], "term string")
-    assert {tuple(r) for r in R.contained_terms(docs, terms).collect()} == {(1, "aa", 2), (1, "ab", 1), (None, "ab", 1)}
-    assert R.contained_terms(docs, terms.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        R.contained_terms(docs, terms, 2)
-
-
 def test_tibetan_texts(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).first().v
     assert one(C.syllables(F.lit("བླ་མ་དམ་པ། ཆོས་"))) == ["བླ", "མ", "དམ", "པ", "ཆོས"]

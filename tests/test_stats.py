@@ -36,11 +36,5 @@ def test_names(spark):
     assert one.select(N.name_similarity(F.lit("marpa"), F.lit("milarepa"))).first()[0] < 0.7
 
 
-def test_chunks(spark):
-    got = spark.range(1).select(X.chunks(X.sentences(F.lit("One two. Three four! Five six? Seven")), 20)).first()[0]
-    assert got == ["One two. Three four!", "Five six? Seven"]
-    assert spark.range(1).select(X.chunks(X.sentences(F.lit(None).cast("string")))).first()[0] == []
-
-
 def test_repair_json(spark):
     assert spark.range(1).select(X.repair_json(F.lit('```json\n{"a": [1, 2,],}\n```'))).first()[0] == '{"a": [1, 2]}'
