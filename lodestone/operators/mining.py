@@ -1,17 +1,20 @@
 """Relations out of texts: rule matches with their places, mentions resolved to entities, confidences, edges and their inverses.
 
-Rules are rows of a small table, so that they can be chosen by predicate or category and own ones added. Matching is a
-column expression over each text; resolving joins the distinct mentions, not the texts.
+Rules are lines of a small table, so that they can be chosen by predicate or category and own ones added. Texts are matched
+where they lie; resolving joins the distinct mentions, not the texts.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.names import edit_similarity, normalised, phonetic_key, words
+from lodestone.functions.names import edit_similarity, normalised
 from lodestone.operators.graph import INVERSES
 from lodestone.session import materialised
 
@@ -22,29 +25,182 @@ NAME = r"([A-Z][a-z]+(?: [A-Z][a-z]+)*)"
 class Rule:
     predicate: str
     pattern: str
-    """Its groups subject and object are numbers of the pattern's groups."""
+    """Its groups subject and object are numbers of the pattern's groups; details name other groups."""
     confidence: float
     category: str = "general"
     subject: int = 1
     object: int = 2
-
-
-def _rules(category: str, predicate: str, confidence: float, *verbs: str, passive: bool = False) -> list[Rule]:
-    sides = (2, 1) if passive else (1, 2)
-    return [Rule(predicate, rf"{NAME} {v} {NAME}", confidence, category, *sides) for v in verbs]
-
-
-#: Relations in English sentences: what stands between two names.
-RULES: tuple[Rule, ...] = (
-    *_rules("teaching", "teacher_of", 0.9, "taught", "instructed", "was the teacher of", "was the guru of", "gave teachings to", "initiated"), *_rules("teaching", "teacher_of", 0.85, "was taught by", "was instructed by", "was initiated by", passive=True),
-    *_rules("teaching", "student_of", 0.9, "studied under", "studied with", "trained under", "learned from", "received teachings from", "was a (?:student|disciple|pupil) of"),
-    *_rules("authorship", "wrote", 0.85, "wrote", "composed", "authored", "compiled"), *_rules("authorship", "wrote", 0.85, "was (?:written|composed|authored|compiled) by", passive=True),
-    *_rules("authorship", "translated", 0.85, "translated"), *_rules("authorship", "commentary_on", 0.85, "is a commentary on", "comments on", "explains"), *_rules("authorship", "cites", 0.8, "cites", "quotes", "refers to"),
-    *_rules("places", "founded", 0.9, "founded", "established", "built"), *_rules("places", "founded", 0.9, "was (?:founded|established|built) by", passive=True),
-    *_rules("places", "lived_at", 0.8, "lived (?:at|in)", "resided (?:at|in)", "dwelt (?:at|in)", "stayed (?:at|in)"), *_rules("places", "visited", 0.75, "visited", "travelled to", "went to"), *_rules("places", "born_in", 0.9, "was born (?:at|in)"), *_rules("places", "died_in", 0.9, "died (?:at|in)", "passed away (?:at|in)"),
-    *_rules("family", "parent_of", 0.9, "was the (?:father|mother) of"), *_rules("family", "child_of", 0.9, "was (?:a|the) (?:son|daughter|child) of"), *_rules("family", "sibling_of", 0.85, "was (?:a|the) (?:brother|sister) of"), *_rules("family", "spouse_of", 0.85, "married", "was the (?:wife|husband|consort) of"),
-    *_rules("lineage", "incarnation_of", 0.95, "was (?:the |an )?(?:reincarnation|incarnation|rebirth) of", "was recognised as"), *_rules("lineage", "successor_of", 0.85, "succeeded", "was the successor of"), *_rules("patronage", "patron_of", 0.8, "sponsored", "supported", "was (?:a|the) patron of"), *_rules("events", "debated_with", 0.8, "debated(?: with)?"),
-)
+    details: tuple[tuple[str, int], ...] = ()
+    needs: tuple[str, ...] = ()
+    """Words without which a text has no match."""
+
+
+#: Relations by what is said between and after two names, with their confidence. S and O are the names,
+#: PLACE a third one, TEACHING some words, YEARS a duration, YEAR a date; all else is a regular expression.
+RELATIONS = {
+    "teaching": r"""
+        teacher_of .90 S taught O
+        teacher_of .88 S instructed O
+        teacher_of .87 S trained O
+        teacher_of .92 S transmitted (?:the )?(?:teachings?|lineage) to O
+        teacher_of .85 S gave (?:teachings?|instructions?) to O
+        student_of .90 S studied under O
+        student_of .92 S was a (?:student|disciple|pupil) of O
+        student_of .82 S learned from O
+        student_of .88 S received (?:teachings?|instructions?|training) from O
+        student_of .85 S trained (?:with|under) O
+        student_of .93 S studied (?:with|under) O for YEARS
+        student_of .91 S spent YEARS (?:studying )?(?:with|under) O
+        student_of .90 S's (?:principal )?(?:teacher|master|guru|lama) was O
+        teacher_of .88 S's (?:main )?(?:students?|disciples?) (?:included|were) O
+        teacher_of .93 S ordained O
+        student_of .93 S (?:was ordained by|received ordination from) O
+        teacher_of .92 S taught O the TEACHING(?=[.,;])
+        student_of .91 S received the TEACHING (?:teachings?|transmission) from O
+        student_of .92 S studied (?:with|under) O at PLACE
+        teacher_of .90 S taught O at PLACE
+        student_of .85 S (?:was )?(?:mentored|guided) by O
+        teacher_of .85 S (?:mentored|guided) O
+        student_of .87 S (?:was an? )?apprentice (?:of|to) O
+        student_of .80 S served (?:as (?:a )?(?:student|attendant) to )?O
+        student_of .88 S received (?:an? )?empowerments? from O
+        teacher_of .88 S gave (?:an? )?empowerments? to O""",
+    "authorship": r"""
+        wrote .90 S wrote (?:the )?O(?=[.,;]| in | at | during )
+        wrote .91 S composed (?:the )?O(?=[.,;]| in | at | during )
+        wrote .92 S authored (?:the )?O(?=[.,;]| in | at | during )
+        wrote .88 S penned (?:the )?O(?=[.,;]| in | at | during )
+        wrote .92 O was (?:written|composed|authored) by S
+        wrote .80 O is attributed to S
+        wrote .93 S (?:wrote|composed) (?:the )?O in YEAR
+        wrote .92 S (?:wrote|composed) (?:the )?O at PLACE
+        translated .91 S translated (?:the )?O(?=[.,;]| from )
+        translated .93 S translated (?:the )?O from (?:Sanskrit|Chinese|Pali)
+        translated .92 O was translated by S
+        translated .91 S rendered (?:the )?O into Tibetan
+        wrote .93 S,? (?:the )?author of (?:the )?O,
+        wrote .88 S's (?:famous |renowned )?(?:work|text|treatise|commentary) O
+        compiled .89 S compiled (?:the )?O
+        compiled .89 O was compiled by S
+        wrote .90 S (?:revealed|discovered) (?:the )?O terma
+        wrote .87 S (?:wrote|composed) a commentary on (?:the )?O
+        wrote .82 S produced (?:the )?O
+        wrote .83 S created (?:the )?O
+        wrote .88 S and PLACE (?:co-)?(?:wrote|authored|composed) (?:the )?O
+        wrote .90 O,? a work (?:by|of) S""",
+    "places": r"""
+        lived_at .90 S lived at O
+        lived_at .90 S resided (?:at|in) O
+        lived_at .85 S stayed at O
+        lived_at .88 S (?:dwelt|dwelled) (?:at|in) O
+        lived_at .92 S (?:lived|resided|stayed) at O for YEARS
+        lived_at .91 S spent YEARS at O
+        abbot_of .93 S was (?:the )?abbot of O
+        abbot_of .92 S served as abbot of O
+        founded .93 S founded O
+        founded .92 S established O
+        founded .88 S built O
+        founded .93 S was founded by O
+        founded .95 S founded O in YEAR
+        visited .87 S visited O
+        visited .85 S traveled to O
+        visited .90 S made (?:a )?pilgrimage to O
+        visited .82 S went (?:on pilgrimage )?to O
+        born_in .94 S was born (?:in|at) O
+        died_in .94 S died (?:in|at) O
+        lived_at .89 S (?:was )?(?:in )?retreat at O
+        lived_at .86 S (?:meditated|practiced) at O""",
+    "texts": r"""
+        commentary_on .93 S is a commentary on (?:the )?O
+        commentary_on .92 S,? a commentary on (?:the )?O
+        commentary_on .88 S (?:explains|elucidates|expounds) (?:the )?O
+        commentary_on .89 S comments on (?:the )?O
+        cites .90 S cites (?:the )?O
+        cites .90 S quotes (?:the )?O
+        cites .88 S references (?:the )?O
+        cites .82 S mentions (?:the )?O
+        part_of .92 S is part of (?:the )?O
+        part_of .90 S (?:appears|is included) in (?:the )?O
+        part_of .91 S belongs to (?:the )?O collection
+        contains .90 S contains (?:the )?O
+        contains .89 S includes (?:the )?O
+        cites .86 S (?:is )?based on (?:the )?O
+        cites .84 S draws (?:on|from) (?:the )?O
+        refuted .88 S refutes (?:the )?O""",
+    "events": r"""
+        attended .90 S attended (?:the )?O
+        attended .88 S participated in (?:the )?O
+        attended .87 S was present at (?:the )?O
+        attended .86 S took part in (?:the )?O
+        organized .91 S organized (?:the )?O
+        organized .90 S convened (?:the )?O
+        sponsored .89 S sponsored (?:the )?O
+        sponsored .89 S was sponsored by O
+        attended .92 S (?:gave|delivered) (?:teachings?|a teaching) at (?:the )?O
+        attended .90 S taught at (?:the )?O
+        organized .88 S hosted (?:the )?O
+        attended .87 S performed (?:the )?O (?:ceremony|ritual)
+        attended .90 S presided over (?:the )?O
+        attended .91 S received (?:the )?O (?:empowerment|initiation)
+        attended .83 S witnessed (?:the )?O""",
+    "transmission": r"""
+        received_transmission .93 S received (?:the )?TEACHING (?:transmission|lineage) from O
+        received_transmission .90 S obtained (?:the )?TEACHING (?:teachings?|lineage) from O
+        transmitted_to .93 S transmitted (?:the )?TEACHING to O
+        transmitted_to .88 S passed (?:on )?(?:the )?TEACHING to O
+        gave_empowerment .92 S gave (?:the )?TEACHING empowerment to O
+        gave_empowerment .91 S bestowed (?:the )?TEACHING (?:empowerment|initiation) (?:upon|on) O
+        gave_empowerment .92 S received (?:the )?TEACHING empowerment from O
+        incarnation_of .93 S (?:is|was) (?:the )?(?:reincarnation|tulku) of O
+        incarnation_of .91 S (?:is|was) recognized as (?:the )?(?:rebirth|incarnation) of O
+        incarnation_of .88 S,? the (?P<object>\d+)(?:st|nd|rd|th) incarnation
+        received_transmission .87 S (?:is|was) (?:a )?lineage holder of (?:the )?O
+        student_of .90 S (?:was|is) (?:the )?(?:heart )?(?:son|disciple) of O""",
+    "institutions": r"""
+        member_of .89 S was a (?:monk|member|resident) (?:at|of) O
+        member_of .85 S belonged to O
+        member_of .87 S joined O
+        patron_of .91 S was (?:a )?patron of O
+        patron_of .89 S patronized O
+        patron_of .82 S supported O
+        patron_of .88 S was supported by O
+        member_of .86 S served as (?:a )?(?:teacher|scholar|administrator) at O
+        member_of .84 S was affiliated with O
+        member_of .78 S was associated with O""",
+    "family": r"""
+        parent_of .94 S was the (?:father|mother|parent) of O
+        child_of .94 S was the (?:son|daughter|child) of O
+        parent_of .92 S's (?:son|daughter|child) O
+        sibling_of .92 S (?:and|&) O were (?:brothers|sisters|siblings)
+        sibling_of .93 S was the (?:brother|sister) of O
+        spouse_of .91 S (?:married|wed) O
+        spouse_of .93 S was (?:the )?(?:wife|husband|spouse) of O
+        child_of .88 S was the (?:nephew|niece) of O""",
+    "further": r"""
+        teacher_of .85 O was (?:taught|instructed|initiated) by S
+        founded .90 O was (?:established|built) by S
+        lived_at .80 S (?:lived|stayed) in O
+        successor_of .85 S (?:succeeded|was the successor of) O
+        debated_with .80 S debated (?:with )?O""",
+}
+_SLOTS = {"S": ("subject", NAME[1:-1]), "O": ("object", NAME[1:-1]), "PLACE": ("place", NAME[1:-1]), "TEACHING": ("teaching", r"[A-Za-z]+(?: [A-Za-z]+)*?"), "YEARS": ("duration", r"\d+ years?"), "YEAR": ("date", r"\d{3,4}")}
+
+
+def said(category: str, line: str) -> Rule:
+    """The rule of a line of RELATIONS."""
+    predicate, confidence, form = line.split(maxsplit=2)
+    pattern = re.sub(r"\b(?:S|O|PLACE|TEACHING|YEARS|YEAR)\b", lambda m: f"(?P<{_SLOTS[m[0]][0]}>{_SLOTS[m[0]][1]})", form)
+    groups = re.compile(pattern).groupindex
+    fixed, depth = "", 0
+    for c in re.sub(r"\(\?[=P].*", " ", form) if "(?=" in form or "(?P" in form else form:  # what stands outside of all brackets
+        depth += (c == "(") - (c == ")")
+        fixed += c if not depth and c != ")" else " "
+    needs = tuple(w for w in re.findall(r"[a-z]+(?![a-z?])", re.sub(r"'s|\b[A-Z]+\b|[A-Z]\w+", " ", fixed)) if len(w) > 1)
+    details = tuple((n, g) for n, g in groups.items() if n not in ("subject", "object"))
+    return Rule(predicate, pattern, float(confidence), category, groups["subject"], groups["object"], details, needs)
+
+
+RULES: tuple[Rule, ...] = tuple(said(c, line) for c, lines in RELATIONS.items() for line in lines.strip().split("\n"))
 
 
 def chosen(rules: tuple[Rule, ...] = RULES, predicates: list[str] | None = None, categories: list[str] | None = None) -> tuple[Rule, ...]:
@@ -52,25 +208,74 @@ def chosen(rules: tuple[Rule, ...] = RULES, predicates: list[str] | None = None,
 
 
 def matches(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, predicate, subject, object, confidence, quote, position) of docs (doc_id, text): every match of every rule, case counts.
+    """(doc_id, predicate, subject, object, confidence, quote, position, stop, category, details) of docs (doc_id, text): every match
+    of every rule; case counts. A rule's matches do not overlap; those of different rules may.
 
-    position is where the quote first stands, from 1; matches of a document are in the order of position, then rule.
+    position is the quote's own place, from 1, stop that of its last character; details is a map of what else the rule names
+    (duration, date, place, teaching). A text is read once for its words, then by the rules alone whose words it has. A document's
+    matches are in the order of position, then rule. Null and empty texts have none; every row of docs counts.
     """
-
-    def found(rule: Rule):
-        parts = [F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(g)).alias(n) for g, n in ((rule.subject, "subject"), (rule.object, "object"), (0, "quote"))]
-        return F.transform(F.arrays_zip(*parts), lambda z: F.struct(F.instr(F.col("text"), z["quote"]).alias("position"), F.lit(rule.predicate).alias("predicate"), z["subject"].alias("subject"), z["object"].alias("object"), F.lit(rule.confidence).alias("confidence"), z["quote"].alias("quote")))
-
-    every = docs.where("text is not null").select("doc_id", F.array_sort(F.flatten(F.array(*[found(r) for r in rules]))).alias("m"))
-    return every.select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.predicate", "m.subject", "m.object", "m.confidence", "m.quote", "m.position")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(r, re.compile(r.pattern), frozenset(r.needs)) for r in rules]
+        for b in batches:
+            row, found = [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                words = set(re.findall(r"[a-z]+", text)) if text else set()
+                own = []
+                for k, (rule, pattern, needs) in enumerate(compiled):
+                    if text and needs <= words:
+                        own += [(m.start(), k, rule, m) for m in pattern.finditer(text)]
+                for at, _, rule, m in sorted(own, key=lambda x: x[:2]):
+                    row.append(i)
+                    found.append((rule.predicate, m[rule.subject], m[rule.object], rule.confidence, m[0], at + 1, m.end(), rule.category, [(n, m[g]) for n, g in rule.details if m[g] is not None]))
+            types = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string())]
+            columns = zip(*found, strict=True) if found else [[]] * len(types)
+            names = ["predicate", "subject", "object", "confidence", "quote", "position", "stop", "category", "details"]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=["doc_id", *names])
+
+    schema = f"doc_id {kind}, predicate string, subject string, object string, confidence double, quote string, position int, stop int, category string, details map<string, string>"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _most_edits(length: Column) -> Column:
+    """Edits that a name of this length can be away from one that is over .8 like it: fewer than a fifth of the longer length."""
+    return F.greatest(F.ceil(length / 4) - 1, F.lit(0)).cast("int")
+
+
+def _segments(norm: Column) -> Column:
+    """(length, i, piece): a name cut into one part more than the edits it can be away; one part at least is then unchanged."""
+    n = F.char_length(norm)
+    s = _most_edits(n) + 1
+    cut = lambda i: F.floor(i * n / s).cast("int")
+    return F.transform(F.sequence(F.lit(0), s - 1), lambda i: F.struct(n.alias("length"), i.alias("i"), F.substring(norm, cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))
+
+
+def _probes(norm: Column) -> Column:
+    """(length, i, piece): what stands in a mention where the parts of names of each possible length can stand."""
+    n = F.char_length(norm)
+
+    def of_length(length: Column) -> Column:
+        k = _most_edits(length)
+        cut = lambda i: F.floor(i * length / (k + 1)).cast("int")
+        places = lambda i: F.filter(F.sequence(cut(i) - k, cut(i) + k), lambda at: (at >= 0) & (at + cut(i + 1) - cut(i) <= n))
+        return F.flatten(F.transform(F.sequence(F.lit(0), k), lambda i: F.transform(places(i), lambda at: F.struct(length.alias("length"), i.alias("i"), F.substring(norm, at + 1, cut(i + 1) - cut(i)).alias("piece")))))
+
+    away = _most_edits(n)
+    lengths = F.sequence(F.greatest(n - away, F.lit(1)), n + away)
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
 def resolved_mentions(mentions: DataFrame, entities: DataFrame, over: float = 0.8) -> DataFrame:
     """(mention, id, how, score): the entity of each distinct mention; mentions that no entity fits are left out.
 
-    entities (id, name, confidence). An equal name counts first, then an equal normalised name, else the likeliest by edits over
-    a limit. Likely names are looked for among those that share a word's phonetic key; of equals the more confident, then the smaller id.
+    entities (id, name, confidence). An equal name counts first, then an equal normalised name, else the likeliest by edits, more
+    than over (.8 or more). Names that are so alike share a part, in about the same place, of one of them cut into one part more
+    than they can have edits; they are looked for by these parts, which loses none. Of equals the more confident, then the smaller id.
     """
+    if over < 0.8:
+        raise ValueError("names less alike than .8 would be missed")
     own = mentions.where("mention is not null").select("mention").distinct().withColumn("norm", normalised(F.col("mention")))
     known = entities.where("name is not null").select("id", "name", "confidence", normalised(F.col("name")).alias("norm"))
     best = lambda df: df.groupBy("mention").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), -F.col("confidence"), "id")).alias("b"))
@@ -78,10 +283,11 @@ def resolved_mentions(mentions: DataFrame, entities: DataFrame, over: float = 0.
     exact = pick(own.join(known.withColumnRenamed("name", "mention").drop("norm"), "mention").withColumn("score", F.lit(1.0)), "exact")
     rest = own.join(exact, "mention", "left_anti")
     variant = pick(rest.where("norm <> ''").join(known, "norm").withColumn("score", F.lit(1.0)), "variant")
-    rest = rest.join(variant, "mention", "left_anti")
-    key = lambda df: df.withColumn("key", F.explode(F.array_distinct(F.transform(words(F.col("norm")), phonetic_key))))
-    names = known.groupBy("norm").agg(F.min_by(F.struct("id", "confidence"), F.struct(-F.col("confidence"), "id")).alias("e"))
-    close = key(rest).join(key(names).withColumnRenamed("norm", "other"), "key").select("mention", "norm", "other", "e").distinct()
+    rest = rest.join(variant, "mention", "left_anti").where("norm <> ''")
+    names = known.where("norm <> ''").groupBy("norm").agg(F.min_by(F.struct("id", "confidence"), F.struct(-F.col("confidence"), "id")).alias("e"))
+    posted = names.select(F.col("norm").alias("other"), "e", F.explode(_segments(F.col("norm"))).alias("s"))
+    asked = rest.select("mention", "norm", F.explode(_probes(F.col("norm"))).alias("s"))
+    close = asked.join(posted, "s").select("mention", "norm", "other", "e").distinct()
     scored = close.select("mention", "e.id", "e.confidence", edit_similarity(F.col("norm"), F.col("other")).alias("score")).where(F.col("score") > over)
     return exact.unionByName(variant).unionByName(pick(scored, "similar"))
 

@@ -2,7 +2,8 @@
 
 Entities of one type with equal names are one case for the comparison of names, and those that also agree in year and
 tradition are one for the whole score; pairs of entities are formed last, and only those found to be duplicates. Distinct
-names meet where they share the phonetic key of a word, which loses no pair whose names score over .5.
+names meet where they share the phonetic key of a word, or where one holds a spelling by letter and the other what it sounds
+like. All other names score at most .5 by their edits alone, so no pair over .5 is lost.
 """
 
 from __future__ import annotations
@@ -10,23 +11,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.names import name_similarity, normalised, phonetic_key, similarity_class, words, year_similarity
+from lodestone.functions.names import SPELLINGS, name_similarity, normalised, phonetic_key, similarity_class, words, year_similarity
 from lodestone.operators.graph import components
 
 
-def block_keys(entities: DataFrame, extra: Column | None = None) -> DataFrame:
-    """entities with key: a row for each distinct phonetic key of the name's words, joined with extra where given."""
-    keys = F.array_distinct(F.transform(words(normalised(F.col("name"))), phonetic_key))
-    out = entities.withColumn("key", F.explode(keys))
-    return out if extra is None else out.withColumn("key", F.concat_ws("|", "key", extra))
+def _spelled(name: Column) -> Column:
+    """Array of (entry, by_letter): the entries of SPELLINGS that the name holds, by letter or by sound."""
+    held = []
+    for letters, sounds in SPELLINGS.items():
+        held += [F.when(F.contains(name, F.lit(form)), F.struct(F.lit(letters).alias("entry"), F.lit(form == letters).alias("by_letter"))) for form in (letters, *sounds)]
+    return F.array_distinct(F.array_compact(F.array(*held)))
 
 
-def candidate_pairs(blocked: DataFrame) -> DataFrame:
-    """Pairs (a, b) of structs, a.id < b.id, of one type and key, each pair once."""
-    cols = [c for c in blocked.columns if c not in ("key", "type")]
-    side = lambda s: blocked.select("key", "type", F.struct(*cols).alias(s))
-    pairs = side("a").join(side("b"), ["key", "type"]).where(F.col("a.id") < F.col("b.id"))
-    return pairs.select("a", "b").dropDuplicates(["a", "b"])
+def _meetings(names: DataFrame) -> DataFrame:
+    """(type, na, nb): ordered pairs of distinct names (type, name) of a type that can score over .5, each with itself too.
+
+    Names meet under a word's phonetic key, under the empty key if they have no word, and across the two sides of a spelling.
+    """
+    keys = F.array_distinct(F.transform(words(F.col("name")), phonetic_key))
+    keyed = names.withColumn("key", F.explode(F.when(F.size(keys) == 0, F.array(F.lit(""))).otherwise(keys)))
+    alike = keyed.withColumnRenamed("name", "na").join(keyed.withColumnRenamed("name", "nb"), ["type", "key"]).select("type", "na", "nb")
+    held = names.withColumn("s", F.explode(_spelled(F.col("name")))).select("type", "name", "s.entry", "s.by_letter")
+    one, other = held.withColumnRenamed("name", "na"), held.select("type", "entry", (~F.col("by_letter")).alias("by_letter"), F.col("name").alias("nb"))
+    return alike.unionByName(one.join(other, ["type", "entry", "by_letter"]).select("type", "na", "nb")).distinct()
 
 
 def _overall(n: Column, d: Column, t: Column) -> Column:
@@ -39,13 +46,10 @@ def _overall(n: Column, d: Column, t: Column) -> Column:
 
 def like_names(names: DataFrame, at_least: float) -> DataFrame:
     """(type, na, nb, n): ordered pairs of distinct names (type, name; normalised) of a type, each name with itself too, that score at_least."""
-    if at_least > 0.5:  # names without a common key score at most .5
-        keys = F.array_distinct(F.transform(words(F.col("name")), phonetic_key))
-        names = names.withColumn("key", F.explode(F.when(F.size(keys) == 0, F.array(F.lit(""))).otherwise(keys)))
-        on = ["type", "key"]
-    else:
-        on = ["type"]
-    pairs = names.withColumnRenamed("name", "na").join(names.withColumnRenamed("name", "nb"), on).select("type", "na", "nb").distinct()
+    if at_least > 0.5:
+        pairs = _meetings(names)
+    else:  # any two names may score so much by their edits
+        pairs = names.withColumnRenamed("name", "na").join(names.withColumnRenamed("name", "nb"), "type").select("type", "na", "nb").distinct()
     # Scored in an aggregate: as a plain column the optimiser would carry the score into the joins that follow.
     scored = pairs.groupBy("type", "na", "nb").agg(F.max(name_similarity(F.col("na"), F.col("nb"))).alias("n"))
     return scored.where(F.round("n", 6) >= at_least)
@@ -110,11 +114,22 @@ def merged(pairs: DataFrame) -> DataFrame:
     )
 
 
-def contradictions(entities: DataFrame, extra: Column | None = None, name_over: float = 0.8) -> DataFrame:
-    """(id1, id2): persons of like names in one block with different known births."""
-    pairs = candidate_pairs(block_keys(entities.where("type = 'person'"), extra))
-    alike = name_similarity(normalised(F.col("a.name")), normalised(F.col("b.name"))) > name_over
-    return pairs.where(alike & (F.col("a.birth") != F.col("b.birth"))).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"))
+def contradictions(entities: DataFrame, name_over: float = 0.8) -> DataFrame:
+    """(id1, id2, kind, value1, value2): pairs of persons, id1 < id2, whose names are more alike than name_over and who differ.
+
+    kind is birth or death, where both are known and differ, or exact_duplicate, where names (normalised), birth and death are
+    the same. Distinct profiles (name, birth, death) meet first, then the persons who have them.
+    """
+    own = entities.where("type = 'person' and name is not null").select("id", "type", F.struct(normalised(F.col("name")).alias("name"), "birth", "death").alias("p"))
+    names = like_names(own.select("type", "p.name").distinct(), name_over).where(F.round("n", 6) > name_over)
+    profiles = own.select("p").distinct()
+    side = lambda s, n: profiles.select(F.col("p.name").alias(n), F.col("p").alias(s))
+    met = names.join(side("a", "na"), "na").join(side("b", "nb"), "nb")
+    differ = lambda f: F.when(F.col(f"a.{f}") != F.col(f"b.{f}"), F.struct(F.lit(f).alias("kind"), F.col(f"a.{f}").cast("string").alias("value1"), F.col(f"b.{f}").cast("string").alias("value2")))
+    same = F.when(F.col("a") == F.col("b"), F.struct(F.lit("exact_duplicate").alias("kind"), F.col("a.name").alias("value1"), F.col("b.name").alias("value2")))
+    found = met.select("a", "b", F.explode(F.array_compact(F.array(differ("birth"), differ("death"), same))).alias("c"))
+    ids = lambda s, i: own.select(F.col("p").alias(s), F.col("id").alias(i))
+    return found.join(ids("a", "id1"), "a").join(ids("b", "id2"), "b").where("id1 < id2").select("id1", "id2", "c.*")
 
 
 def similar_names(entities: DataFrame, query: str, threshold: float = 0.75, limit: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.names import best_of_variants, mean_known, set_overlap, similarity_class, year_similarity
+from lodestone.session import materialised
 
 #: Weights of the signals; one that is exactly .5 says nothing and counts half.
 WEIGHTS = {"name": 0.5, "date": 0.2, "location": 0.15, "relationship": 0.1, "attribute": 0.05}
@@ -88,24 +89,60 @@ def conflicts(pairs: DataFrame) -> DataFrame:
     return out.select("id1", "id2", F.explode("c").alias("c")).select("id1", "id2", "c.*", advice.alias("advice"))
 
 
-def merge_applied(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, history) after the merges (primary, duplicate) of different, known nodes, each duplicate merged once.
+def last_primaries(merges: DataFrame) -> DataFrame:
+    """(duplicate, primary) with the primary that a chain of merges (primary, duplicate) ends in, by doubled steps.
 
-    Duplicates stay as rows of merge_status merged; their edges move to the primary, and edges that then join a node with itself, or
-    that are there already, go. history has each duplicate as it was, for merge_undone().
+    Of several primaries of one duplicate the smallest counts; merges into itself and null ids do not. Where merges go round in a
+    circle, the smallest of the circle stays.
     """
-    known = merges.where("primary <> duplicate").groupBy("duplicate").agg(F.min("primary").alias("primary"))
-    known = known.join(nodes.select(F.col("id").alias("primary")), "primary", "left_semi").join(nodes.select(F.col("id").alias("duplicate")), "duplicate", "left_semi")
-    gone = known.select(F.col("duplicate").alias("id"), "primary")
+    step = merges.where("primary <> duplicate").groupBy("duplicate").agg(F.min("primary").alias("primary"))
+    step = materialised(step.select("duplicate", "primary", F.least("duplicate", "primary").alias("low")))
+    left, rounds = step.count(), 0
+    while (1 << rounds) <= left:  # as many doublings as the longest chain, or circle, can need
+        on = step.select(F.col("duplicate").alias("primary"), F.col("primary").alias("next"), F.col("low").alias("more"))
+        step = materialised(step.join(on, "primary", "left").select("duplicate", F.coalesce("next", "primary").alias("primary"), F.least("low", "more").alias("low"), F.col("next").isNotNull().alias("on")))
+        rounds += 1
+        if step.where("on").isEmpty():
+            break
+    # What still leads on is in a circle or leads into one; from inside the least of the way is that of the circle.
+    inside = step.select(F.col("primary").alias("duplicate")).join(step, "duplicate", "left_semi").distinct()
+    circle = step.join(inside, "duplicate", "left_semi").select(F.col("duplicate").alias("primary"), F.col("low").alias("least"))
+    return step.join(circle, "primary", "left").select("duplicate", F.coalesce("least", "primary").alias("primary")).where("primary <> duplicate")
+
+
+def merge_applied(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, history, edge_history) after the merges (primary, duplicate) of known nodes, chains of merges to their ends.
+
+    Duplicates stay as rows of merge_status merged; their edges move to the last primary. Of edges (id, src, predicate, dst,
+    confidence) that then say the same, one that was there before stays, else the most confident, then the smallest id; edges that then
+    join a node with itself go. history has each duplicate's status before; edge_history has each edge that moved or went: as it was,
+    where it went, and whether it stayed.
+    """
+    known = merges.join(nodes.select(F.col("id").alias("primary")), "primary", "left_semi").join(nodes.select(F.col("id").alias("duplicate")), "duplicate", "left_semi")
+    gone = materialised(last_primaries(known).select(F.col("duplicate").alias("id"), "primary"))
     history = nodes.join(gone, "id").select(F.col("id").alias("duplicate"), "primary", F.col("merge_status").alias("before"))
     after = nodes.join(gone.withColumn("_gone", F.lit(True)).drop("primary"), "id", "left").withColumn("merge_status", F.when(F.col("_gone"), "merged").otherwise(F.col("merge_status"))).select(*nodes.columns)
     to = lambda c: gone.select(F.col("id").alias(c), F.col("primary").alias(f"new_{c}"))
-    moved = edges.join(to("src"), "src", "left").join(to("dst"), "dst", "left").withColumns({"src": F.coalesce("new_src", "src"), "dst": F.coalesce("new_dst", "dst"), "_own": F.col("new_src").isNull() & F.col("new_dst").isNull()})
+    old = F.struct(*edges.columns).alias("before")
+    moved = edges.select("*", old).join(to("src"), "src", "left").join(to("dst"), "dst", "left")
+    moved = materialised(moved.withColumns({"src": F.coalesce("new_src", "src"), "dst": F.coalesce("new_dst", "dst"), "_own": F.col("new_src").isNull() & F.col("new_dst").isNull()}).select(*edges.columns, "before", "_own"))
     best = moved.where((F.col("src") != F.col("dst")) | F.col("_own")).groupBy("src", "predicate", "dst").agg(F.min_by(F.struct(*edges.columns), F.struct((~F.col("_own")).cast("int"), -F.col("confidence"), "id")).alias("e"))
-    return after, best.select(*[F.col(f"e.{c}").alias(c) for c in edges.columns]), history
+    stays = materialised(best.select(*[F.col(f"e.{c}").alias(c) for c in edges.columns]))
+    kept = stays.select("id", F.lit(True).alias("stayed"))
+    touched = moved.join(kept, "id", "left").where("not _own or stayed is null")
+    return after, stays, history, touched.select("id", "before", F.col("src").alias("new_src"), F.col("dst").alias("new_dst"), F.coalesce("stayed", F.lit(False)).alias("stayed"))
+
 
+def merge_undone(nodes: DataFrame, edges: DataFrame, history: DataFrame, edge_history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with the duplicates and edges of a merge's histories as they were before it.
 
-def merge_undone(nodes: DataFrame, history: DataFrame) -> DataFrame:
-    """nodes with the duplicates of history as they were; edges stay where the merge put them."""
+    An edge that stayed is put back where it still is as the merge left it; one that a later merge moved or took away is left to that
+    merge's own undoing. An edge that went is there again. To undo several merges, the last one goes first.
+    """
     back = history.select(F.col("duplicate").alias("id"), F.col("before"))
-    return nodes.join(back.withColumn("_back", F.lit(True)), "id", "left").withColumn("merge_status", F.when(F.col("_back"), F.col("before")).otherwise(F.col("merge_status"))).select(*nodes.columns)
+    restored = nodes.join(back.withColumn("_back", F.lit(True)), "id", "left").withColumn("merge_status", F.when(F.col("_back"), F.col("before")).otherwise(F.col("merge_status"))).select(*nodes.columns)
+    own = edge_history.where("stayed").select("id", "before", "new_src", "new_dst")
+    now = edges.join(own, "id", "left").withColumn("_same", F.coalesce((F.col("src") == F.col("new_src")) & (F.col("dst") == F.col("new_dst")), F.lit(False)))
+    put = now.select(*[F.when(F.col("_same"), F.col(f"before.{c}")).otherwise(F.col(c)).alias(c) for c in edges.columns])
+    lost = edge_history.where("not stayed").select(*[F.col(f"before.{c}").alias(c) for c in edges.columns])
+    return restored, put.unionByName(lost.join(edges.select("id"), "id", "left_anti").select(*edges.columns))

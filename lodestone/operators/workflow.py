@@ -100,21 +100,3 @@ def hinted_predicates(text: Column) -> Column:
     """Array of the predicates that words of the text point to."""
     t = F.lower(F.coalesce(text, F.lit("")))
     return F.array_compact(F.array(*[F.when(t.rlike(p), k) for k, p in HINTS.items()]))
-
-
-#: Name patterns of relations in English sentences; the groups are subject and object.
-NAME = r"([A-Z][a-z]+(?: [A-Z][a-z]+)*)"
-RULES = (
-    ("teacher_of", rf"{NAME} (?:taught|instructed|was the teacher of) {NAME}", 0.9), ("student_of", rf"{NAME} (?:studied under|studied with|was a (?:student|disciple) of) {NAME}", 0.9), ("wrote", rf"{NAME} (?:wrote|composed|authored) {NAME}", 0.85),
-    ("founded", rf"{NAME} (?:founded|established) {NAME}", 0.9), ("lived_at", rf"{NAME} (?:lived (?:at|in)|resided (?:at|in)) {NAME}", 0.8), ("incarnation_of", rf"{NAME} was (?:the )?(?:reincarnation|incarnation) of {NAME}", 0.95),
-)
-
-
-def extracted_relations(docs: DataFrame, rules=RULES) -> DataFrame:
-    """(doc_id, predicate, subject, object, confidence): matches of the rules in texts; case counts."""
-    def matches(predicate: str, pattern: str, confidence: float) -> Column:
-        both = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "subject"), (2, "object"))])
-        return F.transform(both, lambda z: F.struct(F.lit(predicate).alias("predicate"), z["subject"].alias("subject"), z["object"].alias("object"), F.lit(confidence).alias("confidence")))
-
-    found = [matches(*rule) for rule in rules]
-    return docs.where("text is not null").select("doc_id", F.explode(F.concat(*found)).alias("r")).select("doc_id", "r.*")

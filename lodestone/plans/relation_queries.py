@@ -23,6 +23,12 @@ def _dated(f):
     return lambda spark, folder: f(kg_nodes(spark, folder), dated_edges(spark, folder))
 
 
+def _lives(nodes):
+    """The texts as persons: written is birth, and death up to two years later, as only texts share names."""
+    k = F.regexp_extract("id", r"\d+", 0).cast("long")
+    return nodes.where("type = 'text'").select("id", F.lit("person").alias("type"), "name", F.col("written").alias("birth"), (F.col("written") + k % 3).alias("death"))
+
+
 def _copy(nodes):
     """A second store of the nodes that lags behind: some missing, some changed."""
     k = F.regexp_extract("id", r"\d+", 0).cast("long")
@@ -64,7 +70,6 @@ pairs AS (SELECT DISTINCT a.id AS id1, b.id AS id2, a.nm AS na, b.nm AS nb, a.bi
 sc AS (SELECT id1, id2, {PAIR('na', 'nb')} AS n, CASE WHEN ba = bb THEN 1.0 WHEN abs(ba - bb) <= 5 THEN 0.85 WHEN abs(ba - bb) <= 10 THEN 0.7 WHEN abs(ba - bb) <= 20 THEN 0.5 ELSE 0.0 END::DOUBLE AS d FROM pairs),
 pr AS (SELECT id1, id2, n, d, (n * CASE WHEN n = 0.5 THEN 0.25 ELSE 0.5 END::DOUBLE + d * CASE WHEN d = 0.5 THEN 0.1 ELSE 0.2 END::DOUBLE + 0.5::DOUBLE * 0.075::DOUBLE) / (CASE WHEN n = 0.5 THEN 0.25 ELSE 0.5 END::DOUBLE + CASE WHEN d = 0.5 THEN 0.1 ELSE 0.2 END::DOUBLE + 0.075::DOUBLE) AS o FROM sc),
 fin AS (SELECT id1, id2, round(n, 6) AS name_score, d AS date_score, round(CASE WHEN n > 0.98 AND o < 0.9 AND d > 0 THEN 0.92::DOUBLE ELSE o END, 6) AS probability FROM pr)"""
-DECADE = "birth div 10"
 #: All pairs without blocks: distinct names against each other, then the entities of names that are alike.
 ALL_PAIRS = f"""{NODES_SQL}, {ENT}, nms AS (SELECT DISTINCT nm FROM ent), ns AS (SELECT a.nm AS na, b.nm AS nb, {PAIR('a.nm', 'b.nm')} AS n FROM nms a, nms b),
 sc AS (SELECT a.id AS id1, b.id AS id2, n, CASE WHEN a.birth IS NULL OR b.birth IS NULL THEN 0.5 WHEN a.birth = b.birth THEN 1.0 WHEN abs(a.birth - b.birth) <= 5 THEN 0.85 WHEN abs(a.birth - b.birth) <= 10 THEN 0.7 WHEN abs(a.birth - b.birth) <= 20 THEN 0.5 ELSE 0.0 END::DOUBLE AS d
@@ -73,15 +78,14 @@ sc AS (SELECT a.id AS id1, b.id AS id2, n, CASE WHEN a.birth IS NULL OR b.birth
 
 
 QUERIES = {
-    "jn1_orphans_of_citations": (
-        _with(lambda n, e: R.orphans(n, G.of_types(e, ["cites", "attended", "lived_at"])).groupBy("type").agg(F.count(F.lit(1)).alias("n"))),
-        f"WITH {KG_SQL}, own AS (SELECT * FROM kg_edges WHERE predicate IN ('cites', 'attended', 'lived_at')) SELECT type, count(*) AS n FROM kg_nodes WHERE id NOT IN (SELECT src FROM own UNION SELECT dst FROM own) GROUP BY type",
-    ),
     "jn8_id_diff_both": (
         _with(lambda n, e: R.id_diff(n.where("confidence < 0.9"), _copy(n)).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))),
         f"WITH {COPY}, l AS (SELECT id FROM kg_nodes WHERE confidence < 0.9) SELECT side, count(*) AS n, min(id) AS first FROM (SELECT id, 'left_only' AS side FROM l WHERE id NOT IN (SELECT id FROM other) UNION ALL SELECT id, 'right_only' FROM other WHERE id NOT IN (SELECT id FROM l)) GROUP BY side",
     ),
-    "jn1_orphans": (_with(lambda n, e: R.orphans(n, e).groupBy("type").agg(F.count(F.lit(1)).alias("n"))), f"WITH {KG_SQL} SELECT type, count(*) AS n FROM kg_nodes WHERE id NOT IN (SELECT src FROM kg_edges UNION SELECT dst FROM kg_edges) GROUP BY type"),
+    "jn1_orphans": (
+        _with(lambda n, e: R.orphans(n, e.where("confidence >= 0.9")).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))),  # sure edges alone hold a node
+        f"WITH {KG_SQL}, sure AS (SELECT * FROM kg_edges WHERE confidence >= 0.9) SELECT type, count(*) AS n, min(id) AS first FROM kg_nodes WHERE id NOT IN (SELECT src FROM sure UNION SELECT dst FROM sure) GROUP BY type",
+    ),
     "jn4_semi_join": (_with(lambda n, e: n.join(G.of_types(e, ["cites"]).select(F.col("dst").alias("id")), "id", "left_semi").select("id")), f"WITH {KG_SQL} SELECT id FROM kg_nodes WHERE id IN (SELECT dst FROM kg_edges WHERE predicate = 'cites')"),
     "jn8_id_diff": (_with(lambda n, e: R.id_diff(n, _copy(n))), f"WITH {COPY} SELECT id, 'left_only' AS side FROM kg_nodes WHERE id NOT IN (SELECT id FROM other)"),
     "jn9_mismatches": (
@@ -89,10 +93,6 @@ QUERIES = {
         f"WITH {COPY} SELECT n.id, 'name' AS field FROM kg_nodes n JOIN other o USING (id) WHERE n.name <> o.name UNION ALL SELECT n.id, 'confidence' FROM kg_nodes n JOIN other o USING (id) WHERE abs(n.confidence - o.confidence) > 0.01",
     ),
     "jn10_orphaned_edges": (
-        _with(lambda n, e: R.orphaned_edges(_copy(n), G.of_types(e, ["cites", "lived_at"]))),
-        f"WITH {COPY}, {EDGES_SQL} SELECT * FROM (SELECT e.id, CASE WHEN s.id IS NULL AND d.id IS NULL THEN 'both' WHEN s.id IS NULL THEN 'subject' WHEN d.id IS NULL THEN 'object' END AS reason FROM kg_edges e LEFT JOIN other s ON s.id = src LEFT JOIN other d ON d.id = dst WHERE predicate IN ('cites', 'lived_at')) WHERE reason IS NOT NULL",
-    ),
-    "jn10_orphaned_edges_whole": (
         _with(lambda n, e: R.orphaned_edges(_copy(n), e)),
         f"WITH {COPY}, {EDGES_SQL} SELECT * FROM (SELECT e.id, CASE WHEN s.id IS NULL AND d.id IS NULL THEN 'both' WHEN s.id IS NULL THEN 'subject' WHEN d.id IS NULL THEN 'object' END AS reason FROM kg_edges e LEFT JOIN other s ON s.id = src LEFT JOIN other d ON d.id = dst) WHERE reason IS NOT NULL",
     ),
@@ -101,16 +101,12 @@ QUERIES = {
         f"WITH {COPY} SELECT name, count(*) AS n FROM (SELECT id, name FROM other WHERE id NOT IN (SELECT id FROM kg_nodes WHERE type = 'place') UNION ALL SELECT id, upper(name) FROM kg_nodes WHERE type = 'place') GROUP BY name",
     ),
     "src12_detach_delete": (
-        _with(lambda n, e: R.detach_delete(n, G.of_types(e, ["cites"]), n.where("verified and type = 'text'").select("id"))[1].select("src", "dst")),
-        f"WITH {KG_SQL}, gone AS (SELECT id FROM kg_nodes WHERE verified AND type = 'text') SELECT src, dst FROM kg_edges WHERE predicate = 'cites' AND src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)",
-    ),
-    "src12_detach_delete_whole": (
         _with(lambda n, e: R.detach_delete(n, e, n.where("verified and type = 'text'").select("id"))[1].select("src", "predicate", "dst")),
         f"WITH {KG_SQL}, gone AS (SELECT id FROM kg_nodes WHERE verified AND type = 'text') SELECT src, predicate, dst FROM kg_edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)",
     ),
     "src13_patch": (
-        _with(lambda n, e: R.patch(n.where("type = 'person'").select("id", "name", "tradition"), n.where("verified").select("id", F.lit("REVISED").alias("tradition")), "id", ["tradition"]).groupBy("tradition").agg(F.count(F.lit(1)).alias("n"))),
-        f"WITH {NODES_SQL} SELECT CASE WHEN verified THEN 'REVISED' ELSE tradition END AS tradition, count(*) AS n FROM kg_nodes WHERE type = 'person' GROUP BY 1",
+        _with(lambda n, e: R.patch(n.select("id", "name", "tradition"), n.where("verified").select("id", F.lit("REVISED").alias("tradition")), "id", ["tradition"]).groupBy("tradition").agg(F.count(F.lit(1)).alias("n"))),
+        f"WITH {NODES_SQL} SELECT CASE WHEN verified THEN 'REVISED' ELSE tradition END AS tradition, count(*) AS n FROM kg_nodes GROUP BY 1",
     ),
     "sm4_incremental": (lambda s, d: R.changed_since(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "2024-01-20", "ts").select("event_id"), "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20'"),
     "wn6_keep_best": (
@@ -131,31 +127,25 @@ QUERIES = {
         f"WITH {NODES_SQL}, {ENT.replace('SELECT id,', 'SELECT id, name,')}, x AS (SELECT id, name, round({PAIR('nm', 'q')}, 6) AS score FROM ent, (SELECT 'small widgit' AS q)) SELECT * FROM x WHERE score >= 0.5 ORDER BY score DESC, id LIMIT 10",
     ),
     "er18_duplicates": (
-        _with(lambda n, e: E.duplicates(_entities(n), F.expr(DECADE))),
-        f"WITH {PAIRS} SELECT *, CASE WHEN probability >= 0.95 THEN 'very_high' WHEN probability >= 0.85 THEN 'high' WHEN probability >= 0.75 THEN 'medium' ELSE 'low' END AS class FROM fin WHERE name_score >= 0.6 AND probability >= 0.7",
-    ),
-    "er19_clusters": (
-        _with(lambda n, e: E.clusters(_entities(n), E.duplicates(_entities(n), F.expr(DECADE)).where("probability >= 0.9"))),
-        f"""WITH RECURSIVE {PAIRS}, l AS (SELECT id1 AS a, id2 AS b FROM fin WHERE name_score >= 0.6 AND probability >= 0.9), lk AS (SELECT a, b FROM l UNION SELECT b, a FROM l), walk AS (SELECT a AS start, a AS node FROM lk UNION SELECT w.start, lk.b FROM walk w JOIN lk ON lk.a = w.node),
-root AS (SELECT start AS id, min(node) AS cluster FROM walk GROUP BY start) SELECT cluster, count(*) AS size, (list(root.id ORDER BY -confidence, root.id))[1] AS canonical FROM root JOIN ent USING (id) GROUP BY cluster""",
-    ),
-    "er20_resolve": (
-        _with(lambda n, e: E.duplicates(_entities(n), F.expr(DECADE)).groupBy(E.resolve(F.col("probability")).alias("decision")).agg(F.count(F.lit(1)).alias("n"))),
-        f"WITH {PAIRS} SELECT CASE WHEN probability >= 0.95 THEN 'same' WHEN probability >= 0.8 THEN 'potential_duplicate' ELSE 'new' END AS decision, count(*) AS n FROM fin WHERE name_score >= 0.6 AND probability >= 0.7 GROUP BY 1",
-    ),
-    "er18_duplicates_whole": (
         _with(lambda n, e: E.duplicates(_entities(n))),
         f"WITH {ALL_PAIRS} SELECT *, CASE WHEN probability >= 0.95 THEN 'very_high' WHEN probability >= 0.85 THEN 'high' WHEN probability >= 0.75 THEN 'medium' ELSE 'low' END AS class FROM fin WHERE name_score >= 0.6 AND probability >= 0.7",
     ),
-    "er19_clusters_whole": (
+    "er19_clusters": (
         _with(lambda n, e: E.clusters(_entities(n), E.duplicates(_entities(n), threshold=0.9))),
         f"""WITH RECURSIVE {ALL_PAIRS}, l AS (SELECT id1 AS a, id2 AS b FROM fin WHERE name_score >= 0.6 AND probability >= 0.9), lk AS (SELECT a, b FROM l UNION SELECT b, a FROM l), walk AS (SELECT a AS start, a AS node FROM lk UNION SELECT w.start, lk.b FROM walk w JOIN lk ON lk.a = w.node),
 root AS (SELECT start AS id, min(node) AS cluster FROM walk GROUP BY start) SELECT cluster, count(*) AS size, (list(root.id ORDER BY -confidence, root.id))[1] AS canonical FROM root JOIN ent USING (id) GROUP BY cluster""",
     ),
-    "er20_resolve_whole": (
+    "er20_resolve": (
         _with(lambda n, e: E.duplicates(_entities(n)).groupBy(E.resolve(F.col("probability")).alias("decision")).agg(F.count(F.lit(1)).alias("n"))),
         f"WITH {ALL_PAIRS} SELECT CASE WHEN probability >= 0.95 THEN 'same' WHEN probability >= 0.8 THEN 'potential_duplicate' ELSE 'new' END AS decision, count(*) AS n FROM fin WHERE name_score >= 0.6 AND probability >= 0.7 GROUP BY 1",
     ),
+    "er24_contradictions": (
+        _with(lambda n, e: E.contradictions(_lives(n)).groupBy("kind", "value1", "value2").agg(F.count(F.lit(1)).alias("n"), F.min("id1").alias("first"))),
+        f"""WITH {NODES_SQL}, ent AS (SELECT id, {NAME} AS nm, written AS birth, written + {K} % 3 AS death FROM kg_nodes WHERE type = 'text'), nms AS (SELECT DISTINCT nm FROM ent), ns AS (SELECT a.nm AS na, b.nm AS nb FROM nms a, nms b WHERE round({PAIR('a.nm', 'b.nm')}, 6) > 0.8),
+pr AS (SELECT a.id AS id1, a.nm AS na, b.nm AS nb, a.birth AS ba, b.birth AS bb, a.death AS da, b.death AS db FROM ns JOIN ent a ON a.nm = na JOIN ent b ON b.nm = nb WHERE a.id < b.id),
+c AS (SELECT id1, 'birth' AS kind, ba::VARCHAR AS value1, bb::VARCHAR AS value2 FROM pr WHERE ba <> bb UNION ALL SELECT id1, 'death', da::VARCHAR, db::VARCHAR FROM pr WHERE da <> db UNION ALL SELECT id1, 'exact_duplicate', na, nb FROM pr WHERE na = nb AND ba = bb AND da = db)
+SELECT kind, value1, value2, count(*) AS n, min(id1) AS first FROM c GROUP BY kind, value1, value2""",
+    ),
     "er21_merge": (
         _with(lambda n, e: E.merged(n.where("type = 'person'").alias("a").select(F.struct("id", "name", "birth", "death", "tradition", "confidence", "verified").alias("primary"), F.concat(F.lit("c"), F.regexp_extract("id", r"\d+", 0).cast("long") + 900).alias("k")).join(n.where("type = 'person'").select(F.col("id").alias("k"), F.struct("id", "name", "birth", "death", "tradition", "confidence", "verified").alias("duplicate")), "k")).select("id", "merged_id", "birth", "confidence", "verified", F.size("conflicts").alias("conflicts"))),
         f"""WITH {NODES_SQL}, p AS (SELECT *, {K} AS key FROM kg_nodes WHERE type = 'person')
@@ -170,19 +160,11 @@ SELECT a.id, b.id AS merged_id, CASE WHEN a.confidence >= b.confidence THEN a.bi
         f"WITH {CHECKED}, adv(issue, action, confidence, unasked) AS (VALUES {', '.join(map(str, V.CORRECTIONS))}) SELECT issue, action, confidence::DOUBLE AS confidence, unasked, count(*) AS n FROM vi JOIN adv USING (issue) GROUP BY ALL",
     ),
     "rv4_inverse_suggestions": (
-        _with(lambda n, e: V.inverse_suggestions(G.of_types(e, ["teacher_of", "student_of"]))),
-        f"WITH {EDGES_SQL} SELECT dst AS src, CASE predicate WHEN 'teacher_of' THEN 'student_of' ELSE 'teacher_of' END AS predicate, src AS dst, 0.95::DOUBLE AS confidence FROM kg_edges a WHERE predicate IN ('teacher_of', 'student_of') AND NOT EXISTS (SELECT 1 FROM kg_edges b WHERE b.src = a.dst AND b.dst = a.src AND b.predicate = CASE a.predicate WHEN 'teacher_of' THEN 'student_of' ELSE 'teacher_of' END)",
-    ),
-    "rv5_adjusted_confidence": (
-        _dated(lambda n, e: V.adjusted_confidence(n, G.of_types(e, ["teacher_of", "student_of", "incarnation_of", "cites"]))),
-        f"SELECT * FROM ({ADJUSTED} WHERE predicate IN ('teacher_of', 'student_of', 'incarnation_of', 'cites'))",
-    ),
-    "rv4_inverse_suggestions_whole": (
         _with(lambda n, e: V.inverse_suggestions(e)),
-        f"""WITH {EDGES_SQL}, m(p, q) AS (VALUES {", ".join(str(x) for x in G.INVERSES.items())})
-SELECT dst AS src, q AS predicate, src AS dst, 0.95::DOUBLE AS confidence FROM kg_edges a JOIN m ON p = predicate WHERE NOT EXISTS (SELECT 1 FROM kg_edges b WHERE b.src = a.dst AND b.dst = a.src AND b.predicate = q)""",
+        f"""WITH {EDGES_SQL}, m(p, q) AS (VALUES {", ".join(str(x) for x in G.INVERSES.items())}), e AS MATERIALIZED (SELECT src, predicate, dst FROM kg_edges), w AS (SELECT dst AS src, q AS predicate, src AS dst FROM e JOIN m ON p = predicate)
+SELECT w.src, w.predicate, w.dst, 0.95::DOUBLE AS confidence FROM w LEFT JOIN e ON e.src = w.src AND e.dst = w.dst AND e.predicate = w.predicate WHERE e.src IS NULL""",
     ),
-    "rv5_adjusted_confidence_whole": (_dated(lambda n, e: V.adjusted_confidence(n, e)), ADJUSTED),
+    "rv5_adjusted_confidence": (_dated(lambda n, e: V.adjusted_confidence(n, e)), ADJUSTED),
     "ag26_validation_report": (
         _dated(lambda n, e: V.report(n, e)),
         f"WITH {CHECKED} SELECT category, {SEVERITY} AS severity, issue, count(*) AS n, round(avg(confidence), 6) AS confidence, count(*) >= 5 AS systematic FROM vi JOIN dated USING (id) GROUP BY ALL",

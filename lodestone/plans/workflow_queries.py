@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import mining as M
 from lodestone.operators import workflow as W
 from lodestone.session import table
 from lodestone.sources.views import METRICS_SQL, NODES_SQL, REVIEW_SQL, TERMS_SQL, kg_nodes, review_queue, term_pairs, translation_metrics
@@ -67,8 +68,8 @@ SELECT count(*) AS examples, count(*) FILTER (x >= 0.05::DOUBLE) AS improved, co
         f'WITH {NODES_SQL} SELECT id, coalesce(birth, founded, occurred, 1200) AS start, coalesce(death, birth, founded, occurred, 1200) AS "end" FROM kg_nodes',
     ),
     "rm1_relations": (
-        lambda s, d: W.extracted_relations(_sentences(s, d)),
-        """WITH t AS (SELECT s_suppkey AS doc_id, ['Marpa', 'Milarepa', 'Naropa', 'Tilopa', 'Gampopa'][s_suppkey % 5 + 1] AS subject, ['teacher_of', 'student_of', 'wrote', NULL][s_suppkey % 4 + 1] AS predicate, [0.9, 0.9, 0.85, NULL]::DOUBLE[] AS c FROM supplier)
+        lambda s, d: M.matches(_sentences(s, d)).select("doc_id", "predicate", "subject", "object", "confidence"),
+        """WITH t AS (SELECT s_suppkey AS doc_id, ['Marpa', 'Milarepa', 'Naropa', 'Tilopa', 'Gampopa'][s_suppkey % 5 + 1] AS subject, ['teacher_of', 'student_of', 'wrote', NULL][s_suppkey % 4 + 1] AS predicate, [0.9, 0.9, 0.91, NULL]::DOUBLE[] AS c FROM supplier)
 SELECT doc_id, predicate, subject, 'Drogmi Lotsawa' AS object, c[doc_id % 4 + 1] AS confidence FROM t WHERE predicate IS NOT NULL""",
     ),
     "rm7_hinted_predicates": (
