@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import textarrays as T
 from lodestone.llm.common import saved
 from lodestone.llm.components import components
+from lodestone.session import dropped
 
 COORDS, MATCH, MATCH_ALL = 64, 32, 73
 #: The least similarity for which MATCH and MATCH_ALL hold.
@@ -182,10 +183,13 @@ def _tile_links(tiles: DataFrame, classes: DataFrame, docs: DataFrame, size: int
     dealt = tiles.join(classes, ["id", "d"]).select(*PLACE, *MEMBER, *sketch).repartition(*PLACE).sortWithinPartitions(*PLACE)
     members = saved(dealt.mapInArrow(name, _MEMBER_TYPES))
     if members.isEmpty():
+        dropped(members)
         return None
     whole = classes.join(_set_table(docs, members.select("id").distinct(), size), ["id", "d"])
     blocks = members.join(whole, ["id", "d"]).select(*PLACE, *MEMBER, *sketch, "shingles").repartition(*PLACE).sortWithinPartitions(*PLACE)
-    return saved(blocks.mapInArrow(decide, "a long, b long").distinct())
+    found = saved(blocks.mapInArrow(decide, "a long, b long").distinct())
+    dropped(members)
+    return found
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
