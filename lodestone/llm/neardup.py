@@ -44,7 +44,7 @@ ROWS, COLUMNS = 1024, 1024
 #: Candidates are decided in blocks of SET_ROWS by SET_COLUMNS classes of a tile.
 SET_ROWS, SET_COLUMNS = 64, 192
 #: Hubs that a class is compared with in a round, and rounds at most; what they leave open is for the tiles.
-HUBS, ROUNDS = 3, 2
+HUBS, ROUNDS = 3, 1
 #: Parts that the members of a class, or the classes of a hub, are dealt over to meet it.
 SALTS = 16
 
@@ -212,8 +212,6 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
             rest = rest.take(pa.array(np.arange(rest.num_rows)))  # lets go of the batch
     if rest is not None:
         yield rest
-    pa.default_memory_pool().release_unused()
-
 
 def _candidates(tile: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of the tile that has candidates its place in the table, and the places of these columns."""
