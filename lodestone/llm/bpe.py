@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textarrays as T
-from lodestone.llm.common import partitions, without
+from lodestone.llm.common import lean, partitions, release_memory, without
 
 #: Bytes of text in a block, and those that are split at once.
 BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 2 << 20
@@ -361,7 +361,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "block long, rows binary")
+    return docs.mapInArrow(lean(run), "block long, rows binary")
 
 
 def _texts(rows: bytes) -> pa.Table:
@@ -394,7 +394,7 @@ def _asked(blocks: DataFrame, path: str, pattern: str, buckets: int) -> DataFram
                 columns = [pa.array(list(by), pa.int32()), pa.array([block] * len(by), pa.int64()), pa.array([b"".join(x) for x in by.values()], pa.binary()), pa.array([_lengths(x) for x in by.values()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "words", "lengths"])
 
-    return blocks.mapInArrow(run, "bucket int, block long, words binary, lengths binary")
+    return blocks.mapInArrow(lean(run), "bucket int, block long, words binary, lengths binary")
 
 
 def _answers(asked: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -417,6 +417,7 @@ def _answers(asked: DataFrame, path: str, pattern: str) -> DataFrame:
                 to += 1
             known.update(zip(distinct[at:to], v.replay(distinct[at:to]), strict=True))
             at = to
+        release_memory()
         own = [[known[w] for w in x] for x in lists]
         sums = [zlib.crc32(w) for w in t["words"].to_pylist()]
         return pa.table({"block": t["block"], "bucket": t["bucket"], "sum": pa.array(sums, pa.int64()), "ids": pa.array([b"".join(x) for x in own], pa.binary()), "lengths": pa.array([_lengths(x) for x in own], pa.binary())})
@@ -446,6 +447,7 @@ def _coded(docs: DataFrame, path: str, pattern: str, schema: str | S.StructType,
                 ends = np.cumsum(np.frombuffer(lengths, "<u4")).tolist()
                 known.update(zip(words, [ids[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
             out.append(made(v, table, [v.joined(*c, known) for c in chunks]))
+            release_memory()
         return pa.concat_tables(out)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
@@ -477,7 +479,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             out = [v.decode(ids, np.array([0, len(ids)]))[0].tobytes() for ids in (np.frombuffer(x or b"", "<u4") for x in b.column("_ids").to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "_decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(lean(run), schema)
 
 
 def bpe_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:

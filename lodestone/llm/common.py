@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.session import materialised as saved
 from lodestone.session import table
 
-__all__ = ["LOWER", "UPPER", "WHITESPACE", "ascii_lower", "crc_of_id", "partitions", "put_back", "saved", "set_aside", "table", "without"]
+__all__ = ["LOWER", "UPPER", "WHITESPACE", "ascii_lower", "crc_of_id", "lean", "partitions", "put_back", "release_memory", "saved", "set_aside", "table", "without"]
 
 #: The characters that separate words and pad lines, as the contracts fix them.
 WHITESPACE = " \t\n\x0b\f\r"
@@ -44,3 +48,21 @@ def crc_of_id(c: Column) -> Column:
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+
+def release_memory() -> None:
+    """Gives a task's freed memory back to the system: its worker stays and may next serve a task that needs little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the C library that has it
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with release_memory() when its batches are done."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return wrapped

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textarrays as T
-from lodestone.llm.common import saved
+from lodestone.llm.common import lean, saved
 
 COORDS = 64
 BLOCK_BYTES = 16 << 20
@@ -181,7 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float
                     names=["doc_id", "item_id", "n_item_shingles", "n_common"],
                 )
 
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, schema))
+        parts.append(docs.select("doc_id", "text").mapInArrow(lean(run), schema))
         last = block
     found = reduce(DataFrame.unionByName, parts)
     found = found.groupBy("doc_id", "item_id", "n_item_shingles").agg(F.max("n_common").alias("n_common"))
@@ -209,5 +209,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, thre
                     clean[[c.first + text for text, _, _ in block.value.leaks(c, threshold)]] = False
                 yield b.filter(pa.array(clean))
 
-        docs, last = docs.mapInArrow(run, docs.schema), block
+        docs, last = docs.mapInArrow(lean(run), docs.schema), block
     return docs

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import textarrays as T
-from lodestone.llm.common import saved
+from lodestone.llm.common import lean, saved
 from lodestone.llm.components import components
 from lodestone.session import dropped
 
@@ -105,7 +105,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(c.first, len(n)), pa.array(n.astype(np.int64)), *digests, lists, shorts], names=["doc_id", "n_shingles", "digest1", "digest2", "coords", "checks"])
 
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return few.mapInArrow(run, "doc_id long, n_shingles long, digest1 long, digest2 long, coords array<long>, checks array<smallint>")
+    return few.mapInArrow(lean(run), "doc_id long, n_shingles long, digest1 long, digest2 long, coords array<long>, checks array<smallint>")
 
 
 def prefix_postings(classes: DataFrame) -> DataFrame:
@@ -181,13 +181,13 @@ def _tile_links(tiles: DataFrame, classes: DataFrame, docs: DataFrame, size: int
                 yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*links, strict=True)], names=["a", "b"])
 
     dealt = tiles.join(classes, ["id", "d"]).select(*PLACE, *MEMBER, *sketch).repartition(*PLACE).sortWithinPartitions(*PLACE)
-    members = saved(dealt.mapInArrow(name, _MEMBER_TYPES))
+    members = saved(dealt.mapInArrow(lean(name), _MEMBER_TYPES))
     if members.isEmpty():
         dropped(members)
         return None
     whole = classes.join(_set_table(docs, members.select("id").distinct(), size), ["id", "d"])
     blocks = members.join(whole, ["id", "d"]).select(*PLACE, *MEMBER, *sketch, "shingles").repartition(*PLACE).sortWithinPartitions(*PLACE)
-    found = saved(blocks.mapInArrow(decide, "a long, b long").distinct())
+    found = saved(blocks.mapInArrow(lean(decide), "a long, b long").distinct())
     dropped(members)
     return found
 
@@ -264,7 +264,7 @@ def _set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(c.first, len(at) - 1), pa.array(_digest(sets, at, 0).view(np.int64)), lists], names=["id", "d", "shingles"])
 
-    return texts.mapInArrow(run, "id long, d long, shingles array<long>").dropDuplicates(["id", "d"])
+    return texts.mapInArrow(lean(run), "id long, d long, shingles array<long>").dropDuplicates(["id", "d"])
 
 
 def _block_links(block: pa.Table, threshold: float) -> list[tuple[int, int]]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textarrays as T
-from lodestone.llm.common import put_back, saved, set_aside, without
+from lodestone.llm.common import lean, put_back, saved, set_aside, without
 
 BITS = 20
 
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Fit | None = None) -> Model:
                 )
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    sample = saved(rows.mapInArrow(features, f"doc_id {key}, toxic int, words long, feature array<int>, count array<int>"))
+    sample = saved(rows.mapInArrow(lean(features), f"doc_id {key}, toxic int, words long, feature array<int>, count array<int>"))
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return Model(np.zeros(0, np.int64), np.zeros(0), np.arange(params.grades - 1) + 10.0)
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Fit | None = None) -> Model:
             ends = np.concatenate(([0], np.cumsum(on)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()].astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("words"), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature[on])), pa.ListArray.from_arrays(pa.array(ends), pa.array(count[on]))], names=b.schema.names)
 
-    got = sample.mapInArrow(kept, sample.schema).toArrow().combine_chunks()  # at most sample_rows rows, of chosen features only
+    got = sample.mapInArrow(lean(kept), sample.schema).toArrow().combine_chunks()  # at most sample_rows rows, of chosen features only
     order = np.argsort(np.array([str(x) for x in got["doc_id"].to_pylist()]))  # the same sums whatever the order of the rows
     got = got.take(pa.array(order))
     lists = got["feature"].combine_chunks() if isinstance(got["feature"], pa.ChunkedArray) else got["feature"]
@@ -274,7 +274,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 names=[*b.schema.names, "_p_toxic", "_severity", "_grade"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, params: Fit | None = None, reject: float | None = None) -> DataFrame:
