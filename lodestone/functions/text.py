@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
+import pyspark.sql.types as S
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 TIBETAN = r"[\x{0F00}-\x{0FFF}]"
 
@@ -31,6 +37,31 @@ def unicode_flags(text: Column) -> dict[str, Column]:
     return {k: t.rlike(p) for k, p in rules.items()}
 
 
+@pandas_udf(S.StructType([S.StructField("composed", S.BooleanType()), S.StructField("mixed", S.BooleanType()), S.StructField("text", S.StringType())]))
+def _normal(texts: pd.Series) -> pd.DataFrame:
+    known: dict[str, str] = {}
+
+    def composed(m: re.Match) -> str:
+        run = m[0]
+        if run not in known:
+            known[run] = unicodedata.normalize("NFC", run)
+        return known[run]
+
+    rows = []
+    for t in texts:
+        out = re.sub(r".?[^\x00-\x7f]+", composed, t, flags=re.S)  # a mark may join the plain letter before it
+        marked = re.search(r"[\u0300-\u036f]", t) is not None
+        rows.append((out == t, marked and re.search(r"[\u00c0-\u024f\u1e00-\u1eff]", t) is not None, out))
+    return pd.DataFrame(rows, columns=["composed", "mixed", "text"])
+
+
+def normal_form(text: Column) -> Column:
+    """Struct (composed, mixed, text): whether a text is in normal form C; whether it has both composed letters and marks of their own;
+    the text in that form. Only runs of non-ASCII characters are worked on, each different one once a batch. A null text is an empty one.
+    """
+    return _normal(_text(text))
+
+
 def strip_html(html: Column) -> Column:
     out = F.regexp_replace(_text(html), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]*>", " "), r"\s+", " "))

@@ -44,23 +44,50 @@ def _chains(edges: DataFrame, start: str, come: str, go: str, max_depth: int, mi
     return reduce(DataFrame.unionByName, found)
 
 
-def _best_chain(chains: DataFrame, ends: DataFrame) -> DataFrame:
-    """The most probable chain whose last node is not in ends (node); then the shortest, then by path."""
-    return chains.join(ends, "node", "left_anti").orderBy(F.desc("confidence"), "depth", F.concat_ws(">", "path")).limit(1)
+def _best_chain(edges: DataFrame, start: str, come: str, go: str, max_depth: int, min_confidence: float) -> DataFrame:
+    """(root, depth, confidence, path): the most probable simple chain from start to a node that leads no further, then the
+    shortest, then the first by path; no row where there is none. An edge leads from its column come to its column go.
+
+    Level by level only the best chain to each node is kept: what is best to a node begins with what is best to the one before.
+    That fails only where a chain could not go on because it has the node already; then all chains are compared.
+    """
+    spark = edges.sparkSession
+    steps = edges.where(F.col("confidence") >= min_confidence).select(F.col(come).alias("_at"), F.col(go).alias("_to"), F.col("confidence").alias("_c"))
+    leads = edges.select(F.col(come).alias("_at")).distinct()
+    steps = materialised(steps.join(leads.select(F.col("_at").alias("_to"), F.lit(True).alias("_on")), "_to", "left").select("_at", "_to", "_c", F.col("_on").isNull().alias("_end")))
+    state = "node string, path array<string>, confidence double, depth int, ended boolean, barred boolean"
+    level = spark.createDataFrame([(start, [start], 1.0, 0, False, False)], state)
+    order = F.struct((-F.col("confidence")).alias("c"), F.col("depth"), F.concat(F.concat_ws(">", "path"), F.lit(">")).alias("p"))
+    for _ in range(max_depth):
+        # Ended and barred rows are carried along as they are (one reference to the level, or plans would double); the best ended one is enough.
+        done = F.col("ended") | F.col("barred")
+        met = level.join(steps, (F.col("node") == F.col("_at")) & ~done, "left").where(done | F.col("_to").isNotNull())
+        bar = F.array_contains("path", F.col("_to"))
+        new = met.select(
+            F.when(done, F.col("node")).when(~bar, F.col("_to")).alias("node"), F.when(done, F.col("path")).when(~bar, F.array_append("path", F.col("_to"))).alias("path"),
+            F.when(done, F.col("confidence")).otherwise(F.col("confidence") * F.col("_c")).alias("confidence"), (F.col("depth") + F.when(done, 0).otherwise(1)).alias("depth"),
+            F.when(done, F.col("ended")).otherwise(F.col("_end") & ~bar).alias("ended"), F.when(done, F.col("barred")).otherwise(bar).alias("barred"),
+        )
+        key = F.when(F.col("ended"), F.lit("")).otherwise(F.col("node"))
+        level = new.groupBy("ended", "barred", key.alias("_k")).agg(F.min_by(F.struct("node", "path", "confidence", "depth"), order).alias("b")).select("b.*", "ended", "barred")
+    found = level.where("ended or barred").collect()  # two rows at most
+    if any(r["barred"] for r in found):
+        every = _chains(edges, start, come, go, max_depth, min_confidence)
+        best = every.join(leads.withColumnRenamed("_at", "node"), "node", "left_anti").orderBy(F.desc("confidence"), "depth", F.concat_ws(">", "path")).limit(1)
+        return best.select(F.col("node").alias("root"), "depth", "confidence", "path")
+    return spark.createDataFrame([(r["node"], r["depth"], r["confidence"], r["path"]) for r in found], "root string, depth int, confidence double, path array<string>")
 
 
 def teacher_lineage(edges: DataFrame, person: str, max_depth: int = 10, min_confidence: float = 0.0) -> DataFrame:
     """(root, depth, confidence, chain): the best chain of teachers up to one who has no teacher; no row without a teacher."""
-    own = of_types(edges, ["teacher_of"])
-    best = _best_chain(_chains(own, person, "dst", "src", max_depth, min_confidence), own.select(F.col("dst").alias("node")))
-    return best.select(F.col("node").alias("root"), "depth", F.round("confidence", 6).alias("confidence"), F.concat_ws(">", F.reverse("path")).alias("chain"))
+    best = _best_chain(of_types(edges, ["teacher_of"]), person, "dst", "src", max_depth, min_confidence)
+    return best.select("root", "depth", F.round("confidence", 6).alias("confidence"), F.concat_ws(">", F.reverse("path")).alias("chain"))
 
 
 def student_lineage(edges: DataFrame, person: str, max_depth: int = 10, min_confidence: float = 0.0) -> DataFrame:
-    """(root, depth, confidence, chain): the best chain of students down to one who has none."""
-    own = of_types(edges, ["student_of"])
-    best = _best_chain(_chains(own, person, "dst", "src", max_depth, min_confidence), own.select(F.col("dst").alias("node")))
-    return best.select(F.col("node").alias("root"), "depth", F.round("confidence", 6).alias("confidence"), F.concat_ws(">", "path").alias("chain"))
+    """(root, depth, confidence, chain): the best chain along student_of edges, against their direction, to one that no edge leads on from."""
+    best = _best_chain(of_types(edges, ["student_of"]), person, "dst", "src", max_depth, min_confidence)
+    return best.select("root", "depth", F.round("confidence", 6).alias("confidence"), F.concat_ws(">", "path").alias("chain"))
 
 
 def reachable(edges: DataFrame, start: str, come: str, go: str, max_depth: int | None = None) -> DataFrame:
@@ -92,19 +119,48 @@ def incarnation_line(nodes: DataFrame, edges: DataFrame, person: str) -> DataFra
     return found.select(place.cast("long").alias("position"), "id", "name", "birth")
 
 
-def levels(steps: DataFrame, start: str, target: str | None, max_length: int) -> DataFrame:
-    """(node, depth) breadth first over steps (node, other) from start (depth 0) until target is found or max_length is reached."""
-    seen = steps.sparkSession.createDataFrame([(start, 0)], "node string, depth int")
-    frontier = seen
-    for depth in range(1, max_length + 1):
-        new = frontier.select("node").join(steps.select("node", "other"), "node").select(F.col("other").alias("node")).distinct().join(seen, "node", "left_anti")
-        frontier = materialised(new.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        if target is not None and not frontier.where(F.col("node") == target).isEmpty():
+def _neighbours(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, other, c) of the edges steps (a, b, c) at either end of nodes (node); a few nodes go to the edges, not the edges to them."""
+    side = lambda at, to: steps.join(nodes.withColumnRenamed("node", at), at).select(F.col(at).alias("node"), F.col(to).alias("other"), "c")
+    return side("a", "b").unionByName(side("b", "a"))
+
+
+def _met(steps: DataFrame, start: str, target: str, max_length: int) -> list[DataFrame] | None:
+    """The nodes (node) at each distance from start on any shortest path to target, or None.
+
+    Levels are searched from both ends, from the smaller one next, until they meet.
+    """
+    spark = steps.sparkSession
+    sides = [[spark.createDataFrame([(end,)], "node string")] for end in (start, target)]
+    sizes, seen = [1, 1], [side[0] for side in sides]
+    if start == target:
+        return None
+    meeting = None
+    while len(sides[0]) + len(sides[1]) - 2 < max_length:
+        k = 0 if sizes[0] <= sizes[1] else 1
+        new = _neighbours(steps, sides[k][-1]).select(F.col("other").alias("node")).distinct().join(seen[k], "node", "left_anti")
+        new = materialised(new)
+        sizes[k] = new.count()
+        if not sizes[k]:
+            return None
+        sides[k].append(new)
+        seen[k] = seen[k].unionByName(new)
+        both = new.join(sides[1 - k][-1], "node", "left_semi")
+        if not both.isEmpty():
+            meeting = materialised(both)
             break
-    return seen
+    if meeting is None:
+        return None
+    out = [[meeting], [meeting]]
+    for k in (0, 1):  # back to either end, only over nodes that lead to the meeting
+        for level in reversed(sides[k][:-1]):
+            back = _neighbours(steps, out[k][-1]).select(F.col("other").alias("node")).distinct().join(level, "node", "left_semi")
+            out[k].append(materialised(back))
+    return [*reversed(out[0]), *out[1][1:]]
+
+
+def _steps(edges: DataFrame, predicates: list[str] | None) -> DataFrame:
+    return materialised(of_types(edges, predicates).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("confidence").alias("c")))
 
 
 def shortest_path(edges: DataFrame, start: str, target: str, max_length: int = 10, predicates: list[str] | None = None) -> DataFrame:
@@ -113,28 +169,38 @@ def shortest_path(edges: DataFrame, start: str, target: str, max_length: int = 1
 
 
 def shortest_length(edges: DataFrame, start: str, target: str, max_length: int = 10, predicates: list[str] | None = None) -> DataFrame:
-    """(start, target, length); no row where there is no path of at most max_length edges."""
-    found = levels(materialised(undirected(of_types(edges, predicates)).select("node", "other")), start, target, max_length)
-    return found.where(F.col("node") == target).select(F.lit(start).alias("start"), F.lit(target).alias("target"), F.col("depth").cast("long").alias("length"))
+    """(start, target, length); no row where there is no path of at most max_length edges; 0 for a node and itself."""
+    found = None if start == target else _met(_steps(edges, predicates), start, target, max_length)
+    rows = [(start, target, 0)] if start == target else [(start, target, len(found) - 1)] if found else []
+    return edges.sparkSession.createDataFrame(rows, "start string, target string, length long")
+
+
+#: Costs of paths are whole numbers, so that a path's cost does not depend on the order of its edges.
+COST = 1_000_000_000
 
 
 def shortest_paths(edges: DataFrame, start: str, target: str, max_length: int = 5, limit: int = 10, predicates: list[str] | None = None) -> DataFrame:
-    """(path, length, confidence) of all shortest paths, most probable first. Of parallel edges the most probable counts."""
-    steps = materialised(undirected(of_types(edges, predicates)).select("node", "other", "confidence"))
-    depth = levels(steps, start, target, max_length)
-    end = depth.where(F.col("node") == target).first()
+    """(path, length, confidence) of the limit most probable shortest paths, then the first by name. Of parallel edges the most
+    probable counts. Probability goes by the sum of -ln(confidence) of the edges, each to nine digits.
+
+    At each node only the limit best ways that lead there are kept, so that rows are bounded by nodes times limit, not by the
+    number of paths.
+    """
     spark = edges.sparkSession
-    if end is None or not end["depth"]:
+    steps = _steps(edges, predicates)
+    levels = _met(steps, start, target, max_length)
+    if levels is None:
         return spark.createDataFrame([], "path string, length long, confidence double")
-    # From the target back, each time only over edges that lead one level towards the start.
-    paths = spark.createDataFrame([(target, [target], 1.0)], "node string, path array<string>, confidence double")
-    for d in range(end["depth"] - 1, -1, -1):
-        nearer = depth.where(F.col("depth") == d).select(F.col("node").alias("other"))
-        back = paths.select("node").distinct().join(steps, "node").join(nearer, "other", "left_semi").groupBy("node", "other").agg(F.max("confidence").alias("c"))
-        paths = paths.join(back, "node").select(F.col("other").alias("node"), F.concat(F.array("other"), "path").alias("path"), (F.col("confidence") * F.col("c")).alias("confidence"))
-        paths = materialised(paths)
-    out = paths.select(F.concat_ws(">", "path").alias("path"), F.lit(end["depth"]).cast("long").alias("length"), F.round("confidence", 6).alias("confidence"))
-    return out.orderBy(F.desc("confidence"), "path").limit(limit)
+    paths = spark.createDataFrame([(start, start, 0, 1.0)], "node string, path string, cost long, confidence double")
+    # The order of whole paths is that of their beginnings if these end in the sign that parts nodes.
+    first = Window.partitionBy("node").orderBy("cost", F.concat("path", F.lit(">")))
+    for near, far in zip(levels[:-1], levels[1:]):
+        on = _neighbours(steps, near).join(far.withColumnRenamed("node", "other"), "other", "left_semi").groupBy("node", "other").agg(F.max("c").alias("c"))
+        cost = F.round(-F.log(F.greatest("c", F.lit(1e-300))) * COST).cast("long")
+        ways = paths.join(on, "node").select(F.col("other").alias("node"), F.concat_ws(">", "path", "other").alias("path"), (F.col("cost") + cost).alias("cost"), (F.col("confidence") * F.col("c")).alias("confidence"))
+        paths = ways.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= limit).drop("_r")
+    best = paths.orderBy("cost", "path").limit(limit)
+    return best.select("path", F.lit(len(levels) - 1).cast("long").alias("length"), F.round("confidence", 6).alias("confidence"))
 
 
 def network_paths(nodes: DataFrame, edges: DataFrame, centre: str, depth: int = 2, min_confidence: float = 0.0, predicates: list[str] | None = None, types: list[str] | None = None) -> DataFrame:

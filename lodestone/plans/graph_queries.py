@@ -55,9 +55,9 @@ SELECT row_number() OVER (ORDER BY coalesce(birth, 9999), id)::BIGINT AS positio
         _with(lambda n, e: G.shortest_path(e, "c17", "p55", 6)),
         f"""WITH RECURSIVE {EDGES_SQL}, {UND}, best AS (SELECT node, other, max(confidence) AS c FROM und GROUP BY node, other),
 walk AS (SELECT 'c17' AS node, 0 AS depth UNION SELECT b.other, w.depth + 1 FROM walk w JOIN best b ON b.node = w.node WHERE w.depth < 6), lv AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node),
-paths AS (SELECT 'p55' AS node, ['p55'] AS path, 1.0::DOUBLE AS confidence, (SELECT depth FROM lv WHERE node = 'p55') AS depth
-  UNION ALL SELECT b.other, list_prepend(b.other, p.path), p.confidence * b.c, p.depth - 1 FROM paths p JOIN best b ON b.node = p.node JOIN lv l ON l.node = b.other AND l.depth = p.depth - 1)
-SELECT array_to_string(path, '>') AS path, len(path)::BIGINT - 1 AS length, round(confidence, 6) AS confidence FROM paths WHERE node = 'c17' ORDER BY round(confidence, 6) DESC, path LIMIT 1""",
+paths AS (SELECT 'p55' AS node, ['p55'] AS path, 1.0::DOUBLE AS confidence, 0::BIGINT AS cost, (SELECT depth FROM lv WHERE node = 'p55') AS depth
+  UNION ALL SELECT b.other, list_prepend(b.other, p.path), p.confidence * b.c, p.cost + round(-ln(b.c) * 1000000000)::BIGINT, p.depth - 1 FROM paths p JOIN best b ON b.node = p.node JOIN lv l ON l.node = b.other AND l.depth = p.depth - 1)
+SELECT array_to_string(path, '>') AS path, len(path)::BIGINT - 1 AS length, round(confidence, 6) AS confidence FROM paths WHERE node = 'c17' ORDER BY cost, array_to_string(paths.path, '>') LIMIT 1""",
     ),
     "gr4_shortest_length": (
         _with(lambda n, e: G.shortest_length(e, "c17", "p55", 6)),
@@ -68,9 +68,9 @@ SELECT 'c17' AS start, 'p55' AS target, min(depth)::BIGINT AS length FROM walk W
         _with(lambda n, e: G.shortest_paths(e, "c5", "c26", 6, 10, FAMILY + ["lived_at"])),
         f"""WITH RECURSIVE {EDGES_SQL}, {UND}, best AS (SELECT node, other, max(confidence) AS c FROM und WHERE predicate IN ('teacher_of', 'incarnation_of', 'lived_at') GROUP BY node, other),
 walk AS (SELECT 'c5' AS node, 0 AS depth UNION SELECT b.other, w.depth + 1 FROM walk w JOIN best b ON b.node = w.node WHERE w.depth < 6), lv AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node),
-paths AS (SELECT 'c26' AS node, ['c26'] AS path, 1.0::DOUBLE AS confidence, (SELECT depth FROM lv WHERE node = 'c26') AS depth
-  UNION ALL SELECT b.other, list_prepend(b.other, p.path), p.confidence * b.c, p.depth - 1 FROM paths p JOIN best b ON b.node = p.node JOIN lv l ON l.node = b.other AND l.depth = p.depth - 1)
-SELECT array_to_string(path, '>') AS path, len(path)::BIGINT - 1 AS length, round(confidence, 6) AS confidence FROM paths WHERE node = 'c5' ORDER BY round(confidence, 6) DESC, path LIMIT 10""",
+paths AS (SELECT 'c26' AS node, ['c26'] AS path, 1.0::DOUBLE AS confidence, 0::BIGINT AS cost, (SELECT depth FROM lv WHERE node = 'c26') AS depth
+  UNION ALL SELECT b.other, list_prepend(b.other, p.path), p.confidence * b.c, p.cost + round(-ln(b.c) * 1000000000)::BIGINT, p.depth - 1 FROM paths p JOIN best b ON b.node = p.node JOIN lv l ON l.node = b.other AND l.depth = p.depth - 1)
+SELECT array_to_string(path, '>') AS path, len(path)::BIGINT - 1 AS length, round(confidence, 6) AS confidence FROM paths WHERE node = 'c5' ORDER BY cost, array_to_string(paths.path, '>') LIMIT 10""",
     ),
     "gr6_network": (
         _with(lambda n, e: G.network(n, e, "c37", 2, 0.82, SOCIAL, ["person", "place"])),

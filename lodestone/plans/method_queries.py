@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as X
 from lodestone.operators import alignment as A
 from lodestone.operators import communities as C
 from lodestone.operators import containment as K
+from lodestone.operators import layout as L
 from lodestone.operators import memory as V
 from lodestone.operators import segments as S
 from lodestone.session import materialised, table
-from lodestone.sources.views import kg_edges, kg_nodes
+from lodestone.sources.views import kg_edges, kg_nodes, laid_out
 
 LATIN = r"[\x{00C0}-\x{00FF}]"
 
@@ -58,6 +60,14 @@ def _consensus(spark: SparkSession, folder: str, method: str) -> DataFrame:
     found = A.consensus(*answers(spark, folder), method)
     return found.select("key", F.sha2("text", 256).alias("sha"), "agreement", "confidence")
 
+#: The same places, and lines as gaps in y.
+PLACED = r"""w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \t\n\f\r\x0B]+'), lambda x: x <> '')) AS text, unnest(range(0, len(list_filter(regexp_split_to_array(text, '[ \t\n\f\r\x0B]+'), lambda x: x <> '')))) AS n FROM documents),
+r AS (SELECT *, doc_id % 3 = 0 AS two, CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 8 END AS per FROM w), q AS (SELECT *, n // per AS rw, n % per AS spot FROM r), p AS (SELECT *, CASE WHEN two THEN rw % 100 // 2 ELSE rw % 50 END AS ln FROM q),
+it AS (SELECT doc_id, CASE WHEN two THEN rw // 100 ELSE rw // 50 END AS page, n, text, CASE WHEN two THEN rw % 2 * 300 ELSE 0 END + spot * 44.0::DOUBLE + length(text) % 3 + 50 AS x, 700.0::DOUBLE - ln * 12 - CASE WHEN ln % 10 = 9 THEN 8 ELSE 0 END + spot % 2 AS y, least(length(text), 8) * 5.25::DOUBLE AS width FROM p)"""
+LINES = r"""b AS (SELECT *, coalesce(lag(y) OVER v - y > 2, true)::INT AS b FROM it WINDOW v AS (PARTITION BY doc_id, page ORDER BY y DESC, x, n)),
+l AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, page ORDER BY y DESC, x, n)::INT AS line FROM b), g AS (SELECT *, x - lag(x + width) OVER (PARTITION BY doc_id, page, line ORDER BY x, n) AS gap FROM l),
+t AS (SELECT doc_id, page, line, max(y) AS y, string_agg(CASE WHEN gap IS NULL OR gap < 3 THEN '' WHEN gap > 30 THEN '  ' ELSE ' ' END || text, '' ORDER BY x, n) AS text FROM g GROUP BY ALL),
+made AS (SELECT doc_id, page, line, sha256(text) AS sha, coalesce(lag(y) OVER (PARTITION BY doc_id, page ORDER BY line) - y > 15, false) AS paragraph FROM t)"""
 
 QUERIES = {
     "gr15_louvain": (_with(lambda n, e: C.louvain(n, e)), None),
@@ -102,4 +112,14 @@ SELECT p_partkey, round(0.5::DOUBLE * words + 0.3::DOUBLE * grams + 0.2::DOUBLE
         """WITH m AS (SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) OR contains(b.text, d.text[1:20])), g AS (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 3),
 x AS (SELECT doc_id, item_id FROM m UNION ALL SELECT doc_id, item_id FROM documents, g WHERE doc_id NOT IN (SELECT doc_id FROM m)), r AS (SELECT DISTINCT doc_id AS text_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY item_id)::INT AS rank, item_id AS passage_id FROM x) SELECT * FROM r WHERE rank <= 3""",
     ),
+    "sf8_page_lines": (lambda s, d: L.lines(laid_out(s, d)).select("doc_id", "page", "line", "paragraph", F.sha2("text", 256).alias("sha")), f"WITH {PLACED}, {LINES} SELECT doc_id, page, line, paragraph, sha FROM made"),
+    "sf9_column_layout": (lambda s, d: L.column_layout(laid_out(s, d)), None),
+    "sf11_normal_form": (
+        lambda s, d: table(s, d, "documents").select("doc_id", X.normal_form(F.col("text")).alias("f")).select("doc_id", "f.composed", "f.mixed", F.sha2("f.text", 256).alias("sha")),
+        "SELECT doc_id, nfc_normalize(text) = text AS composed, false AS mixed, sha256(nfc_normalize(text)) AS sha FROM documents",
+    ),
+    "sf11_decomposed_form": (  # with the acute accents of even documents written as marks of their own
+        lambda s, d: table(s, d, "documents").select("doc_id", X.normal_form(F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "é", "e\u0301")).otherwise(F.col("text"))).alias("f")).select("doc_id", "f.composed", F.sha2("f.text", 256).alias("sha")),
+        "SELECT doc_id, NOT (doc_id % 2 = 0 AND contains(text, 'é')) AS composed, sha256(nfc_normalize(text)) AS sha FROM documents",
+    ),
 }

@@ -162,3 +162,16 @@ def term_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 TERMS_SQL = """
 tp AS (SELECT p_type AS term, p_name AS target, p_size::BIGINT AS page, 0.5::DOUBLE + (p_partkey % 50)::DOUBLE / 100.0::DOUBLE AS confidence FROM part)"""
+
+
+def laid_out(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of documents as items on pages (doc_id, page, n, text, x, y, width, height): eight words a line, fifty lines a page,
+    and for each third document two columns of four words a line. Places are in points; the blanks between words vary."""
+    words = table(spark, folder, "documents").select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("n", "text"))
+    two = F.col("doc_id") % 3 == 0
+    per = F.when(two, 4).otherwise(8)
+    row = F.floor(F.col("n") / per)
+    spot, line = F.col("n") % per, F.when(two, F.floor(row % 100 / 2)).otherwise(row % 50)
+    x = F.when(two, row % 2 * 300).otherwise(0) + spot * 44.0 + F.char_length("text") % 3 + 50
+    y = 700.0 - line * 12 - F.when(line % 10 == 9, 8).otherwise(0) + spot % 2
+    return words.select("doc_id", F.floor(row / F.when(two, 100).otherwise(50)).alias("page"), F.col("n").cast("long").alias("n"), "text", x.alias("x"), y.alias("y"), (F.least(F.char_length("text"), F.lit(8)) * 5.25).alias("width"), F.lit(10.0).alias("height"))

@@ -148,3 +148,45 @@ def test_dates_of_signs_eras_and_lives(spark):
 def test_dates(spark):
     got = {r.t: r.y for r in spark.createDataFrame([("1012",), ("500",), ("mid-11th century",), ("early 12th century",), ("late 13th century",), ("Rabjung 14, year 30",), ("soon",)], "t string").select("t", D.resolve_date(F.col("t")).alias("r")).select("t", F.col("r.year").alias("y")).collect()}
     assert got == {"1012": 1012, "500": None, "mid-11th century": 1050, "early 12th century": 1120, "late 13th century": 1280, "Rabjung 14, year 30": 1836, "soon": None}
+
+
+def test_shortest_paths_are_not_listed(spark):
+    # 20 diamonds in a row: 2**20 shortest paths, the ten best of which differ in few places.
+    edges = []
+    for i in range(20):
+        for side, c in (("x", 0.9), ("y", 0.8)):
+            edges += [(f"n{i:02d}", f"{side}{i:02d}", c), (f"{side}{i:02d}", f"n{i + 1:02d}", 1.0)]
+    df = spark.createDataFrame([(f"{a}{b}", a, "p", b, c) for a, b, c in edges], "id string, src string, predicate string, dst string, confidence double")
+    got = G.shortest_paths(df, "n00", "n20", 40, 10).collect()
+    assert len(got) == 10 and got[0].length == 40 and "y" not in got[0].path and [r.path.count("y") for r in got[1:]] == [1] * 9
+    assert [r.path for r in got[1:]] == sorted(r.path for r in got[1:]) and got[1].path.index("y") > got[0].path.index("x19") - 5
+    assert G.shortest_length(df, "n20", "x03", 40).first().length == 33 and G.shortest_length(df, "n00", "n20", 39).count() == 0
+    assert G.shortest_paths(df, "n00", "nobody").count() == 0 and G.shortest_paths(df, "n00", "n00").count() == 0
+
+
+def test_best_chain_equals_all_chains_with_and_without_cycles(spark):
+    import random
+
+    rng = random.Random(7)
+    for circles in (False, True):
+        ids = [f"t{i:02d}" for i in range(24)]
+        edges = [(b, a, rng.choice((0.5, 0.8, 0.9))) for i, a in enumerate(ids) for b in rng.sample(ids[i + 1 :], min(3, len(ids) - i - 1))]  # b teaches a
+        if circles:
+            edges += [(ids[2], ids[9], 1.0), (ids[5], ids[20], 1.0)]
+        df = spark.createDataFrame([(f"{a}{b}", a, "teacher_of", b, c) for a, b, c in edges], "id string, src string, predicate string, dst string, confidence double")
+        taught, best = {b for _, b, _ in edges}, None
+
+        def walk(path, c):
+            nonlocal best
+            if path[-1] not in taught and len(path) > 1:
+                key = (-c, len(path), ">".join(path))
+                best = min(best, key) if best else key
+            if len(path) <= 6:
+                for a, b, w in edges:
+                    if b == path[-1] and a not in path:
+                        walk([*path, a], c * w)
+
+        walk([ids[0]], 1.0)
+        got = G.teacher_lineage(df, ids[0], 6).collect()
+        assert [(r.depth, r.confidence, r.chain) for r in got] == ([(best[1] - 1, round(-best[0], 6), ">".join(reversed(best[2].split(">"))))] if best else [])
+    assert G.student_lineage(df.limit(0), "t00").count() == 0
