@@ -48,7 +48,7 @@ def _best_chain(edges: DataFrame, start: str, come: str, go: str, max_depth: int
     """(root, depth, confidence, path): the most probable simple chain from start to a node that leads no further, then the
     shortest, then the first by path; no row where there is none. An edge leads from its column come to its column go.
 
-    Level by level only the best chain to each node is kept: what is best to a node begins with what is best to the one before.
+    Every second level only the best chain to each node is kept: what is best to a node begins with what is best to the one before.
     That fails only where a chain could not go on because it has the node already; then all chains are compared.
     """
     spark = edges.sparkSession
@@ -58,7 +58,7 @@ def _best_chain(edges: DataFrame, start: str, come: str, go: str, max_depth: int
     state = "node string, path array<string>, confidence double, depth int, ended boolean, barred boolean"
     level = spark.createDataFrame([(start, [start], 1.0, 0, False, False)], state)
     order = F.struct((-F.col("confidence")).alias("c"), F.col("depth"), F.concat(F.concat_ws(">", "path"), F.lit(">")).alias("p"))
-    for _ in range(max_depth):
+    for depth in range(1, max_depth + 1):
         # Ended and barred rows are carried along as they are (one reference to the level, or plans would double); the best ended one is enough.
         done = F.col("ended") | F.col("barred")
         met = level.join(steps, (F.col("node") == F.col("_at")) & ~done, "left").where(done | F.col("_to").isNotNull())
@@ -68,6 +68,9 @@ def _best_chain(edges: DataFrame, start: str, come: str, go: str, max_depth: int
             F.when(done, F.col("confidence")).otherwise(F.col("confidence") * F.col("_c")).alias("confidence"), (F.col("depth") + F.when(done, 0).otherwise(1)).alias("depth"),
             F.when(done, F.col("ended")).otherwise(F.col("_end") & ~bar).alias("ended"), F.when(done, F.col("barred")).otherwise(bar).alias("barred"),
         )
+        if depth % 2 and depth < max_depth:  # a shuffle for every two steps
+            level = new
+            continue
         key = F.when(F.col("ended"), F.lit("")).otherwise(F.col("node"))
         level = new.groupBy("ended", "barred", key.alias("_k")).agg(F.min_by(F.struct("node", "path", "confidence", "depth"), order).alias("b")).select("b.*", "ended", "barred")
     found = level.where("ended or barred").collect()  # two rows at most
