@@ -8,7 +8,7 @@ import pytest
 from lodestone import registry
 from tests.conftest import SF
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
