@@ -61,6 +61,17 @@ def sign_year(text: Column, near: Column | None = None) -> Column:
     return F.when(base.isNotNull(), F.struct(year.alias("year"), F.when(near.isNotNull(), 0.8).otherwise(0.6).alias("confidence")))
 
 
+def named_cycle_year(text: Column) -> Column:
+    """Struct (year, confidence) of "Nth rabjung" in a text: the year of its element and animal in that cycle, else the cycle's middle;
+    null for no cycle from 1 to 17."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    cycle = F.nullif(F.regexp_extract(t, r"(\d{1,2})(?:th|st|nd|rd)?\s+rabjung", 1), F.lit("")).cast("long")
+    sign = F.concat_ws(" ", F.regexp_extract(t, r"\b(" + "|".join(ELEMENTS) + r")\b", 1), F.regexp_extract(t, r"\b(" + "|".join(ANIMALS) + r")\b", 1))
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in _signs().items() for x in pair]), sign)
+    first = cycle_year(cycle, F.lit(1))
+    return F.when(cycle.between(1, 17), F.struct(F.coalesce(first + known - 1, first + 29).cast("long").alias("year"), F.when(known.isNotNull(), 0.9).otherwise(0.5).alias("confidence")))
+
+
 def era_year(text: Column) -> Column:
     """Struct (year, confidence) of an era named in a text: its middle, or a fifth from its start (early, beginning) or end (late, end)."""
     t = F.lower(F.coalesce(text, F.lit("")))
@@ -77,8 +88,8 @@ def era_year(text: Column) -> Column:
 
 
 def resolve_date(text: Column, near: Column | None = None) -> Column:
-    """Struct (year, rule, confidence) of a date's text, else null. In order: a year from 600 to 2100, a year of a cycle, an
-    element and animal, an era, a season of a year, a part of a century."""
+    """Struct (year, rule, confidence) of a date's text, else null. In order: a year from 600 to 2100, a year of a cycle (by number, or
+    by element and animal, or its middle), an element and animal, an era, a season of a year, a part of a century."""
     t = F.lower(F.trim(text))
     direct = F.nullif(F.regexp_extract(t, r"^(?:c\. ?)?(\d{3,4})(?: ?(?:bce|bc|ce|ad))?$", 1), F.lit("")).cast("long")
     number = lambda pattern, g: F.nullif(F.regexp_extract(t, pattern, g), F.lit("")).cast("long")
@@ -90,9 +101,9 @@ def resolve_date(text: Column, near: Column | None = None) -> Column:
     century = (number(cen, 2) - 1) * 100 + shift
     season = number(r"(spring|summer|fall|autumn|winter) +of +(\d{3,4})", 2)
     found = lambda y, rule, c: F.when(y.isNotNull(), F.struct(y.cast("long").alias("year"), F.lit(rule).alias("rule"), (F.lit(c) if isinstance(c, float) else c).alias("confidence")))
-    sign, era = sign_year(t, near), era_year(t)
+    sign, era, named = sign_year(t, near), era_year(t), named_cycle_year(t)
     return F.coalesce(
-        found(F.when(direct.between(600, 2100), direct), "direct", 1.0), found(cycle, "cycle", 0.9), found(sign["year"], "element-animal", sign["confidence"]), found(era["year"], "era", era["confidence"]), found(season, "season", 0.95), found(century, "century", 0.6)
+        found(F.when(direct.between(600, 2100), direct), "direct", 1.0), found(cycle, "cycle", 0.9), found(named["year"], "cycle", named["confidence"]), found(sign["year"], "element-animal", sign["confidence"]), found(era["year"], "era", era["confidence"]), found(season, "season", 0.95), found(century, "century", 0.6)
     )
 
 

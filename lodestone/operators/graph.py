@@ -316,6 +316,20 @@ def person_journey(nodes: DataFrame, edges: DataFrame, person: str) -> DataFrame
     return nodes.join(went, F.col("id") == F.col("dst")).select(F.col("id").alias("place"), "name", "purpose", F.round("c", 6).alias("confidence"), "lat", "lon").orderBy("place", "purpose")
 
 
+def journeys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(person, stop, place, name, year, end_year, purpose, confidence): the places each person lived, studied or taught at or visited, by year.
+
+    edges may have start_year, year, end_year and purpose: year is the first of start_year and year that is known, purpose the
+    predicate where none is told, an unknown confidence .5. Stops without a year come last; ties by place, purpose, end year and confidence.
+    """
+    told = lambda *c: F.coalesce(*[F.col(x) for x in c if x in edges.columns], F.lit(None).cast("long"))
+    purpose = F.coalesce(F.col("purpose"), F.col("predicate")) if "purpose" in edges.columns else F.col("predicate")
+    went = of_types(edges, ["lived_at", "studied_at", "taught_at", "visited"]).select(F.col("src").alias("person"), "dst", told("start_year", "year").alias("year"), told("end_year").alias("end_year"), purpose.alias("purpose"), F.coalesce("confidence", F.lit(0.5)).alias("c"))
+    people, places = nodes.where("type = 'person'").select(F.col("id").alias("person")), nodes.where("type = 'place'").select(F.col("id").alias("dst"), "name")
+    stop = F.row_number().over(Window.partitionBy("person").orderBy(F.coalesce("year", F.lit(9999)), "dst", "purpose", F.coalesce("end_year", F.lit(9999)), "c"))
+    return went.join(people, "person", "left_semi").join(places, "dst").select("person", stop.alias("stop"), F.col("dst").alias("place"), "name", "year", "end_year", "purpose", F.round("c", 6).alias("confidence"))
+
+
 def most_influential(nodes: DataFrame, edges: DataFrame, type_: str | None = None, tradition: str | None = None, years: tuple[int, int] | None = None, limit: int = 50) -> DataFrame:
     """(id, type, name, degree, influence): degree times mean confidence of the edges at a node, highest first."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("at"), "confidence")
@@ -389,6 +403,28 @@ def search(nodes: DataFrame, query: str, types: list[str] | None = None, fuzzy:
     return out.select("id", "type", "name", score.alias("score")).orderBy(F.desc("score"), "name", "id").limit(limit)
 
 
+def search_names(nodes: DataFrame, query: str, types: list[str] | None = None, fuzzy: bool = True, limit: int = 20) -> DataFrame:
+    """(id, type, name, score, field): active nodes (with english, tibetan and phonetic: arrays of names) of which some name holds the
+    query, whatever the case; without fuzzy, of which one is the query.
+
+    1.0 if the name is the query, .8 if it holds it, .9 or .7 if an english name does, else .5; field is the first kind of name that
+    fits. Highest first, then by name and id. Null names and arrays hold nothing.
+    """
+    q = query.lower()
+    name, low = F.lower(F.coalesce("name", F.lit(""))), lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(F.coalesce(x, F.lit(""))))
+    holds = lambda c: F.exists(low(F.col(c)), lambda x: F.contains(x, F.lit(q)))
+    kinds = ("english", "tibetan", "phonetic")
+    fits = (name.contains(q) if fuzzy else F.col("name") == query) | F.lit(False)
+    for c in kinds:
+        fits = fits | F.coalesce(holds(c) if fuzzy else F.array_contains(c, query), F.lit(False))
+    out = nodes.where("merge_status = 'active'").where(fits)
+    if types:
+        out = out.where(F.col("type").isin(types))
+    score = F.when(name == q, 1.0).when(name.contains(q), 0.8).when(F.array_contains(low(F.col("english")), q), 0.9).when(holds("english"), 0.7).otherwise(0.5)
+    field = F.when(name == q, "name").when(holds("english"), "english").when(holds("tibetan"), "tibetan").otherwise("other")
+    return out.select("id", "type", "name", score.alias("score"), field.alias("field")).orderBy(F.desc("score"), "name", "id").limit(limit)
+
+
 def label_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, label, n) of node types and predicates."""
     a = nodes.groupBy(F.lit("node").alias("kind"), F.col("type").alias("label")).agg(F.count(F.lit(1)).alias("n"))

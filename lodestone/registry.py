@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import check_queries, graph_queries, method_queries, quality_queries, relation_queries, report_queries, stats_queries, text_queries, workflow_queries
+from lodestone.plans import check_queries, cleaning_queries, graph_queries, method_queries, quality_queries, relation_queries, report_queries, stats_queries, text_queries, workflow_queries
 
 FLAGSHIP = "gr14_most_influential"
-CATALOGUES = (graph_queries, stats_queries, relation_queries, text_queries, workflow_queries, check_queries, report_queries, method_queries, quality_queries)
+CATALOGUES = (graph_queries, stats_queries, relation_queries, text_queries, workflow_queries, check_queries, report_queries, method_queries, quality_queries, cleaning_queries)
 
 
 def _all() -> dict:
