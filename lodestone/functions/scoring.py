@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,20 +18,47 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / F.when(norm != 0, norm))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 1, at_least: float = -1.0, block: int = 256) -> DataFrame:
-    """(query_id, vec_id, similarity): the k most alike vectors of each query, itself left out.
+def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Rows whose vector has numbers only: no null, NaN or infinity; as doubles."""
+    v = F.col(vector).cast("array<double>")
+    return df.withColumn(vector, v).where((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
-    Queries are a stated, small set: they go out in blocks of `block` vectors beside every part of the table, and each block's
-    partial results are cut to k before they meet.
+
+def blocks(df: DataFrame, id_col: str, size: int) -> tuple[DataFrame, int]:
+    """df with a block number (by a hash of the id), about `size` rows each, and the number of blocks."""
+    n = max(1, -(-df.count() // size))
+    return df.withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")), n
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 1, at_least: float = -1.0, block: int = 1024, stored: int = 8192) -> DataFrame:
+    """(query_id, vec_id, similarity): the k most alike vectors of each query, itself left out; ties by the smaller id.
+
+    Blocks of queries meet blocks of vectors, neither side is sent to all executors, and of each meeting only k rows a query go
+    on. Vectors with nulls, NaN or infinities take no part; one of all zeros has similarity 0.
     """
-    unit = lambda df, c: df.withColumn("_u", F.transform(c, lambda x: x / F.greatest(F.sqrt(dot(F.col(c), F.col(c))), F.lit(1e-30))))
-    blocks = unit(queries, "embedding").select(F.struct(F.col("vec_id").alias("q"), F.col("_u").alias("u")).alias("s")).groupBy(F.pmod(F.xxhash64("s.q"), F.ceil(F.lit(queries.count()) / block)).alias("block")).agg(F.collect_list("s").alias("qs"))
-    found = unit(vectors, "embedding").join(F.broadcast(blocks)).select("vec_id", F.explode(F.transform("qs", lambda s: F.struct(s["q"].alias("query_id"), F.round(dot(s["u"], F.col("_u")), 6).alias("similarity")))).alias("r"))
-    rows = found.select("r.query_id", "vec_id", "r.similarity").where((F.col("query_id") != F.col("vec_id")) & (F.col("similarity") >= at_least))
-    for keys in (["query_id", F.pmod(F.xxhash64("vec_id"), F.lit(32)).alias("part")], ["query_id"]):
-        best = rows.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("vec_id").alias("v")))), 1, k).alias("b"))
-        rows = best.select("query_id", F.explode("b").alias("x")).select("query_id", F.col("x.v").alias("vec_id"), (-F.col("x.s")).alias("similarity"))
-    return rows
+    asked, nq = blocks(usable(queries.select("vec_id", "embedding")), "vec_id", block)
+    held, nv = blocks(usable(vectors.select("vec_id", "embedding")), "vec_id", stored)
+    left = asked.withColumnsRenamed({"_b": "q", "vec_id": "query_id"}).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+    right = held.withColumnRenamed("_b", "v").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": a["query_id"], "vec_id": b["vec_id"], "similarity": pd.Series(dtype="float64")}).head(0)
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+        b = b.sort_values("vec_id")
+        ids = b["vec_id"].to_numpy()
+        alike = np.round(unit(np.array(a["embedding"].tolist())) @ unit(np.array(b["embedding"].tolist())).T, 6)
+        out = []
+        for own, row in zip(a["query_id"], alike, strict=True):
+            may = np.nonzero((row >= at_least) & (ids != own))[0]
+            best = may[np.argsort(-row[may], kind="stable")[:k]]
+            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best], "similarity": row[best]}))
+        return pd.concat(out)
+
+    kinds = [df.schema["vec_id"].dataType.simpleString() for df in (queries, vectors)]
+    rows = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInPandas(meet, f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    return rows.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")
 
 
 def quality(confidence: Column, form: Column, preserved: Column) -> Column:

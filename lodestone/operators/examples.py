@@ -12,26 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.scoring import blocks, usable
 from lodestone.session import materialised
 
 BOOST = 1.2
 
 
-def _blocks(df: DataFrame, id_col: str, size: int) -> tuple[DataFrame, int]:
-    """df with a block number (by a hash of the id), about `size` rows each, and the number of blocks."""
-    n = max(1, -(-df.count() // size))
-    return df.withColumn("_b", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")), n
-
-
-def _usable(df: DataFrame) -> DataFrame:
-    v = F.col("embedding").cast("array<double>")
-    return df.withColumn("embedding", v).where((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-
-
 def _by_vectors(inputs: DataFrame, library: DataFrame, count: int, at_least: float, prefer: str | None) -> DataFrame:
     """(query_id, example_id, category, score, rank_score): per query the best `count` examples of each category, at_least alike."""
-    asked, nq = _blocks(_usable(inputs.select("query_id", "embedding")), "query_id", 1024)
-    held, ne = _blocks(_usable(library.select("example_id", "category", "embedding")), "example_id", 8192)
+    asked, nq = blocks(usable(inputs.select("query_id", "embedding")), "query_id", 1024)
+    held, ne = blocks(usable(library.select("example_id", "category", "embedding")), "example_id", 8192)
     left = asked.withColumnRenamed("_b", "q").withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(ne - 1))))
     right = held.withColumnRenamed("_b", "e").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 

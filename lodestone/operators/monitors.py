@@ -43,6 +43,18 @@ def period_figures(metrics: DataFrame) -> DataFrame:
     return by.join(half_means(metrics), "period").withColumn("error_rate", F.col("errors") / F.col("n"))
 
 
+def quality_summary(metrics: DataFrame, change: float = 0.05) -> DataFrame:
+    """(period, n, confidence, quality, agreement, high, medium, low, trend): means (rows without a quality or agreement left out; 0
+    without any), shares of confidences of .8 or more, .6 or more, and less; trend: improving or degrading where the second half's
+    mean confidence is over `change` above or below the first's, else stable."""
+    n, c = F.count(F.lit(1)), F.col("confidence")
+    mean = lambda x: F.round(F.coalesce(F.avg(x), F.lit(0.0)), 6).alias(x)
+    share = lambda when, name: F.round(F.count_if(when) / n, 6).alias(name)
+    by = metrics.groupBy("period").agg(n.alias("n"), *[mean(x) for x in ("confidence", "quality", "agreement")], share(c >= 0.8, "high"), share((c >= 0.6) & (c < 0.8), "medium"), share(c < 0.6, "low"))
+    step = F.col("second") - F.col("first")
+    return by.join(half_means(metrics), "period").select(*by.columns, F.when(step > change, "improving").when(step < -change, "degrading").otherwise("stable").alias("trend"))
+
+
 def alerts(metrics: DataFrame, minutes: float, **limits: float) -> DataFrame:
     """(period, category, kind, severity, metric, subject, value, threshold): a row for each rule that a period breaks.
 

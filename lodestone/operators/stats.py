@@ -27,10 +27,26 @@ def nearest_stats(df: DataFrame, keys: list[str], value: str = "value") -> DataF
     return df.groupBy(*keys).agg(F.count(value).alias("n"), _r(F.avg(value)).alias("avg"), p(0.5), p(0.95), p(0.99))
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], slice_size: int = 3600) -> DataFrame:
+    """df with _i, a row's number from 1 in its group by order, and _n, the rows of the group.
+
+    The first column of order, a time or a number, is cut into slices (of seconds or units). Slices are counted, their counts
+    summed, and rows are ranked within their slice only: a group of any size is many tasks.
+    """
+    first = F.col(order[0])
+    size = F.unix_micros(first) / 1e6 if df.schema[order[0]].dataType.typeName().startswith("timestamp") else first.cast("double")
+    cut = df.withColumn("_s", F.floor(size / slice_size))
+    by = cut.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    starts = by.select(*[F.col(c).alias(f"_k_{c}") for c in (*keys, "_s")], F.coalesce(F.sum("_c").over(w.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(*order))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, "_s")])
+    return cut.withColumn("_i", own).join(starts, same).withColumn("_i", F.col("_i") + F.col("_before")).drop("_s", "_before", *[f"_k_{c}" for c in (*keys, "_s")])
+
+
 def halves_trend(df: DataFrame, keys: list[str], order: list[str], value: str = "value", relative: float = 0.05, higher_is_better: bool = False) -> DataFrame:
     """first and second: means of the first floor(n / 2) rows and of the others; trend: improving, degrading or stable."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)), "_n": F.count(F.lit(1)).over(w)})
+    ranked = numbered(df, keys, order)
     early = F.col("_i") <= F.floor(F.col("_n") / 2)
     out = ranked.groupBy(*keys).agg(F.avg(F.when(early, F.col(value))).alias("first"), F.avg(F.when(~early, F.col(value))).alias("second"))
     change = (F.col("second") - F.col("first")) / F.when(F.col("first") != 0, F.col("first"))
@@ -46,12 +62,17 @@ def trended_stats(df: DataFrame, keys: list[str], order: list[str], value: str =
     return nearest_stats(df, keys, value).join(ends, keys).join(trend, keys)
 
 
-def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str = "value", width: int = 3) -> DataFrame:
-    """df with moving: the mean of the last width values, for full windows only; width is at most the group's size."""
-    w = Window.partitionBy(*keys)
-    n, i = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*order))
-    out = df.withColumns({"_n": n, "_i": i, "moving": F.avg(value).over(w.orderBy(*order).rowsBetween(-(width - 1), 0))})
-    return out.where(F.col("_i") >= F.least(F.lit(width), F.col("_n"))).drop("_n", "_i")
+def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str = "value", width: int = 3, run: int = 4096) -> DataFrame:
+    """df with moving: the mean of the last width values, for full windows only; width is at most the group's size.
+
+    Rows are numbered and cut into runs; the last width - 1 rows of a run are sent to the next one too, so no group is one task.
+    """
+    run = max(run, width)
+    at = F.floor((F.col("_i") - 1) / run)
+    places = F.when((F.col("_i") - 1) % run > run - width, F.array(F.struct(at.alias("r"), F.lit(True).alias("own")), F.struct((at + 1).alias("r"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(at.alias("r"), F.lit(True).alias("own"))))
+    w = Window.partitionBy(*keys, "_p.r").orderBy("_i").rowsBetween(-(width - 1), 0)
+    out = numbered(df, keys, order).withColumn("_p", F.explode(places)).withColumn("moving", F.avg(value).over(w))
+    return out.where(F.col("_p.own") & (F.col("_i") >= F.least(F.lit(width), F.col("_n")))).drop("_n", "_i", "_p")
 
 
 def outliers(df: DataFrame, keys: list[str], value: str = "value", z: float = 2.5) -> DataFrame:

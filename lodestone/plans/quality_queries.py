@@ -9,6 +9,7 @@ from lodestone.functions import grading as G
 from lodestone.operators import calibration as C
 from lodestone.operators import examples as E
 from lodestone.operators import monitors as M
+from lodestone.operators import stats as Z
 from lodestone.operators import translations as T
 from lodestone.session import materialised, table
 from lodestone.sources.views import METRICS_SQL, translation_metrics
@@ -118,11 +119,16 @@ def _scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 LIMITS = {"confidence": 0.43, "quality": 0.49, "low_share": 0.71, "trend": 0.02, "drop": 0.02, "avg_ms": 510, "p95_ms": 1500, "api_ms": 320, "per_minute": 0.23, "slower": 0.1, "error_warning": 0.18, "error_critical": 0.21, "recurring": 18, "spike": 1.25, "spike_least": 12}
 
 
+def _daily(spark: SparkSession, folder: str) -> DataFrame:
+    """Events by day as metrics of translations, two in three with an agreement."""
+    k = F.col("k")
+    return materialised(translation_metrics(spark, folder).select(
+        F.date_diff("ts", F.lit("1970-01-01").cast("date")).cast("long").alias("period"), "ts", F.col("event_id").alias("id"), "confidence", (k / 100.0).alias("quality"), F.when(k % 3 != 0, k / 100.0).alias("agreement"), "ms", (F.col("ms") * (k % 4 + 1) / 4.0).alias("api_ms"), "error_type",
+    ))
+
+
 def _alerts(spark: SparkSession, folder: str) -> DataFrame:
-    m = translation_metrics(spark, folder).select(
-        F.date_diff("ts", F.lit("1970-01-01").cast("date")).cast("long").alias("period"), "ts", F.col("event_id").alias("id"), "confidence", (F.col("k") / 100.0).alias("quality"), "ms", (F.col("ms") * (F.col("k") % 4 + 1) / 4.0).alias("api_ms"), "error_type",
-    )
-    return M.alerts(materialised(m), 1440, **LIMITS)
+    return M.alerts(_daily(spark, folder), 1440, **LIMITS)
 
 
 def _rule(cat: str, kind: str, sev: str, metric: str, bad: str, value: str, limit: str, source: str = "w", subject: str = "NULL::VARCHAR") -> str:
@@ -193,5 +199,17 @@ SELECT scope, value, count(*) AS cases, count(*) FILTER (passed) AS passed, coun
     ),
     "ma13_monitor_alerts": (_alerts, f"WITH {ALERTS_SQL} SELECT * FROM al"),
     "st6_alert_counts": (lambda s, d: M.alert_counts(_alerts(s, d)), f"WITH {ALERTS_SQL} SELECT period, count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning FROM al GROUP BY period"),
+    "ag6_quality_summary": (
+        lambda s, d: M.quality_summary(_daily(s, d), 0.01),
+        f"""WITH {METRICS_SQL}, e AS (SELECT *, date_diff('day', DATE '1970-01-01', ts::DATE) AS period, CASE WHEN k % 3 <> 0 THEN k / 100.0::DOUBLE END AS agreement FROM tm), o AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY period) AS nn FROM e),
+b AS (SELECT period, count(*) AS n, round(avg(confidence), 6) AS confidence, round(avg(k / 100.0::DOUBLE), 6) AS quality, round(coalesce(avg(agreement), 0), 6) AS agreement, round(count(*) FILTER (confidence >= 0.8::DOUBLE) / count(*), 6) AS high, round(count(*) FILTER (confidence >= 0.6::DOUBLE AND confidence < 0.8::DOUBLE) / count(*), 6) AS medium,
+  round(count(*) FILTER (confidence < 0.6::DOUBLE) / count(*), 6) AS low, avg(confidence) FILTER (i > nn // 2) - avg(confidence) FILTER (i <= nn // 2) AS step FROM o GROUP BY period) SELECT * EXCLUDE (step), CASE WHEN step > 0.01::DOUBLE THEN 'improving' WHEN step < -0.01::DOUBLE THEN 'degrading' ELSE 'stable' END AS trend FROM b""",
+    ),
+    "ag9_stats_with_trend": (
+        lambda s, d: (lambda m: Z.linear_stats(m, ["metric_name"]).join(Z.halves_trend(m, ["metric_name"], ["ts", "event_id"], relative=0.01).select("metric_name", "trend"), "metric_name"))(materialised(translation_metrics(s, d).select("metric_name", "ts", "event_id", "value"))),
+        f"""WITH {METRICS_SQL}, w AS (SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY metric_name) AS nn FROM tm),
+b AS (SELECT metric_name, count(value) AS n, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, avg(value) FILTER (i <= nn // 2) AS x, avg(value) FILTER (i > nn // 2) AS y FROM w GROUP BY metric_name)
+SELECT * EXCLUDE (x, y), CASE WHEN (y - x) / x > 0.01::DOUBLE THEN 'degrading' WHEN (y - x) / x < -0.01::DOUBLE THEN 'improving' ELSE 'stable' END AS trend FROM b""",
+    ),
     "sx1_examples": (lambda s, d: E.select_examples(*examples(s, d), count=4, prefer="3"), f"WITH {EXAMPLES_SQL} SELECT query_id, way, place::INT AS place, example_id FROM p WHERE place <= 4 UNION ALL SELECT query_id, 'default', place::INT, vec_id FROM kq, f WHERE query_id NOT IN (SELECT query_id FROM kt)"),
 }
