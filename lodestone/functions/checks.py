@@ -132,6 +132,22 @@ def ocr_needed(pages_: DataFrame, keys: list[str], sparse: int = 50) -> DataFram
     return by.select(*keys, "pages", "chars", (reason != "enough text").alias("needed"), F.round(confidence, 6).alias("confidence"), reason.alias("reason"))
 
 
+def chosen_source(native: Column, ocr: Column, pages_: Column, confidence: Column, script: str = TIBETAN, sparse: int = 50, acceptable: float = 0.7, least_chars: int = 100) -> Column:
+    """Struct (method, text, quality) of a document's own text and a reading of its pages (null where that failed).
+
+    native: the own text has `sparse` characters a page (trimmed), there are no pages, or the reading failed; hybrid: the reading is
+    not acceptable by ocr_quality and there is some own text: then the longer-lived of both, the other one having under least_chars
+    characters, or both under a heading; else ocr. quality is null for native ones. A null own text is empty.
+    """
+    own, read = _text(native), _text(ocr)
+    length = lambda t: F.char_length(F.btrim(t, F.lit(" \t\n\x0b\f\r")))
+    quality = F.when(ocr.isNotNull(), ocr_quality(read, F.coalesce(confidence, F.lit(0.0)), script))
+    enough = (F.coalesce(pages_, F.lit(0)) == 0) | (length(own) >= sparse * pages_) | ocr.isNull()
+    mixed = (quality < acceptable) & (length(own) > 0)
+    both = F.when(length(own) < least_chars, read).when(length(read) < least_chars, own).otherwise(F.concat(own, F.lit("\n\n[OCR-Enhanced Content]\n\n"), read))
+    return F.struct(F.when(enough, "native").when(mixed, "hybrid").otherwise("ocr").alias("method"), F.when(enough, own).when(mixed, both).otherwise(read).alias("text"), F.when(~enough, quality).alias("quality"))
+
+
 # Terms
 
 

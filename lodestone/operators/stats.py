@@ -156,6 +156,16 @@ def review_metrics(reviews: DataFrame, keys: list[str]) -> DataFrame:
     return reviews.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), done.alias("reviewed"), _r(F.avg(minutes)).alias("turnaround"), share("approved").alias("approval"), share("rejected").alias("rejection"))
 
 
+def weekly_report(reviews: DataFrame, corrections: DataFrame) -> DataFrame:
+    """review_metrics by week of reviews (created), with the corrections (created, kind) of the week: their number and that of each
+    kind as `kind:n` joined by commas, by kind. Weeks with either have a row; what a week lacks is 0, empty or (turnaround) null."""
+    by = corrections.groupBy(bucket(F.col("created"), "week").alias("week"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    told = F.array_sort(F.collect_list(F.concat_ws(":", F.coalesce("kind", F.lit("none")), "n")))  # kinds are few: a word each
+    fixed = by.groupBy("week").agg(F.sum("n").alias("corrections"), F.array_join(told, ",").alias("by_kind"))
+    seen = review_metrics(reviews.withColumn("week", bucket(F.col("created"), "week")), ["week"])
+    return seen.join(fixed, "week", "full_outer").fillna(0, ["n", "reviewed", "approval", "rejection", "corrections"]).fillna("", ["by_kind"])
+
+
 def queue_stats(reviews: DataFrame) -> DataFrame:
     c = lambda col, v: F.count_if(F.col(col) == v).alias(v)
     return reviews.agg(F.count(F.lit(1)).alias("total"), *[c("status", s) for s in ("pending", "approved", "rejected")], *[c("severity", s) for s in ("high", "medium", "low")])
@@ -218,11 +228,13 @@ def heat_map(points: DataFrame, cell: float = 0.5) -> DataFrame:
 
 def glossary(pairs: DataFrame) -> DataFrame:
     """(term, canonical, variants, n, pages, first_page, last_page, confidence): the commonest target of each term is canonical."""
-    by = pairs.groupBy("term", "target").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("c"), F.min("page").alias("p0"), F.max("page").alias("p1"), F.collect_set("page").alias("pages"))
-    return by.groupBy("term").agg(
-        F.min_by("target", F.struct(-F.col("n"), F.col("target"))).alias("canonical"), F.count(F.lit(1)).alias("variants"), F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("pages")))).cast("long").alias("pages"),
-        F.min("p0").alias("first_page"), F.max("p1").alias("last_page"), _r(F.sum("c") / F.sum("n")).alias("confidence"),
+    by = pairs.groupBy("term", "target").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("c"), F.min("page").alias("p0"), F.max("page").alias("p1"))
+    pages = pairs.groupBy("term", "page").agg(F.lit(1)).groupBy("term").agg(F.count("page").alias("pages"))
+    terms = by.groupBy("term").agg(
+        F.min_by("target", F.struct(-F.col("n"), F.col("target"))).alias("canonical"), F.count(F.lit(1)).alias("variants"), F.sum("n").alias("n"), F.min("p0").alias("first_page"), F.max("p1").alias("last_page"), _r(F.sum("c") / F.sum("n")).alias("confidence"),
     )
+    same = F.col("term").eqNullSafe(F.col("_t"))
+    return terms.join(pages.withColumnRenamed("term", "_t"), same).select("term", "canonical", "variants", "n", "pages", "first_page", "last_page", "confidence")
 
 
 def inconsistencies(pairs: DataFrame) -> DataFrame:

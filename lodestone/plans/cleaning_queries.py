@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import checks as K
 from lodestone.functions import dates as D
 from lodestone.functions import errors as X
 from lodestone.operators import artifacts as A
 from lodestone.operators import graph as G
+from lodestone.operators import stats as Z
 from lodestone.session import table
-from lodestone.sources.views import DATED_SQL, NODES_SQL, dated_edges, kg_nodes
+from lodestone.sources.views import DATED_SQL, NODES_SQL, REVIEW_SQL, dated_edges, kg_nodes, review_queue
+
+LATIN = r"[\x{00C0}-\x{00FF}]"
 
 
 def paged(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,6 +90,14 @@ def travels(spark: SparkSession, folder: str) -> DataFrame:
     return dated_edges(spark, folder).select("src", "predicate", "dst", "confidence", "year").unionByName(visits, allowMissingColumns=True)
 
 
+def scans(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, native, ocr, pages, sure): documents as scans: their own text whole, cut short or blank, and a reading of some first
+    part, with c for e, that failed for some."""
+    d, i = table(spark, folder, "documents"), F.col("doc_id")
+    native = F.when(i % 4 == 0, F.col("text")).when(i % 4 == 1, F.substr("text", F.lit(1), i % 300)).when(i % 4 == 2, "  ").otherwise(F.substring("text", 1, 40))
+    return d.select("doc_id", native.alias("native"), F.when(i % 11 != 5, F.replace(F.substr("text", F.lit(1), i % 700 + 20), F.lit("e"), F.lit("c"))).alias("ocr"), F.when(i % 13 == 2, 0).otherwise(F.floor(F.char_length("text") / 500) + 1).alias("pages"), (i % 10 / 9.0).alias("sure"))
+
+
 def dated_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(p_partkey, t): dates of parts told by cycle with and without element and animal."""
     k = F.col("p_partkey")
@@ -105,6 +117,34 @@ QUERIES = {
     "gr17_search_names": (lambda s, d: G.search_names(named_nodes(s, d), "Bolt"), _search_sql("Bolt", True)),
     "gr17_search_spoken": (lambda s, d: G.search_names(named_nodes(s, d), "rid widgit", fuzzy=False), _search_sql("rid widgit", False)),
     "gr17_search_turned": (lambda s, d: G.search_names(named_nodes(s, d), "Widget Red"), _search_sql("Widget Red", True)),
+    "ag18_report_with_corrections": (
+        lambda s, d: Z.weekly_report(review_queue(s, d), table(s, d, "lineitem").select(F.col("l_shipdate").cast("timestamp").alias("created"), F.concat("l_returnflag", "l_linestatus").alias("kind"))),
+        f"""WITH {REVIEW_SQL}, m AS (SELECT year(created) || '-W' || strftime(created, '%V') AS week, count(*) AS n, count(reviewed) AS reviewed, round(avg((epoch_us(reviewed) - epoch_us(created)) / 6e7), 6) AS turnaround, coalesce(round(count(*) FILTER (status = 'approved') / nullif(count(reviewed), 0), 6), 0.0) AS approval, coalesce(round(count(*) FILTER (status = 'rejected') / nullif(count(reviewed), 0), 6), 0.0) AS rejection FROM rq GROUP BY 1),
+c AS (SELECT year(l_shipdate) || '-W' || strftime(l_shipdate, '%V') AS week, l_returnflag || l_linestatus AS kind, count(*) AS n FROM lineitem GROUP BY ALL), x AS (SELECT week, sum(n)::BIGINT AS corrections, string_agg(kind || ':' || n, ',' ORDER BY kind) AS by_kind FROM c GROUP BY week)
+SELECT week, coalesce(n, 0) AS n, coalesce(reviewed, 0) AS reviewed, turnaround, coalesce(approval, 0) AS approval, coalesce(rejection, 0) AS rejection, coalesce(corrections, 0) AS corrections, coalesce(by_kind, '') AS by_kind FROM m FULL JOIN x USING (week)""",
+    ),
+    "src9_chosen_source": (
+        lambda s, d: scans(s, d).select("doc_id", K.chosen_source(F.col("native"), F.col("ocr"), F.col("pages"), F.col("sure"), LATIN, acceptable=0.3).alias("c")).select("doc_id", "c.method", F.sha2("c.text", 256).alias("sha"), F.round("c.quality", 6).alias("quality")),
+        rf"""WITH v AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text[1:doc_id % 300] WHEN 2 THEN '  ' ELSE text[1:40] END AS native, CASE WHEN doc_id % 11 <> 5 THEN replace(text[1:doc_id % 700 + 20], 'e', 'c') END AS ocr, CASE WHEN doc_id % 13 = 2 THEN 0 ELSE length(text) // 500 + 1 END AS pages, doc_id % 10 / 9.0::DOUBLE AS sure FROM documents),
+q AS (SELECT *, length(trim(native, E' 	
+
+')) AS a, length(trim(ocr, E' 	
+
+')) AS b, least(1, greatest(0, 0.4::DOUBLE * CASE WHEN regexp_replace(ocr, '[ 	
+
+]', '', 'g') = '' THEN 0 ELSE len(regexp_extract_all(ocr, '{LATIN}')) / length(regexp_replace(ocr, '[ 	
+
+]', '', 'g')) END + 0.5::DOUBLE * sure
+  - 0.1::DOUBLE * (regexp_matches(ocr, '[0-9]{{10,}}')::INT + regexp_matches(ocr, '[^0-9A-Za-z_	
+
+ ]{{5,}}')::INT + regexp_matches(ocr, '[A-Z]{{8,}}')::INT))) AS quality FROM v),
+m AS (SELECT *, CASE WHEN pages = 0 OR a >= 50 * pages OR ocr IS NULL THEN 'native' WHEN quality < 0.3::DOUBLE AND a > 0 THEN 'hybrid' ELSE 'ocr' END AS method FROM q)
+SELECT doc_id, method, sha256(CASE method WHEN 'native' THEN native WHEN 'ocr' THEN ocr ELSE CASE WHEN a < 100 THEN ocr WHEN b < 100 THEN native ELSE native || E'
+
+[OCR-Enhanced Content]
+
+' || ocr END END) AS sha, CASE WHEN method <> 'native' THEN round(quality, 6) END AS quality FROM m""",
+    ),
     "gr13_journeys": (
         lambda s, d: G.journeys(kg_nodes(s, d), travels(s, d)),
         f"""WITH {DATED_SQL}, tv AS (SELECT src, predicate, dst, confidence, year, NULL::BIGINT AS end_year, NULL::VARCHAR AS purpose FROM dated

@@ -106,3 +106,23 @@ def test_named_cycles(spark):
     first = next(i for i in range(60) if D.ELEMENTS[i // 4 % 5] == "earth" and D.ANIMALS[i % 12] == "dragon") if any(D.ELEMENTS[i // 4 % 5] == "earth" and D.ANIMALS[i % 12] == "dragon" for i in range(60)) else None
     cases["earth dragon, 3rd rabjung"] = (1147 + first, 0.9) if first is not None else (1147 + 29, 0.5)
     assert got == {**cases, None: None}
+
+
+def test_source_is_chosen(spark):
+    from lodestone.functions.checks import chosen_source
+
+    long, bo = "own text " * 40, "བོད " * 60
+    rows = [(1, long, bo, 2, 0.9), (2, "x", bo, 0, 0.9), (3, "x", None, 4, 0.9), (4, "x", bo, 4, 0.9), (5, None, "bad", 4, 0.1), (6, long, "bad " * 40, 40, 0.1), (7, "short", "bad " * 40, 40, None), (8, long, "bad", 40, 0.1), (9, None, None, None, None)]
+    df = spark.createDataFrame(rows, "i long, own string, read string, pages long, sure double").select("i", chosen_source(F.col("own"), F.col("read"), F.col("pages"), F.col("sure")).alias("c"))
+    got = {r["i"]: (r["c"]["method"], r["c"]["text"]) for r in df.collect()}
+    both = long + "\n\n[OCR-Enhanced Content]\n\n" + "bad " * 40
+    assert got == {1: ("native", long), 2: ("native", "x"), 3: ("native", "x"), 4: ("ocr", bo), 5: ("ocr", "bad"), 6: ("hybrid", both), 7: ("hybrid", "bad " * 40), 8: ("hybrid", long), 9: ("native", "")}
+
+
+def test_weeks_with_reviews_or_corrections(spark):
+    from lodestone.operators.stats import weekly_report
+
+    reviews = spark.createDataFrame([("2024-01-02", "2024-01-03", "approved"), ("2024-01-04", None, "pending")], "c string, r string, status string").select(F.to_timestamp("c").alias("created"), F.to_timestamp("r").alias("reviewed"), "status")
+    fixes = spark.createDataFrame([("2024-01-02", "term"), ("2024-01-02", "term"), ("2024-01-03", "style"), ("2024-01-09", None)], "c string, kind string").select(F.to_timestamp("c").alias("created"), "kind")
+    got = {r["week"]: (r["n"], r["reviewed"], r["turnaround"], r["approval"], r["corrections"], r["by_kind"]) for r in weekly_report(reviews, fixes).collect()}
+    assert got == {"2024-W01": (2, 1, 1440.0, 1.0, 3, "style:1,term:2"), "2024-W02": (0, 0, None, 0.0, 1, "none:1")}
