@@ -118,6 +118,19 @@ def test_memory_finds_the_most_alike_of_all_pairs(spark):
     assert V.best_matches(queries, memory.limit(0)).count() == 0 and V.best_matches(queries.limit(0), memory).count() == 0
 
 
+def test_memory_meets_only_blocks_that_can_hold_a_match(spark):
+    rng = np.random.default_rng(9)
+    centre = np.repeat(rng.normal(size=(12, 6)), 40, axis=0)
+    rows = [(i, v.tolist()) for i, v in enumerate(centre + rng.normal(size=centre.shape) * 0.05)] + [(480 + i, centre[0].tolist()) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = {(i, int(np.round(u @ u[i], 9).argmax()), 1.0) for i in range(len(u))}
+    assert {tuple(r) for r in V.best_matches(df, df, asked_block=20, stored_block=30).collect()} == want
+    one = spark.range(20_000).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))  # each query has 4,000 matches
+    assert V.best_matches(one, one).where("query_id <> vec_id").count() == 0
+
+
 def test_containment_of_many_patterns_equals_looking_for_each(spark):
     rng = random.Random(2)
     text = lambda n: "".join(rng.choice("abé \n།") for _ in range(n))
