@@ -5,6 +5,9 @@ gain; the others stay, so that two neighbours do not change places. A round whos
 taken back and the parts are made smaller. Then each community becomes a node, with the weights between communities as
 edges, and the next level begins. Modularity never falls from level to level.
 
+Ids are numbered in their order, so that shuffles carry numbers. A round joins the edges once: what joins each node with each
+community is kept as a table, from which modularity, the next round's moves and the next level's edges follow.
+
 Gains and modularity are compared as decimals of 38 digits: with n communities of total weights t and inner weights w of a
 graph whose degrees sum to m2, modularity is sum(m2 * w - t * t) / (m2 * m2).
 """
@@ -54,12 +57,27 @@ def modularity(edges: DataFrame, communities: DataFrame, predicates: list[str] |
     return float(_quality(graph, places, m2)[0] / (Decimal(m2) * m2)) if m2 else 0.0
 
 
-def _moves(graph: DataFrame, places: DataFrame, m2: int, part: Column) -> DataFrame:
+def _linked(graph: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, c, w, loop): the weight between each node and each community that it has an edge to, and how much of it is a loop's."""
+    to = graph.join(places.select(F.col("id").alias("b"), "c"), "b")
+    return materialised(to.groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0)).alias("loop")))
+
+
+def _standing(links: DataFrame, places: DataFrame, m2: int, moved: str = "false") -> tuple[Decimal, int]:
+    """_quality() out of links."""
+    wide = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(38,0)")
+    inner = links.join(places.select("id", "c"), ["id", "c"]).agg(wide(F.sum("w")).alias("w"), wide(F.lit(0)).alias("s"), wide(F.lit(0)).alias("n"))
+    total = places.groupBy("c").agg(F.sum("k").alias("t"), F.count_if(F.expr(moved)).alias("n"))
+    rest = total.agg(wide(F.lit(0)).alias("w"), wide(F.sum(_wide(F.col("t")) * _wide(F.col("t")))).alias("s"), wide(F.sum("n")).alias("n"))
+    w, s, n = inner.unionByName(rest).agg(F.sum("w"), F.sum("s"), F.sum("n")).first()
+    return Decimal(m2) * w - s, int(n)
+
+
+def _moves(links: DataFrame, places: DataFrame, m2: int, part: Column) -> DataFrame:
     """(id, to): nodes of the part that gain by leaving, and the community of the highest gain; of equals the smallest."""
-    links = graph.where("a <> b").join(places.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("w"))
     own = places.where(part).select("id", "k", F.col("c").alias("own"))
     total = places.groupBy("c").agg(F.sum("k").alias("t"))
-    choice = own.join(links, "id").unionByName(own.select("id", "k", "own", F.col("own").alias("c"), F.lit(0).cast("long").alias("w")))
+    choice = own.join(links.select("id", "c", (F.col("w") - F.col("loop")).alias("w")).where("w > 0"), "id").unionByName(own.select("id", "k", "own", F.col("own").alias("c"), F.lit(0).cast("long").alias("w")))
     choice = choice.groupBy("id", "k", "own", "c").agg(F.sum("w").alias("w")).join(total, "c")
     rest = F.col("t") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)
     gain = F.lit(m2).cast("decimal(19,0)") * _wide(F.col("w")) - _wide(F.col("k")) * _wide(rest)
@@ -75,24 +93,31 @@ def louvain(nodes: DataFrame, edges: DataFrame, predicates: list[str] | None = N
     with a null end, of weight 0 or less, and ends that are no node have no part in the result. A node without edges is a
     community by itself.
     """
-    graph = materialised(_graph(edges, predicates, weight))
-    member = materialised(graph.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("at")))
+    named = materialised(_graph(edges, predicates, weight))
+    codes = named.select(F.col("a").alias("name")).distinct().repartitionByRange("name").sortWithinPartitions("name")
+    codes = materialised(codes.select("name", F.monotonically_increasing_id().alias("id")))  # in the order of names
+    end = lambda e: codes.select(F.col("name").alias(e), F.col("id").alias(f"id_{e}"))
+    graph = materialised(named.join(end("a"), "a").join(end("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "w"))
+    dropped(named)
+    member = materialised(codes.select("id", F.col("id").alias("at")))
     m2 = graph.agg(F.sum("w")).first()[0] or 0
     least = Decimal(m2) * m2 * Decimal(str(tolerance))
     for level in range(max_levels if m2 else 0):
-        places = materialised(graph.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")).select("id", F.col("id").alias("c"), "k"))
-        (quality, _), parts, still, begun = _quality(graph, places, m2), PARTS, 0, False
+        dealt = codes.select("id", F.crc32(F.concat_ws(":", "name", F.lit(level)).cast("binary")).alias("h"))
+        places = materialised(graph.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")).join(dealt, "id").select("id", F.col("id").alias("c"), "k", "h"))
+        links = graph.select(F.col("a").alias("id"), F.col("b").alias("c"), "w", F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0).alias("loop"))
+        (quality, _), parts, still, begun = _standing(links, places, m2), PARTS, 0, False
         for round_ in range(max_rounds):
-            part = F.crc32(F.concat_ws(":", "id", F.lit(level)).cast("binary")) % parts == round_ % parts
-            moves = _moves(graph, places, m2, part)
-            new = materialised(places.select("id", "c", "k").join(moves, "id", "left").select("id", F.coalesce("to", "c").alias("c"), "k", F.col("to").isNotNull().alias("moved")))
-            better, n = _quality(graph, new, m2, "moved")
+            moves = _moves(links, places, m2, F.col("h") % parts == round_ % parts)
+            new = materialised(places.select("id", "c", "k", "h").join(moves, "id", "left").select("id", F.coalesce("to", "c").alias("c"), "k", "h", F.col("to").isNotNull().alias("moved")))
+            new_links = _linked(graph, new)
+            better, n = _standing(new_links, new, m2, "moved")
             if n and better > quality:  # a round that gains less than the tolerance counts as still
                 still = still + 1 if better - quality < least else 0
-                dropped(places)
-                places, quality, begun = new, better, True
+                dropped(places, links)
+                places, links, quality, begun = new, new_links, better, True
             else:
-                dropped(new)
+                dropped(new, new_links)
                 if not n:
                     still += 1
                 elif parts >= MOST_PARTS:
@@ -104,11 +129,13 @@ def louvain(nodes: DataFrame, edges: DataFrame, predicates: list[str] | None = N
         if not begun:
             break
         name = places.groupBy("c").agg(F.min("id").alias("name"))
-        to = materialised(places.join(name, "c").select("id", F.col("name").alias("c")))
-        new_member = materialised(member.join(to.withColumnRenamed("id", "at"), "at").select("id", F.col("c").alias("at")))
-        end = lambda e, to=to: to.select(F.col("id").alias(e), F.col("c").alias(f"c_{e}"))
-        new_graph = materialised(graph.join(end("a"), "a").join(end("b"), "b").groupBy(F.col("c_a").alias("a"), F.col("c_b").alias("b")).agg(F.sum("w").alias("w")))
-        dropped(graph, member, places)
+        to = materialised(places.join(name, "c").select("id", "c", "name"))
+        new_member = materialised(member.join(to.select(F.col("id").alias("at"), "name"), "at").select("id", F.col("name").alias("at")))
+        ends = links.join(to.select("id", F.col("name").alias("a")), "id").groupBy("a", "c").agg(F.sum("w").alias("w"))
+        new_graph = materialised(ends.join(name.select("c", F.col("name").alias("b")), "c").select("a", "b", "w"))
+        dropped(graph, member, places, links, to)
         graph, member = new_graph, new_member
-    first = member.groupBy("at").agg(F.min("id").alias("community"))
-    return nodes.select("id").join(member.join(first, "at").select("id", "community"), "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    first = member.groupBy("at").agg(F.min("id").alias("first"))
+    found = member.join(first, "at").join(codes, "id").select(F.col("name").alias("id"), "first")
+    found = found.join(codes.select(F.col("id").alias("first"), F.col("name").alias("community")), "first").select("id", "community")
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))

@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Shuffle files go when their query has ended, not when the driver happens to collect its garbage: loops would fill the disks.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def session(name: str = "lodestone", **conf: str) -> SparkSession:
     """A session with the settings that all operators count on: UTC, adaptive execution."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
@@ -40,7 +44,12 @@ def materialised(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     atexit.register(_drop, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._step = path

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -17,6 +18,7 @@ from lodestone.operators import communities as C
 from lodestone.operators import containment as K
 from lodestone.operators import memory as V
 from lodestone.operators import segments as S
+from lodestone.session import CLEAN, materialised
 
 
 def plain_louvain(ids, edges, max_levels=10, max_rounds=8):
@@ -95,6 +97,17 @@ def test_louvain_equals_the_plain_version_and_never_loses_modularity(spark):
     assert C.louvain(nodes, df.limit(0)).where("id <> community").count() == 0 and C.modularity(df.limit(0), found) == 0.0
 
 
+def test_finished_steps_leave_no_shuffle_files(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before, kept = files(), spark.conf.get(CLEAN)
+    steps = [materialised(spark.range(50_000).groupBy((F.col("id") % 1000 + i).alias("k")).count()) for i in range(5)]
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(CLEAN) == kept and all(x.count() == 1000 for x in steps)
+
+
 def test_memory_finds_the_most_alike_of_all_pairs(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(300, 6))
