@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import materialised
+from lodestone.session import dropped, materialised
 
 R_EARTH = 6371.0
 
@@ -462,15 +462,25 @@ def missing_inverse(edges: DataFrame, predicate: str = "teacher_of") -> DataFram
     return of_types(edges, [predicate]).select("src", "dst").join(there, ["src", "dst"], "left_anti")
 
 
+def _between(core: DataFrame) -> DataFrame:
+    """(predicate, id): nodes of core (predicate, src, dst) that an edge leads to and one leads from."""
+    end = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("id"), F.lit(False).alias("out")))).alias("e")
+    ends = core.select("predicate", end).groupBy("predicate", "e.id").agg(F.bool_or("e.out").alias("leads"), F.bool_and("e.out").alias("only"))
+    return ends.where("leads and not only").select("predicate", "id")
+
+
 def _peeled(core: DataFrame) -> DataFrame:
     """core (predicate, src, dst) without the nodes that nothing leads to, or that lead nowhere, again and again."""
     n = core.count()
-    while True:
-        ends = core.select("predicate", F.col("src").alias("dst")).distinct(), core.select("predicate", F.col("dst").alias("src")).distinct()
-        core = materialised(core.join(ends[0], ["predicate", "dst"], "left_semi").join(ends[1], ["predicate", "src"], "left_semi").select("predicate", "src", "dst"))
-        before, n = n, core.count()
+    while n:
+        on = materialised(_between(core))
+        left = core.join(on.withColumnRenamed("id", "src"), ["predicate", "src"], "left_semi").join(on.withColumnRenamed("id", "dst"), ["predicate", "dst"], "left_semi")
+        left = materialised(left.select("predicate", "src", "dst"))
+        dropped(on, core)
+        core, before, n = left, n, left.count()
         if n == before:
-            return core
+            break
+    return core
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -479,8 +489,12 @@ def cycles(edges: DataFrame) -> DataFrame:
     What peeling leaves is coloured: each node takes the least name that reaches it. A node that keeps its own name is the
     root of a strongly connected component, which is what reaches the root among nodes of its colour. These components
     are taken out and the rest is peeled and coloured again. Loops carry one row for each node or edge, never for each pair of nodes.
+    Predicates none of whose nodes is both led to and led from, as between two kinds of nodes, are left out before edges are shuffled.
     """
-    core, found = _peeled(materialised(edges.select("predicate", "src", "dst").distinct())), None
+    steps = materialised(edges.select("predicate", "src", "dst"))
+    round_ = materialised(_between(steps).select("predicate").distinct())  # one row a predicate at most
+    core, found = _peeled(materialised(steps.join(round_, "predicate", "left_semi").select("predicate", "src", "dst").distinct())), None
+    dropped(steps)
     while not core.isEmpty():
         node = F.explode(F.array("src", "dst")).alias("id")
         colour = materialised(core.select("predicate", node).distinct().withColumn("colour", F.col("id")))

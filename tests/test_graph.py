@@ -190,3 +190,20 @@ def test_best_chain_equals_all_chains_with_and_without_cycles(spark):
         got = G.teacher_lineage(df, ids[0], 6).collect()
         assert [(r.depth, r.confidence, r.chain) for r in got] == ([(best[1] - 1, round(-best[0], 6), ">".join(reversed(best[2].split(">"))))] if best else [])
     assert G.student_lineage(df.limit(0), "t00").count() == 0
+
+
+def test_cycles_carry_no_edges_between_two_kinds_of_nodes(spark, monkeypatch):
+    rows = [("wrote", f"s{i % 3}", f"p{i}") for i in range(20)] + [("cites", "p1", "p2"), ("cites", "p2", "p1"), ("cites", "p2", "p3")]
+    steps, real = [], G.materialised
+    monkeypatch.setattr(G, "materialised", lambda df: steps.append(real(df)) or steps[-1])
+    monkeypatch.setattr(G, "dropped", lambda *_: None)
+    assert {tuple(r) for r in G.cycles(spark.createDataFrame(rows, "predicate string, src string, dst string")).select("predicate", "id").collect()} == {("cites", "p1"), ("cites", "p2")}
+    assert [df.count() for df in steps][:3] == [23, 1, 3]
+
+
+def test_all_checks_read_edges_once(spark):
+    from lodestone.sources.views import dated_edges, kg_nodes
+    from tests.conftest import SF
+
+    read = V.checked(kg_nodes(spark, SF), dated_edges(spark, SF)).inputFiles()
+    assert read and not [f for f in read if "lineitem" in f]
