@@ -24,17 +24,25 @@ def _found(rules: dict[str, Column]) -> Column:
 
 
 def fitting_prefix(text: Column, budget: int, script: str = TIBETAN) -> Column:
-    """The longest run of whole words from a text's start whose token estimate fits the budget; found by halving, 24 times."""
-    words = F.split(F.trim(_text(text)), r"\s+")
-    prefix = lambda n: F.array_join(F.slice(words, 1, n), " ")
+    """The longest run of whole words from a text's start whose token estimate fits the budget; found by halving.
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
-        fits = token_estimate(prefix(mid), script) <= budget
-        return F.struct(F.when(fits, mid).otherwise(s["low"]).alias("low"), F.when(fits, s["high"]).otherwise(F.greatest(mid - 1, s["low"])).alias("high"))
+    A word is a quarter of a token at least (only blanks at either end give empty ones), so no more than four for each token are looked at.
+    """
+    most = max(0, 4 * budget + 2)
+    words = F.split(F.trim(_text(text)), r"\s+", most + 1)  # the last one may be all the rest, which is not looked at
+
+    def longest(w: Column) -> Column:
+        prefix = lambda n: F.array_join(F.slice(w, 1, n), " ")
+
+        def halve(s: Column, _: Column) -> Column:
+            mid = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+            fits = token_estimate(prefix(mid), script) <= budget
+            return F.struct(F.when(fits, mid).otherwise(s["low"]).alias("low"), F.when(fits, s["high"]).otherwise(F.greatest(mid - 1, s["low"])).alias("high"))
+
+        steps = F.sequence(F.lit(1), F.lit(most.bit_length() + 1))
+        return prefix(F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.least(F.size(w), F.lit(most)).alias("high")), halve, lambda s: s["low"]))
 
-    steps = F.sequence(F.lit(1), F.lit(24))
-    return prefix(F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(words).alias("high")), halve, lambda s: s["low"]))
+    return F.transform(F.array(words), longest)[0]  # so the text is split once, not at each halving
 
 
 def sentence_overlap(chunks: DataFrame, keys: list[str], order: str, sentences: str, n: int = 2) -> DataFrame:
