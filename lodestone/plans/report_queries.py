@@ -14,6 +14,7 @@ from lodestone.operators import graph as G
 from lodestone.operators import mining as M
 from lodestone.operators import records as R
 from lodestone.operators import reports as P
+from lodestone.operators import resolution as E
 from lodestone.operators import signals as S
 from lodestone.plans.relation_queries import PAIR
 from lodestone.session import shared_dir, table
@@ -293,7 +294,7 @@ SELECT p_partkey, [(a + b) // 2, a + floor((b - a) / 5)::INT, b - floor((b - a)
         "SELECT p_partkey, ['transliteration', 'transliteration', 'exact', 'fuzzy'][p_partkey % 4 + 1] AS type, ([0.98, 0.98, 1.0, NULL]::DOUBLE[])[p_partkey % 4 + 1] AS score FROM part",
     ),
     "er9_best_of_variants": (
-        lambda s, d: table(s, d, "part").select("p_partkey", F.round(N.best_of_variants(F.array("p_name", F.lit("old anvil")), F.array(F.lit("small widgets"), F.lit("blue gadget"))), 6).alias("score")),
+        lambda s, d: E.of_distinct(table(s, d, "part").select("p_partkey", "p_name"), "p_name", F.round(N.best_of_variants(F.array("p_name", F.lit("old anvil")), F.array(F.lit("small widgets"), F.lit("blue gadget"))), 6), "score").select("p_partkey", "score"),
         f"WITH n AS (SELECT DISTINCT p_name AS a FROM part), x AS (SELECT a, round(greatest({PAIR('a', 'c')}, {PAIR('a', 'd')}, {PAIR('b', 'c')}, {PAIR('b', 'd')}), 6) AS score FROM (SELECT a, 'old anvil' AS b, 'small widgets' AS c, 'blue gadget' AS d FROM n)) SELECT p_partkey, score FROM part JOIN x ON a = p_name",
     ),
     "er13_signals": (
