@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+#: Characters that are in normal form C wherever they stand: Latin, Cyrillic, dashes and quotes, common Chinese.
+INERT = r"\x{0000}-\x{02FF}\x{0400}-\x{0482}\x{2010}-\x{2027}\x{4E00}-\x{9FFF}"
 TIBETAN = r"[\x{0F00}-\x{0FFF}]"
 
 
@@ -49,6 +51,9 @@ def _normal(texts: pd.Series) -> pd.DataFrame:
 
     rows = []
     for t in texts:
+        if t is None:
+            rows.append((None, None, None))
+            continue
         out = re.sub(r".?[^\x00-\x7f]+", composed, t, flags=re.S)  # a mark may join the plain letter before it
         marked = re.search(r"[\u0300-\u036f]", t) is not None
         rows.append((out == t, marked and re.search(r"[\u00c0-\u024f\u1e00-\u1eff]", t) is not None, out))
@@ -58,8 +63,12 @@ def _normal(texts: pd.Series) -> pd.DataFrame:
 def normal_form(text: Column) -> Column:
     """Struct (composed, mixed, text): whether a text is in normal form C; whether it has both composed letters and marks of their own;
     the text in that form. Only runs of non-ASCII characters are worked on, each different one once a batch. A null text is an empty one.
+    Texts of characters that never join others (INERT) are as they are and don't go to Python.
     """
-    return _normal(_text(text))
+    t = _text(text)
+    plain = ~t.rlike(f"[^{INERT}]")
+    worked = _normal(F.when(~plain, t))
+    return F.struct(F.when(plain, True).otherwise(worked["composed"]).alias("composed"), F.when(plain, False).otherwise(worked["mixed"]).alias("mixed"), F.when(plain, t).otherwise(worked["text"]).alias("text"))
 
 
 def strip_html(html: Column) -> Column:
