@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import checks as C
 from lodestone.functions import text as X
 from lodestone.operators import resolution as E
+from lodestone.operators import segments as S
+from lodestone.session import materialised
 
 
 def test_fitting_prefix_equals_the_plain_search(spark):
@@ -41,3 +43,17 @@ def test_inert_characters_are_in_normal_form(spark):
     for r in got:
         nfc = unicodedata.normalize("NFC", r.t or "")
         assert (r.f.text, r.f.composed, r.f.mixed) == (nfc, nfc == (r.t or ""), r.t == "é and é")
+
+
+def test_text_of_documents_in_one_range_is_shuffled_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(S, "materialised", lambda df: (kept.extend(df.columns), materialised(df))[1])
+    pages = spark.createDataFrame([(d, p, f"one {d}. two (x. {p}") for d in range(9) for p in range(5)], "doc_id long, page long, text string")
+    for made in (S.sentences(pages), S.chunks(pages, 9)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1, plan
+        assert made.count() >= 9
+    assert not {"text", "piece", "sentence"} & set(kept)
+    ends = spark.createDataFrame([(1.0, 0, "a \u0085 \n"), (1.0, 1, " b. "), (2.0, 0, " \t\n"), (None, 7, "x"), (float("nan"), 3, "y."), (float("nan"), 4, "z")], "doc_id double, page int, text string")
+    got = sorted((str(r.doc_id), r.pos, r.sentence) for r in S.sentences(ends).collect())
+    assert got == [("1.0", 0, "a \u0085 \n  b."), ("None", 0, "x"), ("nan", 0, "y."), ("nan", 1, "z")]
