@@ -1,11 +1,15 @@
 """Lines, spacing and columns of pages from the places of their words.
 
-Items are rows (doc_id, page, n, text, x, y, width, height); y grows upwards, n is the order in the source. All steps are windows
-and aggregates by page, so that no task holds more than the pages it sorts.
+Items are rows (doc_id, page, n, text, x, y, width, height); y grows upwards, n is the order in the source. Lines are windows
+and aggregates by page; columns are told from one pass over the items of a page in order of x. No task holds more than a page besides what it sorts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,21 +48,62 @@ def lines(items: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     return made.select(*keys, F.col("line").cast("int").alias("line"), "y", "text", F.coalesce(wide & (F.avg("height").over(page) > 0), F.lit(False)).alias("paragraph"))
 
 
-def _ranked(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per page: bounds of x, and for 2 and 3 equal strips the items, centres and edges of each that holds any."""
-    bounds = items.groupBy(*PAGE).agg(F.min("x").alias("left"), F.max("x").alias("right"), F.max(F.col("x") + F.col("width")).alias("end"), F.count(F.lit(1)).alias("items"))
-    cut = items.join(bounds, PAGE).select(*PAGE, "x", "width", "left", "right", F.explode(F.array(F.lit(2), F.lit(3))).alias("k"))
-    strip = F.least(F.floor((F.col("x") - F.col("left")) / ((F.col("right") - F.col("left")) / F.col("k"))), F.col("k") - 1)
-    strips = cut.where("right > left").withColumn("strip", strip).groupBy(*PAGE, "k", "strip").agg(F.avg("x").alias("centre"), F.min("x").alias("low"), F.max("x").alias("high"))
-    return bounds, strips
-
-
-def _spread(columns: DataFrame, of: list[str]) -> DataFrame:
-    """(of, columns, mean, most, variance, narrow, gap) of columns (of, left, right, items): what confidences are made of."""
-    along = Window.partitionBy(*of).orderBy("left")
-    held = columns.where(F.col("items") >= COLUMN_ITEMS).withColumn("_g", F.col("left") - F.lag("right").over(along))
-    narrow = F.count_if(F.col("right") - F.col("left") < COLUMN_WIDTH)
-    return held.groupBy(*of).agg(F.count(F.lit(1)).alias("columns"), F.avg("items").alias("mean"), F.max("items").alias("most"), F.var_pop("items").alias("variance"), narrow.alias("narrow"), F.min("_g").alias("gap"))
+def _spread(left: np.ndarray, right: np.ndarray, items: np.ndarray) -> tuple[int, int, float, float, float]:
+    """Columns that hold enough items, those of them that are narrow, the least gap between neighbours, and the variance and the most of
+    their items, over the mean squared and the mean."""
+    held = items >= COLUMN_ITEMS
+    order = np.argsort(left[held], kind="stable")
+    left, right, items = left[held][order], right[held][order], items[held][order]
+    if not len(items):
+        return 0, 0, 0.0, 0.0, 0.0
+    mean = float(items.mean())
+    gap = float((left[1:] - right[:-1]).min()) if len(items) > 1 else 0.0
+    return len(items), int((right - left < COLUMN_WIDTH).sum()), gap, float(items.var()) / (mean * mean), float(items.max()) / mean
+
+
+def _by_strips(x: np.ndarray, end: np.ndarray) -> tuple[float, int, int, bool]:
+    """How sure strips are, their columns, narrow ones, and whether the page is one column; x in order, end: where items end."""
+    fit: list[tuple[float, float]] = []
+    if x[-1] > x[0]:
+        for k in (2, 3):
+            strip = np.minimum(np.floor((x - x[0]) / ((x[-1] - x[0]) / k)), k - 1)
+            at = [x[strip == i] for i in range(k)]
+            at = [a for a in at if len(a)]
+            if min((np.diff([a.mean() for a in at])), default=1e9) >= COLUMN_GAP:
+                fit = [(a[0], a[-1]) for a in at]
+            elif k == 2:  # three strips count only where two are apart
+                break
+    if len(fit) < 2:
+        return 0.9, 1, int(x[-1] - x[0] < COLUMN_WIDTH), True
+    near = [np.abs(x - (low + high) / 2) <= (high - low) / 2 + COLUMN_GAP / 2 for low, high in fit]
+    near = [n for n in near if n.any()]
+    n, narrow, gap, uneven, _ = _spread(np.array([x[i].min() for i in near]), np.array([end[i].max() for i in near]), np.array([i.sum() for i in near]))
+    sure = 0.0 if n == 0 else 0.9 if n == 1 else 0.4 * (1 - min(uneven, 1.0)) + 0.6 * min(gap / COLUMN_GAP, 1.0)
+    return sure, n, narrow, False
+
+
+def _by_gaps(x: np.ndarray, end: np.ndarray) -> tuple[float, int, int, bool]:
+    """The same by gaps."""
+    size = x[1:] - end[:-1]
+    wide = size >= COLUMN_GAP
+    if not wide.any():
+        return 0.85, 1, int(end.max() - x[0] < COLUMN_WIDTH), True
+    size, at = size[wide], end[:-1][wide] + size[wide] / 2
+    cuts = np.sort(at[np.lexsort((at, -size))[:2]])
+    left, right = np.array([x[0], *cuts]), np.array([*cuts, end.max()])
+    n, narrow, _, _, most = _spread(left, right, np.array([((x >= a) & (end <= b)).sum() for a, b in zip(left, right, strict=True)]))
+    balance = 1 - min(most - 1, 0.5) / 0.5
+    sure = 0.0 if n == 0 else 0.85 if n == 1 else 0.5 * min(float(size.mean()) / (COLUMN_GAP * 2), 1.0) + 0.5 * balance
+    return sure, n, narrow, False
+
+
+def _layout(x: np.ndarray, width: np.ndarray) -> tuple[str, int, float]:
+    """(method, columns, confidence) of a page whose items are in order of x."""
+    ways = {"gaps": _by_gaps(x, x + width), "strips": _by_strips(x, x + width)}
+    method = max(ways, key=lambda m: ways[m][0])  # the first of equals
+    sure, columns, narrow, whole = ways[method]
+    sure *= 0.8**narrow * (0.7 if whole and len(x) < COLUMN_ITEMS else 1.0)
+    return (method, 1, 0.8) if sure < 0.5 and columns > 1 else (method, columns, sure)
 
 
 def column_layout(items: DataFrame) -> DataFrame:
@@ -69,44 +114,31 @@ def column_layout(items: DataFrame) -> DataFrame:
     numbers of items, half each. A column has COLUMN_ITEMS items at least. One column is .9 and .85 sure; each that is narrower than
     COLUMN_WIDTH takes a fifth away, and what is then under .5 sure is one column, .8 sure.
     """
-    own = items.where("text is not null and x is not null and y is not null").na.fill(0.0, ["width", "height"])
-    bounds, strips = _ranked(own)
-    apart = strips.withColumn("_d", F.col("centre") - F.lag("centre").over(Window.partitionBy(*PAGE, "k").orderBy("centre"))).groupBy(*PAGE, "k").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min("_d"), F.lit(1e9)).alias("least"))
-    fits = apart.groupBy(*PAGE).agg(F.max(F.when((F.col("k") == 2) & (F.col("least") >= COLUMN_GAP), 2)).alias("two"), F.max(F.when((F.col("k") == 3) & (F.col("least") >= COLUMN_GAP), 3)).alias("three"))
-    k = fits.select(*PAGE, F.when(F.col("two").isNull(), 1).otherwise(F.coalesce("three", "two")).alias("k"))
-    many = strips.join(k, [*PAGE, "k"])
-    size = many.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("strips"))
-    reach = (F.col("high") - F.col("low")) / 2 + COLUMN_GAP / 2
-    inside = own.join(many, PAGE).where(F.abs(F.col("x") - (F.col("low") + F.col("high")) / 2) <= reach)
-    clustered = _spread(inside.groupBy(*PAGE, "strip").agg(F.min("x").alias("left"), F.max(F.col("x") + F.col("width")).alias("right"), F.count(F.lit(1)).alias("items")), PAGE)
-    even = 1 - F.least(F.col("variance") / (F.col("mean") * F.col("mean")), F.lit(1.0))
-    sure = 0.4 * even + 0.6 * F.least(F.col("gap") / COLUMN_GAP, F.lit(1.0))
-    single = F.coalesce(F.col("strips"), F.lit(1)) == 1
-    by_strips = bounds.join(size, PAGE, "left").join(clustered, PAGE, "left").select(
-        *PAGE, F.lit("strips").alias("method"), F.when(single, 1).otherwise(F.coalesce("columns", F.lit(0))).alias("columns"),
-        F.when(single, 0.9).when(F.col("columns").isNull(), 0.0).when(F.col("columns") == 1, 0.9).otherwise(sure).alias("sure"),
-        F.when(single, (F.col("right") - F.col("left") < COLUMN_WIDTH).cast("int")).otherwise(F.coalesce("narrow", F.lit(0))).alias("narrow"), single.alias("whole"), "items",
-    )
-
-    across = Window.partitionBy(*PAGE).orderBy("x", "n")
-    spaces = own.withColumn("_e", F.lag(F.col("x") + F.col("width")).over(across)).withColumn("size", F.col("x") - F.col("_e")).where(F.col("size") >= COLUMN_GAP).select(*PAGE, (F.col("_e") + F.col("size") / 2).alias("at"), "size")
-    widest = spaces.withColumn("_r", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("size"), "at")))
-    cuts = widest.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.when(F.col("_r") <= 2, F.col("at")))).alias("cuts"), F.avg("size").alias("space"))
-    edges = bounds.join(cuts, PAGE).select(*PAGE, "space", F.concat(F.array("left"), "cuts", F.array("end")).alias("e"))
-    parts = edges.select(*PAGE, F.posexplode(F.expr("transform(sequence(1, size(e) - 1), i -> struct(e[i - 1] as left, e[i] as right))")).alias("part", "p")).select(*PAGE, "part", "p.left", "p.right")
-    within = own.join(parts, PAGE).where("x >= left and x + width <= right").groupBy(*PAGE, "part", "left", "right").agg(F.count(F.lit(1)).alias("items"))
-    spread = _spread(within, PAGE)
-    balance = 1 - F.least(F.col("most") / F.col("mean") - 1, F.lit(0.5)) / 0.5
-    gap_sure = 0.5 * F.least(F.col("space") / (COLUMN_GAP * 2), F.lit(1.0)) + 0.5 * balance
-    none = F.col("space").isNull()
-    by_gaps = bounds.join(cuts.select(*PAGE, "space"), PAGE, "left").join(spread, PAGE, "left").select(
-        *PAGE, F.lit("gaps").alias("method"), F.when(none, 1).otherwise(F.coalesce("columns", F.lit(0))).alias("columns"),
-        F.when(none, 0.85).when(F.col("columns").isNull(), 0.0).when(F.col("columns") == 1, 0.85).otherwise(gap_sure).alias("sure"),
-        F.when(none, (F.col("end") - F.col("left") < COLUMN_WIDTH).cast("int")).otherwise(F.coalesce("narrow", F.lit(0))).alias("narrow"), none.alias("whole"), "items",
-    )
-
-    best = by_strips.unionByName(by_gaps).groupBy(*PAGE).agg(F.min_by(F.struct("method", "columns", "sure", "narrow", "whole", "items"), F.struct((-F.col("sure")).alias("s"), F.col("method"))).alias("b")).select(*PAGE, "b.*")
-    few = F.when(F.col("whole") & (F.col("items") < COLUMN_ITEMS), 0.7).otherwise(1.0)
-    final = F.col("sure") * F.pow(F.lit(0.8), F.col("narrow")) * few
-    unsure = (final < 0.5) & (F.col("columns") > 1)
-    return best.select(*PAGE, "method", F.when(unsure, 1).otherwise(F.col("columns")).cast("int").alias("columns"), F.round(F.when(unsure, 0.8).otherwise(final), 6).alias("confidence"))
+    own = items.where("text is not null and x is not null and y is not null").select(*PAGE, "n", F.col("x").cast("double").alias("x"), F.coalesce("width", F.lit(0.0)).cast("double").alias("width"))
+    placed = own.withColumn("r", F.row_number().over(Window.partitionBy(*PAGE).orderBy("x", "n"))).select(*PAGE, "r", "x", "width")
+
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages follow each other, each in order of x; r is 1 where one begins."""
+        held: list[pa.RecordBatch] = []
+
+        def made() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            first = np.flatnonzero(t["r"].to_numpy() == 1)
+            x, width = (np.split(t[c].to_numpy(), first[1:]) for c in ("x", "width"))
+            method, columns, sure = zip(*map(_layout, x, width), strict=True)
+            ids = [t[c].take(pa.array(first)).combine_chunks() for c in PAGE]
+            return pa.RecordBatch.from_arrays([*ids, pa.array(method), pa.array(columns, pa.int32()), pa.array(sure, pa.float64())], names=[*PAGE, "method", "columns", "sure"])
+
+        for b in batches:
+            begin = np.flatnonzero(b.column("r").to_numpy() == 1)
+            if len(begin) and held or len(begin) > 1:
+                held.append(b.slice(0, begin[-1]))
+                yield made()
+                held[:] = [b.slice(begin[-1])]
+            else:
+                held.append(b)
+        if held and sum(map(len, held)):
+            yield made()
+
+    kinds = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in PAGE)
+    return placed.mapInArrow(laid, f"{kinds}, method string, columns int, sure double").select(*PAGE, "method", "columns", F.round("sure", 6).alias("confidence"))

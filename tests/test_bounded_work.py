@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import checks as C
 from lodestone.functions import text as X
+from lodestone.operators import layout as L
 from lodestone.operators import resolution as E
 from lodestone.operators import segments as S
 from lodestone.operators import signals as G
@@ -71,3 +72,11 @@ def test_merge_and_undo_carry_an_edge_once(spark, monkeypatch):
     assert sorted(map(repr, back[1].collect())) == sorted(map(repr, edges.collect()))
     assert not any("before" in c for c in kept)  # edges were in the table twice
     assert back[1]._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_items_of_pages_are_shuffled_once(spark):
+    rows = [(d, p, n, "w", float(50 + n % 3 * (60 + 40 * d) + n % 2), 700.0 - n, None if n == 4 else 30.0, 10.0) for d in range(4) for p in range(3) for n in range(3 + 9 * p)]
+    pages = L.column_layout(spark.createDataFrame(rows, "doc_id long, page long, n long, text string, x double, y double, width double, height double"))
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1, plan
+    assert pages.count() == 12
