@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.propagation import propagated
 from lodestone.session import dropped, materialised
 
 R_EARTH = 6371.0
@@ -368,15 +369,22 @@ def components(nodes: DataFrame, edges: DataFrame, predicates: list[str] | None
     return nodes.select("id").join(root, F.col("id") == F.col("u"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, predicates: list[str] | None = None, rounds: int = 5) -> DataFrame:
-    """(id, community): each round a node takes the commonest label among its neighbours and itself, the smallest of ties."""
-    steps = materialised(undirected(of_types(edges, predicates)).select("node", "other").distinct().unionByName(nodes.select(F.col("id").alias("node"), F.col("id").alias("other"))))
-    labels = nodes.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
-        votes = steps.join(labels, F.col("other") == F.col("id")).groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
-        labels = materialised(best.select(F.col("node").alias("id"), "label"))
-    return labels.select("id", F.col("label").alias("community"))
+def label_propagation(nodes: DataFrame, edges: DataFrame, predicates: list[str] | None = None, rounds: int = 5, label: str = "id") -> DataFrame:
+    """(id, community): each round a node takes the commonest label among its neighbours and itself, the smallest of ties.
+
+    label names the column of nodes that is a node's first label, a different one for each. Ids that are no whole numbers are
+    numbered first, which shuffles the edges twice more.
+    """
+    own = of_types(edges, predicates).select("src", "dst")
+    named = nodes.select("id", F.col(label).alias("name"))
+    if dict(nodes.dtypes)["id"] in ("bigint", "int"):
+        return propagated(named.withColumn("id", F.col("id").cast("long")), own.select(*[F.col(c).cast("long").alias(c) for c in own.columns]), rounds)
+    ends = own.select(F.explode(F.array("src", "dst")).alias("id")).unionByName(nodes.select("id"))
+    codes = materialised(ends.where("id is not null").distinct().select("id", F.monotonically_increasing_id().alias("code")))
+    end = lambda c: codes.select(F.col("id").alias(c), F.col("code").alias(f"_{c}"))
+    pairs = own.join(end("src"), "src").join(end("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    found = propagated(named.join(codes, "id").select(F.col("code").alias("id"), "name"), pairs, rounds)
+    return found.join(codes.withColumnRenamed("id", "_id"), F.col("id") == F.col("code")).select(F.col("_id").alias("id"), "community")
 
 
 def suggest_links(edges: DataFrame, node: str, min_similarity: float = 0.5, limit: int = 10, distinct_neighbours: bool = False) -> DataFrame:

@@ -26,6 +26,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def input_bytes(*dfs: DataFrame) -> int:
+    """Bytes of all files that the plans read, each file once; what partitions are numbered by without a job."""
+    files = {f: None for df in dfs for f in df.inputFiles()}
+    if not files:
+        return 0
+    spark = dfs[0].sparkSession
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in (path(spark._jvm.java.net.URI(f)) for f in files))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where a local session names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)

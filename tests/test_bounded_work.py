@@ -1,13 +1,17 @@
 """Steps whose work was out of proportion: the same results, from less."""
 
 import math
+import random
 import unicodedata
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from lodestone.functions import checks as C
 from lodestone.functions import text as X
+from lodestone.operators import graph as K
 from lodestone.operators import layout as L
+from lodestone.operators import propagation as P
 from lodestone.operators import resolution as E
 from lodestone.operators import segments as S
 from lodestone.operators import signals as G
@@ -80,3 +84,38 @@ def test_items_of_pages_are_shuffled_once(spark):
     plan = pages._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1, plan
     assert pages.count() == 12
+
+
+def test_labels_go_in_packets(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(P, "materialised", lambda df: (kept.append(materialised(df)), kept[-1])[1])
+    monkeypatch.setattr(P, "dropped", lambda *tables: None)
+    rng = random.Random(5)
+    ids = [f"n{i}" for i in range(60)]
+    edges = [(rng.choice(ids[:50] + ["x1", "x2"]), rng.choice(ids[:50])) for _ in range(90)] + [("n3", "n3"), ("x1", "x1"), ("n4", "n3"), ("n4", "n3"), ("n3", "n4"), (None, "n3"), ("n5", None)]
+    near = {i: Counter() for i in [*ids, "x1", "x2"]}
+    for a, b in {p for a, b in edges if a and b for p in ((a, b), (b, a))}:
+        near[a][b] += 1
+    for i in ids:
+        near[i][i] += 1
+    label = {i: i for i in ids}
+    for _ in range(3):
+        votes = {i: Counter() for i in near}
+        for i in near:
+            for j, n in near[i].items():
+                if j in label:
+                    votes[i][label[j]] += n
+        label = {i: min(v, key=lambda k: (-v[k], k)) for i, v in votes.items() if v}
+    nodes = spark.createDataFrame([(i,) for i in [*ids, "n7"]], "id string")
+    got = K.label_propagation(nodes, spark.createDataFrame([(a, "t", b) for a, b in edges], "src string, predicate string, dst string"), rounds=3).collect()
+    assert len(got) == len(label) and {r.id: r.community for r in got} == label
+    number = lambda i: None if i is None else -int(i[1:]) * 2 ** (40 if i[0] == "x" else 1)
+    nodes = spark.createDataFrame([(number(i), i) for i in ids], "id long, name string")
+    got = K.label_propagation(nodes, spark.createDataFrame([(number(a), "t", number(b)) for a, b in edges], "src long, predicate string, dst long"), ["t"], 3, "name").collect()
+    assert {r.id: r.community for r in got} == {number(i): c for i, c in label.items()}
+    assert all(t.count() <= 8 for t in kept if "packet" in t.columns) and sum("packet" in t.columns for t in kept) == 8
+    assert not any("other" in t.columns for t in kept)  # a row for each edge before, shuffled three times a round
+    none = K.label_propagation(nodes.limit(0), spark.createDataFrame([], "src long, predicate string, dst long"), label="name")
+    assert none.collect() == []
+    alone = K.label_propagation(nodes, spark.createDataFrame([], "src long, predicate string, dst long"), label="name").collect()
+    assert {r.community for r in alone} == set(ids)
