@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import partitions, spread
+
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes at no edge: the endpoints of both sides are one table of keys, so that an anti join on equality does."""
@@ -15,9 +17,13 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def orphaned_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, reason) of edges whose subject, object or both are no nodes."""
-    ids = nodes.select("id").withColumn("there", F.lit(True))
-    out = edges.select(F.col("id").alias("edge"), "src", "dst").join(ids.select(F.col("id").alias("src"), F.col("there").alias("s")), "src", "left").join(ids.select(F.col("id").alias("dst"), F.col("there").alias("d")), "dst", "left")
+    """(id, reason) of edges whose subject, object or both are no nodes.
+
+    Edges and ids meet sorted, in partitions of a bounded size: a hash of all ids would grow with them in every task.
+    """
+    ids, n = nodes.select("id").withColumn("there", F.lit(True)), partitions(edges)
+    out = spread(edges.select(F.col("id").alias("edge"), "src", "dst"), "src", n=n).join(ids.select(F.col("id").alias("src"), F.col("there").alias("s")).hint("merge"), "src", "left").select("edge", "dst", "s")
+    out = spread(out, "dst", n=n).join(ids.select(F.col("id").alias("dst"), F.col("there").alias("d")).hint("merge"), "dst", "left")
     reason = F.when(F.col("s").isNull() & F.col("d").isNull(), "both").when(F.col("s").isNull(), "subject").when(F.col("d").isNull(), "object")
     return out.select(F.col("edge").alias("id"), reason.alias("reason")).where("reason is not null")
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import table
+from lodestone.session import spread, table
 
 NODE_COLUMNS = ("id", "type", "name", "tradition", "birth", "death", "founded", "occurred", "written", "lat", "lon", "confidence", "verified", "merge_status")
 
@@ -65,8 +65,8 @@ def kg_edges(spark: SparkSession, folder: str) -> DataFrame:
     c, p = F.col("c_custkey"), F.col("p_partkey")
     edge = lambda df, predicate, src, dst, conf: df.select(src.alias("src"), F.lit(predicate).alias("predicate"), dst.alias("dst"), conf.alias("confidence"))
     lines = t("lineitem")
-    wrote = lines.groupBy("l_suppkey", "l_partkey").agg((F.sum(F.round(F.lit(100) - F.col("l_discount") * 100).cast("long")) / F.count(F.lit(1)) / F.lit(100.0)).alias("conf"))
-    mentions = lines.select("l_orderkey", "l_partkey").distinct()
+    wrote = spread(lines.select("l_suppkey", "l_partkey", "l_discount"), "l_suppkey", "l_partkey").groupBy("l_suppkey", "l_partkey").agg((F.sum(F.round(F.lit(100) - F.col("l_discount") * 100).cast("long")) / F.count(F.lit(1)) / F.lit(100.0)).alias("conf"))
+    mentions = spread(lines.select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey").distinct()
     pupil = customers.where("c_custkey >= 2").select(F.expr("c_custkey div 2").alias("i"), "c_custkey")
     found = [
         edge(t("nation"), "within", ref("n", "n_nationkey"), ref("r", "n_regionkey"), F.lit(0.99)),

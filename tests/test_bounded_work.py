@@ -15,7 +15,11 @@ from lodestone.operators import propagation as P
 from lodestone.operators import resolution as E
 from lodestone.operators import segments as S
 from lodestone.operators import signals as G
+from lodestone import session as Z
+from lodestone.operators import relational as R
 from lodestone.session import materialised
+from lodestone.sources.views import kg_edges, kg_nodes
+from tests.conftest import SF
 
 
 def test_fitting_prefix_equals_the_plain_search(spark):
@@ -119,3 +123,20 @@ def test_labels_go_in_packets(spark, monkeypatch):
     assert none.collect() == []
     alone = K.label_propagation(nodes, spark.createDataFrame([], "src long, predicate string, dst long"), label="name").collect()
     assert {r.community for r in alone} == set(ids)
+
+
+def test_orphaned_edges_meet_ids_in_bounded_partitions(spark, monkeypatch):
+    nodes, edges = kg_nodes(spark, SF).where("id not like '%7'"), kg_edges(spark, SF)
+    extra = spark.createDataFrame([("e1", None, "c1"), ("e1", None, "c1"), ("e2", "c7", None), ("e3", "c1", "c2")], "id string, src string, dst string")
+    edges = edges.select("id", "src", "dst").unionByName(extra)
+    there = {r.id for r in nodes.select("id").collect()}
+    reason = {(False, False): "both", (False, True): "subject", (True, False): "object"}
+    want = sorted((r.id, reason[r.src in there, r.dst in there]) for r in edges.collect() if not (r.src in there and r.dst in there))
+    for part in (Z.PART_BYTES, 5_000):
+        monkeypatch.setattr(Z, "PART_BYTES", part)
+        n = Z.partitions(edges)
+        got = R.orphaned_edges(nodes, edges)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2, plan
+        assert (n > 4) == (part == 5_000) and plan.count(f", {n}), REPARTITION_BY_NUM") == (2 if n > 4 else 0), plan
+        assert sorted((r.id, r.reason) for r in got.collect()) == want
