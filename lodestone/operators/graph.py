@@ -332,7 +332,10 @@ def journeys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def most_influential(nodes: DataFrame, edges: DataFrame, type_: str | None = None, tradition: str | None = None, years: tuple[int, int] | None = None, limit: int = 50) -> DataFrame:
-    """(id, type, name, degree, influence): degree times mean confidence of the edges at a node, highest first."""
+    """(id, type, name, degree, influence): degree times mean confidence of the edges at a node, highest first.
+
+    Written at once, as a few rows, so that the shuffles of all edges and nodes have partitions of a bounded size.
+    """
     ends = edges.select(F.explode(F.array("src", "dst")).alias("at"), "confidence")
     score = ends.groupBy("at").agg(F.count(F.lit(1)).alias("degree"), F.avg("confidence").alias("mean"))
     own = nodes
@@ -343,7 +346,8 @@ def most_influential(nodes: DataFrame, edges: DataFrame, type_: str | None = Non
     if years:
         own = own.where(F.coalesce("birth", "founded").between(*years))
     out = own.select("id", "type", "name").join(score, F.col("id") == F.col("at"))
-    return out.select("id", "type", "name", "degree", F.round(F.col("degree") * F.col("mean"), 4).alias("influence")).orderBy(F.desc("influence"), "id").limit(limit)
+    highest = lambda df: df.orderBy(F.desc("influence"), "id").limit(limit)
+    return highest(materialised(highest(out.select("id", "type", "name", "degree", F.round(F.col("degree") * F.col("mean"), 4).alias("influence"))), finely=True))
 
 
 def components(nodes: DataFrame, edges: DataFrame, predicates: list[str] | None = None) -> DataFrame:

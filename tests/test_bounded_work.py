@@ -140,3 +140,19 @@ def test_orphaned_edges_meet_ids_in_bounded_partitions(spark, monkeypatch):
         assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2, plan
         assert (n > 4) == (part == 5_000) and plan.count(f", {n}), REPARTITION_BY_NUM") == (2 if n > 4 else 0), plan
         assert sorted((r.id, r.reason) for r in got.collect()) == want
+
+
+def test_edges_are_counted_in_bounded_partitions(spark, monkeypatch):
+    plain = sorted(map(repr, kg_edges(spark, SF).collect()))
+    best = K.most_influential(kg_nodes(spark, SF), kg_edges(spark, SF)).collect()
+    monkeypatch.setattr(Z, "PART_BYTES", 5_000)
+    edges = kg_edges(spark, SF)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2, plan  # lines by supplier and part, lines by order and part
+    assert sorted(map(repr, edges.collect())) == plain
+    seen, before = [], spark.conf.get(Z.PARTITIONS)
+    monkeypatch.setattr(K, "materialised", lambda df, **how: (seen.append(how), materialised(df, **how))[1])
+    got = K.most_influential(kg_nodes(spark, SF), edges).collect()
+    assert [r[:4] for r in got] == [r[:4] for r in best]
+    assert all(abs(a.influence - b.influence) < 2e-4 for a, b in zip(got, best, strict=True))  # sums of doubles, in another order
+    assert seen == [{"finely": True}] and spark.conf.get(Z.PARTITIONS) == before
