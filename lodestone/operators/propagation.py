@@ -189,4 +189,5 @@ def propagated(nodes: DataFrame, edges: DataFrame, rounds: int, blocks: int | No
         dropped(labels)
         labels = new
     dropped(near)
-    return labels.mapInArrow(unpack, "id long, label long").join(ranked.select("label", F.col("name").alias("community")), "label").select("id", "community")
+    found = labels.mapInArrow(unpack, "id long, label long")  # far more bytes than its packets: too many to be broadcast by their size
+    return found.join(ranked.select("label", F.col("name").alias("community")).hint("merge"), "label").select("id", "community")

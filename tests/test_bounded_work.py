@@ -123,6 +123,8 @@ def test_labels_go_in_packets(spark, monkeypatch):
     assert none.collect() == []
     alone = K.label_propagation(nodes, spark.createDataFrame([], "src long, predicate string, dst long"), label="name").collect()
     assert {r.community for r in alone} == set(ids)
+    plan = K.label_propagation(nodes, spark.createDataFrame([(1, "t", 2)], "src long, predicate string, dst long"), rounds=1, label="name")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan  # labels are not broadcast by the size of their packets
 
 
 def test_orphaned_edges_meet_ids_in_bounded_partitions(spark, monkeypatch):
