@@ -27,7 +27,7 @@ CHUNK = 1 << 20
 PACKETS = "block int, packet binary"
 
 
-def _packed(*columns: np.ndarray) -> bytes:
+def _packed(*columns: np.ndarray, level: int = 1) -> bytes:
     """Columns of whole numbers of one length as bytes: differences of the first (sorted), others as they are.
 
     Each byte's place is by itself, and only the places that a column needs: a first byte says how many columns, then one each how many places.
@@ -35,7 +35,7 @@ def _packed(*columns: np.ndarray) -> bytes:
     columns = (np.diff(columns[0], prepend=np.int64(0)), *columns[1:])
     places = [8 if c.min() < 0 else -(-int(c.max()).bit_length() // 8) for c in columns]
     planes = [np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T[:n]).tobytes() for c, n in zip(columns, places, strict=True)]
-    return bytes([len(columns), *places]) + len(columns[0]).to_bytes(4, "little") + zlib.compress(b"".join(planes), 1)
+    return bytes([len(columns), *places]) + len(columns[0]).to_bytes(4, "little") + zlib.compress(b"".join(planes), level)
 
 
 def _opened(packet: bytes) -> np.ndarray:

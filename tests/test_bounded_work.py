@@ -3,12 +3,15 @@
 import math
 import random
 import unicodedata
+import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import checks as C
 from lodestone.functions import text as X
+from lodestone.operators import communities as M
 from lodestone.operators import graph as K
 from lodestone.operators import layout as L
 from lodestone.operators import propagation as P
@@ -17,9 +20,11 @@ from lodestone.operators import segments as S
 from lodestone.operators import signals as G
 from lodestone import session as Z
 from lodestone.operators import relational as R
+from lodestone.plans.method_queries import _coded, _decoded
 from lodestone.session import materialised
 from lodestone.sources.views import kg_edges, kg_nodes
 from tests.conftest import SF
+from tests.test_methods import plain_louvain
 
 
 def test_fitting_prefix_equals_the_plain_search(spark):
@@ -158,3 +163,25 @@ def test_edges_are_counted_in_bounded_partitions(spark, monkeypatch):
     assert [r[:4] for r in got] == [r[:4] for r in best]
     assert all(abs(a.influence - b.influence) < 2e-4 for a, b in zip(got, best, strict=True))  # sums of doubles, in another order
     assert seen == [{"finely": True}] and spark.conf.get(Z.PARTITIONS) == before
+
+
+def test_louvain_has_no_row_for_each_edge(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(M, "materialised", lambda df: (kept.append(materialised(df)), kept[-1])[1])
+    monkeypatch.setattr(M, "dropped", lambda *tables: None)
+    assert all(int(M._turn(np.array([zlib.crc32(b"c17:")]), n)[0]) == zlib.crc32(b"c17:%d" % n) for n in (0, 9, 10, 123))
+    rng = random.Random(7)
+    ids = [f"{k}{i}" for k in "cp" for i in (0, 1, 2, 9, 10, 11, 90, 99, 100, 9_999_999_999)]
+    edges = [(rng.choice(ids), rng.choice(ids)) for _ in range(60)] + [("c1", "c1"), ("c2", None), ("c5", "c5"), ("p7", "c7")]
+    nodes = spark.createDataFrame([(i,) for i in [*ids, "c5", "c8", "p7"]], "id string")
+    rows = spark.createDataFrame([(a, "t", b) for a, b in edges], "src string, predicate string, dst string")
+    plain = {r.id: r.community for r in M.louvain(nodes, rows).collect()}
+    assert all(t.count() <= 80 for t in kept if "packet" in t.columns) and any("packet" in t.columns for t in kept)
+    kept.clear()
+    assert {r.id: r.community for r in M.louvain(nodes, rows, code=(_coded, _decoded)).collect()} == plain  # c7 is no node
+    assert plain["c8"] == "c8" and plain["p7"] == "c7" and all("packet" in t.columns or set(t.columns) == {"id", "first"} for t in kept)
+    back = nodes.select("id", _coded(F.col("id")).alias("n"), _decoded(_coded(F.col("id"))).alias("b")).orderBy("n").collect()
+    assert [r.b for r in back] == [r.id for r in back] == sorted(r.id for r in back)
+    heavy = rows.withColumn("n", F.when(F.col("src") < "c9", F.lit(2**40)).otherwise(1))  # squares are over 64 bits
+    want, _ = plain_louvain([r.id for r in nodes.collect()], [(a, b, 2**40 if a < "c9" else 1) for a, b in edges])
+    assert {r.id: r.community for r in M.louvain(nodes, heavy, None, "n").collect()} == want
