@@ -1,12 +1,13 @@
 """Examples for a prompt: by vectors, by keywords where no vector is near enough, and one of each category where nothing fits.
 
-Vectors of inputs meet those of examples block by block (numpy inside a block); of each block only the best few of a category
-go on, so what is shuffled is bounded by blocks x categories x count. Keywords meet by equality, and words that nobody asks for
-never leave their side.
+Vectors of inputs meet those of examples block by block (numpy inside a block), and so do keywords; of each block only the
+best few of a category go on, so what is shuffled is bounded by blocks x categories x count.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,30 +19,104 @@ from lodestone.session import materialised
 BOOST = 1.2
 
 
-def _by_vectors(inputs: DataFrame, library: DataFrame, count: int, at_least: float, prefer: str | None) -> DataFrame:
-    """(query_id, example_id, category, score, rank_score): per query the best `count` examples of each category, at_least alike."""
-    asked, nq = blocks(usable(inputs.select("query_id", "embedding")), "query_id", 1024)
-    held, ne = blocks(usable(library.select("example_id", "category", "embedding")), "example_id", 8192)
+#: Inputs and examples of a block, and inputs that are scored at a time. Each block of inputs has the library shuffled once more.
+ASKED, HELD, AT_ONCE = 16384, 8192, 512
+
+
+def _top(score: np.ndarray, begins: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the `count` highest of each row and stretch of columns, the first of equals; -inf is none. Overwrites score."""
+    row, found = np.arange(len(score)), []
+    for i, j in zip(begins, [*begins[1:], score.shape[1]], strict=True):
+        part = score[:, i:j]
+        for _ in range(min(count, j - i)):
+            at = part.argmax(1)
+            has = part[row, at] > -np.inf
+            if not has.any():
+                break
+            found.append((row[has], i + at[has]))
+            part[row, at] = -np.inf
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (row[:0], row[:0])
+
+
+def _in_order(examples: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """Examples by category, then id, and where each category begins."""
+    b = examples.sort_values(["category", "example_id"])
+    return b, np.flatnonzero(np.diff(pd.factorize(b["category"])[0], prepend=-2))
+
+
+def _met(inputs: DataFrame, library: DataFrame, score: Callable, count: int, column: str, kind: str) -> DataFrame:
+    """(query_id, example_id, category, column): per query, category and block of examples the `count` best. score(inputs, examples) is a function
+    of a slice of the inputs that gives a row for each of them, -inf where they do not meet."""
+    asked, nq = blocks(inputs, "query_id", ASKED)
+    held, ne = blocks(library, "example_id", HELD)
     left = asked.withColumnRenamed("_b", "q").withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(ne - 1))))
     right = held.withColumnRenamed("_b", "e").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            x, y = np.array(a["embedding"].tolist()), np.array(b["embedding"].tolist())
-            norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
-            score = np.round(np.where(norms > 0, x @ y.T / np.where(norms > 0, norms, 1), 0.0), 9)
-            for i, q in enumerate(a["query_id"]):
-                j = np.nonzero(score[i] >= at_least)[0]
-                f = pd.DataFrame({"query_id": q, "example_id": b["example_id"].to_numpy()[j], "category": b["category"].to_numpy()[j], "score": score[i, j]})
-                out.append(f.sort_values(["score", "example_id"], ascending=[False, True]).groupby("category", dropna=False).head(count))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": a["query_id"], "example_id": b["example_id"], "category": b["category"], "score": pd.Series(dtype="float64")}).head(0)
+            b, begins = _in_order(b)
+            of = score(a, b)
+            for at in range(0, len(a), AT_ONCE):
+                rows = of(slice(at, at + AT_ONCE))
+                i, j = _top(rows.copy(), begins, count)
+                out.append(pd.DataFrame({"query_id": a["query_id"].to_numpy()[at + i], "example_id": b["example_id"].to_numpy()[j], "category": b["category"].to_numpy()[j], column: rows[i, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": a["query_id"], "example_id": b["example_id"], "category": b["category"], column: pd.Series(dtype="float64")}).head(0)
 
     kinds = {c: library.schema[c].dataType.simpleString() for c in ("example_id", "category")}
-    met = left.groupBy("q", "e").cogroup(right.groupBy("q", "e")).applyInPandas(meet, f"query_id {inputs.schema['query_id'].dataType.simpleString()}, example_id {kinds['example_id']}, category {kinds['category']}, score double")
+    met = left.groupBy("q", "e").cogroup(right.groupBy("q", "e")).applyInPandas(meet, f"query_id {inputs.schema['query_id'].dataType.simpleString()}, example_id {kinds['example_id']}, category {kinds['category']}, {column} double")
+    return met.withColumn(column, F.col(column).cast(kind))
+
+
+def _by_vectors(inputs: DataFrame, library: DataFrame, count: int, at_least: float, prefer: str | None) -> DataFrame:
+    """(query_id, example_id, category, score, rank_score): per query the best `count` examples of each category, at_least alike."""
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> Callable:
+        x, y = np.array(a["embedding"].tolist()), np.array(b["embedding"].tolist())
+        length, other = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+
+        def of(some: slice) -> np.ndarray:
+            norms = length[some, None] * other[None]
+            cosine = np.round(np.where(norms > 0, x[some] @ y.T / np.where(norms > 0, norms, 1), 0.0), 9)
+            return np.where(cosine >= at_least, cosine, -np.inf)
+
+        return of
+
+    met = _met(usable(inputs.select("query_id", "embedding")), usable(library.select("example_id", "category", "embedding")), score, count, "score", "double")
     return met.withColumn("rank_score", _boosted(prefer))
 
 
+def _by_keywords(inputs: DataFrame, library: DataFrame, count: int, prefer: str | None) -> DataFrame:
+    """(query_id, example_id, category, score, rank_score): per query and block of examples the `count` of each category that have the most of its keywords, and any."""
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> Callable:
+        flat = lambda rows: (np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([w for r in rows for w in r], object))
+        asker, asked = flat(a["keywords"].tolist())
+        holder, held = flat(b["keywords"].tolist())
+        codes, words = pd.factorize(asked)  # null words are -1, as are words that nobody asks for
+        code = pd.Index(words).get_indexer(held) if len(words) else np.full(len(held), -1)
+        asker, codes = asker[codes >= 0], codes[codes >= 0]
+        posted = np.unique(code[code >= 0] * len(b) + holder[code >= 0])
+        ends = np.searchsorted(posted, np.arange(len(words) + 1) * len(b))
+        has = posted % max(len(b), 1)
+        of_asker = np.searchsorted(asker, np.arange(len(a) + 1))
+
+        def of(some: slice) -> np.ndarray:
+            out = np.zeros((len(range(*some.indices(len(a)))), len(b)))
+            for i, q in enumerate(range(*some.indices(len(a)))):
+                lists = [has[ends[c] : ends[c + 1]] for c in codes[of_asker[q] : of_asker[q + 1]]]
+                if lists:
+                    out[i] = np.bincount(np.concatenate(lists), minlength=len(b))
+            return np.where(out > 0, out, -np.inf)
+
+        return of
+
+    own = library.select("example_id", "category", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    met = _met(inputs, own, score, count, "n", "long")
+    hits = met.join(inputs.select("query_id", F.size("keywords").alias("all")), "query_id").select("query_id", "example_id", "category", F.round(F.col("n") / F.col("all"), 9).alias("score"))
+    return hits.withColumn("rank_score", _boosted(prefer))
+
+
 def _boosted(prefer: str | None) -> Column:
     return F.col("score") if prefer is None else F.when(F.col("category") == prefer, F.round(F.col("score") * BOOST, 9)).otherwise(F.col("score"))
 
@@ -68,12 +143,8 @@ def select_examples(inputs: DataFrame, library: DataFrame, count: int = 3, categ
         library = library.join(any_of).where(~F.col("_any") | F.coalesce(F.col("category") == category, F.lit(False))).drop("_any")
     near = materialised(_by_vectors(inputs, library, count, at_least, prefer))
     first = _best(near, count, diverse)
-    rest = inputs.select("query_id", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords")).join(near.select("query_id").distinct(), "query_id", "left_anti")
-
-    words = rest.select("query_id", F.explode("keywords").alias("w")).groupBy("query_id", "w").agg(F.count(F.lit(1)).alias("n"))
-    has = library.select("example_id", "category", F.explode(F.array_distinct("keywords")).alias("w")).join(words.select("w").distinct(), "w", "left_semi")
-    shared = words.join(has, "w").groupBy("query_id", "example_id", "category").agg(F.sum("n").alias("n"))
-    hits = materialised(shared.join(rest.select("query_id", F.size("keywords").alias("all")), "query_id").select("query_id", "example_id", "category", F.round(F.col("n") / F.col("all"), 9).alias("score")).withColumn("rank_score", _boosted(prefer)))
+    rest = materialised(inputs.select("query_id", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords")).join(near.select("query_id").distinct(), "query_id", "left_anti"))
+    hits = materialised(_by_keywords(rest, library, count, prefer))
 
     # Of examples that share nothing only the first few can be chosen: `count` of each of the 2 * count categories that begin first.
     own = Window.partitionBy("category").orderBy("example_id")

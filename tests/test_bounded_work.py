@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import checks as C
 from lodestone.functions import text as X
 from lodestone.operators import communities as M
+from lodestone.operators import examples as T
 from lodestone.operators import graph as K
 from lodestone.operators import layout as L
 from lodestone.operators import propagation as P
@@ -185,3 +186,31 @@ def test_louvain_has_no_row_for_each_edge(spark, monkeypatch):
     heavy = rows.withColumn("n", F.when(F.col("src") < "c9", F.lit(2**40)).otherwise(1))  # squares are over 64 bits
     want, _ = plain_louvain([r.id for r in nodes.collect()], [(a, b, 2**40 if a < "c9" else 1) for a, b in edges])
     assert {r.id: r.community for r in M.louvain(nodes, heavy, None, "n").collect()} == want
+
+
+def test_examples_by_keywords_make_no_row_for_each_pair_that_shares_a_word(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(T, "materialised", lambda df: (kept.append(materialised(df)), kept[-1])[1])
+    monkeypatch.setattr(T, "HELD", 60)
+    monkeypatch.setattr(T, "AT_ONCE", 7)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    pick = lambda n: ["all", *rng.choices([*words, None], k=n)]
+    asked = [(i, None, pick(rng.randint(0, 9)) if i % 5 else ["nobody's", None]) for i in range(40)]
+    held = [(i, rng.choice(["a", "b", None]), None, pick(5) if i % 7 else None) for i in range(150)]
+    inputs = spark.createDataFrame(asked, "query_id long, embedding array<double>, keywords array<string>")
+    library = spark.createDataFrame(held, "example_id long, category string, embedding array<double>, keywords array<string>")
+    got = T.select_examples(inputs, library, 4, prefer="b").where("way = 'keywords'").collect()
+    want = set()
+    for q, _, kw in asked:
+        if not q % 5:
+            continue
+        scored = [(round(sum(w is not None and w in set(h or ()) for w in kw) / len(kw), 9), e, c) for e, c, _, h in held]
+        ranked = sorted((-round(s * 1.2, 9) if c == "b" else -s, e, c) for s, e, c in scored)
+        seen, placed = Counter(), []
+        for x, e, c in ranked:
+            seen[c] += 1
+            placed.append((seen[c] > 2, x, e))
+        want |= {(q, i, e) for i, (_, _, e) in enumerate(sorted(placed)[:4], 1)}
+    assert {(r.query_id, r.place, r.example_id) for r in got} == want
+    assert kept[-1].count() <= 40 * 3 * 4 * 3  # queries, blocks, best of a category, categories; 4,000 rows before
