@@ -15,7 +15,7 @@ def dictionary_hits(pairs: DataFrame, dictionary: DataFrame, most: int = 20) ->
 
     terms: how many terms stand in the original, of which the `most` longest count (ties by term); matched: those of which a
     rendering stands in the translation, whatever the case; used: those whose first rendering, or the term itself, does. Both
-    texts meet the dictionary by containment, so neither side is sent to all executors. Keys and terms come once each.
+    texts meet the dictionary by containment, a block of terms at a time. Keys and terms come once each.
     """
     words = dictionary.where("term <> ''").select("term", F.lower("english").alias("english"), F.explode(F.array_distinct(F.transform(F.concat(F.array("english"), F.coalesce("alternates", F.array().cast("array<string>"))), lambda x: F.lower(x)))).alias("word"))
     here = contained(pairs, words, "key", "original", "term").withColumnRenamed("pattern", "term")

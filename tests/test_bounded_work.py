@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import checks as C
 from lodestone.functions import text as X
 from lodestone.operators import communities as M
+from lodestone.operators import containment as H
 from lodestone.operators import examples as T
 from lodestone.operators import graph as K
 from lodestone.operators import layout as L
@@ -214,3 +215,18 @@ def test_examples_by_keywords_make_no_row_for_each_pair_that_shares_a_word(spark
         want |= {(q, i, e) for i, (_, _, e) in enumerate(sorted(placed)[:4], 1)}
     assert {(r.query_id, r.place, r.example_id) for r in got} == want
     assert kept[-1].count() <= 40 * 3 * 4 * 3  # queries, blocks, best of a category, categories; 4,000 rows before
+
+
+def test_contained_patterns_need_no_join_with_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(H, "BLOCK", 200)  # many blocks of patterns
+    monkeypatch.setattr(H, "SLICE", 64)
+    rng = random.Random(9)
+    word = lambda most: "".join(rng.choice("aabé") for _ in range(rng.randint(0, most)))
+    patterns = sorted({word(22) for _ in range(60)})
+    texts = [(i // 2 if i % 9 else None, word(150) if i % 7 else None) for i in range(60)]
+    t, p = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(x,) for x in [*patterns, None]], "term string")
+    found = H.contained(t, p, "doc_id", "text", "term")
+    assert {tuple(r) for r in found.collect()} == {(i, x) for i, text in texts for x in patterns if x and x in (text or "")}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # each text met each of its patterns in a join before
+    n = Counter((i, x, sum(text.startswith(x, j) for j in range(len(text)))) for i, text in texts if text for x in patterns if x and x in text)
+    assert Counter(tuple(r) for r in H.contained_terms(t, p).collect()) == n
